@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, html_text, media, packing, quality, simhash, token_counts
+from . import byte_bpe, chat, html_text, media, packing, quality, simhash, substrings, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_substrings": substrings.op2_substrings,
     "op4_byte_bpe": byte_bpe.op4_byte_bpe,
     "op5_packing": packing.op5_packing,
     "op6_simhash": simhash.op6_simhash,
@@ -15,4 +16,4 @@ QUERIES = {
     "op10_chat": chat.op10_chat,
 }
 
-ORACLE_SQL = {"op9_quality": quality.ORACLE, "op10_chat": chat.ORACLE}
+ORACLE_SQL = {"op2_substrings": substrings.ORACLE, "op9_quality": quality.ORACLE, "op10_chat": chat.ORACLE}
