@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, html_text, media, packing, quality, simhash, substrings, token_counts
+from . import byte_bpe, chat, html_text, media, packing, pii, quality, simhash, substrings, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_substrings": substrings.op2_substrings,
+    "op3_pii": pii.op3_pii,
     "op4_byte_bpe": byte_bpe.op4_byte_bpe,
     "op5_packing": packing.op5_packing,
     "op6_simhash": simhash.op6_simhash,
