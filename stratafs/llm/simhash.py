@@ -1,11 +1,12 @@
 """SimHash near-duplicates by anchor-point covering.
 
-Fingerprints within 3 bits differ by at most 1 bit in one of their two halves. Over a
-half, the anchors are the words of a covering code: one free bit and the Hamming code of
-31 bits, whose covering radius is 1. A fingerprint is home at the one anchor that covers
-it, and is replicated to every anchor within covering radius plus threshold (1 + 1) of
-its half, 17 at most. The home anchor of one of two linked fingerprints is then always
-among the anchors of the other, so comparing per anchor loses no link.
+A fingerprint is cut into blocks. Fingerprints within `distance` bits differ by at most
+distance // blocks in one of their blocks: the threshold there. Over a block, the anchors
+are the words of a covering code, a Hamming code and some free bits, whose covering
+radius is 1. A fingerprint is home at the one anchor that covers it, and is replicated to
+every anchor within covering radius plus threshold of its block. The home anchor of one
+of two linked fingerprints is then always among the anchors of the other, so comparing
+per anchor loses no link.
 
 Only distinct fingerprints are compared. At an anchor, links are reduced to a forest
 that connects the same fingerprints, so a large group emits no pairs.
@@ -13,7 +14,8 @@ that connects the same fingerprints, so a large group emits no pairs.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,17 +26,14 @@ from pyspark.sql import functions as F
 from .common import documents, stored
 from .components import components
 
-SEED, SHINGLE, DISTANCE = 42, 3, 3
-#: Fingerprints that are compared at once; a larger anchor is first divided without loss.
+SEED, SHINGLE, DISTANCE, BLOCKS = 42, 3, 3, 2
+#: Fingerprints that are walked at once; more are first divided without loss.
 DENSE = 20_000
+#: Cells of a comparison matrix.
+CELLS = 1 << 22
 
-_CHECKS = np.array([sum(1 << (p - 1) for p in range(1, 32) if p >> j & 1) for j in range(5)], np.uint64)
-_LOW31, _TOP = np.uint64((1 << 31) - 1), np.uint64(1 << 31)
-#: For each syndrome: the pairs of bits that lead to the code words two bits away.
-_PAIRS = np.array([[(1 << (p - 1)) | (1 << ((p ^ s) - 1)) for p in range(1, 32) if p ^ s and p < p ^ s] if s else [0] * 15 for s in range(32)], np.uint64)
 
-
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """The unsigned 64-bit SimHash of a whole text; 0 for one without words."""
     words = (text or "").encode().lower().split()  # of bytes: A-Z only; space and U+0009 to U+000D
     if not words:
@@ -45,7 +44,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     size = min(shingle, len(words))
     spans = zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist())
     h = xxhash.xxh64_intdigest
-    hashes = np.array([h(joined[a:b], SEED) for a, b in spans], "<u8")
+    hashes = np.array([h(joined[a:b], seed) for a, b in spans], "<u8")
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -53,51 +52,61 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp) with fp as the signed long of the same bits."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    """(id, fps): each row's fingerprints, one for each seed, as signed longs of the same bits."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(x, shingle) for x in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["id", "fp"])
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
-
-
-def _syndromes(half: np.ndarray) -> np.ndarray:
-    parity = [(np.bitwise_count(half & check) & 1).astype(np.uint64) << np.uint64(j) for j, check in enumerate(_CHECKS)]
-    return np.bitwise_or.reduce(parity)
-
-
-def home_anchors(half: np.ndarray) -> np.ndarray:
-    """The anchor that covers each 32-bit value."""
-    s = _syndromes(half & _LOW31)
-    flip = np.where(s == 0, np.uint64(0), np.uint64(1) << (s - np.uint64(1)) % np.uint64(64))
-    return half ^ flip
-
-
-def near_anchors(half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index, anchor): every anchor within 2 bits of each 32-bit value, once."""
-    s = _syndromes(half & _LOW31)
-    home, index = home_anchors(half), np.arange(len(half))
-    off = np.flatnonzero(s)
-    far = (half[off, None] ^ _PAIRS[s[off].astype(np.int64)]).ravel()
-    return np.concatenate((index, index, np.repeat(off, 15))), np.concatenate((home, home ^ _TOP, far))
-
-
-def _covered(distinct: DataFrame) -> DataFrame:
+            fps = np.array([[fingerprint(x, shingle, s) for s in seeds] for x in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, fps.size + 1, len(seeds)), pa.int32()), pa.array(fps.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "fps"])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fps array<long>")
+
+
+@lru_cache(maxsize=8)
+def _masks(width: int, weight: int) -> tuple[tuple[int, ...], ...]:
+    """For each syndrome, what to XOR to a block with it to reach the anchors within `weight` bits, nearest first."""
+    checks = (width + 1).bit_length() - 1
+    length = (1 << checks) - 1  # of the Hamming code; the other bits are free
+    found: list[list[int]] = [[] for _ in range(1 << checks)]
+    for n in range(weight + 1):
+        for bits in combinations(range(width), n):
+            syndrome = 0
+            for b in bits:
+                syndrome ^= b + 1 if b < length else 0
+            found[syndrome].append(sum(1 << b for b in bits))
+    return tuple(map(tuple, found))
+
+
+def near_anchors(block: np.ndarray, width: int, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index, anchor, home): every anchor within 1 + threshold bits of each value, once; home marks the one that covers it."""
+    checks = (width + 1).bit_length() - 1
+    syndrome = np.zeros(len(block), np.int64)
+    for j in range(checks):
+        check = np.uint64(sum(1 << (p - 1) for p in range(1, 1 << checks) if p >> j & 1))
+        syndrome |= (np.bitwise_count(block & check).astype(np.int64) & 1) << j
+    index, anchor, home = [], [], []
+    for s, masks in enumerate(_masks(width, 1 + threshold)):
+        of = np.flatnonzero(syndrome == s)
+        index.append(np.repeat(of, len(masks)))
+        anchor.append((block[of, None] ^ np.array(masks, np.uint64)[None, :]).ravel())
+        home.append(np.tile(np.arange(len(masks)) == 0, len(of)))  # at syndrome 0 the value itself, else one flipped bit
+    return np.concatenate(index), np.concatenate(anchor), np.concatenate(home)
+
+
+def _covered(distinct: DataFrame, distance: int, blocks: int) -> DataFrame:
     """(anchor, fp, home): each distinct fingerprint at each of its anchors."""
+    width = 64 // blocks
 
     def run(batches):
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False)
-            bits = fp.view(np.uint64)
-            for block in (0, 1):
-                half = (bits >> np.uint64(32 * block)) & np.uint64(0xFFFFFFFF)
-                index, anchor = near_anchors(half)
-                home = anchor == home_anchors(half)[index]
-                key = (anchor | np.uint64(block) << np.uint64(32)).view(np.int64)
+            for k in range(blocks):
+                block = (fp.view(np.uint64) >> np.uint64(k * width)) & np.uint64((1 << width) - 1)
+                index, anchor, home = near_anchors(block, width, distance // blocks)
+                key = (anchor | np.uint64(k) << np.uint64(width)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[index]), pa.array(home)], ["anchor", "fp", "home"])
 
     return distinct.mapInArrow(run, "anchor long, fp long, home boolean")
@@ -106,23 +115,19 @@ def _covered(distinct: DataFrame) -> DataFrame:
 def forest(fps: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
     """Links that connect exactly the distinct fingerprints which links within distance connect.
 
-    Above DENSE values, those that share one of distance + 1 sub-blocks are compared with
+    Above DENSE values, those that share one of distance + 1 sub-blocks are walked with
     each other, which finds every link.
     """
-    bits = fps.view(np.uint64)
-    if len(fps) > DENSE:
-        out, width = [], 64 // (distance + 1)
-        for k in range(distance + 1):
-            sub = bits >> np.uint64(k * width) & np.uint64((1 << width) - 1)
-            order = np.argsort(sub, kind="stable")
-            cuts = np.flatnonzero(np.diff(sub[order])) + 1
-            for group in np.split(fps[order], cuts):
-                if 1 < len(group) < len(fps):
-                    out += forest(group, distance)
-                elif len(group) == len(fps):
-                    out += _walk(fps, distance)
-        return out
-    return _walk(fps, distance)
+    if len(fps) <= DENSE:
+        return _walk(fps, distance)
+    out, width, bits = [], 64 // (distance + 1), fps.view(np.uint64)
+    for k in range(distance + 1):
+        sub = bits >> np.uint64(k * width) & np.uint64((1 << width) - 1)
+        order = np.argsort(sub, kind="stable")
+        for group in np.split(fps[order], np.flatnonzero(np.diff(sub[order])) + 1):
+            if len(group) > 1:
+                out += _walk(group, distance)
+    return out
 
 
 def _walk(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -140,20 +145,29 @@ def _walk(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return out
 
 
-def _per_anchor(compare: Callable[[np.ndarray], list[tuple[int, int]]]):
-    """An Arrow function over rows sorted by anchor: the links among the fingerprints of each anchor."""
+def at_anchor(fps: np.ndarray, home: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Links among the fingerprints at one anchor: those at home there against all."""
+    bits = fps.view(np.uint64)
+    homes, linked = bits[home], np.zeros(len(fps), bool)
+    step = max(1, CELLS // len(fps))
+    for i in range(0, len(homes), step):
+        near = np.bitwise_count(homes[i : i + step, None] ^ bits[None, :]) <= distance
+        linked |= near[near.sum(1) > 1].any(0)  # a fingerprint is near itself
+    return forest(fps[linked], distance)
+
+
+def _per_anchor(distance: int):
+    """An Arrow function over rows sorted by anchor: the links at each anchor."""
 
     def links(anchor, fp, home):
-        edges = np.flatnonzero(np.diff(anchor)) + 1
-        starts = np.concatenate(([0], edges))
+        starts = np.concatenate(([0], np.flatnonzero(np.diff(anchor)) + 1))
         sizes = np.diff(np.concatenate((starts, [len(anchor)])))
         homes = np.add.reduceat(home.astype(np.int64), starts)
         out = []
         for i in np.flatnonzero((sizes > 1) & (homes > 0)).tolist():
-            out += compare(fp[starts[i] : starts[i] + sizes[i]])
-        return pa.RecordBatch.from_arrays(
-            [pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"]
-        )
+            of = slice(starts[i], starts[i] + sizes[i])
+            out += at_anchor(fp[of], home[of], distance)
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
     def run(batches):
         held: list[tuple] = []
@@ -173,30 +187,41 @@ def _per_anchor(compare: Callable[[np.ndarray], list[tuple[int, int]]]):
     return run
 
 
-def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """(a, b): links that connect the distinct fingerprints (fp) within distance bits."""
-    if distance > 3:
-        raise ValueError("two halves of radius 1 cover up to 3 bits")
-    at = _covered(distinct).repartition("anchor").sortWithinPartitions("anchor")
-    return at.mapInArrow(_per_anchor(lambda fps: forest(fps, distance)), "a long, b long")
+    at = _covered(distinct, distance, blocks).repartition("anchor").sortWithinPartitions("anchor")
+    return at.mapInArrow(_per_anchor(distance), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE,
+                    blocks: int = BLOCKS, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
     """(id, fingerprint, component_id) of each row of docs.
 
-    component_id: the least id reachable over links within distance bits. Texts without
-    words, null ones included, have fingerprint zero and are linked like any other. Equal
-    rows each give a row; null ids are no component's least id unless it has no other;
-    other columns are left aside; an empty table gives an empty result.
+    component_id: the least id reachable over links, which join rows whose fingerprints
+    of any one seed are within distance bits; fingerprint is that of the first seed.
+    Texts without words, null ones included, have fingerprint zero and are linked like
+    any other. Equal rows each give a row; null ids are no component's least id unless it
+    has no other; other columns are left aside; an empty table gives an empty result.
     """
-    fps = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    least = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(fingerprint_links(least.select("fp"), distance))
-    placed = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    fps = stored(fingerprints(docs, id_col, text_col, shingle, seeds), "fingerprints")
+    least = stored(fps.groupBy("fps").agg(F.min("id").alias("least")), "classes")
+    if len(seeds) == 1:
+        node = F.get("fps", 0)
+        roots = components(fingerprint_links(least.select(node.alias("fp")), distance, blocks))
+    else:
+        # a fingerprint of a seed is a node, and a class of texts links its nodes
+        name = lambda k, fp: F.xxhash64(F.lit(k), fp)
+        node = name(0, F.get("fps", 0))
+        links = least.select(node.alias("a"), F.explode(F.array(*(name(k, F.get("fps", k)) for k in range(1, len(seeds))))).alias("b"))
+        for k in range(len(seeds)):
+            found = fingerprint_links(least.select(F.get("fps", k).alias("fp")).distinct(), distance, blocks)
+            links = links.unionByName(found.select(name(k, F.col("a")).alias("a"), name(k, F.col("b")).alias("b")))
+        roots = components(links)
+    placed = least.withColumn("node", node).join(roots, "node", "left").select("fps", "least", F.coalesce("root", "node").alias("root"))
     of_root = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = placed.join(of_root, "root").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    of_fps = placed.join(of_root, "root").select("fps", "component_id")
+    return fps.join(of_fps, "fps").select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex(F.get("fps", 0)), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
