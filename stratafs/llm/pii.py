@@ -39,7 +39,8 @@ SUPPORT, TERM_CHARS = 3, 3
 REMOVE_BITS, GENERALISE_BITS = 1.0, 2.0
 #: Terms that are broadcast at most; more are joined by a shuffle.
 BROADCAST_TERMS = 50_000
-_SPAN = "struct<start:int,end:int,kind:int,value:string>"
+#: The order of fields is that in which spans are sorted.
+_SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
 
 def prefix_sums(lengths: Column) -> Column:
@@ -100,13 +101,13 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """The base spans (start, end, kind, value) of a text by start, then kind; kind is its place in KINDS."""
+    """The base spans (start, kind, end, value) of a text by start, then kind; kind is its place in KINDS."""
 
     def of_kind(k: int, kind: str, pattern: str) -> Column:
         valid = F.filter(located(text, pattern), lambda m: _valid(kind, m["value"]))
         spans = F.transform(
             valid,
-            lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["value"])).alias("end"), F.lit(k).alias("kind"), m["value"].alias("value")),
+            lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("kind"), (m["start"] + F.length(m["value"])).alias("end"), m["value"].alias("value")),
         )
         return F.when(F.contains(text, F.lit(HINT[kind])), spans).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
@@ -177,7 +178,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     joined = held.join(places, "rid", "left")
     named = F.transform(
         base_spans(F.col("text")),
-        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("order"), F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1).alias("kind"),
+        lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("order"), s["end"].alias("end"), F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1).alias("kind"),
                            s["value"].alias("value"), F.lit("generalise").alias("action")),
     )
 
@@ -185,12 +186,12 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
         of = lambda v: F.get(F.filter(terms, lambda t: t["term"] == F.lower(v)), 0)["action"]
         spans = F.transform(
             located(F.col("text"), TERM),
-            lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["value"])).cast("int").alias("end"), F.lit(len(KINDS)).alias("order"),
+            lambda m: F.struct(m["start"].alias("start"), F.lit(len(KINDS)).alias("order"), (m["start"] + F.length(m["value"])).cast("int").alias("end"),
                                F.lit("term").alias("kind"), m["value"].alias("value"), of(m["value"]).alias("action")),
         )
         return F.filter(spans, lambda s: s["action"].isNotNull())
 
-    shape = "array<struct<start:int,end:int,order:int,kind:string,value:string,action:string>>"
+    shape = "array<struct<start:int,order:int,end:int,kind:string,value:string,action:string>>"
     terms = F.when(F.col("terms").isNotNull(), term_spans(F.col("terms")).cast(shape)).otherwise(F.array().cast(shape))
     spanned = joined.select("id", "text", F.array_sort(F.concat(named.cast(shape), terms)).alias("spans"), *(["row"] if keep else []))
     return spanned.select(F.col("id").alias(id_col), "spans", redacted(F.col("text"), F.col("spans")).alias("sanitised"), *(["row"] if keep else []))
