@@ -1,4 +1,4 @@
-"""Chat formatting with typed content parts.
+r"""Chat formatting with typed content parts.
 
 A turn is a list of parts: text, image, audio or document. A visitor flattens the parts
 in order: text is escaped, any other part becomes a numbered placeholder, and its
