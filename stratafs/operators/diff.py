@@ -133,7 +133,7 @@ def next_paths(paths: DataFrame, cur: DataFrame, generation: int, now: int, reti
 def next_documents(documents: DataFrame, new: DataFrame) -> DataFrame:
     """Insert-if-absent by content_hash; a body_hash that was missing is filled in."""
     columns = documents.columns
-    first = new.groupBy("content_hash").agg(F.min_by(F.struct(*(c for c in columns if c != "content_hash")), "path").alias("n"))
+    first = new.groupBy("content_hash").agg(F.min(F.struct("path", *(c for c in columns if c != "content_hash"))).alias("n"))
     both = documents.withColumn("known", F.lit(True)).join(first, "content_hash", "full_outer")
     value = lambda c: (
         F.coalesce(F.col(c), F.col("n.body_hash")) if c == "body_hash" else F.when(F.col("known"), F.col(c)).otherwise(F.col(f"n.{c}"))

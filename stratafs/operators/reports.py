@@ -95,7 +95,7 @@ def recommendations(active: DataFrame, home: str, **media) -> DataFrame:
         F.format_string("%s (%d files, %.0f%% %s)", P.format_bytes(F.col("total_bytes")), F.col("file_count"), F.col("share") * 100, F.col("exts")).alias("reason"),
     )
     all_three = [x.withColumn("k", F.lit(k)).withColumn("action", F.lit(a)) for k, (x, a) in enumerate(((caches, "catalog"), (regenerable(active), "catalog"), (keeps, "keep")))]
-    best = all_three[0].unionByName(all_three[1]).unionByName(all_three[2]).groupBy("dir").agg(F.min_by(F.struct("action", "reason", "total_bytes", "file_count"), "k").alias("r"))
+    best = all_three[0].unionByName(all_three[1]).unionByName(all_three[2]).groupBy("dir").agg(F.min(F.struct("k", "action", "reason", "total_bytes", "file_count")).alias("r"))
     return best.select(F.col("dir").alias("path"), "r.action", "r.reason", F.col("r.total_bytes").alias("size_bytes"), "r.file_count")
 
 
@@ -121,7 +121,7 @@ def stale(active: DataFrame, target: str) -> DataFrame:
     ends = others.select(P.suffix_of_depth(F.col("path"), F.col("depth")).alias("rel"), F.col("path").alias("other"), "content_hash", "mtime")
     newest = (
         own.join(ends, "rel").where(F.col("content_hash") != F.col("own_hash")).groupBy("path", "size_bytes", "target_mtime")
-        .agg(F.min_by(F.struct(F.col("other").alias("newer_path"), F.col("mtime").alias("other_mtime")), F.struct((-F.col("mtime")).alias("m"), "other")).alias("n"))
+        .agg(F.min(F.struct((-F.col("mtime")).alias("m"), F.col("other").alias("newer_path"), F.col("mtime").alias("other_mtime"))).alias("n"))
     )
     return newest.select("path", "size_bytes", "n.newer_path", "target_mtime", "n.other_mtime").where("other_mtime > target_mtime")
 
