@@ -317,7 +317,7 @@ def test_links_lose_none(spark, distance, blocks):
             fps.append(x)
     fps = sorted(set(fps))
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    links = simhash.fingerprint_links(spark.createDataFrame([(signed(x),) for x in fps], "fp long"), distance, blocks).collect()
+    links = simhash.fingerprint_links(spark.createDataFrame([([signed(x)],) for x in fps], "fps array<long>"), distance, blocks).collect()
 
     def groups(pairs):
         root = {x: x for x in fps}

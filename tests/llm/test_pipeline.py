@@ -70,7 +70,7 @@ def test_near_duplicate_stage(stages):
 
     for a in range(len(rows)):
         for b in range(a):
-            if any((x ^ y).bit_count() <= near["distance"] for x, y in zip(fps[a], fps[b])):
+            if sum((x ^ y).bit_count() for x, y in zip(fps[a], fps[b])) <= near["distance"]:
                 root[find(a)] = find(b)
     groups = defaultdict(list)
     for i, r in enumerate(rows):
