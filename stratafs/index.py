@@ -13,7 +13,8 @@ from .functions.paths import extension_label
 from .functions.patterns import glob_to_like, search_terms
 from .operators import diff, feed, policy, predicates, reports, search
 from .sources.store import Store
-from .sources.walk import read_contents, walk
+from .sources.walk import read_contents, stat_files, walk
+from .streaming.apply import affected
 
 STALE_SECONDS = 3600
 
@@ -85,6 +86,36 @@ class Index:
         fresh.unpersist()
         return self.store.table("events").where(F.col("scan_id") == generation)
 
+    def apply(self, flushes: DataFrame, now: int) -> DataFrame:
+        """Bring the paths of debounced changes (key, kind, from_key, flush_ms) up to date and return their events.
+
+        New paths are created: only a scan sees enough to call them moved or copied.
+        """
+        touched = affected(flushes).persist()
+        rules = [policy.default_rules("/"), *([policy.parse_rules(self.user_rules, self.home)] if self.user_rules else [])]
+        open_to_index = policy.tree_tier(rules, F.col("path")) == policy.INDEXED
+        files = stat_files(touched.where("present").where(open_to_index).select("path"), self.roots).persist()
+        read = read_contents(files, self.most_bytes).join(files.select("path", "size_bytes"), "path")
+        fresh = extract.document_rows(read, self.search_bytes).persist()
+        cur = files.join(fresh.select("path", "content_hash", F.col("full_body").alias("body_hash")), "path")
+        documents, paths, log = self.store.table("documents"), self.store.table("paths"), self.store.table("events")
+        mine = paths.join(touched.select("path"), "path", "left_semi")
+        bodies = documents.select("content_hash", "body_hash")
+        prev = mine.where("disappeared is null").join(bodies, "content_hash", "left").select("path", "content_hash", "body_hash")
+        found = diff.events_of(prev, cur, resolve=False).withColumn("timestamp", F.timestamp_seconds(F.lit(now))).withColumn("scan_id", F.lit(None).cast("bigint"))
+        last = log.agg(F.max("id")).first()[0] or 0
+        events = feed.numbered(found, last, ["path", "event_type"]).select(*log.columns)
+        generation = self.store.state()["generation"] + 1
+        changed = diff.next_paths(mine, cur, generation, now).select(*paths.columns)
+        self.store.commit(
+            documents=diff.next_documents(documents, fresh.withColumn("first_seen", F.timestamp_seconds(F.lit(now))).select("path", *documents.columns)),
+            paths=paths.join(touched.select("path"), "path", "left_anti").select(*paths.columns).unionByName(changed),
+            events=log.unionByName(events),
+        )
+        for df in (touched, files, fresh):
+            df.unpersist()
+        return self.store.table("events").where(F.col("id") > last)
+
     def prune(self, before: datetime) -> int:
         """Drop events older than a time; how many went."""
         events = self.store.table("events")

@@ -118,3 +118,13 @@ def progress(requests: DataFrame, runs: DataFrame) -> DataFrame:
     r = runs.select(F.col("id").alias("scan_run_id"), F.col("started_at").alias("run_start"), F.col("finished_at").alias("run_end"), "files_seen")
     took = F.unix_millis("run_end") - F.unix_millis("run_start")
     return requests.join(r, "scan_run_id", "left").select("id", "status", "scan_run_id", "files_seen", took.alias("duration_ms"), "error")
+
+
+def alive(beats: DataFrame, now: int, within: int = 30) -> DataFrame:
+    """(name, state, age, running): the last beat of each watcher, and whether it is recent and not a stop.
+
+    beats: (name, state, at) with at in epoch seconds.
+    """
+    last = beats.groupBy("name").agg(F.max("at").alias("at"), F.max_by("state", F.struct("at", "state")).alias("state"))
+    age = F.lit(now) - F.col("at")
+    return last.select("name", "state", age.alias("age"), ((F.col("state") != "stopped") & (age <= within)).alias("running"))

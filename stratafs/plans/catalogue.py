@@ -519,6 +519,59 @@ query("st_map", "SELECT key, ms, kind FROM (SELECT path AS key, ts * 1000 AS ms,
     )
 )
 
+_CLOSED_MS = 1_800_000
+_CLOSING = "SELECT path AS key, ts * 1000 AS ms, CASE event_type WHEN 'updated' THEN 'Modify' WHEN 'created' THEN 'Create' WHEN 'deleted' THEN 'Delete' ELSE 'CloseWrite' END AS kind FROM events_v WHERE event_type <> 'moved'"
+_DUE = f"least(w.ms + CASE WHEN w.closed THEN {_CLOSED_MS} ELSE {_IDLE_MS} END, w.first_ms + {_CAP_MS})"
+_CLOSED_FLUSHES = f""", plain_v AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ms, kind) AS rn FROM ({_CLOSING}) p),
+  walk_v AS (SELECT key, rn, ms, CASE WHEN kind = 'CloseWrite' THEN 'Modify' ELSE kind END AS kind, kind = 'CloseWrite' AS closed, ms AS first_ms, 1 AS g FROM plain_v WHERE rn = 1 UNION ALL
+    SELECT n.key, n.rn, n.ms, CASE WHEN n.kind <> 'CloseWrite' THEN n.kind WHEN n.ms >= {_DUE} THEN 'Modify' ELSE w.kind END, n.kind = 'CloseWrite',
+      CASE WHEN n.ms >= {_DUE} THEN n.ms ELSE w.first_ms END, CASE WHEN n.ms >= {_DUE} THEN w.g + 1 ELSE w.g END FROM walk_v w JOIN plain_v n ON n.key = w.key AND n.rn = w.rn + 1)
+  SELECT key, kind, first_ms, {_DUE} AS flush_ms FROM (SELECT *, row_number() OVER (PARTITION BY key, g ORDER BY rn DESC) AS back FROM walk_v) w WHERE back = 1"""
+
+
+@query("st_closewrite", _CLOSED_FLUSHES)
+def st_closewrite(spark, d):
+    kinds = F.create_map(*(F.lit(x) for pair in (("updated", "Modify"), ("created", "Create"), ("deleted", "Delete"), ("minor_change", "CloseWrite")) for x in pair))
+    e = V.events(spark, d).where("event_type <> 'moved'").select(
+        F.col("path").alias("key"), (F.col("ts") * 1000).alias("ms"), F.element_at(kinds, F.col("event_type")).alias("kind"), F.lit(None).cast("string").alias("from_key")
+    )
+    return debounce.replay(e, _IDLE_MS, _CAP_MS, _CLOSED_MS).drop("from_key")
+
+
+_BEATS = "SELECT path AS name, CASE event_type WHEN 'deleted' THEN 'stopped' ELSE 'running' END AS state, ts AS beat FROM events_v"
+
+
+@query("st_heartbeat", f"""SELECT name, state, 1706659200 - beat AS age, state <> 'stopped' AND 1706659200 - beat <= 86400 AS running
+  FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY beat DESC, state DESC) AS rn FROM ({_BEATS}) b) x WHERE rn = 1""")
+def st_heartbeat(spark, d):
+    state = F.when(F.col("event_type") == "deleted", "stopped").otherwise("running")
+    return feed.alive(V.events(spark, d).select(F.col("path").alias("name"), state.alias("state"), F.col("ts").alias("at")), 1706659200, 86400)
+
+
+_FIRST_PENDING = f"(SELECT id FROM ({_REQUESTS}) q WHERE status = 'pending' ORDER BY ts, id LIMIT 1)"
+
+
+@query("q_claim", f"SELECT id, CASE WHEN id = {_FIRST_PENDING} THEN 'running' ELSE status END AS status FROM ({_REQUESTS}) q")
+def q_claim(spark, d):
+    from datetime import datetime
+
+    rows = _requests(spark, d).withColumn("started_at", F.lit(None).cast("timestamp"))
+    return feed.claim(rows, datetime(2024, 2, 1))[1].select("id", "status")
+
+
+def _finished(spark, d, error=None):
+    from datetime import datetime
+
+    rows = _requests(spark, d).where("id % 4 = 1").withColumn("completed_at", F.lit(None).cast("timestamp"))
+    first = rows.agg(F.min("id")).first()[0]
+    return feed.finish(rows, first, datetime(2024, 2, 1), run_id=7, error=error).select("id", "status", "scan_run_id", "error")
+
+
+_RUNNING = f"SELECT id, status, scan_run_id FROM ({_REQUESTS}) q WHERE id % 4 = 1"
+_FINISHED = "SELECT id, CASE WHEN id = m THEN '{0}' ELSE status END AS status, CASE WHEN id = m THEN 7 ELSE scan_run_id END AS scan_run_id, CASE WHEN id = m THEN {1} END AS error FROM (SELECT *, min(id) OVER () AS m FROM ({2}) r) x"
+query("q_complete", _FINISHED.format("complete", "CAST(NULL AS VARCHAR)", _RUNNING))(_finished)
+query("q_fail", _FINISHED.format("failed", "'disk full'", _RUNNING))(lambda s, d: _finished(s, d, "disk full"))
+
 # ---- aggregates
 
 _TIER1 = "count(*) AS files, CAST(coalesce(sum(byte_size), 0) AS BIGINT) AS bytes"

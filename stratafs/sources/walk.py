@@ -147,3 +147,24 @@ def read_contents(walked: DataFrame, most_bytes: int = 524_288_000) -> DataFrame
                 )
 
     return walked.select("path", "size_bytes").mapInArrow(run, READ)
+
+
+def stat_files(paths: DataFrame, roots: list[str]) -> DataFrame:
+    """(path, root, mtime, size_bytes, inode, dev) of the paths that are regular files below a root now; links aren't followed."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                root = next((r for r in roots if path.startswith(r.rstrip("/") + "/")), None)
+                try:
+                    s = os.lstat(path)
+                except OSError:
+                    continue
+                if root and stat.S_ISREG(s.st_mode):
+                    rows.append((path, root, int(s.st_mtime), s.st_size, s.st_ino, s.st_dev))
+            columns = list(zip(*rows)) or [()] * 6
+            kinds = (pa.string(), pa.string(), *[pa.int64()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["path", "root", "mtime", "size_bytes", "inode", "dev"])
+
+    return paths.select("path").mapInArrow(run, "path string, root string, mtime bigint, size_bytes bigint, inode bigint, dev bigint")

@@ -1,35 +1,13 @@
-"""Applying debounced changes to the index, one micro-batch at a time."""
+"""Which paths a batch of debounced changes touches."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import diff
-from ..sources.store import Store
-
 
 def affected(flushes: DataFrame) -> DataFrame:
     """(path, present): each path that a batch of flushes touches, by its latest flush; the source of a move is gone."""
     own = flushes.select(F.col("key").alias("path"), "flush_ms", (F.col("kind") != "Delete").alias("present"))
     left = flushes.where("from_key is not null").select(F.col("from_key").alias("path"), "flush_ms", F.lit(False).alias("present"))
     return own.unionByName(left).groupBy("path").agg(F.max_by("present", "flush_ms").alias("present"))
-
-
-def apply_changes(store: Store, flushes: DataFrame, current: DataFrame, generation: int, now: int) -> DataFrame:
-    """Commit a batch and return its events. current: rows of the present paths, as a snapshot has them.
-
-    Only touched paths are compared with the index; a new path is created, never moved or
-    copied, since no snapshot says what else is there.
-    """
-    touched = affected(flushes)
-    paths = store.table("paths")
-    active = paths.where("disappeared is null").join(touched.select("path"), "path", "left_semi")
-    bodies = store.table("documents").select("content_hash", "body_hash")
-    prev = active.join(bodies, "content_hash", "left").select("path", "content_hash", "body_hash")
-    cur = current.join(touched.where("present").select("path"), "path", "left_semi")
-    events = diff.events_of(prev, cur, resolve=False)
-    rest = paths.join(touched.select("path"), "path", "left_anti")
-    changed = diff.next_paths(paths.join(touched.select("path"), "path", "left_semi"), cur, generation, now)
-    store.commit(paths=rest.unionByName(changed.select(*rest.columns)))
-    return events

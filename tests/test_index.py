@@ -104,3 +104,36 @@ def test_command_line(spark, tmp_path, tree, capsys):
     for command in (["audit"], ["health"], ["triage"], ["map"], ["manifest", "--json"], ["find", "guide"], ["scan-status"], ["events-since", "0"], ["backup-audit", str(tree)], ["read", str(tree / "b.txt")], ["prune", "1d"]):
         assert cli.main([*base, *command], spark) == 0
     assert "plain line" in capsys.readouterr().out
+
+
+def test_watching_gives_what_a_scan_gives(spark, tmp_path, tree):
+    import json
+    import time
+
+    from stratafs.streaming.watch import watch
+
+    index = Index(spark, str(tmp_path / "store"), [str(tree)], home="/home/none")
+    index.scan(now=1000)
+    (tree / "b.txt").rename(tree / "renamed.txt")
+    (tree / "a.md").write_text("new words")
+    (tree / "fresh.txt").write_text("fresh")
+    (tree / ".env").write_text("SECRET=1")
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    stamp = lambda s: time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime(1_700_000_000 + s))
+    raw = [("b.txt", "rename_from", 7, 0), ("renamed.txt", "rename_to", 7, 0), ("a.md", "modify_data", None, 1), ("a.md", "close_write", None, 1), ("fresh.txt", "create_file", None, 2),
+           (".env", "create_file", None, 2), ("a.md", "access", None, 3)]
+    lines = [json.dumps({"path": str(tree / p), "raw": r, "cookie": c, "ts": stamp(s)}) for p, r, c, s in raw]
+    (landing / "1.json").write_text("\n".join(lines))
+    query = watch(index, str(landing), str(tmp_path / "ck"))
+    try:
+        query.processAllAvailable()
+        (landing / "2.json").write_text(json.dumps({"path": "/elsewhere", "raw": "modify_data", "cookie": None, "ts": stamp(5000)}))
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    log = [(r["event_type"], os.path.basename(r["path"])) for r in index.store.table("events").where("scan_id is null").collect()]
+    assert sorted(log) == [("created", "fresh.txt"), ("created", "renamed.txt"), ("deleted", "b.txt"), ("updated", "a.md")]
+    state = lambda: sorted((r["path"], r["content_hash"]) for r in index.store.table("paths").where("disappeared is null").collect())
+    followed = state()
+    assert kinds(index.scan(now=2000)) == [] and state() == followed

@@ -231,3 +231,19 @@ def test_phrases_and_ranks(spark):
     assert sorted(r["k"] for r in search.matching(docs, "k", ["a", "b"], [["red"], ["fox"]]).collect()) == ["1", "2", "3"]
     ranked = [r["k"] for r in search.bm25(docs, "k", ["a", "b"], [["blue"]]).collect()]
     assert ranked == ["4"] and search.bm25(docs, "k", ["a", "b"], []).count() == 0
+
+
+def test_cookies_in_a_stream(spark, tmp_path):
+    from stratafs.streaming.watch import paired_stream
+
+    rows = [("a", 0, "MovedFrom", 1), ("b", 10, "MovedTo", 1), ("c", 0, "MovedFrom", 2), ("d", 5, "MovedTo", 3), ("e", 0, "Modify", None), ("f", 0, "MovedFrom", 4), ("g", 5000, "MovedTo", 4), ("z", 90_000, "Modify", None)]
+    schema, base = "key string, ms long, kind string, cookie long, ts timestamp", datetime.fromtimestamp(1_700_000_000, UTC)
+    data = [(k, 1_700_000_000_000 + ms, kind, c, base + timedelta(milliseconds=ms)) for k, ms, kind, c in rows]
+    spark.createDataFrame(data, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in")).withWatermark("ts", "0 seconds")
+    q = paired_stream(stream).writeStream.outputMode("append").format("memory").queryName("paired").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    q.stop()
+    columns = ["key", "ms", "kind", "from_key"]
+    want = debounce.paired(spark.createDataFrame(data, schema)).select(*columns).collect()
+    assert sorted(map(str, spark.table("paired").select(*columns).collect())) == sorted(map(str, want))
