@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -37,13 +38,15 @@ def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what spark.checkpoint.dir names; only where that is unset, as in tests on
-    one machine, is a temporary folder taken.
+    It is what spark.checkpoint.dir names. Only where that is unset and all runs in one
+    process, as in tests, is a temporary folder taken; a cluster without it is an error.
     """
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not where:
-        where = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
+        where = sc.getCheckpointDir()
+        if not where and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         where = where or tempfile.mkdtemp(prefix="stratafs-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(where)

@@ -36,9 +36,10 @@ HOLDERS = frozenset("article aside blockquote body dialog div dl fieldset figure
 ASIDE = frozenset("aside dialog footer form menu nav".split())
 #: Names of classes, ids and roles of such holders.
 ASIDE_NAME = re.compile(
-    r"\b(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|contentinfo|cookies?|consent|disqus|footer|masthead|menu|modal|nav|navbar|navigation|"
+    r"\b(?:ad|ads|advert\w*|alert|banner|breadcrumbs?|comments?|contentinfo|cookies?|consent|dialog|disqus|footer|masthead|menu|modal|nav|navbar|navigation|"
     r"newsletter|notices?|pagination|popup|promo\w*|related|search|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)\b"
 )
+_UNSEEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none", re.I)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^'">]++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""",
@@ -58,16 +59,21 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
     holders: list[tuple[str, bool, bool]] = []
     pieces: list[str] = []
     linked = at = 0
-    in_link = False
+    in_link = spare = False
+
+    def set_aside(name: str, attributes: str) -> bool:
+        """Whether an element says by its names, or by being hidden, that it isn't main text."""
+        names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower().replace("_", " ").replace("-", " ")
+        return name not in ("html", "body", "main", "article") and bool(ASIDE_NAME.search(names) or _UNSEEN.search(attributes))
 
     def end_block():
-        nonlocal linked
+        nonlocal linked, spare
         text = " ".join("".join(pieces).split())
         if text:
             _, aside, article = holders[-1] if holders else ("", False, False)
-            found.append((text, min(1.0, linked / len(text)), aside, article))
+            found.append((text, min(1.0, linked / len(text)), aside or spare, article))
         pieces.clear()
-        linked = 0
+        linked, spare = 0, False
 
     def take(raw: str):
         nonlocal linked
@@ -101,7 +107,9 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
             pieces.append(" ")
         elif name in BLOCKS:
             end_block()
+            attributes = tag[3] or tag[6] or ""
             if name not in HOLDERS:
+                spare = not closing and set_aside(name, attributes)
                 continue
             if closing:
                 for i in range(len(holders) - 1, -1, -1):
@@ -110,9 +118,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
                         break
             else:
                 _, aside, article = holders[-1] if holders else ("", False, False)
-                names = " ".join(a or b or c for a, b, c in _NAMES.findall(tag[3] or tag[6] or "")).lower().replace("_", " ").replace("-", " ")
-                aside = aside or name in ASIDE or (name == "header" and not article)
-                aside = aside or (name not in ("body", "main", "article") and bool(ASIDE_NAME.search(names)))
+                aside = aside or name in ASIDE or (name == "header" and not article) or set_aside(name, attributes)
                 holders.append((name, aside, article or name in ("article", "main")))
     end_block()
     return found

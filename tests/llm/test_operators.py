@@ -345,7 +345,7 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>v
 <div class="cookie-notice">We use cookies on this site and you agree with that by going on reading this page.</div>
 <main><article><h1>A title &amp; more</h1><p>The first <b>part</b> of the text,<br>which is as long as it has to be to count.
 <p>Short one.</p><div class="ad">Buy now and save with the offer of the week at our shop.</div><aside>Related: <a href=/c>other</a></aside>
-<p>1 &lt; 2 &#233;&nbsp;x</p><form><input><button>Go</button> Sign up for the letter</form></article>
+<p class="promo-line">Only today</p><div hidden>unseen</div><p style="display: none">unseen</p><p>1 &lt; 2 &#233;&nbsp;x</p><form><input><button>Go</button> Sign up for the letter</form></article>
 <section id="comments"><p>I think that this is the best article that I have read in a long time, and that says a lot.</p></section></main>
 <footer>&copy; all of it</footer></body></html>"""
 
