@@ -114,4 +114,4 @@ def regenerable_reason(name: Column, manifest: Column) -> Column:
 def xdg_or_trash(path: Column, home: str) -> Column:
     """Why a directory is a cache or a trash can, or null."""
     inside = lambda top: (path == top) | path.startswith(top + "/")
-    return F.when(inside(f"{home}/.cache"), F.lit("XDG cache directory")).when(inside(f"{home}/.local/share/Trash"), F.lit("trash"))
+    return F.when(inside(f"{home}/.cache"), F.lit("XDG cache directory")).when(inside(f"{home}/.local/share/Trash"), F.lit("trash directory"))

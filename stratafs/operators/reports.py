@@ -76,13 +76,14 @@ def media_shares(active: DataFrame, least_bytes: int = MEDIA_BYTES, least_files:
 
 def regenerable(active: DataFrame) -> DataFrame:
     """(dir, reason): directories of files that can be made anew, by their name and the build files beside them."""
-    dirs = directory_stats(active).where(P.basename(F.col("dir")).isin(*P.REGENERABLE))
+    name = F.lower(P.basename(F.col("dir")))
+    dirs = directory_stats(active).where(name.isin(*P.REGENERABLE))
     order = F.array(*map(F.lit, P.MANIFESTS))
     builds = active.where(P.basename(F.col("path")).isin(*P.MANIFESTS)).groupBy(P.parent(F.col("path")).alias("beside")).agg(
         F.min(F.struct(F.array_position(order, P.basename(F.col("path"))).alias("at"), P.basename(F.col("path")).alias("name"))).alias("first")
     )
     joined = dirs.withColumn("beside", P.parent(F.col("dir"))).join(builds, "beside", "left")
-    reason = P.regenerable_reason(P.basename(F.col("dir")), F.col("first.name"))
+    reason = P.regenerable_reason(name, F.col("first.name"))
     return joined.select("dir", "total_bytes", "file_count", reason.alias("reason")).where("reason is not null")
 
 

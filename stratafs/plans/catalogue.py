@@ -744,11 +744,11 @@ _BUILD = "SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS beside, min(CASE reg
 _REASON = f"""SELECT dir, total_bytes, file_count, CASE WHEN name = '__pycache__' THEN 'python bytecode cache' WHEN first IS NULL THEN CASE WHEN name IN ('venv', '.venv') THEN 'python venv' END
     ELSE concat(CASE name WHEN 'target' THEN 'cargo build output' WHEN 'node_modules' THEN 'npm dependency cache' WHEN '.gradle' THEN 'gradle cache' WHEN '.m2' THEN 'maven cache' WHEN 'vendor' THEN 'vendored dependencies'
       WHEN 'venv' THEN 'python venv' WHEN '.venv' THEN 'python venv' ELSE 'build output' END, ' (', list_extract({list(P.MANIFESTS)}, first + 1), ' in parent)') END AS reason
-  FROM (SELECT s.dir, s.total_bytes, s.file_count, regexp_extract(s.dir, '[^/]*$') AS name, b.first FROM ({_STATS}) s LEFT JOIN ({_BUILD}) b ON b.beside = regexp_extract(s.dir, '^(.*)/[^/]*$', 1)) x WHERE name IN {P.REGENERABLE}"""
+  FROM (SELECT s.dir, s.total_bytes, s.file_count, lower(regexp_extract(s.dir, '[^/]*$')) AS name, b.first FROM ({_STATS}) s LEFT JOIN ({_BUILD}) b ON b.beside = regexp_extract(s.dir, '^(.*)/[^/]*$', 1)) x WHERE name IN {P.REGENERABLE}"""
 _REASONS = f"SELECT * FROM ({_REASON}) y WHERE reason IS NOT NULL"
 query("fn_regenerable_reason", _REASONS)(lambda s, d: reports.regenerable(V.active(s, d)))
 _HOME = "/r1/s1/l3"
-_XDG = f"SELECT dir, total_bytes, file_count, CASE WHEN dir = '{_HOME}/.cache' OR starts_with(dir, '{_HOME}/.cache/') THEN 'XDG cache directory' WHEN dir = '{_HOME}/.local/share/Trash' OR starts_with(dir, '{_HOME}/.local/share/Trash/') THEN 'trash' END AS reason FROM ({_STATS}) s"
+_XDG = f"SELECT dir, total_bytes, file_count, CASE WHEN dir = '{_HOME}/.cache' OR starts_with(dir, '{_HOME}/.cache/') THEN 'XDG cache directory' WHEN dir = '{_HOME}/.local/share/Trash' OR starts_with(dir, '{_HOME}/.local/share/Trash/') THEN 'trash directory' END AS reason FROM ({_STATS}) s"
 query("fn_xdg_trash", f"SELECT dir, reason FROM ({_XDG}) x WHERE reason IS NOT NULL")(
     lambda s, d: reports.directory_stats(V.active(s, d)).select("dir", P.xdg_or_trash(F.col("dir"), _HOME).alias("reason")).where("reason is not null")
 )
