@@ -30,9 +30,8 @@ def basename(path: Column) -> Column:
 
 
 def parent(path: Column) -> Column:
-    """The directory that holds a path; / for what lies right under it."""
-    cut = F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
-    return F.when(cut == "", F.lit("/")).otherwise(cut)
+    """The directory that holds an absolute path; / for what lies right under it."""
+    return F.regexp_replace(path, r"(?<=.)/[^/]*$|(?<=^/)[^/]*$", "")
 
 
 def extension(path: Column) -> Column:

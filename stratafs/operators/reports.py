@@ -37,22 +37,20 @@ def canonical_order(groups: DataFrame, tier: Column | None = None) -> DataFrame:
     return ordered.select("content_hash", "size_bytes", F.transform("p", lambda x: x["path"]).alias("paths"))
 
 
-def directory_pairs(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs, rest): groups of two paths in different directories, rolled up by (dir_a, dir_b) where there are at least COLLAPSE."""
+def directory_pairs(groups: DataFrame, least: int = COLLAPSE) -> tuple[DataFrame, DataFrame]:
+    """(pairs, rest): groups of two paths in different directories, rolled up by (dir_a, dir_b) where there are at least that many."""
     two = groups.where(F.size("paths") == 2).select(
         "content_hash", "size_bytes", P.parent(F.col("paths")[0]).alias("dir_a"), P.parent(F.col("paths")[1]).alias("dir_b")
     ).where("dir_a <> dir_b")
-    pairs = two.groupBy("dir_a", "dir_b").agg(F.sum("size_bytes").alias("total_bytes"), F.count(F.lit(1)).alias("n_groups")).where(F.col("n_groups") >= COLLAPSE)
+    pairs = two.groupBy("dir_a", "dir_b").agg(F.sum("size_bytes").alias("total_bytes"), F.count(F.lit(1)).alias("n_groups")).where(F.col("n_groups") >= least)
     collapsed = two.join(pairs, ["dir_a", "dir_b"], "left_semi").select("content_hash")
     return pairs, groups.join(collapsed, "content_hash", "left_anti")
 
 
 def directory_stats(active: DataFrame) -> DataFrame:
     """(dir, total_bytes, file_count, with_ext) of each directory's own files; a null size counts 0."""
-    return active.groupBy(P.parent(F.col("path")).alias("dir")).agg(
-        F.sum(F.coalesce("byte_size", F.lit(0))).alias("total_bytes"), F.count(F.lit(1)).alias("file_count"),
-        F.count(P.extension(F.col("path"))).alias("with_ext"),
-    )
+    named = active.select(P.parent(F.col("path")).alias("dir"), F.coalesce("byte_size", F.lit(0)).alias("size"), P.extension(F.col("path")).isNotNull().alias("has_ext"))
+    return named.groupBy("dir").agg(F.sum("size").alias("total_bytes"), F.count(F.lit(1)).alias("file_count"), F.count_if("has_ext").alias("with_ext"))
 
 
 def media_shares(active: DataFrame, least_bytes: int = MEDIA_BYTES, least_files: int = MEDIA_FILES, share: float = MEDIA_SHARE) -> DataFrame:

@@ -626,8 +626,8 @@ _SHARES = f"""SELECT m.dir, m.family, st.total_bytes, st.file_count, round(m.n /
   JOIN ({_STATS}) st ON st.dir = m.dir WHERE m.n / st.with_ext > 0.5 AND st.total_bytes >= 1000 AND st.file_count >= 2"""
 query("agg_media_share", _SHARES)(lambda s, d: reports.media_shares(V.active(s, d), **_MEDIA).withColumn("share", F.round("share", 9)))
 _PAIRS = f"""SELECT dir_a, dir_b, CAST(sum(size_bytes) AS BIGINT) AS total_bytes, count(*) AS n_groups FROM (
-    SELECT regexp_extract(p[1], '^(.*)/[^/]*$', 1) AS dir_a, regexp_extract(p[2], '^(.*)/[^/]*$', 1) AS dir_b, size_bytes FROM ({_DUPS}) x WHERE len(p) = 2) y WHERE dir_a <> dir_b GROUP BY dir_a, dir_b HAVING count(*) >= 3"""
-query("agg_dir_pairs", _PAIRS)(lambda s, d: reports.directory_pairs(reports.duplicates(V.active(s, d)))[0])
+    SELECT regexp_extract(p[1], '^(.*)/[^/]*$', 1) AS dir_a, regexp_extract(p[2], '^(.*)/[^/]*$', 1) AS dir_b, size_bytes FROM ({_DUPS}) x WHERE len(p) = 2) y WHERE dir_a <> dir_b GROUP BY dir_a, dir_b"""
+query("agg_dir_pairs", _PAIRS)(lambda s, d: reports.directory_pairs(reports.duplicates(V.active(s, d)), least=1)[0])
 query("agg_redundant_bytes", f"SELECT CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS redundant_bytes FROM ({_REDUNDANT}) x")(
     lambda s, d: reports.redundant(V.active(s, d), ROOT).agg(F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("redundant_bytes"))
 )
@@ -747,7 +747,7 @@ _REASON = f"""SELECT dir, total_bytes, file_count, CASE WHEN name = '__pycache__
   FROM (SELECT s.dir, s.total_bytes, s.file_count, lower(regexp_extract(s.dir, '[^/]*$')) AS name, b.first FROM ({_STATS}) s LEFT JOIN ({_BUILD}) b ON b.beside = regexp_extract(s.dir, '^(.*)/[^/]*$', 1)) x WHERE name IN {P.REGENERABLE}"""
 _REASONS = f"SELECT * FROM ({_REASON}) y WHERE reason IS NOT NULL"
 query("fn_regenerable_reason", _REASONS)(lambda s, d: reports.regenerable(V.active(s, d)))
-_HOME = "/r1/s1/l3"
+_HOME = "/r1/s3/l0"
 _XDG = f"SELECT dir, total_bytes, file_count, CASE WHEN dir = '{_HOME}/.cache' OR starts_with(dir, '{_HOME}/.cache/') THEN 'XDG cache directory' WHEN dir = '{_HOME}/.local/share/Trash' OR starts_with(dir, '{_HOME}/.local/share/Trash/') THEN 'trash directory' END AS reason FROM ({_STATS}) s"
 query("fn_xdg_trash", f"SELECT dir, reason FROM ({_XDG}) x WHERE reason IS NOT NULL")(
     lambda s, d: reports.directory_stats(V.active(s, d)).select("dir", P.xdg_or_trash(F.col("dir"), _HOME).alias("reason")).where("reason is not null")
