@@ -349,7 +349,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         _anchor_rows(held.select("d", F.col("text")), span, gram).select("d", "h", F.expr(of_anchor).alias("times")).where("times > 1")
         .groupBy("d").agg(F.collect_set(F.when(F.col("times") <= HOT, F.col("h"))).alias("cold"), F.collect_set(F.when(F.col("times") > HOT, F.col("h"))).alias("hot"))
     )
-    routed = held.join(repeated, "d").select("d", "v", "text", "cold", "hot")
+    # all columns go along, so that both joins read one exchange of the texts
+    routed = held.join(repeated, "d").select("d", "v", "text", "cold", "hot", "id", "row")
     found = _shards(_segments(routed, span, gram), span)
     per_doc = found.groupBy("d").agg(F.collect_list(F.struct("v", "start", "n")).alias("found"))
     cut = _cut(held.join(per_doc, "d", "left").select("d", "v", "text", "id", "found", "row"), span, held.schema["row"].dataType.simpleString())
