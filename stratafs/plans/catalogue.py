@@ -758,8 +758,8 @@ query("fn_tilde", "SELECT path, CASE WHEN starts_with(path, '/r1') THEN '~' || s
 query("fn_now_minus", "SELECT id FROM events_v WHERE ts < (SELECT max(ts) FROM events_v) - 86400 * 20")(
     lambda s, d: (lambda e: e.join(F.broadcast(e.agg(F.max("ts").alias("now")))).where("ts < now - 86400 * 20").select("id"))(V.events(s, d))  # one row
 )
-query("fn_glob_to_like", r"SELECT path FROM active_v WHERE path ILIKE '%doc\_1_.%' ESCAPE '\'")(
-    lambda s, d: V.active(s, d).where(predicates.like_ci(F.col("path"), glob_to_like("*doc_1?.*"))).select("path")
+query("fn_glob_to_like", r"SELECT path FROM active_v WHERE path ILIKE '%doc\_3_.%' ESCAPE '\'")(
+    lambda s, d: V.active(s, d).where(predicates.like_ci(F.col("path"), glob_to_like("*doc_3?.*"))).select("path")
 )
 
 # ---- search
