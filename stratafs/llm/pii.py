@@ -119,24 +119,26 @@ def _terms(text: Column) -> Column:
 
 
 def contexts(docs: DataFrame) -> DataFrame:
-    """(entity, near): each distinct context of each entity, and its terms.
+    """(entity, line, near): each distinct context of each entity, its line's hash, and its terms.
 
     docs: (text). A context is the words on both sides of the entity in its line. Copies
     of a line give one context. An entity is its kind and its value, in lower case or
     digits alone.
     """
     lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike("@|[0-9]"))
-    spans = lines.select("line", F.explode(base_spans(F.col("line"))).alias("s"))
+    spans = lines.select("line", F.xxhash64("line").alias("of"), F.explode(base_spans(F.col("line"))).alias("s"))
     value = F.when(F.col("s.kind") == 0, F.lower("s.value")).otherwise(F.regexp_replace("s.value", "[^0-9.]", ""))
     left = F.substring("line", F.greatest(F.lit(1), F.col("s.start") - NEAR_CHARS + 1), F.least(F.col("s.start"), F.lit(NEAR_CHARS)))
     right = F.substring("line", F.col("s.end") + 1, F.lit(NEAR_CHARS))
     entity = F.concat_ws(":", F.col("s.kind").cast("string"), value)
-    near = spans.select(entity.alias("entity"), F.col("s.start").alias("start"), left.alias("left"), right.alias("right")).distinct()
+    cut = F.col("s.start") > NEAR_CHARS
+    near = spans.select(entity.alias("entity"), "of", cut.alias("cut"), left.alias("left"), right.alias("right"))
+    near = near.groupBy("entity", "cut", "left", "right").agg(F.min("of").alias("of"))
     # a word that the cut may have split is left out on either side
-    whole_left = F.when(F.col("start") > NEAR_CHARS, F.regexp_replace("left", rf"^{TERM}", "")).otherwise(F.col("left"))
+    whole_left = F.when(F.col("cut"), F.regexp_replace("left", rf"^{TERM}", "")).otherwise(F.col("left"))
     whole_right = F.when(F.length("right") == NEAR_CHARS, F.regexp_replace("right", rf"{TERM}$", "")).otherwise(F.col("right"))
     last = lambda x: F.reverse(F.slice(F.reverse(x), 1, NEAR_WORDS))
-    return near.select("entity", F.array_distinct(F.concat(last(_terms(whole_left)), F.slice(_terms(whole_right), 1, NEAR_WORDS))).alias("near"))
+    return near.select("entity", F.col("of").alias("line"), F.array_distinct(F.concat(last(_terms(whole_left)), F.slice(_terms(whole_right), 1, NEAR_WORDS))).alias("near"))
 
 
 def revealing_terms(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -144,8 +146,13 @@ def revealing_terms(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     docs: (rid, text). A term's occurrences are counted over the whole corpus.
     """
-    pairs = contexts(docs).select("entity", F.explode("near").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n"))
-    seen = stored(pairs.where(F.col("n") >= SUPPORT).groupBy("term").agg(F.max("n").alias("n")), "near-terms")
+    near = stored(contexts(docs).select("entity", "line", F.explode("near").alias("term")), "near")
+    by_entity = near.select("entity", "line", "term").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n"))
+    supported = by_entity.where(F.col("n") >= SUPPORT).groupBy("term").agg(F.max("n").alias("n"))
+    # a term occurs in the corpus at least once for each distinct line, so common words fall out here
+    lines = near.select("term", "line").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_lines"))
+    possible = F.col("n_lines") <= F.col("n") * 2.0**GENERALISE_BITS
+    seen = stored(supported.join(lines, "term").where(possible).select("term", "n"), "near-terms")
     few = seen.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     held = lambda terms: F.broadcast(terms) if few else terms
     occurring = docs.select("rid", F.explode(_terms(F.col("text"))).alias("term")).join(held(seen.select("term")), "term")
