@@ -27,7 +27,7 @@ PATTERNS: tuple[tuple[str, str], ...] = (
 KINDS = tuple(k for k, _ in PATTERNS)
 #: Characters without which a kind can't occur, to spare most lines the pattern.
 HINT = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-_BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+_BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 IP_VALUE = rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"
 
 TERM = r"[\p{L}\p{M}\p{N}_]+"

@@ -183,6 +183,15 @@ def test_base_spans_against_brute_force(spark):
         assert [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["kind"] != "term"] == want[r["doc_id"]][0], r["doc_id"]
 
 
+def test_addresses_with_a_part_of_zero(spark):
+    texts = ["0.0.0.0", "10.0.0.1", "000.1.2.3", "192.168.0.1 and 0.256.0.0", "1.2.3.00000", "0" * 4_000 + ".0.0.255", "0.0.0.0256", "8.8.8.8 0.0.0.0.0.0.0.0"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.sanitise(docs).collect()}
+    for i, text in enumerate(texts):
+        assert [(s["kind"], s["start"], s["end"]) for s in got[i]["spans"] if s["kind"] != "term"] == brute_spans(text), text
+    assert sum(s["kind"] == "ip" for r in got.values() for s in r["spans"]) == 9 and "10.0.0.1" not in got[1]["sanitised"]
+
+
 def test_revealing_terms_are_spans_and_go(spark, empty):
     lines = [f"ticket {w} of zanzibari belongs to pat@corp.example today" for w in ("alpha", "beta", "gamma", "delta")]
     rows = [(i, f"{x}\nthe ticket of today belongs to others {'ticket of today belongs ' * 9}") for i, x in enumerate(lines)] + [(9, "Zanzibari again"), (10, "clean words")]
