@@ -2,9 +2,10 @@
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. Co-occurrence over
 the whole corpus then tells how far a term that stands near such an entity reveals it:
-P(e|t) is the share of the term's occurrences that are distinct contexts of the entity,
-and -log2 P(e|t) the bits that stay hidden from who knows the term. Terms that leave
-fewer bits than a threshold are removed or generalised wherever they occur.
+P(e|t) is the share of the term's occurrences that are near the entity, smoothed by the
+number of distinct texts that show it, and -log2 P(e|t) the bits that stay hidden from who
+knows the term. Terms that leave no more bits than a threshold are removed or generalised
+wherever they occur.
 
 All of it is made of SQL expressions, joins and aggregations.
 """
@@ -31,10 +32,11 @@ _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 IP_VALUE = rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"
 
 TERM = r"[\p{L}\p{M}\p{N}_]+"
-#: Words on each side of an entity, within its line, that are its context.
+#: Words on each side of an entity that are its context, and the code points to look at for them.
 NEAR_WORDS, NEAR_CHARS = 8, 160
-#: Distinct contexts in which a term must be seen near one entity; code points of a term.
-SUPPORT, TERM_CHARS = 3, 3
+#: Distinct texts, added to those behind an estimate, in which a term stands without the
+#: entity; code points of a term.
+SMOOTHING, TERM_CHARS = 2, 3
 #: Bits left to hide up to which a term is removed, and up to which it is generalised.
 REMOVE_BITS, GENERALISE_BITS = 1.0, 2.0
 #: Terms that are broadcast at most; more are joined by a shuffle.
@@ -119,46 +121,53 @@ def _terms(text: Column) -> Column:
 
 
 def contexts(docs: DataFrame) -> DataFrame:
-    """(entity, line, near): each distinct context of each entity, its line's hash, and its terms.
+    """(rid, copy, entity, term, n): how often each term stands near each entity in each row.
 
-    docs: (text). A context is the words on both sides of the entity in its line. Copies
-    of a line give one context. An entity is its kind and its value, in lower case or
-    digits alone.
+    docs: (rid, text). Near are the words on both sides of the entity, across the ends of
+    lines; a word near several mentions of one entity counts once. An entity is its kind
+    and its value, in lower case or digits alone; copy is one number for equal texts.
     """
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike("@|[0-9]"))
-    spans = lines.select("line", F.xxhash64("line").alias("of"), F.explode(base_spans(F.col("line"))).alias("s"))
-    value = F.when(F.col("s.kind") == 0, F.lower("s.value")).otherwise(F.regexp_replace("s.value", "[^0-9.]", ""))
-    left = F.substring("line", F.greatest(F.lit(1), F.col("s.start") - NEAR_CHARS + 1), F.least(F.col("s.start"), F.lit(NEAR_CHARS)))
-    right = F.substring("line", F.col("s.end") + 1, F.lit(NEAR_CHARS))
-    entity = F.concat_ws(":", F.col("s.kind").cast("string"), value)
-    cut = F.col("s.start") > NEAR_CHARS
-    near = spans.select(entity.alias("entity"), "of", cut.alias("cut"), left.alias("left"), right.alias("right"))
-    near = near.groupBy("entity", "cut", "left", "right").agg(F.min("of").alias("of"))
-    # a word that the cut may have split is left out on either side
-    whole_left = F.when(F.col("cut"), F.regexp_replace("left", rf"^{TERM}", "")).otherwise(F.col("left"))
-    whole_right = F.when(F.length("right") == NEAR_CHARS, F.regexp_replace("right", rf"{TERM}$", "")).otherwise(F.col("right"))
-    last = lambda x: F.reverse(F.slice(F.reverse(x), 1, NEAR_WORDS))
-    return near.select("entity", F.col("of").alias("line"), F.array_distinct(F.concat(last(_terms(whole_left)), F.slice(_terms(whole_right), 1, NEAR_WORDS))).alias("near"))
+    text = F.col("text")
+
+    def near(s: Column) -> Column:
+        value = F.when(s["kind"] == 0, F.lower(s["value"])).otherwise(F.regexp_replace(s["value"], "[^0-9.]", ""))
+        entity = F.concat_ws(":", s["kind"].cast("string"), value)
+        first = F.greatest(F.lit(0), s["start"] - NEAR_CHARS)
+        words = lambda part: F.filter(located(part, TERM), lambda m: F.length(m["value"]) >= TERM_CHARS)
+        # a word that the cut may have split is left out on either side
+        left = F.filter(words(F.substring(text, first + 1, s["start"] - first)), lambda m: (first == 0) | (m["start"] > 0))
+        right = F.filter(words(F.substring(text, s["end"] + 1, F.lit(NEAR_CHARS))), lambda m: m["start"] + F.length(m["value"]) < NEAR_CHARS)
+        # strings, as Spark tells them apart by hash and structs one by one; no part holds a space
+        shown = lambda at: lambda m: F.concat_ws(" ", entity, F.lower(m["value"]), (at + m["start"]).cast("string"))
+        last = let(left, lambda x: F.slice(x, F.greatest(F.lit(1), F.size(x) - NEAR_WORDS + 1), F.lit(NEAR_WORDS)))
+        return F.concat(F.transform(last, shown(first)), F.transform(F.slice(right, 1, NEAR_WORDS), shown(s["end"])))
+
+    rows = docs.where(text.rlike("@|[0-9]")).select("rid", F.xxhash64("text").alias("copy"), "text", base_spans(text).alias("spans")).where(F.size("spans") > 0)
+    found = rows.select("rid", "copy", F.explode(F.array_distinct(F.flatten(F.transform("spans", near)))).alias("of"))
+    part = F.split("of", " ")
+    return found.select("rid", "copy", part[0].alias("entity"), part[1].alias("term")).groupBy("rid", "copy", "entity", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def revealing_terms(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(flagged, places): terms with the action to take, and (rid, terms) of the rows that hold any.
 
-    docs: (rid, text). A term's occurrences are counted over the whole corpus.
+    docs: (rid, text). A term's occurrences, near an entity and in all, are counted over
+    the whole corpus. No pair is left out for being rare: with d distinct texts behind it,
+    P(e|t) is drawn towards 0 by d / (d + SMOOTHING).
     """
-    near = stored(contexts(docs).select("entity", "line", F.explode("near").alias("term")), "near")
-    by_entity = near.select("entity", "line", "term").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n"))
-    supported = by_entity.where(F.col("n") >= SUPPORT).groupBy("term").agg(F.max("n").alias("n"))
-    # a term occurs in the corpus at least once for each distinct line, so common words fall out here
-    lines = near.select("term", "line").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_lines"))
-    possible = F.col("n_lines") <= F.col("n") * 2.0**GENERALISE_BITS
-    seen = stored(supported.join(lines, "term").where(possible).select("term", "n"), "near-terms")
+    near = stored(contexts(docs), "near")
+    by_entity = near.groupBy("entity", "term", "copy").agg(F.sum("n").alias("n")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("texts"))
+    best = by_entity.groupBy("term").agg(F.max(F.col("n") * F.col("texts") / (F.col("texts") + SMOOTHING)).alias("n"))
+    # a term occurs in a row at least as often as near one entity, so common words fall out here
+    least = near.groupBy("rid", "term").agg(F.max("n").alias("n_row")).groupBy("term").agg(F.sum("n_row").alias("least"))
+    possible = F.col("least") <= F.col("n") * (2.0**GENERALISE_BITS + 1e-6)
+    seen = stored(best.join(least, "term").where(possible).select("term", "n"), "near-terms")
     few = seen.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     held = lambda terms: F.broadcast(terms) if few else terms
     occurring = docs.select("rid", F.explode(_terms(F.col("text"))).alias("term")).join(held(seen.select("term")), "term")
     counts = stored(occurring.groupBy("rid", "term").agg(F.count(F.lit(1)).alias("times")), "term-counts")
     totals = counts.groupBy("term").agg(F.sum("times").alias("total"))
-    bits = -F.log2(F.col("n") / F.greatest(F.col("n"), F.col("total")))
+    bits = F.round(-F.log2(F.col("n") / F.greatest(F.col("n"), F.col("total"))), 9)
     flagged = (
         seen.join(totals, "term").select("term", bits.alias("bits_left")).where(F.col("bits_left") <= GENERALISE_BITS)
         .withColumn("action", F.when(F.col("bits_left") <= REMOVE_BITS, "remove").otherwise("generalise"))

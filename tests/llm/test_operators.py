@@ -203,6 +203,20 @@ def test_revealing_terms_are_spans_and_go(spark, empty):
     assert pii.sanitise(empty).count() == 0
 
 
+def flagged_terms(spark, texts):
+    made = pii.revealing_terms(spark.createDataFrame(list(enumerate(texts)), "rid long, text string"))[0]
+    return {r["term"]: (r["action"], r["bits_left"]) for r in made.collect()}
+
+
+def test_terms_of_rare_entities_are_flagged(spark):
+    signed = "Quenby Marlowe\n\nwrite to one@corp.example"  # the name stands a line above the address
+    texts = [f"first page {signed}", f"second page {signed}", "call vorhanden at +1 (377) 555-0271", "the page has a call at a corp of an example", "write a first and a second page " * 9]
+    got = flagged_terms(spark, texts)
+    assert got["quenby"] == got["marlowe"] == ("remove", 1.0)
+    assert got["vorhanden"][0] == "generalise"
+    assert not got.keys() & {"page", "write", "first", "second"}
+
+
 # 4
 def test_byte_bpe_round_trip(docs, rows, empty):
     from stratafs.llm import bpe
