@@ -156,7 +156,7 @@ def revealing_terms(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     P(e|t) is drawn towards 0 by d / (d + SMOOTHING).
     """
     near = stored(contexts(docs), "near")
-    by_entity = near.groupBy("entity", "term", "copy").agg(F.sum("n").alias("n")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("texts"))
+    by_entity = near.groupBy("entity", "term", "copy").agg(F.sum("n").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"))
     best = by_entity.groupBy("term").agg(F.max(F.col("n") * F.col("texts") / (F.col("texts") + SMOOTHING)).alias("n"))
     # a term occurs in a row at least as often as near one entity, so common words fall out here
     least = near.groupBy("rid", "term").agg(F.max("n").alias("n_row")).groupBy("term").agg(F.sum("n_row").alias("least"))

@@ -217,6 +217,12 @@ def test_terms_of_rare_entities_are_flagged(spark):
     assert not got.keys() & {"page", "write", "first", "second"}
 
 
+def test_copies_of_all_rows_change_no_term(spark):
+    texts = [f"{w} zanzibari wrote to pat@corp.example {w} today" for w in ("alpha", "beta", "gamma")] + ["today it was zanzibari", "today " * 9]
+    once, often = flagged_terms(spark, texts), flagged_terms(spark, texts * 40)
+    assert once == often and once["zanzibari"][0] == "generalise" and "today" not in once
+
+
 # 4
 def test_byte_bpe_round_trip(docs, rows, empty):
     from stratafs.llm import bpe
