@@ -1,8 +1,9 @@
 """Main text of web pages by two-pass block rules.
 
-The first pass labels blocks by stop-word density, length, link density and the kind of
-element around them. In the second, short blocks that stayed open take the label of the
-nearest decided block before or behind them.
+The first pass labels blocks by stop-word density, length and link density; names of
+classes, ids and roles, and an article around a block, shift what it takes. In the second,
+blocks that stayed open take the label of the nearest decided block before or behind them,
+those of an article from the article's own blocks.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ STOP_WORDS = frozenset(
     al como con del el ella ellos es esta este ha hay las lo los más muy no o para pero por se ser si sin sobre su sus también una y ya""".split()
 )
 #: Elements whose content is no text of the page.
-HIDDEN = frozenset("script style noscript template svg math iframe object canvas audio video select textarea button head title".split())
+HIDDEN = frozenset("script style noscript template svg math iframe object canvas audio video select textarea button title".split())
 #: Elements that end a block where they begin and end.
 BLOCKS = frozenset(
     """address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4
@@ -34,13 +35,13 @@ BLOCKS = frozenset(
 HOLDERS = frozenset("article aside blockquote body dialog div dl fieldset figure footer form header main menu nav ol section table ul".split())
 #: Holders of what isn't main text; a header counts unless it is an article's.
 ASIDE = frozenset("aside dialog footer form menu nav".split())
-#: Names of classes, ids and roles of such holders.
+#: Names of classes, ids and roles of such holders; an id, often the slug of a title, counts as a whole.
 ASIDE_NAME = re.compile(
     r"\b(?:ad|ads|advert\w*|alert|banner|breadcrumbs?|comments?|contentinfo|cookies?|consent|dialog|disqus|footer|masthead|menu|modal|nav|navbar|navigation|"
     r"newsletter|notices?|pagination|popup|promo\w*|related|search|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)\b"
 )
 _UNSEEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none", re.I)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAMES = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^'">]++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""",
     re.S,
@@ -50,30 +51,41 @@ _WORD = re.compile(r"[^\W\d_]+")
 #: Code points from which a block is long; from which it is decided by its words; share
 #: of link text above which a block is links; share of stop words of running text.
 LONG, SHORT, LINKS, STOPS = 200, 70, 0.33, 0.2
+#: For blocks under such names, the factors of the length and of the share of stop words
+#: that running text needs; for those in an article, of the share of stop words.
+NAMED_LONG, NAMED_STOPS, ARTICLE_STOPS = 2, 1.5, 0.5
 GOOD, BAD, OPEN = 1, -1, 0
 
 
-def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
-    """(text, link density, in a holder of other things, in an article) of each block, in page order."""
-    found: list[tuple[str, float, bool, bool]] = []
-    holders: list[tuple[str, bool, bool]] = []
+def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
+    """(text, link density, in a holder of other things, in an article, under a name of other things) of each block, in page order."""
+    found: list[tuple[str, float, bool, bool, bool]] = []
+    holders: list[tuple[str, bool, bool, bool]] = []
     pieces: list[str] = []
     linked = at = 0
-    in_link = spare = False
+    in_link = hidden = spare = False
 
-    def set_aside(name: str, attributes: str) -> bool:
-        """Whether an element says by its names, or by being hidden, that it isn't main text."""
-        names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower().replace("_", " ").replace("-", " ")
-        return name not in ("html", "body", "main", "article") and bool(ASIDE_NAME.search(names) or _UNSEEN.search(attributes))
+    def named(name: str, attributes: str) -> bool:
+        """Whether an element's names say that it isn't main text."""
+        if name in ("html", "body", "main", "article"):
+            return False
+        for kind, a, b, c in _NAMES.findall(attributes):
+            value = (a or b or c).lower().strip()
+            if ASIDE_NAME.fullmatch(value) if kind.lower() == "id" else ASIDE_NAME.search(value.replace("_", " ").replace("-", " ")):
+                return True
+        return False
+
+    def unseen(name: str, attributes: str) -> bool:
+        return name not in ("html", "body", "main", "article") and bool(_UNSEEN.search(attributes))
 
     def end_block():
-        nonlocal linked, spare
+        nonlocal linked, hidden, spare
         text = " ".join("".join(pieces).split())
         if text:
-            _, aside, article = holders[-1] if holders else ("", False, False)
-            found.append((text, min(1.0, linked / len(text)), aside or spare, article))
+            _, aside, article, other = holders[-1] if holders else ("", False, False, False)
+            found.append((text, min(1.0, linked / len(text)), aside or hidden, article, other or spare))
         pieces.clear()
-        linked, spare = 0, False
+        linked, hidden, spare = 0, False, False
 
     def take(raw: str):
         nonlocal linked
@@ -98,7 +110,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
             if not (tag[3] or tag[6] or "").endswith("/"):
                 close = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = close.end() if close else len(page)
-            if name == "title" or name == "head":
+            if name == "title":
                 end_block()
             continue
         if name == "a":
@@ -109,7 +121,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
             end_block()
             attributes = tag[3] or tag[6] or ""
             if name not in HOLDERS:
-                spare = not closing and set_aside(name, attributes)
+                hidden, spare = not closing and unseen(name, attributes), not closing and named(name, attributes)
                 continue
             if closing:
                 for i in range(len(holders) - 1, -1, -1):
@@ -117,35 +129,37 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
                         del holders[i:]
                         break
             else:
-                _, aside, article = holders[-1] if holders else ("", False, False)
-                aside = aside or name in ASIDE or (name == "header" and not article) or set_aside(name, attributes)
-                holders.append((name, aside, article or name in ("article", "main")))
+                _, aside, article, other = holders[-1] if holders else ("", False, False, False)
+                aside = aside or name in ASIDE or (name == "header" and not article) or unseen(name, attributes)
+                holders.append((name, aside, article or name in ("article", "main"), other or named(name, attributes)))
     end_block()
     return found
 
 
-def first_pass(block: tuple[str, float, bool, bool]) -> int:
-    text, links, aside, article = block
+def first_pass(block: tuple[str, float, bool, bool, bool]) -> int:
+    text, links, aside, article, other = block
     if aside or links > LINKS:
         return BAD
-    if article or len(text) >= LONG:
-        return GOOD
     if len(text) < SHORT:
-        return BAD if "©" in text else OPEN
+        return BAD if other or "©" in text else OPEN
     words = [w.lower() for w in _WORD.findall(text)]
-    stops = sum(w in STOP_WORDS for w in words)
-    return GOOD if words and stops >= STOPS * len(words) else OPEN
+    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    if other:
+        return GOOD if len(text) >= NAMED_LONG * LONG and stops >= NAMED_STOPS * STOPS else BAD
+    if article:
+        return GOOD if stops >= ARTICLE_STOPS * STOPS else OPEN
+    return GOOD if len(text) >= LONG or stops >= STOPS else OPEN
 
 
-def second_pass(labels: list[int]) -> list[int]:
-    """Open labels decided by the nearest decided one; at equal distance both must be good; the page's ends are bad."""
+def second_pass(labels: list[int], ends: int = BAD) -> list[int]:
+    """Open labels decided by the nearest decided one; at equal distance both must be good; what is beyond the ends is bad unless told."""
     n = len(labels)
     before, behind = [(0, BAD)] * n, [(0, BAD)] * n
-    last = (-1, BAD)
+    last = (-1, ends)
     for i in range(n):
         last = (i, labels[i]) if labels[i] != OPEN else last
         before[i] = last
-    last = (n, BAD)
+    last = (n, ends)
     for i in range(n - 1, -1, -1):
         last = (i, labels[i]) if labels[i] != OPEN else last
         behind[i] = last
@@ -161,7 +175,12 @@ def second_pass(labels: list[int]) -> list[int]:
 def main_text(page: str | None) -> str:
     """The good blocks of a page, joined by newlines."""
     found = blocks(page or "")
-    labels = second_pass([first_pass(b) for b in found])
+    first = [first_pass(b) for b in found]
+    labels = second_pass(first)
+    # what was set aside within an article says nothing of the text beside it
+    inside = [i for i, (_, _, aside, article, other) in enumerate(found) if article and not aside and not other]
+    for i, label in zip(inside, second_pass([first[i] for i in inside], GOOD)):
+        labels[i] = label
     return "\n".join(b[0] for b, label in zip(found, labels) if label == GOOD)
 
 

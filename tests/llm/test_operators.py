@@ -390,6 +390,16 @@ def test_pages_without_an_article():
     assert html_text.second_pass([0, 0, 1, 0, 0, 0, -1, 0]) == [-1, 1, 1, 1, -1, -1, -1, -1]
 
 
+def test_names_and_articles_are_evidence_only():
+    prose = "The house by the sea was old, and it had been there for as long as anyone in the town could remember it."
+    page = f"""<head><title>t</title><body><main><h2 id="search-and-rescue">Search and rescue</h2><p>{prose}<section id=social-life><p>{prose}</section>
+<p id="related-work">{prose}</p><div class="widget"><p>{prose} {prose} {prose} {prose}</p><p>Get it now.</p></div><div id="comments"><p>{prose}</p></div>
+<p><a href=/x>More of this</a></p></main>"""
+    assert html_text.main_text(page) == "\n".join(["Search and rescue", prose, prose, prose, f"{prose} {prose} {prose} {prose}"])
+    assert html_text.main_text("<article><h1>Alone</h1><p>Zxq wvu tsr pon mlk jih gfe dcb azy xwv uts rqp onm lkj ihg fed cba zyx wvu.</p></article>").startswith("Alone\nZxq")
+    assert html_text.first_pass(("zxq wvu tsr " * 20, 0.0, False, True, False)) == html_text.OPEN
+
+
 def test_pages_with_odd_rows(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "v", PAGE), (3, "w", "<script>never closed"), (3, "w", "<p>no end <b>of it"), (4, "x", "<" * 5000), (5, "y", "<!-- open " + "a" * 50_000)]
     pages = spark.createDataFrame([(*r, 7) for r in rows], "page_id long, url string, html string, text int")
