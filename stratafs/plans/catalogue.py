@@ -703,9 +703,18 @@ query("fn_body_hash", f"SELECT id, sha256(CASE WHEN id % 5 < 2 THEN text ELSE t
 query("fn_minor_change", "SELECT p.path, (p.content_hash <> c.content_hash) AND (p.body_hash = c.body_hash) AS minor FROM prev_v p JOIN cur_v c ON c.path = p.path", V.SNAP_SQL)(
     lambda s, d: (lambda p, c: p.alias("p").join(c.alias("c"), "path").select("path", X.is_minor_change(F.col("p.content_hash"), F.col("c.content_hash"), F.col("p.body_hash"), F.col("c.body_hash")).alias("minor")))(*V.snapshots(s, d))
 )
-query("fn_is_binary", "SELECT id, id % 7 = 0 AS is_binary FROM files_v")(
-    lambda s, d: V.files(s, d).select("id", X.is_binary(F.concat(F.substring("text", 1, 100), F.when(F.col("id") % 7 == 0, F.decode(F.unhex(F.lit("00")), "UTF-8")).otherwise(F.lit("")))).alias("is_binary"))
-)
+
+
+def _zeroed(spark, d):
+    """Whole texts as bytes; a zero byte is put within the first 8192 of each seventh, and right behind them in the other texts that are as long."""
+    content = F.encode(F.col("text"), "UTF-8")
+    size, within = F.octet_length(content), F.col("id") % 7 == 0
+    at = F.when(within, F.least(size, F.lit(X.SNIFF_BYTES - 1))).when(size >= X.SNIFF_BYTES, F.lit(X.SNIFF_BYTES))
+    put = F.concat(F.substring(content, F.lit(1), at), F.unhex(F.lit("00")), F.substring(content, at + 1, size))
+    return V.files(spark, d).select("id", F.when(at.isNull(), content).otherwise(put).alias("content"), size.alias("size"))
+
+
+query("fn_is_binary", "SELECT id, id % 7 = 0 AS is_binary FROM files_v")(lambda s, d: _zeroed(s, d).select("id", X.is_binary(F.col("content")).alias("is_binary")))
 query("fn_extension", f"SELECT path, ext FROM {EXTS} x")(lambda s, d: V.active(s, d).select("path", P.extension(F.col("path")).alias("ext")))
 query("fn_mime", f"SELECT path, {_MIME_CASE} AS mime FROM {EXTS} x")(lambda s, d: V.active(s, d).select("path", P.mime(F.col("path")).alias("mime")))
 _MD = "concat('intro line', chr(10), '# Title ', id, chr(10), chr(10), 'First  part ', chr(10), 'of ', left(text, 60), chr(10), chr(10), '## Sub', chr(10), '#no heading', chr(10), '####### seven', chr(10), '## sub')"

@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from stratafs.operators import feed
 from stratafs.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +48,17 @@ def test_entry_points(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_binary_texts_are_whole_and_zero_on_both_sides(spark):
+    rows = catalogue._zeroed(spark, SF).collect()
+    at = {(r["id"] % 7 == 0, bytes(r["content"]).find(0)) for r in rows}
+    assert {(True, 8191), (False, 8192), (False, -1)} <= at and all(0 <= i < 8192 for within, i in at if within)
+    assert all(len(r["content"]) == r["size"] + (0 in r["content"]) for r in rows) and max(r["size"] for r in rows) > 8192
+
+
+def test_poll_of_one_request(spark):
+    requests = spark.createDataFrame([(7, "complete", 3, None), (8, "pending", None, None)], "id long, status string, scan_run_id long, error string")
+    runs = spark.sql("select 3L id, timestamp_seconds(10) started_at, timestamp_seconds(12) finished_at, 5L files_seen")
+    polled = lambda i: [tuple(r) for r in feed.progress(requests.where(f"id = {i}"), runs).collect()]
+    assert polled(7) == [(7, "complete", 3, 5, 2000, None)] and polled(8) == [(8, "pending", None, None, None, None)] and polled(9) == []
