@@ -8,6 +8,7 @@ declared type; valid media that begin further in are carved out.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable
@@ -33,6 +34,8 @@ MAGIC = (
     (b"OggS", "audio/ogg"),
     (b"fLaC", "audio/flac"),
 )
+#: A PDF's version, its ends, and what a cross-reference begins with.
+_PDF_VERSION, _PDF_END, _PDF_XREF = re.compile(rb"\d\.\d"), re.compile(rb"startxref\s+(\d{1,12})\s+%%EOF"), re.compile(rb"xref\b|\d{1,10}\s+\d{1,5}\s+obj\b")
 
 
 def _png(b: bytes, at: int) -> int:
@@ -106,9 +109,28 @@ def _wav(b: bytes, at: int) -> int:
     return end - at if b"fmt " in kinds and b"data" in kinds else 0
 
 
+def _webp(b: bytes, at: int) -> int:
+    if at + 20 > len(b) or b[at + 12 : at + 16] not in (b"VP8 ", b"VP8L", b"VP8X"):
+        return 0
+    end, pos = at + 8 + struct.unpack("<I", b[at + 4 : at + 8])[0], at + 12
+    if end > len(b):
+        return 0
+    while pos + 8 <= end:
+        pos += 8 + (size := struct.unpack("<I", b[pos + 4 : pos + 8])[0]) + (size & 1)
+    return end - at if pos == end else 0
+
+
 def _pdf(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and b[at + 5 : at + 6].isdigit() else 0
+    """Up to the last end whose startxref leads to a real xref behind the end before it, as in files saved anew; else to the first end."""
+    if not _PDF_VERSION.match(b, at + 5):
+        return 0
+    end = 0
+    for m in _PDF_END.finditer(b, at):
+        xref = at + int(m[1])
+        if max(end, at) <= xref < m.start() and _PDF_XREF.match(b, xref):
+            end = m.end()
+    end = end or b.find(b"%%EOF", at) + 5
+    return max(0, end - at) if end >= 5 else 0
 
 
 def _zip(b: bytes, at: int) -> int:
@@ -139,7 +161,7 @@ def _flac(b: bytes, at: int) -> int:
 #: For each announced type: the type it is if valid, and the length of the valid value or 0.
 VALIDATE: dict[str, tuple[str, Callable[[bytes, int], int]]] = {
     "image/png": ("image/png", _png), "image/jpeg": ("image/jpeg", _jpeg), "image/gif": ("image/gif", _gif),
-    "image/bmp": ("image/bmp", _bmp), "riff": ("audio/wav", _wav), "application/pdf": ("application/pdf", _pdf),
+    "image/bmp": ("image/bmp", _bmp), "riff": ("audio/wav", _wav), "webp": ("image/webp", _webp), "application/pdf": ("application/pdf", _pdf),
     "application/zip": ("application/zip", _zip), "audio/ogg": ("audio/ogg", _ogg), "audio/flac": ("audio/flac", _flac),
 }
 
@@ -162,7 +184,7 @@ def sniff(data: bytes) -> list[tuple[str, int, int]]:
         at = last + 1 - size
         if at < free:
             continue
-        kind, valid = VALIDATE[announced]
+        kind, valid = VALIDATE["webp" if announced == "riff" and data[at + 8 : at + 12] == b"WEBP" else announced]
         if length := valid(data, at):
             found.append((kind, at, length))
             free = at + length

@@ -440,6 +440,21 @@ def test_sniffing_corrects_and_carves(spark):
     assert [(c["type"], c["offset"], bytes(c["data"])) for c in got[10]["carved"]] == [("image/png", 2, png()), ("image/gif", 4 + len(png()), gif)]
 
 
+def test_pdf_ends_and_webp():
+    def section(before, start):
+        body = before + b"1 0 obj\n<<>>\nendobj\n"
+        return body + b"xref\n0 1\ntrailer\n<<>>\nstartxref\n" + str(len(body) - start).encode() + b"\n%%EOF"
+
+    once = section(b"%PDF-1.7\n", 0)
+    saved = section(once + b"\n", 0)
+    linear = section(b"%PDF-1.4\nxref\n0 1\ntrailer\n<<>>\nstartxref\n0\n%%EOF\n", 0)
+    for pdf in (once, saved, linear):
+        assert media.sniff(b"ab" + pdf + b"\n" + pdf + b"\nrest") == [("application/pdf", 2, len(pdf)), ("application/pdf", 3 + len(pdf), len(pdf))]
+    assert media.sniff(b"%PDF-1x %%EOF") == [] and media.sniff(b"%PDF-1.7 cut") == []
+    webp = b"RIFF" + (4 + 8 + 6).to_bytes(4, "little") + b"WEBPVP8L" + (5).to_bytes(4, "little") + b"\x2fabcd\0"
+    assert media.sniff(webp) == [("image/webp", 0, len(webp))] and media.sniff(webp[:-1]) == []
+
+
 # 9
 def brute_quality(text):
     t = text or ""
