@@ -32,38 +32,47 @@ _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 IP_VALUE = rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"
 
 TERM = r"[\p{L}\p{M}\p{N}_]+"
-#: Words on each side of an entity that are its context, and the code points to look at for them.
-NEAR_WORDS, NEAR_CHARS = 8, 160
-#: Distinct texts, added to those behind an estimate, in which a term stands without the
-#: entity; code points of a term.
-SMOOTHING, TERM_CHARS = 2, 3
+#: Words on each side of an entity that are its context.
+NEAR_WORDS = 8
+#: Code points on a side of an entity that are searched for them first; where they hold too
+#: few words WIDER times as many are searched, and so on, the last time all there are.
+NEAR_CHARS, WIDER, TIMES = 160, 32, 3
+#: Distinct texts, added to those behind an estimate, in which a term stands without the entity.
+SMOOTHING = 2
 #: Bits left to hide up to which a term is removed, and up to which it is generalised.
 REMOVE_BITS, GENERALISE_BITS = 1.0, 2.0
-#: Terms that are broadcast at most; more are joined by a shuffle.
+#: Flagged terms that are broadcast at most; more are joined by a shuffle.
 BROADCAST_TERMS = 50_000
 #: The order of fields is that in which spans are sorted.
 _SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
 
-def prefix_sums(lengths: Column) -> Column:
-    """For each element, the sum of those before it; in blocks, so that long arrays stay cheap."""
-    block = 256
+def before_each(values: Column, merge, kind: str = "int") -> Column:
+    """For each number, the merge (a sum or a maximum) of 0 and those before it; in blocks, so that long arrays stay cheap."""
+    block, zero = 128, F.lit(0).cast(kind)
 
-    def running(x: Column) -> Column:
+    def running(x: Column, first: Column) -> Column:
         return F.aggregate(
-            x, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-            lambda got, n: F.struct((got["at"] + n).alias("at"), F.array_append(got["out"], got["at"]).alias("out")), lambda got: got["out"],
+            x, F.struct(first.alias("at"), F.array().cast(f"array<{kind}>").alias("out")),
+            lambda got, n: F.struct(merge(got["at"], n).alias("at"), F.array_append(got["out"], got["at"]).alias("out")), lambda got: got["out"],
         )
 
-    total = lambda x: F.aggregate(x, F.lit(0), lambda a, b: a + b)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / block).cast("int")), lambda b: total(F.slice(lengths, b * block + 1, F.lit(block))))
-    of = lambda i: F.floor(i / block).cast("int")
+    last = F.greatest(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int"))
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(values, b * block + 1, F.lit(block)))
     return let(
-        running(blocks),
-        lambda base: F.transform(lengths, lambda n, i: F.get(base, of(i)) + total(F.slice(lengths, of(i) * block + 1, i - of(i) * block))),
+        blocks,
+        lambda x: let(
+            running(F.transform(x, lambda of: F.aggregate(of, zero, merge)), zero),
+            lambda base: F.flatten(F.transform(x, lambda of, i: running(of, F.get(base, i)))),
+        ),
     )
 
 
+def prefix_sums(lengths: Column, kind: str = "int") -> Column:
+    """For each element, the sum of those before it."""
+    return before_each(lengths, lambda a, b: a + b, kind)
+
+
 def located(text: Column, pattern: str) -> Column:
     """(value, start) of each match of a pattern, leftmost and without overlaps, in code points."""
     def at(matches: Column) -> Column:
@@ -117,7 +126,7 @@ def base_spans(text: Column) -> Column:
 
 
 def _terms(text: Column) -> Column:
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)), lambda t: F.length(t) >= TERM_CHARS)
+    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
 def contexts(docs: DataFrame) -> DataFrame:
@@ -128,19 +137,36 @@ def contexts(docs: DataFrame) -> DataFrame:
     and its value, in lower case or digits alone; copy is one number for equal texts.
     """
     text = F.col("text")
+    size = F.length(text)
+
+    # several searches side by side, of which the first that holds enough words is taken
+    def left(start: Column) -> Column:
+        """The last words before an entity, as (value, start)."""
+
+        def within(first: Column) -> Column:
+            # a word that the cut may have split is left out
+            whole = F.filter(located(F.substring(text, first + 1, start - first), TERM), lambda m: (first == 0) | (m["start"] > 0))
+            last = lambda w: F.slice(w, F.greatest(F.lit(1), F.size(w) - NEAR_WORDS + 1), F.lit(NEAR_WORDS))
+            placed = lambda m: F.struct(m["value"].alias("value"), (first + m["start"]).alias("start"))
+            return let(whole, lambda w: F.when((F.size(w) >= NEAR_WORDS) | (first == 0), F.transform(last(w), placed)))
+
+        return F.coalesce(*(within(F.greatest(F.lit(0), start - NEAR_CHARS * WIDER**k)) for k in range(TIMES)), within(F.lit(0)))
+
+    def right(end: Column) -> Column:
+        """The first words behind an entity, as (value, start)."""
+
+        def within(n: Column) -> Column:
+            whole = F.filter(located(F.substring(text, end + 1, n), TERM), lambda m: (end + n >= size) | (m["start"] + F.length(m["value"]) < n))
+            placed = lambda m: F.struct(m["value"].alias("value"), (end + m["start"]).alias("start"))
+            return let(whole, lambda w: F.when((F.size(w) >= NEAR_WORDS) | (end + n >= size), F.transform(F.slice(w, 1, NEAR_WORDS), placed)))
+
+        return F.coalesce(*(within(F.lit(NEAR_CHARS * WIDER**k)) for k in range(TIMES)), within(size))
 
     def near(s: Column) -> Column:
         value = F.when(s["kind"] == 0, F.lower(s["value"])).otherwise(F.regexp_replace(s["value"], "[^0-9.]", ""))
         entity = F.concat_ws(":", s["kind"].cast("string"), value)
-        first = F.greatest(F.lit(0), s["start"] - NEAR_CHARS)
-        words = lambda part: F.filter(located(part, TERM), lambda m: F.length(m["value"]) >= TERM_CHARS)
-        # a word that the cut may have split is left out on either side
-        left = F.filter(words(F.substring(text, first + 1, s["start"] - first)), lambda m: (first == 0) | (m["start"] > 0))
-        right = F.filter(words(F.substring(text, s["end"] + 1, F.lit(NEAR_CHARS))), lambda m: m["start"] + F.length(m["value"]) < NEAR_CHARS)
         # strings, as Spark tells them apart by hash and structs one by one; no part holds a space
-        shown = lambda at: lambda m: F.concat_ws(" ", entity, F.lower(m["value"]), (at + m["start"]).cast("string"))
-        last = let(left, lambda x: F.slice(x, F.greatest(F.lit(1), F.size(x) - NEAR_WORDS + 1), F.lit(NEAR_WORDS)))
-        return F.concat(F.transform(last, shown(first)), F.transform(F.slice(right, 1, NEAR_WORDS), shown(s["end"])))
+        return F.transform(F.concat(left(s["start"]), right(s["end"])), lambda m: F.concat_ws(" ", entity, F.lower(m["value"]), m["start"].cast("string")))
 
     rows = docs.where(text.rlike("@|[0-9]")).select("rid", F.xxhash64("text").alias("copy"), "text", base_spans(text).alias("spans")).where(F.size("spans") > 0)
     found = rows.select("rid", "copy", F.explode(F.array_distinct(F.flatten(F.transform("spans", near)))).alias("of"))
@@ -153,27 +179,23 @@ def revealing_terms(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     docs: (rid, text). A term's occurrences, near an entity and in all, are counted over
     the whole corpus. No pair is left out for being rare: with d distinct texts behind it,
-    P(e|t) is drawn towards 0 by d / (d + SMOOTHING).
+    P(e|t) is drawn towards 0 by d / (d + SMOOTHING). Words are counted in the tasks that
+    read them, so that a word travels once a task and not once an occurrence.
     """
     near = stored(contexts(docs), "near")
     by_entity = near.groupBy("entity", "term", "copy").agg(F.sum("n").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"))
     best = by_entity.groupBy("term").agg(F.max(F.col("n") * F.col("texts") / (F.col("texts") + SMOOTHING)).alias("n"))
-    # a term occurs in a row at least as often as near one entity, so common words fall out here
-    least = near.groupBy("rid", "term").agg(F.max("n").alias("n_row")).groupBy("term").agg(F.sum("n_row").alias("least"))
-    possible = F.col("least") <= F.col("n") * (2.0**GENERALISE_BITS + 1e-6)
-    seen = stored(best.join(least, "term").where(possible).select("term", "n"), "near-terms")
-    few = seen.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    held = lambda terms: F.broadcast(terms) if few else terms
-    occurring = docs.select("rid", F.explode(_terms(F.col("text"))).alias("term")).join(held(seen.select("term")), "term")
-    counts = stored(occurring.groupBy("rid", "term").agg(F.count(F.lit(1)).alias("times")), "term-counts")
-    totals = counts.groupBy("term").agg(F.sum("times").alias("total"))
+    totals = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("total"))
     bits = F.round(-F.log2(F.col("n") / F.greatest(F.col("n"), F.col("total"))), 9)
-    flagged = (
-        seen.join(totals, "term").select("term", bits.alias("bits_left")).where(F.col("bits_left") <= GENERALISE_BITS)
-        .withColumn("action", F.when(F.col("bits_left") <= REMOVE_BITS, "remove").otherwise("generalise"))
+    flagged = stored(
+        best.join(totals, "term").select("term", bits.alias("bits_left")).where(F.col("bits_left") <= GENERALISE_BITS)
+        .withColumn("action", F.when(F.col("bits_left") <= REMOVE_BITS, "remove").otherwise("generalise")),
+        "terms",
     )
-    places = counts.join(held(flagged.select("term", "action")), "term").groupBy("rid").agg(F.collect_list(F.struct("term", "action")).alias("terms"))
-    return flagged, places
+    few = flagged.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    terms = flagged.select("term", "action")
+    rows = docs.select("rid", F.explode(_terms(F.col("text"))).alias("term")).join(F.broadcast(terms) if few else terms, "term").distinct()
+    return flagged, rows.groupBy("rid").agg(F.collect_list(F.struct("term", "action")).alias("terms"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -184,8 +206,12 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     [PHONE], terms to generalise as [TERM] or [NUMBER], and terms to remove left out;
     where spans overlap, the first one's mark stands for all.
 
-    Null and empty texts have no spans; a null id stays null; equal rows each give a row
-    and count as occurrences each; an empty table gives an empty result.
+    A term is a run of letters, marks, digits and underscores of any length. Near an
+    entity are NEAR_WORDS terms on each side, however far they are. Spans of one start are
+    ordered by kind; of entities that a term reveals alike no choice is made, as the bits
+    alone decide. Null and empty texts have no spans; very long ones are searched whole; a
+    null id stays null; equal rows each give a row and count as occurrences each; other
+    columns never meet those made here; an empty table gives an empty result.
     """
     kept = [F.struct(*(F.col(c) for c in keep)).alias("row")] if keep else []
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -199,13 +225,20 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     )
 
     def term_spans(terms: Column) -> Column:
-        of = lambda v: F.get(F.filter(terms, lambda t: t["term"] == F.lower(v)), 0)["action"]
-        spans = F.transform(
-            located(F.col("text"), TERM),
-            lambda m: F.struct(m["start"].alias("start"), F.lit(len(KINDS)).alias("order"), (m["start"] + F.length(m["value"])).cast("int").alias("end"),
-                               F.lit("term").alias("kind"), m["value"].alias("value"), of(m["value"]).alias("action")),
-        )
-        return F.filter(spans, lambda s: s["action"].isNotNull())
+        n = F.ceil(F.sqrt(F.size(terms))).cast("int")
+        bucket = lambda t: F.pmod(F.hash(t), n)
+        table = F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.filter(terms, lambda t: bucket(t["term"]) == b))
+
+        def spans(of: Column) -> Column:
+            action = lambda v: F.get(F.filter(F.get(of, bucket(v)), lambda t: t["term"] == v), 0)["action"]
+            found = F.transform(
+                located(F.col("text"), TERM),
+                lambda m: F.struct(m["start"].alias("start"), F.lit(len(KINDS)).alias("order"), (m["start"] + F.length(m["value"])).cast("int").alias("end"),
+                                   F.lit("term").alias("kind"), m["value"].alias("value"), action(F.lower(m["value"])).alias("action")),
+            )
+            return F.filter(found, lambda s: s["action"].isNotNull())
+
+        return let(table, spans)
 
     shape = "array<struct<start:int,order:int,end:int,kind:string,value:string,action:string>>"
     terms = F.when(F.col("terms").isNotNull(), term_spans(F.col("terms")).cast(shape)).otherwise(F.array().cast(shape))
@@ -221,32 +254,21 @@ def redacted(text: Column, spans: Column) -> Column:
         .when(s["value"].rlike("^[0-9]+$"), F.lit("[NUMBER]"))
         .otherwise(F.lit("[TERM]"))
     )
-    merged = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<from:int,to:int,mark:string>>").alias("out")),
-        lambda got, s: F.when(s["end"] <= got["at"], got).otherwise(
-            F.struct(
-                s["end"].alias("at"),
-                F.array_append(
-                    got["out"],
-                    F.struct(F.greatest(s["start"], got["at"]).alias("from"), s["end"].alias("to"), F.when(s["start"] >= got["at"], mark(s)).otherwise(F.lit("")).alias("mark")),
-                ).alias("out"),
-            )
-        ),
-        lambda got: got["out"],
-    )
 
-    def built(m: Column) -> Column:
-        pieces = F.transform(
-            m,
-            lambda s, i: let(
-                F.when(i == 0, F.lit(0)).otherwise(F.get(m, i - 1)["to"]),
-                lambda at: F.concat(F.substring(text, at + 1, s["from"] - at), s["mark"]),
-            ),
-        )
-        return F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(m, -1)["to"] + 1, F.length(text)))
+    def built(covered: Column) -> Column:
+        """covered: for each span, up to where the spans before it reach."""
+        pieces = F.zip_with(
+            spans, covered,
+            lambda s, at: F.when(
+                s["end"] > at,
+                F.concat(F.substring(text, at + 1, F.greatest(F.lit(0), s["start"] - at)), F.when(s["start"] >= at, mark(s)).otherwise(F.lit(""))),
+            ).otherwise(F.lit("")),
+        )
+        end = F.greatest(F.element_at(covered, -1), F.element_at(spans, -1)["end"])
+        return F.concat(F.array_join(pieces, ""), F.substring(text, end + 1, F.length(text)))
 
-    return F.when(F.size(spans) == 0, text).otherwise(let(merged, built))
+    ends = F.transform(spans, lambda s: s["end"])
+    return F.when(F.size(spans) == 0, text).otherwise(let(before_each(ends, lambda a, b: F.greatest(a, b)), built))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,3 +286,52 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(shown(F.filter("spans", lambda s: s["kind"] != "term")).cast("binary"), 256).alias("base_sha256"),
         shown(F.col("spans")).alias("spans"),
     )
+
+
+#: DuckDB SQL for op3_pii, term spans included.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+kinds(k, kind, p) AS (VALUES
+  (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'), (1, 'ip', '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'),
+  (2, 'card', '[0-9]([ -]?[0-9])+'), (3, 'phone', '\+[0-9][ ().0-9-]+[0-9]')),
+found AS (SELECT doc_id, t, k, kind, regexp_extract_all(t, p) AS vs, string_split_regex(t, p) AS gaps FROM d, kinds),
+placed AS (
+  SELECT doc_id, t, k, kind, vs[i] AS v, (list_sum([len(x) for x in gaps[1:i]]) + coalesce(list_sum([len(x) for x in vs[1:i - 1]]), 0))::BIGINT AS s
+  FROM (SELECT *, unnest(generate_series(1, len(vs))) AS i FROM found WHERE len(vs) > 0)),
+digits AS (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS g FROM placed),
+base AS (
+  SELECT doc_id, t, k, kind, v, s, s + len(v) AS e FROM digits WHERE CASE kind
+    WHEN 'email' THEN true
+    WHEN 'ip' THEN list_bool_and([ltrim(x, '0') = '' OR (len(ltrim(x, '0')) <= 3 AND ltrim(x, '0')::INT <= 255) for x in string_split(v, '.')])
+    WHEN 'phone' THEN len(g) BETWEEN 9 AND 15
+    ELSE len(g) BETWEEN 12 AND 19 AND list_sum([
+      CASE WHEN j % 2 = 0 THEN substr(g, len(g) - j, 1)::INT WHEN substr(g, len(g) - j, 1)::INT > 4 THEN 2 * substr(g, len(g) - j, 1)::INT - 9
+      ELSE 2 * substr(g, len(g) - j, 1)::INT END for j in generate_series(0, len(g) - 1)]) % 10 = 0 END),
+sides AS (
+  SELECT doc_id, t, concat(k, ':', CASE WHEN k = 0 THEN lower(v) ELSE regexp_replace(v, '[^0-9.]', '', 'g') END) AS entity, s, e, left(t, s) AS a, substr(t, e + 1) AS b FROM base),
+words AS (
+  SELECT doc_id, t, entity, 0 AS off, regexp_extract_all(a, '[\p{L}\p{M}\p{N}_]+') AS ws, string_split_regex(a, '[\p{L}\p{M}\p{N}_]+') AS gaps, true AS before FROM sides
+  UNION ALL SELECT doc_id, t, entity, e, regexp_extract_all(b, '[\p{L}\p{M}\p{N}_]+'), string_split_regex(b, '[\p{L}\p{M}\p{N}_]+'), false FROM sides),
+near AS (
+  SELECT DISTINCT doc_id, t, entity, lower(ws[i]) AS term, off + list_sum([len(x) for x in gaps[1:i]]) + coalesce(list_sum([len(x) for x in ws[1:i - 1]]), 0) AS p
+  FROM (SELECT *, unnest(generate_series(CASE WHEN before THEN greatest(1, len(ws) - 7) ELSE 1 END, CASE WHEN before THEN len(ws) ELSE least(8, len(ws)) END)) AS i
+        FROM words WHERE len(ws) > 0)),
+pairs AS (SELECT entity, term, count(*) AS n, count(DISTINCT t) AS texts FROM near GROUP BY entity, term),
+best AS (SELECT term, max(n * texts / (texts + 2)) AS n FROM pairs GROUP BY term),
+totals AS (SELECT term, count(*) AS total FROM (SELECT unnest(regexp_extract_all(lower(t), '[\p{L}\p{M}\p{N}_]+')) AS term FROM d) GROUP BY term),
+flagged AS (SELECT term FROM best JOIN totals USING (term) WHERE round(-log2(n / greatest(n, total)), 9) <= 2.0),
+every AS (SELECT doc_id, regexp_extract_all(t, '[\p{L}\p{M}\p{N}_]+') AS ws, string_split_regex(t, '[\p{L}\p{M}\p{N}_]+') AS gaps FROM d),
+hits AS (
+  SELECT doc_id, ws, gaps, i FROM (SELECT *, unnest(generate_series(1, len(ws))) AS i FROM every WHERE len(ws) > 0) WHERE lower(ws[i]) IN (SELECT term FROM flagged)),
+spans AS (
+  SELECT doc_id, kind, k, s, e FROM base
+  UNION ALL SELECT doc_id, 'term', 4, s, s + n FROM (
+    SELECT doc_id, (list_sum([len(x) for x in gaps[1:i]]) + coalesce(list_sum([len(x) for x in ws[1:i - 1]]), 0))::BIGINT AS s, len(ws[i]) AS n FROM hits)),
+shown AS (
+  SELECT doc_id, string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY s, k) AS spans, string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY s, k) FILTER (WHERE k < 4) AS base,
+    count(*) FILTER (WHERE k = 0) AS n_email, count(*) FILTER (WHERE k = 1) AS n_ip, count(*) FILTER (WHERE k = 2) AS n_card, count(*) FILTER (WHERE k = 3) AS n_phone
+  FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip, coalesce(n_card, 0)::BIGINT AS n_card, coalesce(n_phone, 0)::BIGINT AS n_phone,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN shown USING (doc_id)
+"""

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_chat": chat.op10_chat,
 }
 
-ORACLE_SQL = {"op2_substrings": substrings.ORACLE, "op9_quality": quality.ORACLE, "op10_chat": chat.ORACLE}
+ORACLE_SQL = {"op2_substrings": substrings.ORACLE, "op3_pii": pii.ORACLE, "op9_quality": quality.ORACLE, "op10_chat": chat.ORACLE}
