@@ -2,24 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
 
+#: Keys that split_join() broadcasts at most.
+BROADCAST_KEYS = 400_000
 
-def _large_star(links: DataFrame) -> DataFrame:
+
+def split_join(rows: DataFrame, looked_up: DataFrame, key: str, n_rows: int) -> DataFrame:
+    """rows joined with looked_up, which has each key once, and `n`: how many rows have it.
+
+    A key of more than 1,000 rows, or of so many that no more than BROADCAST_KEYS keys
+    have them, is joined where its rows are, so that no task gathers them; the others
+    meet in a shuffle.
+    """
+    limit = max(1000, n_rows // BROADCAST_KEYS)
+    hubs = looked_up.where(F.col("n") > limit).drop("n").withColumn("hub", F.lit(True))
+    met = rows.join(F.broadcast(hubs), key, "left")
+    rest = met.where("hub is null").select(*rows.columns).join(looked_up.where(F.col("n") <= limit).drop("n"), key)
+    return met.where("hub").drop("hub").unionByName(rest)
+
+
+def _least(of: Column) -> list[Column]:
+    return [of.alias("m"), F.count(F.lit(1)).alias("n")]
+
+
+def _large_star(links: DataFrame, n: int) -> DataFrame:
     """Links each larger neighbour of a node to the least of the node and its neighbours."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = both.groupBy("a").agg(*_least(F.least(F.min("b"), F.col("a"))))
+    return split_join(both.where("b > a"), least, "a", 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, n: int) -> DataFrame:
     """Links a node and its smaller neighbours to the least of them; a is the larger end."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
-    joined = links.join(least, "a")
-    moved = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = links.groupBy("a").agg(*_least(F.min("b")))
+    moved = split_join(links, least, "a", n).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -38,10 +58,18 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     links = checkpointed(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(links)
     for _ in range(rounds):
-        links = checkpointed(_small_star(_large_star(links)))
+        links = checkpointed(_large_star(links, state[0]))
+        links = checkpointed(_small_star(links, state[0]))
         if state == (state := _state(links)):
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def least_of_component(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component_id) of each member (node, least): the least of all its component's members, nulls last."""
+    placed = checkpointed(members.join(components(links), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
+    of_root = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    return split_join(placed.select("root", "node"), of_root, "root", placed.count()).select("node", "component_id")

@@ -8,9 +8,8 @@ every anchor within covering radius plus threshold of its block. The home anchor
 of two linked fingerprints is then always among the anchors of the other, so comparing
 per anchor loses no link.
 
-A fingerprint has 64 bits for each seed. Only distinct ones are compared. At an anchor,
-links are reduced to a forest that connects the same fingerprints, so a large group emits
-no pairs.
+Only distinct fingerprints are compared. At an anchor, links are reduced to a forest that
+connects the same fingerprints, so a large group emits no pairs.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, stored
-from .components import components
+from .components import least_of_component, split_join
 
 SEED, SHINGLE, DISTANCE, BLOCKS = 42, 3, 3, 2
 #: Fingerprints that are walked at once; more are first divided without loss.
@@ -53,25 +52,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def nodes_of(fps: np.ndarray) -> np.ndarray:
-    """A long for each row of 64-bit parts: the part itself, or a hash of several."""
-    node = fps[:, 0].copy()
-    for k in range(1, fps.shape[1]):
-        node = (node ^ node >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9) + fps[:, k]
-    return node.view(np.int64)
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
-    """(id, node, fps): each row's fingerprint, 64 bits a seed as signed longs, and the number that stands for it."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """(id, fp): each row's fingerprint as a signed long."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            fps = np.array([[fingerprint(x, shingle, s) for s in seeds] for x in batch.column(1).to_pylist()], np.uint64).reshape(-1, len(seeds))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, fps.size + 1, len(seeds)), pa.int32()), pa.array(fps.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes_of(fps)), lists], ["id", "node", "fps"])
+            fps = np.array([fingerprint(x, shingle) for x in batch.column(1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, node long, fps array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
 
 
 @lru_cache(maxsize=8)
@@ -105,40 +95,37 @@ def near_anchors(block: np.ndarray, width: int, threshold: int) -> tuple[np.ndar
     return np.concatenate(index), np.concatenate(anchor), np.concatenate(home)
 
 
-def _covered(distinct: DataFrame, parts: int, blocks: int, threshold: int) -> DataFrame:
-    """(anchor, home, f0, f1, ...): each distinct fingerprint at each of its anchors."""
-    width = 64 * parts // blocks
-    names = [f"f{k}" for k in range(parts)]
+def _covered(distinct: DataFrame, blocks: int, threshold: int) -> DataFrame:
+    """(anchor, home, fp): each distinct fingerprint at each of its anchors."""
+    width = 64 // blocks
 
     def run(batches):
         for batch in batches:
-            fps = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(parts)]
+            fps = batch.column(0).to_numpy(zero_copy_only=False)
             for k in range(blocks):
-                part, at = divmod(k * width, 64)
-                block = (fps[part].view(np.uint64) >> np.uint64(at)) & np.uint64((1 << width) - 1)
+                block = (fps.view(np.uint64) >> np.uint64(k * width)) & np.uint64((1 << width) - 1)
                 index, anchor, home = near_anchors(block, width, threshold)
                 key = (anchor | np.uint64(k) << np.uint64(width)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(home), *(pa.array(f[index]) for f in fps)], ["anchor", "home", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(home), pa.array(fps[index])], ["anchor", "home", "fp"])
 
-    chosen = distinct.select(*(F.get("fps", k).alias(names[k]) for k in range(parts)))
-    return chosen.mapInArrow(run, ", ".join(["anchor long", "home boolean", *(f"{n} long" for n in names)]))
+    return distinct.mapInArrow(run, "anchor long, home boolean, fp long")
 
 
-def _near(one: np.ndarray, many: np.ndarray, distance: int) -> np.ndarray:
-    return sum(np.bitwise_count(many[..., k] ^ one[..., k]).astype(np.uint16) for k in range(many.shape[-1])) <= distance
+def _near(one, many: np.ndarray, distance: int) -> np.ndarray:
+    return np.bitwise_count(many ^ one) <= distance
 
 
 def forest(fps: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
     """Links between the rows of fps that connect exactly those which links within distance connect.
 
-    Many fingerprints of one part are first divided: those that share one of distance + 1
+    Many fingerprints are first divided: those that share one of distance + 1
     sub-blocks are walked with each other, which finds every link.
     """
-    if len(fps) <= DENSE or fps.shape[1] > 1:
+    if len(fps) <= DENSE:
         return _walk(fps, distance)
     out, width = [], 64 // (distance + 1)
     for k in range(distance + 1):
-        sub = fps[:, 0] >> np.uint64(k * width) & np.uint64((1 << width) - 1)
+        sub = fps >> np.uint64(k * width) & np.uint64((1 << width) - 1)
         order = np.argsort(sub, kind="stable")
         for group in np.split(fps[order], np.flatnonzero(np.diff(sub[order])) + 1):
             if len(group) > 1:
@@ -147,7 +134,7 @@ def forest(fps: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
 
 
 def _walk(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    names = nodes_of(fps)
+    names = fps.view(np.int64)
     left, out = np.arange(len(fps)), []
     while len(left):
         queue, left = [left[0]], left[1:]
@@ -166,12 +153,12 @@ def at_anchor(fps: np.ndarray, home: np.ndarray, distance: int) -> list[tuple[in
     homes, linked = fps[home], np.zeros(len(fps), bool)
     step = max(1, CELLS // len(fps))
     for i in range(0, len(homes), step):
-        near = _near(homes[i : i + step, None, :], fps[None, :, :], distance)
+        near = _near(homes[i : i + step, None], fps[None, :], distance)
         linked |= near[near.sum(1) > 1].any(0)  # a fingerprint is near itself
     return forest(fps[linked], distance)
 
 
-def _per_anchor(parts: int, distance: int):
+def _per_anchor(distance: int):
     """An Arrow function over rows sorted by anchor: the links at each anchor."""
 
     def links(anchor, home, fps):
@@ -190,7 +177,7 @@ def _per_anchor(parts: int, distance: int):
             anchor, home = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             if not len(anchor):
                 continue
-            fps = np.stack([batch.column(2 + k).to_numpy(zero_copy_only=False) for k in range(parts)], axis=1).view(np.uint64)
+            fps = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
             last = np.searchsorted(anchor, anchor[-1])  # the anchor that may go on in the next batch
             if last:
                 held.append((anchor[:last], home[:last], fps[:last]))
@@ -203,35 +190,27 @@ def _per_anchor(parts: int, distance: int):
     return run
 
 
-def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, parts: int = 1, threshold: int | None = None) -> DataFrame:
-    """(a, b): links by node that connect the distinct fingerprints (fps) within distance bits.
-
-    threshold: bits by which a block of linked fingerprints may differ. Below distance //
-    blocks, the default, links between the more distant ones may be missed.
-    """
-    at = _covered(distinct, parts, blocks, distance // blocks if threshold is None else threshold)
-    return at.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_per_anchor(parts, distance), "a long, b long")
+def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+    """(a, b): links that connect the distinct fingerprints (fp) within distance bits."""
+    at = _covered(distinct, blocks, distance // blocks)
+    return at.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_per_anchor(distance), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE,
-                    blocks: int = BLOCKS, seeds: tuple[int, ...] = (SEED,), threshold: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """(id, fingerprint, component_id) of each row of docs.
 
     component_id: the least id reachable over links, which join rows whose fingerprints
-    are within distance bits; fingerprint shows the bits of the first seed. Texts without
-    words, null ones included, have fingerprint zero and are linked like any other. Equal
-    rows each give a row; null ids are no component's least id unless it has no other;
-    other columns are left aside; an empty table gives an empty result.
+    are within distance bits. Texts without words, null ones included, have fingerprint
+    zero and are linked like any other; very long ones count whole. Equal rows each give a
+    row; null ids are no component's least id unless it has no other; other columns are
+    left aside; an empty table gives an empty result.
     """
-    fps = stored(fingerprints(docs, id_col, text_col, shingle, seeds), "fingerprints")
-    least = fps.groupBy("node").agg(F.first("fps").alias("fps"), F.min("id").alias("least"))
-    roots = components(fingerprint_links(least.select("fps"), distance, blocks, len(seeds), threshold))
-    placed = least.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    of_root = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = placed.join(of_root, "root").select("node", "component_id")
-    return fps.join(of_node, "node").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex(F.get("fps", 0)), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    fps = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    members = fps.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+    links = fingerprint_links(members.select("fp"), distance, blocks)
+    placed = least_of_component(members.select(F.col("fp").alias("node"), "least"), links)
+    of_fp = members.select("fp", "n").join(placed.withColumnRenamed("node", "fp"), "fp")
+    return split_join(fps, of_fp, "fp", fps.count()).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

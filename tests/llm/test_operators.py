@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from stratafs.llm import byte_bpe, chat, html_text, media, packing, pii, quality, simhash, substrings, token_counts
+from stratafs.llm import byte_bpe, chat, html_text, media, packing, pii, quality, similar, simhash, substrings, token_counts
 
 SCHEMA = "doc_id long, text string, id string, row int, words string, kind string"
 RANKS, VOCAB = (public_tokenizers.path(f"byte_bpe_50k.{x}") for x in ("tiktoken", "json"))
@@ -346,7 +346,7 @@ def test_links_lose_none(spark, distance, blocks):
             fps.append(x)
     fps = sorted(set(fps))
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    links = simhash.fingerprint_links(spark.createDataFrame([([signed(x)],) for x in fps], "fps array<long>"), distance, blocks).collect()
+    links = simhash.fingerprint_links(spark.createDataFrame([(signed(x),) for x in fps], "fp long"), distance, blocks).collect()
 
     def groups(pairs):
         root = {x: x for x in fps}
@@ -368,6 +368,102 @@ def test_links_lose_none(spark, distance, blocks):
     assert groups([(unsigned(r["a"]), unsigned(r["b"])) for r in links]) == groups(brute)
 
 
+def shingles(text, size=5):
+    w = (text or "").encode().lower().split()
+    size = min(size, len(w))
+    return frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if w else frozenset()
+
+
+def similar_groups(rows, similarity=0.8):
+    """(groups of row numbers, similar pairs of distinct sets) over (id, text) rows, by comparing all that share a shingle."""
+    sets = [shingles(t) for _, t in rows]
+    first, holders = {}, defaultdict(list)
+    for i, s in enumerate(sets):
+        if s not in first:
+            first[s] = i
+            for g in s:
+                holders[g].append(i)
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    shared = defaultdict(int)
+    for at in holders.values():
+        for k, i in enumerate(at):
+            for j in at[:k]:
+                shared[j, i] += 1
+    pairs = [(i, j) for (i, j), n in shared.items() if n >= similarity * (len(sets[i]) + len(sets[j]) - n) - 1e-9]
+    for i, j in [*pairs, *((i, first[s]) for i, s in enumerate(sets))]:
+        root[find(i)] = find(j)
+    groups = defaultdict(list)
+    for i in range(len(rows)):
+        groups[find(i)].append(i)
+    return list(groups.values()), pairs
+
+
+def test_similar_texts_against_brute_force(spark, docs, rows, empty, monkeypatch):
+    rng = random.Random(2)
+    long = vocabulary(4000)
+    more = []
+    for i in range(90):
+        if i % 9 == 0:
+            w = rng.choices(long, k=rng.randint(60, 400))
+        else:
+            w = more[-1][1].split()
+            for _ in range(rng.randint(0, 6)):
+                w[rng.randrange(len(w))] = rng.choice(long)
+        more.append((1000 + i, " ".join(w)))
+    more += [(None, more[3][1]), (None, more[40][1].upper())]
+    every = [*rows, *more]
+    data = docs.select("doc_id", "text", "kind").unionByName(spark.createDataFrame([(*r, "x") for r in more], "doc_id long, text string, kind string"))
+    want = []
+    for group in similar_groups(every)[0]:
+        known = [every[i][0] for i in group if every[i][0] is not None]
+        want += [(every[i][0], min(known, default=None)) for i in group]
+    for part, matrix in ((similar.GROUP, similar.MATRIX), (8, 4)):  # the second: trees grow across parts of an anchor
+        monkeypatch.setattr(similar, "GROUP", part)
+        monkeypatch.setattr(similar, "MATRIX", matrix)
+        got = similar.near_duplicates(data).collect()
+        key = lambda x: tuple(-1 if v is None else v for v in x)
+        assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=key) == sorted(want, key=key)
+    assert len({c for _, c in want}) < len({shingles(t) for _, t in every})
+    assert similar.near_duplicates(empty).count() == 0
+
+
+def test_similar_texts_of_the_tables(spark):
+    """Recall over the pairs of similarity 0.8 and more; the share of documents beside them is kept."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    groups, pairs = similar_groups(rows)
+    got = dict(similar.near_duplicates(docs).select("doc_id", "component_id").collect())
+    found = sum(got[rows[i][0]] == got[rows[j][0]] for i, j in pairs)
+    assert pairs and found >= 0.9 * len(pairs)
+    alone = [rows[g[0]][0] for g in groups if len(g) == 1]
+    assert all(got[i] == i for i in alone)
+
+
+def test_meeting_is_as_likely_as_computed():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for width in (16, 21, 31):
+        p = similar.flips(0.8)
+        x = rng.integers(0, 1 << width, 40_000, np.uint64)
+        y = x ^ ((rng.random((len(x), width)) < p) * (np.uint64(1) << np.arange(width, dtype=np.uint64))).sum(1, dtype=np.uint64)
+        home = []
+        for v in (x, y):
+            index, anchor, is_home = simhash.near_anchors(v, width, 0)
+            at = np.zeros(len(v), np.uint64)
+            at[index[is_home]] = anchor[is_home]
+            home.append(at)
+        assert abs((home[0] == home[1]).mean() - similar.meeting(0.8, width)) < 0.01
+    assert similar.drawn(1000, 0.8).shape[1] == 16 and similar.drawn(1 << 30, 0.8).shape[1] == 28
+    assert all(len(set(block)) == len(block) for block in similar.drawn(1 << 26, 0.8).tolist())
+
+
 # 7
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a = "<p>x</p>";</script></head><body>
 <header>Site name and the motto of it</header><nav><ul><li><a href=/a>Home</a><li><a href=/b>News of the day</a></ul></nav>

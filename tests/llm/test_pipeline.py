@@ -7,8 +7,7 @@ import pytest
 
 import corpus_pipeline
 from stratafs.llm import quality
-from stratafs.llm.simhash import fingerprint
-from tests.llm.test_operators import brute_quality, brute_repeats, vocabulary, words
+from tests.llm.test_operators import brute_quality, brute_repeats, similar_groups, vocabulary, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -59,23 +58,9 @@ def test_quality_stage(stages):
 
 
 def test_near_duplicate_stage(stages):
-    rows, near = stages[1], corpus_pipeline.NEAR
-    fps = [[fingerprint(r["text"], near["shingle"], s) for s in near["seeds"]] for r in rows]
-    root = list(range(len(rows)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a in range(len(rows)):
-        for b in range(a):
-            if sum((x ^ y).bit_count() for x, y in zip(fps[a], fps[b])) <= near["distance"]:
-                root[find(a)] = find(b)
-    groups = defaultdict(list)
-    for i, r in enumerate(rows):
-        groups[find(i)].append(r)
-    want = sorted(min((r["doc_id"] is None, r["doc_id"] or 0) for r in g) for g in groups.values())
+    rows = stages[1]
+    groups = [[rows[i] for i in g] for g in similar_groups([(r["doc_id"], r["text"]) for r in rows])[0]]
+    want = sorted(min((r["doc_id"] is None, r["doc_id"] or 0) for r in g) for g in groups)
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in stages[2]) == want
     ids = {r["doc_id"] for r in stages[2]}
     assert 5 in ids and not ids & {300, 301} and len(ids & {200, 201, 202, 203}) == 1
