@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +25,10 @@ STOP_WORDS = frozenset(
     ses son sont sur un une vous
     al como con del el ella ellos es esta este ha hay las lo los más muy no o para pero por se ser si sin sobre su sus también una y ya""".split()
 )
-#: Elements whose content is no text of the page.
-HIDDEN = frozenset("script style noscript template svg math iframe object canvas audio video select textarea button title".split())
+#: Elements whose content is no text of the page: those whose content is raw up to their
+#: end tag, and others, which end with what holds them if they have none.
+RAW = frozenset("script style noscript iframe textarea title".split())
+HIDDEN = frozenset("template svg math object canvas audio video select button".split())
 #: Elements that end a block where they begin and end.
 BLOCKS = frozenset(
     """address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4
@@ -35,10 +38,14 @@ BLOCKS = frozenset(
 HOLDERS = frozenset("article aside blockquote body dialog div dl fieldset figure footer form header main menu nav ol section table ul".split())
 #: Holders of what isn't main text; a header counts unless it is an article's.
 ASIDE = frozenset("aside dialog footer form menu nav".split())
-#: Names of classes, ids and roles of such holders; an id, often the slug of a title, counts as a whole.
-ASIDE_NAME = re.compile(
-    r"\b(?:ad|ads|advert\w*|alert|banner|breadcrumbs?|comments?|contentinfo|cookies?|consent|dialog|disqus|footer|masthead|menu|modal|nav|navbar|navigation|"
-    r"newsletter|notices?|pagination|popup|promo\w*|related|search|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)\b"
+#: Names of classes, ids and roles of such holders. A token of a class counts if its parts
+#: are such names and parts that say nothing; an id, often the slug of a title, as a whole,
+#: and not on a heading. Of the second list an article or main within is no part.
+ASIDE_NAME = re.compile(r"breadcrumbs?|comments?|consent|contentinfo|cookies?|disqus|footer|masthead|navbar|navigation|newsletter|notices?|nav|pagination|related|sidebar")
+WEAK_NAME = re.compile(r"ad|ads|advert\w*|alert|banner|dialog|menu|modal|popup|promo\w*|search|share|sharing|social|sponsor\w*|subscribe|toolbar|widget")
+_NO_NAME = re.compile(
+    r"area|articles?|bar|block|bottom|box|buttons?|col|column|container|form|header|icons?|inner|item|left|line|links?|list|media|outer|page|panel|policy|posts?|right|"
+    r"row|section|signup|site|slot|stories|text|thread|top|unit|wrap|wrapper|\d+"
 )
 _UNSEEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none", re.I)
 _NAMES = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -46,6 +53,7 @@ _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^'">]++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""",
     re.S,
 )
+_HIDDEN_END = re.compile("</(" + "|".join(sorted(HIDDEN)) + r")\b", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 
 #: Code points from which a block is long; from which it is decided by its words; share
@@ -54,26 +62,40 @@ LONG, SHORT, LINKS, STOPS = 200, 70, 0.33, 0.2
 #: For blocks under such names, the factors of the length and of the share of stop words
 #: that running text needs; for those in an article, of the share of stop words.
 NAMED_LONG, NAMED_STOPS, ARTICLE_STOPS = 2, 1.5, 0.5
+#: How far a name goes: not at all, up to an article or main within, to the end.
+NONE, WEAK, NAMED = 0, 1, 2
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 GOOD, BAD, OPEN = 1, -1, 0
 
 
+def name_weight(tag: str, attributes: str) -> int:
+    """How far an element's names say that it isn't main text."""
+    if tag in ("html", "body", "main", "article"):
+        return NONE
+    weight = NONE
+    for kind, a, b, c in _NAMES.findall(attributes):
+        value = (a or b or c).lower().strip()
+        if kind.lower() == "id":
+            parts = [] if tag in HEADINGS else [[value]]
+        else:
+            parts = [re.split(r"[-_]+", token) for token in value.split()]
+        for of in parts:
+            known = [NAMED if ASIDE_NAME.fullmatch(x) else WEAK if WEAK_NAME.fullmatch(x) else NONE for x in of]
+            if any(known) and all(k or _NO_NAME.fullmatch(x) for k, x in zip(known, of)):
+                weight = max(weight, *known)
+    return weight
+
+
 def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
     """(text, link density, in a holder of other things, in an article, under a name of other things) of each block, in page order."""
     found: list[tuple[str, float, bool, bool, bool]] = []
-    holders: list[tuple[str, bool, bool, bool]] = []
+    holders: list[tuple[str, bool, bool, int]] = []
+    held: Counter[str] = Counter()  # the holders' names
     pieces: list[str] = []
     linked = at = 0
-    in_link = hidden = spare = False
-
-    def named(name: str, attributes: str) -> bool:
-        """Whether an element's names say that it isn't main text."""
-        if name in ("html", "body", "main", "article"):
-            return False
-        for kind, a, b, c in _NAMES.findall(attributes):
-            value = (a or b or c).lower().strip()
-            if ASIDE_NAME.fullmatch(value) if kind.lower() == "id" else ASIDE_NAME.search(value.replace("_", " ").replace("-", " ")):
-                return True
-        return False
+    in_link = hidden = False
+    spare, inside, dropped = NONE, "", None  # dropped: (hidden element, holders and block around it)
+    ends = {m[1].lower(): m.start() for m in _HIDDEN_END.finditer(page)}
 
     def unseen(name: str, attributes: str) -> bool:
         return name not in ("html", "body", "main", "article") and bool(_UNSEEN.search(attributes))
@@ -82,14 +104,14 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
         nonlocal linked, hidden, spare
         text = " ".join("".join(pieces).split())
         if text:
-            _, aside, article, other = holders[-1] if holders else ("", False, False, False)
-            found.append((text, min(1.0, linked / len(text)), aside or hidden, article, other or spare))
+            _, aside, article, other = holders[-1] if holders else ("", False, False, NONE)
+            found.append((text, min(1.0, linked / len(text)), aside or hidden, article, bool(other or spare)))
         pieces.clear()
-        linked, hidden, spare = 0, False, False
+        linked, hidden, spare = 0, False, NONE
 
     def take(raw: str):
         nonlocal linked
-        if raw:
+        if raw and not dropped:
             text = html.unescape(raw)
             pieces.append(text)
             if in_link:
@@ -104,51 +126,73 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
         at = tag.end()
         name = (tag[2] or tag[5] or "").lower()
         closing = bool(tag[1] or tag[4])
+        attributes = tag[3] or tag[6] or ""
         if not name:
             continue
-        if name in HIDDEN and not closing:
-            if not (tag[3] or tag[6] or "").endswith("/"):
-                close = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = close.end() if close else len(page)
-            if name == "title":
+        if dropped:
+            over = name in BLOCKS and (ends.get(dropped[0], -1) < tag.start() or (closing and (name == dropped[2] or (held[name] and any(h[0] == name for h in holders[: dropped[1]])))))
+            if closing and name == dropped[0]:
+                dropped = None
+                continue
+            if over:
+                dropped = None
+            elif name not in RAW:
+                continue
+        if name in RAW and not closing:
+            close = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            at = close.end() if close else len(page)
+            if name == "title" and not dropped:
                 end_block()
             continue
+        if name in HIDDEN:
+            if not closing and not (name in ("svg", "math") and attributes.endswith("/")):
+                dropped = (name, len(holders), inside)
+            continue
         if name == "a":
             in_link = not closing
         elif name == "br":
             pieces.append(" ")
         elif name in BLOCKS:
             end_block()
-            attributes = tag[3] or tag[6] or ""
             if name not in HOLDERS:
-                hidden, spare = not closing and unseen(name, attributes), not closing and named(name, attributes)
+                inside = "" if closing else name
+                hidden, spare = not closing and unseen(name, attributes), NONE if closing else name_weight(name, attributes)
                 continue
+            inside = ""
             if closing:
-                for i in range(len(holders) - 1, -1, -1):
-                    if holders[i][0] == name:
-                        del holders[i:]
+                while held[name]:
+                    last = holders.pop()[0]
+                    held[last] -= 1
+                    if last == name:
                         break
             else:
-                _, aside, article, other = holders[-1] if holders else ("", False, False, False)
+                _, aside, article, other = holders[-1] if holders else ("", False, False, NONE)
                 aside = aside or name in ASIDE or (name == "header" and not article) or unseen(name, attributes)
-                holders.append((name, aside, article or name in ("article", "main"), other or named(name, attributes)))
+                if name in ("article", "main"):
+                    article, other = True, NONE if other == WEAK else other
+                holders.append((name, aside, article, max(other, name_weight(name, attributes))))
+                held[name] += 1
     end_block()
     return found
 
 
+def stop_share(text: str) -> float:
+    words = [w.lower() for w in _WORD.findall(text)]
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
 def first_pass(block: tuple[str, float, bool, bool, bool]) -> int:
     text, links, aside, article, other = block
-    if aside or links > LINKS:
+    if aside:
         return BAD
     if len(text) < SHORT:
-        return BAD if other or "©" in text else OPEN
-    words = [w.lower() for w in _WORD.findall(text)]
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+        return BAD if links > LINKS or other or "©" in text else OPEN
+    stops = stop_share(text)
+    if links > LINKS:  # a sentence that is a link may be part of an article
+        return OPEN if article and not other and stops >= STOPS else BAD
     if other:
         return GOOD if len(text) >= NAMED_LONG * LONG and stops >= NAMED_STOPS * STOPS else BAD
-    if article:
-        return GOOD if stops >= ARTICLE_STOPS * STOPS else OPEN
-    return GOOD if len(text) >= LONG or stops >= STOPS else OPEN
+    return GOOD if stops >= (ARTICLE_STOPS if article or len(text) >= LONG else 1) * STOPS else OPEN
 
 
 def second_pass(labels: list[int], ends: int = BAD) -> list[int]:
@@ -176,6 +220,8 @@ def main_text(page: str | None) -> str:
     """The good blocks of a page, joined by newlines."""
     found = blocks(page or "")
     first = [first_pass(b) for b in found]
+    if GOOD not in first:  # of a language without the stop words: length alone decides
+        first = [GOOD if label == OPEN and len(b[0]) >= LONG else label for b, label in zip(found, first)]
     labels = second_pass(first)
     # what was set aside within an article says nothing of the text beside it
     inside = [i for i, (_, _, aside, article, other) in enumerate(found) if article and not aside and not other]
@@ -187,9 +233,10 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) of each page.
 
-    A null or empty page has an empty text; null ids and urls stay null; equal rows each
-    give a row; markup that never closes ends with the page; other columns are left
-    aside; an empty table gives an empty result.
+    A null or empty page has an empty text; very long pages are read whole, in time that
+    grows with their length; an open block as far from a good as from a bad one is bad;
+    null ids and urls stay null; equal rows each give a row; markup that never closes ends
+    with the page; other columns are left aside; an empty table gives an empty result.
     """
     kind = pages.schema[id_col].dataType.simpleString()
 
