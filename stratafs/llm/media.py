@@ -38,22 +38,25 @@ MAGIC = (
 _PDF_VERSION, _PDF_END, _PDF_XREF = re.compile(rb"\d\.\d"), re.compile(rb"startxref\s+(\d{1,12})\s+%%EOF"), re.compile(rb"xref\b|\d{1,10}\s+\d{1,5}\s+obj\b")
 
 
-def _png(b: bytes, at: int) -> int:
-    pos = at + 8
+# Each validator gets the value, an offset, and what others of the same value have noted;
+# none searches the rest of a value again for every magic that it holds.
+
+
+def _png(b: bytes, at: int, noted: dict) -> int:
+    pos, chunks = at + 8, []
     while pos + 12 <= len(b):
         size, kind = struct.unpack(">I4s", b[pos : pos + 8])
         end = pos + 12 + size
-        if end > len(b) or (pos == at + 8 and (kind != b"IHDR" or size != 13)):
-            return 0
-        if struct.unpack(">I", b[end - 4 : end])[0] != zlib.crc32(b[pos + 4 : end - 4]):
+        if end > len(b) or not kind.isalpha() or (pos == at + 8 and (kind != b"IHDR" or size != 13)):
             return 0
-        if kind == b"IEND":
-            return end - at
+        chunks.append((pos + 4, end - 4))
+        if kind == b"IEND":  # lengths lead to an end, so the sums are worth computing
+            return end - at if all(struct.unpack(">I", b[y : y + 4])[0] == zlib.crc32(b[x:y]) for x, y in chunks) else 0
         pos = end
     return 0
 
 
-def _jpeg(b: bytes, at: int) -> int:
+def _jpeg(b: bytes, at: int, noted: dict) -> int:
     pos = at + 2
     while pos + 4 <= len(b) and b[pos] == 0xFF:
         marker, size = b[pos + 1], struct.unpack(">H", b[pos + 2 : pos + 4])[0]
@@ -61,12 +64,14 @@ def _jpeg(b: bytes, at: int) -> int:
             return 0
         pos += 2 + size
         if marker == 0xDA:
-            end = b.find(b"\xff\xd9", pos)
+            end = -1 if pos >= noted.get("no jpeg end", len(b)) else b.find(b"\xff\xd9", pos)
+            if end < 0:
+                noted["no jpeg end"] = min(pos, noted.get("no jpeg end", pos))
             return end + 2 - at if end >= 0 else 0
     return 0
 
 
-def _gif(b: bytes, at: int) -> int:
+def _gif(b: bytes, at: int, noted: dict) -> int:
     if at + 13 > len(b):
         return 0
     pos = at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 0x80 else 0)
@@ -85,7 +90,7 @@ def _gif(b: bytes, at: int) -> int:
     return 0
 
 
-def _bmp(b: bytes, at: int) -> int:
+def _bmp(b: bytes, at: int, noted: dict) -> int:
     if at + 30 > len(b):
         return 0
     size, spare, data, header = struct.unpack("<IIII", b[at + 2 : at + 18])
@@ -94,7 +99,7 @@ def _bmp(b: bytes, at: int) -> int:
     return size if fits and at + size <= len(b) else 0
 
 
-def _wav(b: bytes, at: int) -> int:
+def _wav(b: bytes, at: int, noted: dict) -> int:
     if at + 12 > len(b) or b[at + 8 : at + 12] != b"WAVE":
         return 0
     end, pos, kinds = at + 8 + struct.unpack("<I", b[at + 4 : at + 8])[0], at + 12, []
@@ -109,7 +114,7 @@ def _wav(b: bytes, at: int) -> int:
     return end - at if b"fmt " in kinds and b"data" in kinds else 0
 
 
-def _webp(b: bytes, at: int) -> int:
+def _webp(b: bytes, at: int, noted: dict) -> int:
     if at + 20 > len(b) or b[at + 12 : at + 16] not in (b"VP8 ", b"VP8L", b"VP8X"):
         return 0
     end, pos = at + 8 + struct.unpack("<I", b[at + 4 : at + 8])[0], at + 12
@@ -120,46 +125,58 @@ def _webp(b: bytes, at: int) -> int:
     return end - at if pos == end else 0
 
 
-def _pdf(b: bytes, at: int) -> int:
-    """Up to the last end whose startxref leads to a real xref behind the end before it, as in files saved anew; else to the first end."""
+def _pdf(b: bytes, at: int, noted: dict) -> int:
+    """Up to the last end before the next header whose startxref leads to a real xref behind the end before it, as in files saved anew; else to the first end."""
     if not _PDF_VERSION.match(b, at + 5):
         return 0
+    stop = b.find(b"%PDF-", at + 5)
+    stop = len(b) if stop < 0 else stop
     end = 0
-    for m in _PDF_END.finditer(b, at):
+    for m in _PDF_END.finditer(b, at, stop):
         xref = at + int(m[1])
         if max(end, at) <= xref < m.start() and _PDF_XREF.match(b, xref):
             end = m.end()
-    end = end or b.find(b"%%EOF", at) + 5
+    end = end or b.find(b"%%EOF", at, stop) + 5
     return max(0, end - at) if end >= 5 else 0
 
 
-def _zip(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at)
-    while end >= 0 and end + 22 <= len(b):
-        size, start, note = struct.unpack("<IIH", b[end + 12 : end + 22])
-        if at + start + size == end and end + 22 + note <= len(b):
-            return end + 22 + note - at
-        end = b.find(b"PK\x05\x06", end + 4)
-    return 0
+def _zip(b: bytes, at: int, noted: dict) -> int:
+    ends = noted.get("zip")
+    if ends is None:  # where each archive begins by its directory's end
+        ends, pos = {}, b.find(b"PK\x05\x06")
+        while pos >= 0 and pos + 22 <= len(b):
+            size, start, note = struct.unpack("<IIH", b[pos + 12 : pos + 22])
+            if pos + 22 + note <= len(b):
+                ends.setdefault(pos - size - start, []).append(pos + 22 + note)
+            pos = b.find(b"PK\x05\x06", pos + 4)
+        noted["zip"] = ends
+    return next((end - at for end in ends.get(at, ()) if end > at), 0)
 
 
-def _ogg(b: bytes, at: int) -> int:
+def _ogg(b: bytes, at: int, noted: dict) -> int:
+    """Up to the last whole page."""
     pos = at
     while b[pos : pos + 5] == b"OggS\0" and pos + 27 <= len(b):
         table = b[pos + 27 : pos + 27 + b[pos + 26]]
         end = pos + 27 + len(table) + sum(table)
         if len(table) < b[pos + 26] or end > len(b):
-            return 0
+            break
         pos = end
     return pos - at
 
 
-def _flac(b: bytes, at: int) -> int:
-    return len(b) - at if at + 42 <= len(b) and b[at + 4] & 0x7F == 0 and b[at + 5 : at + 8] == b"\0\0\x22" else 0
+def _flac(b: bytes, at: int, noted: dict) -> int:
+    """The metadata of a stream that begins the value. Nothing tells where its frames end, so none is carved further in."""
+    pos, last = 4, at != 0 or b[4:8] not in (b"\0\0\0\x22", b"\x80\0\0\x22")
+    while not last and pos + 4 <= len(b):
+        last, pos = bool(b[pos] & 0x80), pos + 4 + int.from_bytes(b[pos + 1 : pos + 4], "big")
+        if last and pos + 2 <= len(b) and b[pos] == 0xFF and b[pos + 1] & 0xFE == 0xF8:
+            return pos
+    return 0
 
 
 #: For each announced type: the type it is if valid, and the length of the valid value or 0.
-VALIDATE: dict[str, tuple[str, Callable[[bytes, int], int]]] = {
+VALIDATE: dict[str, tuple[str, Callable[[bytes, int, dict], int]]] = {
     "image/png": ("image/png", _png), "image/jpeg": ("image/jpeg", _jpeg), "image/gif": ("image/gif", _gif),
     "image/bmp": ("image/bmp", _bmp), "riff": ("audio/wav", _wav), "webp": ("image/webp", _webp), "application/pdf": ("application/pdf", _pdf),
     "application/zip": ("application/zip", _zip), "audio/ogg": ("audio/ogg", _ogg), "audio/flac": ("audio/flac", _flac),
@@ -179,13 +196,13 @@ def automaton():
 
 def sniff(data: bytes) -> list[tuple[str, int, int]]:
     """(type, offset, length) of the valid media in data, none inside another that precedes it."""
-    found, free = [], 0
+    found, free, noted = [], 0, {}
     for last, (size, announced) in automaton().iter(data.decode("latin-1")):
         at = last + 1 - size
         if at < free:
             continue
         kind, valid = VALIDATE["webp" if announced == "riff" and data[at + 8 : at + 12] == b"WEBP" else announced]
-        if length := valid(data, at):
+        if length := valid(data, at, noted):
             found.append((kind, at, length))
             free = at + length
     return found
@@ -196,7 +213,8 @@ def sniff_media(df: DataFrame, data_col: str, declared_col: str, id_col: str) ->
 
     actual: the type of the valid medium at offset 0, else application/octet-stream;
     corrected: it isn't the declared one; carved: type, offset, length and bytes of the
-    valid media further in, in order. Null and empty values have no media; a null
+    valid media further in, in order; of media that begin within another the first stands.
+    Null and empty values have no media; very long ones are searched whole; a null
     declaration is corrected to what is found; equal rows each give a row; other columns
     are left aside; an empty table gives an empty result.
     """
@@ -258,8 +276,8 @@ def features(samples: bytes) -> str:
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text as a WAV medium, read back through sniffing, as digests and features.
 
-    A null text is an empty one, whose payload is one row of fill bytes; equal texts
-    have equal values; equal rows each give a row; a null id stays null; other columns
+    A null text is an empty one, whose payload is one row of fill bytes; very long texts
+    are stored whole (a WAV holds up to 4 GB, a row of Spark 2 GB); equal texts have equal values; equal rows each give a row; a null id stays null; other columns
     are left aside; an empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
