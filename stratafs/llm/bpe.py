@@ -18,7 +18,7 @@ import regex
 _SAFE = regex.compile(r"\p{L}(?= \p{L})")
 #: Code points of a part of a long text, unless it has no safe place.
 PART_CHARS = 65_536
-#: UTF-8 bytes, about, that one call encodes.
+#: UTF-8 bytes that one call encodes.
 BATCH_BYTES = 1 << 20
 
 
@@ -38,13 +38,13 @@ def safe_parts(text: str, size: int = PART_CHARS) -> list[str]:
 
 
 def byte_batches(texts: list[str], most: int = BATCH_BYTES) -> Iterator[tuple[list[int], list[str]]]:
-    """(owner of each part, parts) in batches of about `most` bytes."""
+    """(owner of each part, parts) in batches of `most` UTF-8 bytes or little more."""
     owners, parts, held = [], [], 0
     for owner, text in enumerate(texts):
         for part in safe_parts(text):
             owners.append(owner)
             parts.append(part)
-            held += len(part)
+            held += len(part) if part.isascii() else len(part.encode())
             if held >= most:
                 yield owners, parts
                 owners, parts, held = [], [], 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,10 @@ from .common import documents
 
 #: Strings that the vocabulary's file declares as special tokens.
 SPECIAL = (("<|endoftext|>", 50256),)
+#: Stands between the texts of a batch, as a special token of its own; a text that holds it
+#: is encoded by itself.
+SEPARATOR = "\ue000\uf8ff|text ends|\uf8ff\ue000"
+SEPARATOR_ID = 1 << 20
 
 
 def _lengths(parts: list[str], vocabulary: str, ranks: str | None) -> list[int]:
@@ -20,8 +25,14 @@ def _lengths(parts: list[str], vocabulary: str, ranks: str | None) -> list[int]:
     if ranks is None:
         batch = bpe.json_tokenizer(vocabulary).encode_batch_fast(parts, add_special_tokens=False)
         return [len(x) for x in batch]
-    encoding = bpe.rank_encoding(ranks, public_tokenizers.PATTERN, SPECIAL)
-    return [encoding.encode_to_numpy(x, allowed_special="all").size for x in parts]
+    if any(SEPARATOR in x for x in parts):
+        alone = bpe.rank_encoding(ranks, public_tokenizers.PATTERN, SPECIAL)
+        return [alone.encode_to_numpy(x, allowed_special="all").size for x in parts]
+    # one call encodes the batch: a special token splits it before the pattern does, so each text's tokens are its own
+    encoding = bpe.rank_encoding(ranks, public_tokenizers.PATTERN, (*SPECIAL, (SEPARATOR, SEPARATOR_ID)))
+    ids = encoding.encode_to_numpy(SEPARATOR.join(parts), allowed_special="all")
+    ends = np.concatenate((np.flatnonzero(ids == SEPARATOR_ID), [len(ids)]))
+    return (np.diff(ends, prepend=-1) - 1).tolist()
 
 
 def count_tokens(
