@@ -104,7 +104,7 @@ class SuffixAutomaton:
 
 
 def _anchor_rows(docs: DataFrame, span: int, gram: int) -> DataFrame:
-    """(h, d, n): each anchor of a document once, with its places there."""
+    """(h, r, n): each anchor of a row once, with its places there."""
 
     def run(batches):
         for batch in batches:
@@ -125,10 +125,10 @@ def _anchor_rows(docs: DataFrame, span: int, gram: int) -> DataFrame:
                 ds.append(np.full(len(h), d))
             if hs:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ds)), pa.array(np.concatenate(ns).astype(np.int32))], ["h", "d", "n"]
+                    [pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ds)), pa.array(np.concatenate(ns).astype(np.int32))], ["h", "r", "n"]
                 )
 
-    return docs.select("d", F.col("text").cast("binary")).mapInArrow(run, "h long, d long, n int")
+    return docs.select("r", "text").mapInArrow(run, "h long, r long, n int")
 
 
 def _segments(docs: DataFrame, span: int, gram: int) -> DataFrame:
@@ -253,13 +253,13 @@ def _cut(docs: DataFrame, span: int, kind: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             n_words, n_removed, spans, kept = [], [], [], []
-            for v, text, found in zip(*(batch.column(i) for i in (1, 2, 4))):
+            for d, v, text, found in zip(*(batch.column(i) for i in (0, 1, 2, 4))):
                 data = text.as_buffer() or b""
                 starts, ends = word_bounds(data)
                 gone = np.zeros(len(starts) + 1, np.int64)
-                v, found = v.as_py(), found.as_py() or []
+                d, v, found = d.as_py(), v.as_py(), found.as_py() or []
                 for f in found:
-                    if f["v"] == v:
+                    if f["d"] == d and f["v"] == v:
                         gone[f["start"]] += 1
                         gone[f["start"] + f["n"] + span - 1] -= 1
                 edge = np.diff(np.concatenate(([0], (np.cumsum(gone)[:-1] > 0).view(np.int8), [0])))
@@ -291,27 +291,31 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Windows start earlier in a smaller id, or earlier in the same row. Rows of one id are
     ordered by the CRC of their texts; rows that are equal in both are one document and
     all have its result. Null ids come last and stay null. Null and empty texts, and
-    those of fewer words than a window, lose nothing. An empty table gives an empty result.
+    those of fewer words than a window, lose nothing; very long ones are searched whole.
+    An empty table gives an empty result.
     """
-    row = F.struct(*(F.col(c) for c in keep)) if keep else F.lit(None).cast("struct<none:int>")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    held = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.crc32(text.cast("binary")).alias("v"),
-        text.cast("binary").alias("text"), F.col(id_col).cast("long").alias("id"), row.alias("row"),
-    )
+    held = keyed(docs, id_col, text_col, keep)
     of_anchor = "sum(n) over (partition by h)"
     repeated = (
-        _anchor_rows(held.select("d", F.col("text")), span, gram).select("d", "h", F.expr(of_anchor).alias("times")).where("times > 1")
-        .groupBy("d").agg(F.collect_set(F.when(F.col("times") <= HOT, F.col("h"))).alias("cold"), F.collect_set(F.when(F.col("times") > HOT, F.col("h"))).alias("hot"))
+        _anchor_rows(held, span, gram).select("r", "h", F.expr(of_anchor).alias("times")).where("times > 1")
+        .groupBy("r").agg(F.collect_set(F.when(F.col("times") <= HOT, F.col("h"))).alias("cold"), F.collect_set(F.when(F.col("times") > HOT, F.col("h"))).alias("hot"))
     )
     # all columns go along, so that both joins read one exchange of the texts
-    routed = held.join(repeated, "d").select("d", "v", "text", "cold", "hot", "id", "row")
+    routed = held.join(repeated, "r").select("d", "v", "text", "cold", "hot", "id", "row")
     found = _shards(_segments(routed, span, gram), span)
-    per_doc = found.groupBy("d").agg(F.collect_list(F.struct("v", "start", "n")).alias("found"))
-    cut = _cut(held.join(per_doc, "d", "left").select("d", "v", "text", "id", "found", "row"), span, held.schema["row"].dataType.simpleString())
+    per_row = found.groupBy(F.xxhash64("d", "v").alias("r")).agg(F.collect_list(F.struct("d", "v", "start", "n")).alias("found"))
+    cut = _cut(held.join(per_row, "r", "left").select("d", "v", "text", "id", "found", "row"), span, held.schema["row"].dataType.simpleString())
     return cut.select(F.col("id").alias(id_col), "n_words", "n_removed", "spans", "kept", *(["row"] if keep else []))
 
 
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(r, d, v, text, id, row): r is a number for each row but equal ones, so that rows without an id or of one id are not gathered."""
+    row = F.struct(*(F.col(c) for c in keep)) if keep else F.lit(None).cast("struct<none:int>")
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    held = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.crc32(text).alias("v"), text.alias("text"), F.col(id_col).cast("long").alias("id"), row.alias("row"))
+    return held.select(F.xxhash64("d", "v").alias("r"), "*")
+
+
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = remove_repeats(documents(spark, sf_dir))
     return made.select(
