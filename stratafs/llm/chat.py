@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import let
+from .pii import prefix_sums
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: Tokens that a placeholder stands for where a part doesn't say.
@@ -47,16 +48,6 @@ def text_part(text: Column) -> Column:
     )
 
 
-def _span_starts(lengths: Column) -> Column:
-    """Where each of consecutive spans begins, from their lengths."""
-    return F.aggregate(
-        lengths,
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("starts")),
-        lambda got, n: F.struct((got["at"] + n).alias("at"), F.array_append(got["starts"], got["at"]).alias("starts")),
-        lambda got: got["starts"],
-    )
-
-
 def format_turns(turns: Column) -> Column:
     """A struct (formatted, loss_spans, attachments, expanded_tokens) of an array of structs (role, parts).
 
@@ -81,15 +72,18 @@ def format_turns(turns: Column) -> Column:
     def build(found: Column) -> Column:
         def flat(t: Column, before: Column) -> Column:
             """The text of one turn; `before` media parts precede it."""
-            state = F.struct(F.lit("").alias("text"), before.alias("n"))
-            return F.aggregate(
-                F.filter(F.coalesce(t["parts"], F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull()),
-                state,
-                lambda got, p: F.when(
-                    F.coalesce(p["type"], F.lit("text")) == "text",
-                    F.struct(F.concat(got["text"], escape(p["text"])).alias("text"), got["n"].alias("n")),
-                ).otherwise(F.struct(F.concat(got["text"], F.get(found, got["n"])["placeholder"]).alias("text"), (got["n"] + 1).alias("n"))),
-            )
+            is_text = lambda p: F.coalesce(p["type"], F.lit("text")) == "text"
+
+            def pieces(parts: Column) -> Column:
+                places = prefix_sums(F.transform(parts, lambda p: F.when(is_text(p), 0).otherwise(1)))
+                return let(
+                    places,
+                    lambda at: F.array_join(
+                        F.transform(parts, lambda p, i: F.when(is_text(p), escape(p["text"])).otherwise(F.get(found, before + F.get(at, i))["placeholder"])), ""
+                    ),
+                )
+
+            return let(F.filter(F.coalesce(t["parts"], F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull()), pieces)
 
         n_media = F.transform(
             turns,
@@ -100,12 +94,12 @@ def format_turns(turns: Column) -> Column:
 
         def laid(before: Column) -> Column:
             heads = F.transform(turns, lambda t: F.concat(F.lit(START), escape_role(F.coalesce(t["role"], F.lit(""))), F.lit("\n")))
-            texts = F.transform(turns, lambda t, i: flat(t, F.get(before, i).cast("int"))["text"])
+            texts = F.transform(turns, lambda t, i: flat(t, F.get(before, i).cast("int")))
 
             def joined(head: Column, text: Column) -> Column:
                 lengths = F.transform(text, lambda x, i: (F.length(F.get(head, i)) + F.length(x) + len(END)).cast("long"))
                 spans = let(
-                    _span_starts(lengths),
+                    prefix_sums(lengths, "long"),
                     lambda at: F.transform(
                         text,
                         lambda x, i: F.when(
@@ -123,7 +117,7 @@ def format_turns(turns: Column) -> Column:
 
             return let(heads, lambda head: let(texts, lambda text: joined(head, text)))
 
-        return let(_span_starts(n_media), laid)
+        return let(prefix_sums(n_media, "long"), laid)
 
     return let(attachments, build)
 
@@ -134,7 +128,7 @@ def format_conversations(messages: DataFrame, conv_col: str = "conv_id", turn_co
 
     Rows come in the order of turn, then role, then text; null turns come first. Equal
     rows are turns each. Null ids are a conversation together. A null text or role is an
-    empty one. A message is its parts where parts_col (array of PART) names a column,
+    empty one; very long ones are kept whole. A message is its parts where parts_col (array of PART) names a column,
     else its text. Other columns are left aside; an empty table gives an empty result.
     """
     parts = F.col(parts_col) if parts_col else text_part(F.coalesce(F.col(text_col), F.lit("")))

@@ -87,6 +87,23 @@ def test_ranks_and_library_agree_on_odd_text():
         assert library.encode(t, add_special_tokens=False).ids == ranks.encode(t, allowed_special="all"), repr(t)
 
 
+def test_batches_are_balanced_by_bytes():
+    from stratafs.llm import bpe
+
+    texts = ["é" * 300, "a" * 100, "", "漢" * 1000, "b" * 5] * 7
+    batches = list(bpe.byte_batches(texts, 1000))
+    assert sum(len(p) for _, p in batches) == len(texts) and [t for _, p in batches for t in p] == texts
+    for _, parts in batches[:-1]:
+        sizes = [len(p.encode()) for p in parts]
+        assert sum(sizes) >= 1000 > sum(sizes[:-1])
+
+
+def test_a_text_with_the_separator_counts_alone():
+    texts = ["plain words", f"with {token_counts.SEPARATOR} inside", "", "more <|endoftext|>", token_counts.SEPARATOR]
+    alone = [token_counts._lengths([t], VOCAB, None)[0] for t in texts]
+    assert token_counts._lengths(texts, VOCAB, RANKS) == token_counts._lengths(texts, VOCAB, None) == alone
+
+
 def test_safe_parts_change_no_token():
     from stratafs.llm import bpe
 
@@ -128,6 +145,22 @@ def test_substrings_against_brute_force(docs, rows, empty, hot, monkeypatch):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_rows_without_ids_and_of_one_id_gather_nowhere(spark):
+    """100,000 rows without an id or of the same one: each has its own key, and results are those of brute force."""
+    rng, vocab = random.Random(8), vocabulary(2000)
+    passage = " ".join(rng.choices(vocab, k=25))
+    few = [(None if i % 2 else 7, f"{' '.join(rng.choices(vocab, k=8))} {passage if i % 3 else ''} {i}") for i in range(400)]
+    filler = spark.range(100_000).selectExpr("if(id % 2 = 0, null, 7L) as doc_id", "concat('row ', id) as text")
+    docs = spark.createDataFrame(few, "doc_id long, text string").unionByName(filler)
+    want = brute_repeats(few)
+    got = substrings.remove_repeats(docs, keep=("text",)).where("n_words > 2").collect()
+    assert len(got) == len(few)
+    for r in got:
+        assert (r["n_words"], r["n_removed"], " ".join(words(r["kept"]))) == want[r["doc_id"], r["row"]["text"]]
+    keys = substrings.keyed(docs).groupBy("r").count().agg(F.max("count")).first()[0]
+    assert keys == 1
+
+
 def test_suffix_automaton_matches():
     rng = random.Random(5)
     for _ in range(60):
@@ -496,6 +529,128 @@ def test_names_and_articles_are_evidence_only():
     assert html_text.first_pass(("zxq wvu tsr " * 20, 0.0, False, True, False)) == html_text.OPEN
 
 
+def test_markup_that_is_left_open_loses_no_text():
+    prose = "The house by the sea was old, and it had been there for as long as anyone in the town could remember it."
+    text = html_text.main_text
+    assert text(f"<html><head><meta charset=x><link rel=y><p>{prose}</p></html>") == prose
+    for hidden in ("button", "svg", "object", "canvas", "select", "video"):
+        assert text(f"<div><p>{prose}<{hidden}>x</p><p>{prose}</p></div><p>{prose}</p>") == "\n".join([prose] * 3), hidden
+        assert text(f"<p>{prose} <{hidden}>x</{hidden}> {prose}</p>") == f"{prose} {prose}", hidden
+    assert text(f"<p>{prose}<p>{prose}<svg/>{prose}") == f"{prose}\n{prose}{prose}"
+    assert text(f"<p>{prose}</p><script src=x /> var y </script><p>{prose}</p>") == f"{prose}\n{prose}"
+    assert text("<div>" * 30_000 + "</ul>" * 30_000 + prose) == prose
+
+
+def test_names_count_as_whole_tokens():
+    prose = "The house by the sea was old, and it had been there for as long as anyone in the town could remember it."
+    for name in ("search-results-page", "content ad-free", "shared-memory"):
+        assert html_text.main_text(f'<div class="{name}"><article><h2 id="search">Search</h2><p>{prose}</p></article></div>') == f"Search\n{prose}"
+        assert html_text.main_text(f'<div class="{name}"><p>{prose}</p></div>') == prose
+    for name in ("cookie-notice", "ad", "social-share-buttons", "x related_posts", "newsletter-signup"):
+        assert html_text.main_text(f'<p>{prose}</p><div class="{name}"><p>{prose}</p></div>') == prose
+    assert html_text.main_text(f'<div class="search"><main><p>{prose}</p></main></div><div class=comments><article><p>{prose}</p></article></div>') == prose
+
+
+def test_density_decides_long_blocks():
+    prose = "The house by the sea was old, and it had been there for as long as anyone in the town could remember it. " * 3
+    names = "Zxqaw Wvulo Tsrpe Ponri Mlkab Jihut Gfede Dcbaz Azyxo Xwvut " * 6
+    assert html_text.main_text(f"<p>{prose}</p><div>{names}</div><ul><li><a href=1>{names}</a></ul>").count("\n") == 0
+    assert html_text.main_text(f"<div>{names}</div>") == names.strip()  # no block of the page has stop words
+    linked = "<a href=x>The house by the sea was old, and it had been there for as long as anyone in the town.</a>"
+    assert html_text.main_text(f"<article><p>{prose}</p><p>{linked}</p><p>{prose}</p></article>").count("\n") == 2
+
+
+class Dom(__import__("html.parser").parser.HTMLParser):
+    """A tree of (tag, attributes, children) of well-formed markup."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.root = self.at = ("root", {}, [])
+        self.path = []
+
+    def handle_starttag(self, tag, attrs):
+        node = (tag, dict(attrs), [])
+        self.at[2].append(node)
+        if tag not in ("br", "hr"):
+            self.path.append(self.at)
+            self.at = node
+
+    def handle_endtag(self, tag):
+        assert self.at[0] == tag
+        self.at = self.path.pop()
+
+    def handle_data(self, data):
+        self.at[2].append(data)
+
+
+def dom_blocks(page):
+    """What html_text.blocks() finds, from a tree."""
+    dom = Dom()
+    dom.feed(page)
+    dom.close()
+    out, run = [], []
+
+    def end(state):
+        text = " ".join("".join(t for t, _ in run).split())
+        if text:
+            links = sum(len(" ".join(t.split())) for t, link in run if link)
+            out.append((text, min(1.0, links / len(text)), *state))
+        run.clear()
+
+    def visit(node, state, link):
+        tag, attrs, children = node
+        if tag in html_text.RAW | html_text.HIDDEN:
+            if tag == "title":
+                end(state)
+            return
+        if tag == "br":
+            run.append((" ", False))
+        block = tag in html_text.BLOCKS
+        inner = state
+        if block:
+            end(state)
+            aside, article, other = state
+            words = " ".join(f'{k}="{v}"' for k, v in attrs.items() if v is not None)
+            other = other and not (tag in ("article", "main") and other == html_text.WEAK)
+            aside = aside or tag in html_text.ASIDE or (tag == "header" and not article) or ("hidden" in attrs and tag not in ("article", "main"))
+            weight = html_text.name_weight(tag, words)
+            inner = (aside, article or tag in ("article", "main"), max(state[2] if other else html_text.NONE, weight))
+        for child in children:
+            if isinstance(child, str):
+                run.append((child, link or tag == "a"))
+            else:
+                visit(child, inner, link or tag == "a")
+        if block:
+            end(inner)
+
+    visit(dom.root, (False, False, html_text.NONE), False)
+    return [(t, d, a, b, bool(c)) for t, d, a, b, c in out]
+
+
+def test_blocks_against_a_tree():
+    rng = random.Random(9)
+    names = ["", "", "", ' class="ad"', ' class="content"', ' class="comments"', ' id="related"', ' class="search-box wide"', " hidden"]
+    prose = lambda: " ".join(rng.choices(["the", "sea", "&amp;", "caf&eacute;", "of", "x  y", "1 &lt; 2", "\n"], k=rng.randint(1, 9)))
+
+    def made(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.3:
+            return prose()
+        if kind < 0.4:
+            return f"<a href=/x>{prose()}</a>"
+        if kind < 0.5:
+            return rng.choice(["<br>", f"<b>{prose()}</b>", f"<button>{prose()}</button>", "<script>a < b</script>", f"<svg><path/>{prose()}</svg>"])
+        if kind < 0.65:
+            tag = rng.choice(["p", "h2", "li"])
+            return f"<{tag}>{prose()}</{tag}>"
+        tag = rng.choice(["div", "section", "article", "main", "aside", "header", "footer", "nav", "ul", "blockquote"])
+        return f"<{tag}{rng.choice(names)}>{''.join(made(depth - 1) for _ in range(rng.randint(1, 4)))}</{tag}>"
+
+    for _ in range(400):
+        page = "<html><head><title>t</title></head><body>" + "".join(made(4) for _ in range(4)) + "</body></html>"
+        assert html_text.blocks(page) == dom_blocks(page), page
+
+
 def test_pages_with_odd_rows(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "v", PAGE), (3, "w", "<script>never closed"), (3, "w", "<p>no end <b>of it"), (4, "x", "<" * 5000), (5, "y", "<!-- open " + "a" * 50_000)]
     pages = spark.createDataFrame([(*r, 7) for r in rows], "page_id long, url string, html string, text int")
@@ -513,6 +668,23 @@ def test_texts_as_media_round_trip(docs, rows, empty):
         payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
         want.append((len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:])))
     assert sorted((r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got) == sorted(want)
+    # the stored form and the features, by other means
+    import io
+    import statistics
+    import wave
+
+    want = []
+    for _, t in rows:
+        raw = (t or "").encode()
+        payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(1), w.setsampwidth(1), w.setframerate(media.RATE), w.writeframes(payload)
+        rms = (statistics.fmean(x * x for x in payload)) ** 0.5
+        crossings = sum((a >= 128) != (b >= 128) for a, b in zip(payload, payload[1:]))
+        feature = f"wav8|n={len(payload)}|mean={sum(payload) / len(payload):.4f}|rms={rms:.4f}|crossings={crossings}|embedded="
+        want.append((len(out.getvalue()), hashlib.sha256(out.getvalue()).hexdigest(), feature))
+    assert sorted((r["media_bytes"], r["media_sha256"], r["feature"]) for r in got) == sorted(want)
     assert media.store_texts(empty).count() == 0
 
 
@@ -551,6 +723,35 @@ def test_pdf_ends_and_webp():
     assert media.sniff(webp) == [("image/webp", 0, len(webp))] and media.sniff(webp[:-1]) == []
 
 
+def test_archives_and_streams_end_where_they_end():
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a", "some text")
+        z.writestr("b", "more")
+    archive = out.getvalue()
+    n = len(archive)
+    assert media.sniff(b"ab" + archive + b"cd" + archive) == [("application/zip", 2, n), ("application/zip", 4 + n, n)]
+    assert media.sniff(archive[:-1]) == []
+    page = b"OggS\0" + b"\0" * 21 + b"\1\5abcde"
+    assert media.sniff(page * 3 + page[:-2]) == [("audio/ogg", 0, 3 * len(page))]
+    flac = b"fLaC\0\0\0\x22" + b"\1" * 34 + b"\x84\0\0\2xy" + b"\xff\xf8frames"
+    assert media.sniff(flac) == [("audio/flac", 0, 48)]
+    assert media.sniff(b"x" + flac) == media.sniff(flac[:-8]) == []
+
+
+@pytest.mark.parametrize("magic", [b"PK\3\4", b"PK\5\6" + b"\0" * 18 + b"PK\3\4", b"%PDF-1.4 ", b"%PDF-1.4 startxref 0 %%EOF ", b"\xff\xd8\xff\xda\0\2", b"\x89PNG\r\n\x1a\n",
+                                   b"OggS\0" + b"\0" * 21 + b"\1\5abcde", b"fLaC\0\0\0\x22", b"GIF89a"])
+def test_long_values_of_one_magic_take_linear_time(magic):
+    import time
+
+    began = time.perf_counter()
+    media.sniff(magic * (10_000_000 // len(magic)))
+    assert time.perf_counter() - began < 60
+
+
 # 9
 def brute_quality(text):
     t = text or ""
