@@ -70,6 +70,10 @@ credentials*
 """
 
 
+#: The two headers that ignore files know.
+SECTIONS = {"[catalog]": "cataloged", "[no-embed]": "none"}
+
+
 @dataclass(frozen=True)
 class Rule:
     regex: str  # over the path relative to the rule's directory, without a leading slash
@@ -112,8 +116,7 @@ def _segment(glob: str) -> str:
 
 def compile_rule(line: str) -> Rule | None:
     """One line of an ignore file, with the meaning it has in a .gitignore; None for comments and blanks."""
-    text = line.rstrip("\n")
-    text = text if text.endswith("\\ ") else text.rstrip()
+    text = line.strip() + (" " if line.rstrip("\r\n").endswith("\\ ") else "")
     if not text or text.startswith("#"):
         return None
     negated = text.startswith("!")
@@ -136,12 +139,11 @@ def compile_rule(line: str) -> Rule | None:
 
 
 def parse_rules(text: str, base: str = "/") -> Rules:
-    """Sections: rules before any are ignored ones, then [catalog]; those of [no-embed] are read and left aside."""
+    """Sections: rules before any are ignored ones, then [catalog]; those of [no-embed] are read and left aside. Other brackets are globs."""
     rules, section = Rules(base.rstrip("/") or "/"), "ignored"
     for line in text.splitlines():
-        name = line.strip()
-        if re.fullmatch(r"\[[a-z-]+\]", name):
-            section = {"[catalog]": "cataloged", "[no-embed]": "none", "[ignore]": "ignored"}.get(name, "none")
+        if line.strip() in SECTIONS:
+            section = SECTIONS[line.strip()]
         elif section != "none" and (rule := compile_rule(line)):
             getattr(rules, section).append(rule)
     return rules
