@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import re
 
+from .text import FOLD
+
 
 def glob_to_like(glob: str, home: str | None = None) -> str:
     r"""A LIKE pattern (escape \) for a glob of * and ?; one without wildcards matches anywhere."""
@@ -15,7 +17,7 @@ def glob_to_like(glob: str, home: str | None = None) -> str:
 
 def search_terms(query: str) -> list[list[str]]:
     """The phrases of a query: its words at white space, each as tokens that must follow one another."""
-    return [t for word in query.split() if (t := re.findall(r"[^\W_]+", word.lower()))]
+    return [t for word in query.split() if (t := re.findall(r"[^\W_]+", word.lower().translate(FOLD)))]
 
 
 def quoted_terms(query: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,5 +102,21 @@ def truncated(text: Column, most: int) -> Column:
     return F.when(F.octet_length(text) <= most, text).otherwise(F.substring(raw, F.lit(1), cut).cast("string"))
 
 
+def _folding() -> tuple[str, str]:
+    """Small letters of the Latin blocks that are a base letter and marks, and their base letters."""
+    pairs = [(chr(c), d[0]) for c in (*range(0xDF, 0x250), *range(0x1E00, 0x1F00)) if len(d := unicodedata.normalize("NFD", chr(c))) > 1 and d[0].islower() and d[0].isascii()]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+ACCENTED, BASES = _folding()
+FOLD = str.maketrans(ACCENTED, BASES)
+
+
+def folded(text: Column) -> Column:
+    """text in lower case and without accents."""
+    low = F.lower(text)
+    return F.when(low.rlike("[\u00df-\u024f\u1e00-\u1eff]"), F.translate(low, ACCENTED, BASES)).otherwise(low)
+
+
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(folded(text), F.lit(TOKEN), F.lit(0))

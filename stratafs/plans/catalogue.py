@@ -87,7 +87,7 @@ def snk_body_backfill(spark, d):
     return diff.next_documents(old, new)
 
 
-_TOKENS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+_TOKENS = "regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+')"
 _DOC_TOKENS = f"(SELECT content_hash, {_TOKENS} AS t FROM (SELECT content_hash, min_by(text, id) AS text FROM files_v GROUP BY content_hash) one_text)"
 
 
