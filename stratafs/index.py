@@ -13,10 +13,12 @@ from .functions.paths import extension_label
 from .functions.patterns import glob_to_like, search_terms
 from .operators import diff, feed, policy, predicates, reports, search
 from .sources.store import Store
-from .sources.walk import read_contents, stat_files, walk
+from .sources.walk import find_files, read_contents, walk
 from .streaming.apply import affected
 
-STALE_SECONDS = 3600
+STALE_SECONDS, FULL_SECONDS = 3600, 86_400
+#: What a keyword search looks at.
+SEARCHED = ["title", "topic_text", "summary", "search_text"]
 
 
 class Index:
@@ -34,18 +36,28 @@ class Index:
         """Bring the index up to date and return the scan's events.
 
         Contents are read only where size or mtime changed. A scan of some roots retires
-        only paths below those, unless retire_all. A failed scan leaves the last state.
+        only paths below those, unless retire_all. A scan that fails leaves the last state
+        and a failed run; one that another writer overtakes raises CommitConflict.
         """
         roots = roots or self.roots
         now = now if now is not None else int(datetime.now(UTC).timestamp())
-        generation = self.store.state()["generation"] + 1
-        documents, paths = self.store.table("documents"), self.store.table("paths")
+        run = self._begin(now)
+        try:
+            self._scan(self.store.state(), roots, now, run, retire_all)
+        except Exception as e:
+            self._end(run, now, "failed", None, str(e)[:500])
+            raise
+        return self.store.table("events").where(F.col("scan_id") == run)
+
+    def _scan(self, base: dict, roots: list[str], now: int, run: int, retire_all: bool) -> None:
+        table = lambda name: self.store.table(name, base)
+        documents, paths, log = table("documents"), table("paths"), table("events")
         active = paths.where("disappeared is null")
-        walked = walk(self.spark, roots, self.user_rules, self.home)
-        files = diff.needs_hash(walked.where("catalog_dir is null").drop("catalog_dir"), active).persist()
-        changed = files.where("needs_hash").select("path", "size_bytes")
-        read = read_contents(changed, self.most_bytes).join(changed, "path")
-        fresh = extract.document_rows(read, self.search_bytes).persist()
+        # the tree and its contents are read once: all tables of a generation come from what was written then
+        walked = self.store.draft("walk", walk(self.spark, roots, self.user_rules, self.home))
+        files = diff.needs_hash(walked.where("catalog_dir is null").drop("catalog_dir"), active)
+        read = read_contents(files.where("needs_hash"), self.most_bytes)
+        fresh = self.store.draft("fresh", extract.document_rows(read, self.search_bytes))
         bodies = documents.select("content_hash", F.col("body_hash").alias("known_body"))
         cur = (
             files.join(fresh.select("path", F.col("content_hash").alias("new_hash"), "full_body"), "path", "left")
@@ -60,73 +72,141 @@ class Index:
             inside = F.lit(False)
             for root in scope:
                 inside = inside | (F.col("path") == root) | F.col("path").startswith(root.rstrip("/") + "/")
-            prev_in = prev.where(inside)
-        else:
-            prev_in = prev
-        log = self.store.table("events")
-        last = log.agg(F.max("id")).first()[0] or 0
-        events = feed.numbered(
-            diff.events_of(prev_in, cur).withColumn("timestamp", F.timestamp_seconds(F.lit(now))).withColumn("scan_id", F.lit(generation).cast("bigint")), last, ["path", "event_type"]
-        )
-        new_docs = fresh.withColumn("first_seen", F.timestamp_seconds(F.lit(now))).select("path", *documents.columns)
+            prev = prev.where(inside)
+        found = diff.events_of(prev, cur).withColumn("timestamp", F.timestamp_seconds(F.lit(now))).withColumn("scan_id", F.lit(run).cast("bigint"))
         dirs = walked.where("catalog_dir is not null").groupBy(F.col("catalog_dir").alias("path")).agg(F.sum("size_bytes").alias("total_bytes"), F.count(F.lit(1)).alias("file_count"))
-        runs = self.store.table("scan_runs")
-        seen = cur.count()
-        stamp = datetime.fromtimestamp(now, UTC)
-        run = self.spark.createDataFrame([(generation, stamp, stamp, "complete", seen, None)], runs.schema)
-        columns = log.columns
+        runs = table("scan_runs")
+        ended = F.col("id") == run
+        runs = (
+            runs.withColumn("status", F.when(ended, F.lit("complete")).otherwise(F.col("status")))
+            .withColumn("finished_at", F.when(ended, F.timestamp_seconds(F.lit(now))).otherwise(F.col("finished_at")))
+            .withColumn("files_seen", F.when(ended, F.lit(cur.count()).cast("bigint")).otherwise(F.col("files_seen")))
+        )
         self.store.commit(
-            documents=diff.next_documents(documents, new_docs),
-            paths=diff.next_paths(paths, cur, generation, now, scope),
-            catalog=diff.next_catalog(self.store.table("catalog"), dirs),
-            events=log.unionByName(events.select(*columns)),
-            scan_runs=runs.unionByName(run),
+            base,
+            append={"events": self._numbered(found, log), **self._indexed(documents, fresh)},
+            documents=diff.next_documents(documents, self._seen(fresh, documents, now)),
+            paths=diff.next_paths(paths, cur, run, now, scope),
+            catalog=diff.next_catalog(table("catalog"), dirs),
+            scan_runs=runs,
         )
-        files.unpersist()
-        fresh.unpersist()
-        return self.store.table("events").where(F.col("scan_id") == generation)
+
+    def _numbered(self, found: DataFrame, log: DataFrame) -> DataFrame:
+        last = log.agg(F.max("id")).first()[0] or 0
+        return feed.numbered(found, last, ["path", "event_type"], lambda df: self.store.draft("events", df)).select(*log.columns)
+
+    @staticmethod
+    def _seen(fresh: DataFrame, documents: DataFrame, now: int) -> DataFrame:
+        return fresh.withColumn("first_seen", F.timestamp_seconds(F.lit(now))).select("path", *documents.columns)
+
+    @staticmethod
+    def _indexed(documents: DataFrame, fresh: DataFrame) -> dict[str, DataFrame]:
+        """Postings and lengths of the contents that aren't known yet."""
+        new = fresh.where("not is_binary").join(documents.select("content_hash"), "content_hash", "left_anti")
+        # title and summary go by the least path, as in documents
+        one = new.groupBy("content_hash").agg(F.min(F.struct("path", "title", F.array_join("topics", " ").alias("topic_text"), "summary", "search_text")).alias("d")).select("content_hash", "d.*")
+        placed, lengths = search.index_rows(one, "content_hash", SEARCHED)
+        return {"postings": placed, "lengths": lengths}
+
+    # ---- runs and requests
+
+    def _begin(self, now: int) -> int:
+        """A new run that is under way; its number."""
+        base = self.store.state()
+        runs = self.store.table("scan_runs", base)
+        run = (runs.agg(F.max("id")).first()[0] or 0) + 1
+        self.store.commit(base, append={"scan_runs": self.spark.createDataFrame([(run, datetime.fromtimestamp(now, UTC), None, "running", None, None)], runs.schema)})
+        return run
+
+    def _end(self, run: int, now: int, status: str, seen: int | None, error: str | None) -> None:
+        base = self.store.state()
+        runs = self.store.table("scan_runs", base)
+        others = runs.where(F.col("id") != run)
+        begun = runs.where(F.col("id") == run).first()
+        row = (run, begun["started_at"] if begun else None, datetime.fromtimestamp(now, UTC), status, seen, error)
+        self.store.commit(base, scan_runs=others.unionByName(self.spark.createDataFrame([row], runs.schema)))
+
+    def request(self, kind: str = "full", roots: list[str] | None = None, now: int | None = None) -> int:
+        """Put a scan into the queue; its request's number."""
+        now = now if now is not None else int(datetime.now(UTC).timestamp())
+        base = self.store.state()
+        queue = feed.enqueue(self.store.table("scan_requests", base), kind, roots, datetime.fromtimestamp(now, UTC))
+        self.store.commit(base, scan_requests=queue)
+        return self.store.table("scan_requests").agg(F.max("id")).first()[0]
+
+    def drain(self, now: int | None = None) -> int:
+        """Run the requests that wait, oldest first, one at a time; how many ran."""
+        n = 0
+        while True:
+            at = now if now is not None else int(datetime.now(UTC).timestamp())
+            stamp = datetime.fromtimestamp(at, UTC)
+            base = self.store.state()
+            first, claimed = feed.claim(self.store.table("scan_requests", base), stamp)
+            if first is None:
+                return n
+            roots = claimed.where(F.col("id") == first).first()["root"]
+            self.store.commit(base, scan_requests=claimed)
+            error = run = None
+            try:
+                self.scan(roots or None, at)
+            except Exception as e:  # noqa: BLE001  the request keeps it
+                error = str(e)[:500]
+            run = self.store.table("scan_runs").agg(F.max("id")).first()[0]
+            base = self.store.state()
+            self.store.commit(base, scan_requests=feed.finish(self.store.table("scan_requests", base), first, stamp, run, error))
+            n += 1
+
+    def recover(self, reason: str = "the process ended") -> None:
+        """Mark what a process that ended has left running as failed."""
+        base = self.store.state()
+        self.store.commit(base, **{name: feed.recovered(self.store.table(name, base), reason) for name in ("scan_runs", "scan_requests")})
+
+    def due(self, now: int, every: int = FULL_SECONDS) -> bool:
+        """Whether the last complete scan is so long ago that a periodic one is due."""
+        last = self.store.table("scan_runs").where("status = 'complete'").agg(F.unix_seconds(F.max("finished_at"))).first()[0]
+        return last is None or now - last >= every
 
     def apply(self, flushes: DataFrame, now: int) -> DataFrame:
         """Bring the paths of debounced changes (key, kind, from_key, flush_ms) up to date and return their events.
 
-        New paths are created: only a scan sees enough to call them moved or copied.
+        Ignore files of directories hold as in a scan. A directory that has appeared is
+        walked, and what lay below one that has gone is retired. New paths are created:
+        only a scan sees enough to call them moved or copied.
         """
-        touched = affected(flushes).persist()
-        rules = [policy.default_rules("/"), *([policy.parse_rules(self.user_rules, self.home)] if self.user_rules else [])]
-        open_to_index = policy.tree_tier(rules, F.col("path")) == policy.INDEXED
-        files = stat_files(touched.where("present").where(open_to_index).select("path"), self.roots).persist()
-        read = read_contents(files, self.most_bytes).join(files.select("path", "size_bytes"), "path")
-        fresh = extract.document_rows(read, self.search_bytes).persist()
+        base = self.store.state()
+        documents, paths, log = (self.store.table(name, base) for name in ("documents", "paths", "events"))
+        named = self.store.draft("touched", affected(flushes))
+        files = self.store.draft("files", find_files(named.where("present"), self.roots, self.user_rules, self.home))
+        below = reports.under(paths.where("disappeared is null").select("path").distinct(), named.where("not present").select("path"), "left_semi")
+        touched = named.select("path").unionByName(files.select("path")).unionByName(below).distinct()
+        fresh = self.store.draft("fresh", extract.document_rows(read_contents(files, self.most_bytes), self.search_bytes))
         cur = files.join(fresh.select("path", "content_hash", F.col("full_body").alias("body_hash")), "path")
-        documents, paths, log = self.store.table("documents"), self.store.table("paths"), self.store.table("events")
-        mine = paths.join(touched.select("path"), "path", "left_semi")
+        mine = paths.join(touched, "path", "left_semi")
         bodies = documents.select("content_hash", "body_hash")
         prev = mine.where("disappeared is null").join(bodies, "content_hash", "left").select("path", "content_hash", "body_hash")
         found = diff.events_of(prev, cur, resolve=False).withColumn("timestamp", F.timestamp_seconds(F.lit(now))).withColumn("scan_id", F.lit(None).cast("bigint"))
         last = log.agg(F.max("id")).first()[0] or 0
-        events = feed.numbered(found, last, ["path", "event_type"]).select(*log.columns)
-        generation = self.store.state()["generation"] + 1
-        changed = diff.next_paths(mine, cur, generation, now).select(*paths.columns)
+        run = self.store.table("scan_runs", base).agg(F.max("id")).first()[0] or 0
+        changed = diff.next_paths(mine, cur, run, now).select(*paths.columns)
         self.store.commit(
-            documents=diff.next_documents(documents, fresh.withColumn("first_seen", F.timestamp_seconds(F.lit(now))).select("path", *documents.columns)),
-            paths=paths.join(touched.select("path"), "path", "left_anti").select(*paths.columns).unionByName(changed),
-            events=log.unionByName(events),
+            base,
+            append={"events": self._numbered(found, log), **self._indexed(documents, fresh)},
+            documents=diff.next_documents(documents, self._seen(fresh, documents, now)),
+            paths=paths.join(touched, "path", "left_anti").select(*paths.columns).unionByName(changed),
         )
-        for df in (touched, files, fresh):
-            df.unpersist()
         return self.store.table("events").where(F.col("id") > last)
 
     def prune(self, before: datetime) -> int:
         """Drop events older than a time; how many went."""
-        events = self.store.table("events")
+        base = self.store.state()
+        events = self.store.table("events", base)
         kept = feed.retained(events, F.lit(before))
         n = events.count() - kept.count()
-        self.store.commit(events=kept)
+        self.store.commit(base, events=kept)
         return n
 
     def log_read(self, row: dict) -> None:
-        audit = self.store.table("read_audit")
-        self.store.commit(read_audit=audit.unionByName(self.spark.createDataFrame([row], audit.schema)))
+        self.store.commit(append={"read_audit": self.spark.createDataFrame([row], self.store.table("read_audit").schema)})
 
     # ---- reading
 
@@ -136,15 +216,16 @@ class Index:
         return p.join(d, "content_hash")
 
     def find(self, query: str, k: int = 10) -> DataFrame:
-        """Ranked keyword search over titles, topics and summaries of all contents ever seen.
+        """Ranked keyword search over titles, topics, summaries and texts of all contents ever seen.
 
-        All words have to occur; a lower rank is better. Bodies aren't stored; search them with
-        operators.search over the texts themselves.
+        All words have to occur; a lower rank is better. Reads the postings of the query's
+        words, not the documents.
         """
-        docs = self.store.table("documents").where("not is_binary").withColumn("topic_text", F.array_join("topics", " "))
-        ranked = search.bm25(docs, "content_hash", ["title", "topic_text", "summary"], search_terms(query)).orderBy("rank", "content_hash").limit(k)
-        full = ranked.join(docs.select("content_hash", "title", "summary", "topics"), "content_hash")
-        return search.any_path(full, self.store.table("paths")).orderBy("rank", "content_hash")
+        state = self.store.state()
+        documents, placed, lengths, paths = (self.store.table(name, state) for name in ("documents", "postings", "lengths", "paths"))
+        best = search.ranked(placed, lengths, "content_hash", search_terms(query)).orderBy("rank", "content_hash").limit(k)
+        full = best.join(documents.select("content_hash", "title", "summary", "topics"), "content_hash")
+        return search.any_path(full, paths).orderBy("rank", "content_hash")
 
     def find_path(self, glob: str, most: int = 200) -> DataFrame:
         return predicates.largest(self._active().where(predicates.like_ci(F.col("path"), glob_to_like(glob, self.home))), most)
@@ -193,7 +274,7 @@ class Index:
         return {
             "status": "ok", "roots": self.roots, "total_paths_all": p[0], "total_active_paths": p[1], "total_indexed": p[1],
             "total_documents": self.store.table("documents").count(), "total_cataloged": self.store.table("catalog").count(),
-            "last_scan": run[0], "is_stale": run[1] is not None and now - run[1] > STALE_SECONDS,
+            "total_searchable": self.store.table("lengths").count(), "last_scan": run[0], "is_stale": run[1] is not None and now - run[1] > STALE_SECONDS,
         }
 
     def events_since(self, cursor: int, limit: int = 100) -> feed.Page:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST = 1000
@@ -57,20 +57,19 @@ def retained(rows: DataFrame, cutoff, column: str = "timestamp") -> DataFrame:
     return rows.where(F.col(column) >= cutoff)
 
 
-def numbered(new: DataFrame, last_id: int, order: list[str]) -> DataFrame:
+def numbered(new: DataFrame, last_id: int, order: list[str], hold=DataFrame.persist) -> DataFrame:
     """new events with ids from last_id + 1 on, in order.
 
-    Rows are sorted by range and counted by part, so no task numbers them all.
+    Rows are sorted by range and counted by part, so no task numbers them all. hold keeps
+    the sorted rows between the counting and the numbering; where executors may be lost
+    it has to write them.
     """
-    ordered = new.orderBy(*order).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()).persist()
-    sizes = {r["part"]: r["n"] for r in ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a partition
-    before, total = {}, last_id
-    for part in sorted(sizes):
-        before[part] = total
-        total += sizes[part]
-    pairs = [F.lit(x) for part, n in before.items() for x in (part, n)] or [F.lit(0), F.lit(last_id)]
-    start = F.element_at(F.create_map(*pairs), F.col("part")).cast("bigint")
-    return ordered.withColumn("id", start + (F.col("at") - F.shiftleft(F.col("part").cast("bigint"), 33)) + 1).drop("part", "at")
+    held = hold(new.orderBy(*order).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
+    sizes = held.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row a partition
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("part", before.alias("start"))
+    within = F.col("at") - F.shiftleft(F.col("part").cast("bigint"), 33)
+    return held.join(F.broadcast(starts), "part").withColumn("id", (F.col("start") + within + last_id + 1).cast("bigint")).select("id", *new.columns)
 
 
 # ---- the queue: a few rows, rewritten by the driver

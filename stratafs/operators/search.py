@@ -57,12 +57,61 @@ def bm25(docs: DataFrame, key: str, columns: list[str], phrases: list[list[str]]
         *(F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(n)),
     )
     joined = counted.where(reduce(lambda a, b: a & b, (F.col(f"f{i}") > 0 for i in range(n)))).join(F.broadcast(corpus))  # one row
+    return joined.select(key, _rank(n).alias("rank"))
+
+
+def _rank(n: int) -> Column:
+    """The negated BM25 sum over f0, f1, ... of a row with length, docs, mean and n0, n1, ..."""
+
     def part(i: int) -> Column:
         idf = F.greatest(F.log((F.col("docs") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5)), F.lit(LEAST_IDF))
         f = F.col(f"f{i}")
         return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.col("mean")))
 
-    return joined.select(key, (-reduce(lambda a, b: a + b, map(part, range(n)))).alias("rank"))
+    return -reduce(lambda a, b: a + b, map(part, range(n)))
+
+
+# ---- over stored postings
+
+#: Parts by token in which postings are stored.
+BUCKETS = 64
+
+
+def bucket(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
+
+def index_rows(docs: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) to store: (key, column, token, positions, bucket) and (key, length), the tokens of a document."""
+    each = postings(docs, key, columns)
+    placed = each.groupBy(key, "column", "token").agg(F.sort_array(F.collect_list("pos")).alias("positions"))  # of one document
+    total = reduce(lambda a, b: a + b, (F.size(tokens(F.coalesce(F.col(c).cast("string"), F.lit("")))) for c in columns))
+    return placed.withColumn("bucket", bucket(F.col("token"))), docs.select(key, total.cast("bigint").alias("length"))
+
+
+def ranked(stored: DataFrame, lengths: DataFrame, key: str, phrases: list[list[str]]) -> DataFrame:
+    """bm25() from stored postings: of those only the query's tokens are read, and of the lengths one number a document."""
+    if not phrases:
+        return lengths.select(key, F.lit(0.0).alias("rank")).limit(0)
+    words = sorted({w for p in phrases for w in p})
+    spark = stored.sparkSession
+    places = spark.range(1).select(*(bucket(F.lit(w)) for w in words)).first()
+    mine = stored.where(F.col("bucket").isin(*set(places)) & F.col("token").isin(*words))
+    # one row a document and column, with the positions of each of the few words
+    by_column = mine.groupBy(key, "column").agg(*(F.first(F.when(F.col("token") == w, F.col("positions")), ignorenulls=True).alias(f"w{i}") for i, w in enumerate(words)))
+
+    def times(phrase: list[str]) -> Column:
+        """How often a phrase stands in the column: the positions of its first word that the others follow."""
+        back = lambda w, k: F.transform(F.col(f"w{words.index(w)}"), lambda x: x - k)
+        shifted = [back(w, k) for k, w in enumerate(phrase)]
+        return F.coalesce(F.size(reduce(F.array_intersect, shifted)), F.lit(0))
+
+    counted = by_column.groupBy(key).agg(*(F.sum(F.when(reduce(lambda a, b: a & b, (F.col(f"w{words.index(w)}").isNotNull() for w in p)), times(p)).otherwise(0)).alias(f"f{i}") for i, p in enumerate(phrases)))
+    n = len(phrases)
+    having = counted.agg(*(F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(n)))
+    corpus = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))
+    hits = counted.where(reduce(lambda a, b: a & b, (F.col(f"f{i}") > 0 for i in range(n))))
+    return hits.join(lengths, key).join(F.broadcast(having)).join(F.broadcast(corpus)).select(key, _rank(n).alias("rank"))  # one row each
 
 
 def any_path(hits: DataFrame, paths: DataFrame) -> DataFrame:

@@ -28,3 +28,5 @@ SCAN_REQUESTS = _table(
 )
 SCAN_RUNS = _table(id="bigint", started_at="timestamp", finished_at="timestamp", status="string", files_seen="bigint", error="string")
 READ_AUDIT = _table(path="string", content_hash="string", timestamp="timestamp", caller="string")
+POSTINGS = _table(content_hash="string", column="string", token="string", positions="array<int>", bucket="int")
+LENGTHS = _table(content_hash="string", length="bigint")

@@ -1,9 +1,11 @@
-"""The index on disk: immutable generations of Parquet tables and a pointer to the current one."""
+"""The index on disk: immutable generations of Parquet tables, each with a pointer file."""
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -14,14 +16,27 @@ TABLES: dict[str, str] = {
     "documents": schema.DOCUMENTS, "paths": schema.PATHS, "events": schema.EVENTS, "catalog": schema.CATALOG,
     "scan_requests": schema.SCAN_REQUESTS, "scan_runs": schema.SCAN_RUNS, "read_audit": schema.READ_AUDIT,
 }
+TABLES["postings"], TABLES["lengths"] = schema.POSTINGS, schema.LENGTHS
+#: Tables that are laid out by a column, so that a query reads a few of its values only.
+BY: dict[str, str] = {"postings": "bucket"}
 HASH = "sha256"
+#: Parts of a table from which on the next append rewrites it as one.
+MOST_PARTS = 64
+_POINTER = re.compile(r"_gen-(\d{12})\.json")
+
+
+class CommitConflict(Exception):
+    """Another writer has committed since the state was read."""
 
 
 class Store:
     """Tables under a folder of any file system that Spark reads.
 
-    A generation is written in full, then the pointer is renamed into place, so readers
-    see the old or the new one. Tables that a commit doesn't name stay where they are.
+    Data are written first, then a pointer file of the next number that nobody has
+    written yet; the newest pointer that is complete counts. So a commit that fails at
+    any step leaves readers the last state, and of two writers that began with one state
+    the later fails. Tables that a commit doesn't name stay where they are; appended rows
+    are parts beside the ones before.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -30,44 +45,94 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _read(self, name: str) -> str | None:
-        path = self._path(f"{self.folder}/{name}")
-        if not self._fs.exists(path):
-            return None
-        stream = self._fs.open(path)
+    def _pointers(self) -> list[int]:
+        """The numbers of all pointers, complete or not, newest first."""
+        folder = self._path(self.folder)
+        names = [x.getPath().getName() for x in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return sorted((int(m[1]) for m in map(_POINTER.fullmatch, names) if m), reverse=True)
+
+    def _name(self, number: int):
+        return self._path(f"{self.folder}/_gen-{number:012d}.json")
+
+    def _read(self, number: int) -> dict | None:
+        stream = self._fs.open(self._name(number))
         try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        except json.JSONDecodeError:
+            return None  # its writer stopped before the end
         finally:
             stream.close()
 
     def state(self) -> dict:
-        return json.loads(self._read("_CURRENT") or f'{{"generation": 0, "hash": "{HASH}", "tables": {{}}}}')
+        """The newest complete state; `next` is the number of the pointer that would follow it."""
+        numbers = self._pointers()
+        found = next((state for n in numbers if (state := self._read(n))), {"generation": 0, "hash": HASH, "tables": {}})
+        return {**found, "next": (numbers[0] if numbers else 0) + 1}
 
-    def table(self, name: str) -> DataFrame:
-        state = self.state()
+    def table(self, name: str, state: dict | None = None) -> DataFrame:
+        state = state or self.state()
         if state["hash"] != HASH:
             raise ValueError(f"the store holds {state['hash']} hashes")
-        where = state["tables"].get(name)
+        parts = state["tables"].get(name)
         reader = self.spark.read.schema(TABLES[name])
-        return reader.parquet(f"{self.folder}/{where}") if where else self.spark.createDataFrame([], TABLES[name])
+        if not parts:
+            return self.spark.createDataFrame([], TABLES[name])
+        return reduce(DataFrame.unionByName, (reader.parquet(f"{self.folder}/{p}") for p in parts)) if name in BY else reader.parquet(*(f"{self.folder}/{p}" for p in parts))
+
+    def draft(self, name: str, df: DataFrame) -> DataFrame:
+        """df written beside the tables and read again, so that all that follows sees the same rows."""
+        where = f"{self.folder}/drafts/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(where)
+        return self.spark.read.schema(df.schema).parquet(where)
+
+    def _write(self, name: str, df: DataFrame, generation: int) -> str:
+        where = f"gen={generation}/{name}-{uuid.uuid4().hex}"
+        wanted = T.StructType.fromDDL(TABLES[name])
+        rows = df.select(*(df[f.name].cast(f.dataType) for f in wanted))
+        if name in BY:
+            rows.repartition(BY[name]).write.partitionBy(BY[name]).parquet(f"{self.folder}/{where}")
+        else:
+            rows.write.parquet(f"{self.folder}/{where}")
+        return where
 
-    def commit(self, **tables: DataFrame) -> int:
-        """Write the named tables as the next generation and make it current."""
-        state = self.state()
-        generation = state["generation"] + 1
+    def commit(self, base: dict | None = None, append: dict[str, DataFrame] | None = None, **tables: DataFrame) -> int:
+        """Write the named tables, and rows to append to others, as what follows base (the state now, if none is given)."""
+        base = base or self.state()
+        state = {"generation": base["generation"] + 1, "hash": base["hash"], "tables": dict(base["tables"])}
+        for name, df in (append or {}).items():
+            parts = base["tables"].get(name, [])
+            if len(parts) >= MOST_PARTS:
+                tables[name] = self.table(name, base).unionByName(df.select(*T.StructType.fromDDL(TABLES[name]).names))
+            else:
+                state["tables"][name] = [*parts, self._write(name, df, state["generation"])]
         for name, df in tables.items():
-            where = f"gen={generation}/{name}-{uuid.uuid4().hex}"
-            wanted = T.StructType.fromDDL(TABLES[name])
-            df.select(*(df[f.name].cast(f.dataType) for f in wanted)).write.parquet(f"{self.folder}/{where}")
-            state["tables"][name] = where
-        state["generation"] = generation
-        draft = self._path(f"{self.folder}/_CURRENT.{uuid.uuid4().hex}")
-        out = self._fs.create(draft)
-        out.write(bytearray(json.dumps(state).encode()))
-        out.close()
-        current = self._path(f"{self.folder}/_CURRENT")
-        if self._fs.exists(current):
-            self._fs.delete(current, False)
-        if not self._fs.rename(draft, current):
-            raise OSError("the pointer could not be moved into place")
-        return generation
+            state["tables"][name] = [self._write(name, df, state["generation"])]
+        self._point(base["next"], state)
+        return state["generation"]
+
+    def _point(self, number: int, state: dict) -> None:
+        try:
+            out = self._fs.create(self._name(number), False)
+        except Exception as e:  # of the JVM: the file is there
+            if self._fs.exists(self._name(number)):
+                raise CommitConflict(f"generation {state['generation']} was committed by another writer") from e
+            raise
+        try:
+            out.write(bytearray(json.dumps(state).encode()))
+        finally:
+            out.close()
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Remove what none of the newest `keep` complete states needs; how many folders and pointers went. No writer may be at work."""
+        numbers = self._pointers()
+        kept = [n for n in numbers if self._read(n)][:keep]
+        needed = {p for n in kept for parts in self._read(n)["tables"].values() for p in parts}
+        gone = [self._name(n) for n in numbers if kept and n < kept[-1]]
+        for top in ("gen=*", "drafts"):
+            for part in self._fs.globStatus(self._path(f"{self.folder}/{top}/*")) or []:
+                name = f"{part.getPath().getParent().getName()}/{part.getPath().getName()}"
+                if name not in needed:
+                    gone.append(part.getPath())
+        for path in gone:
+            self._fs.delete(path, True)
+        return len(gone)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import stat
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,8 @@ from ..operators import policy
 
 WALK = "path string, root string, mtime bigint, size_bytes bigint, inode bigint, dev bigint, catalog_dir string"
 IGNORE_FILE = ".indexignore"
+#: Bytes in which a zero byte makes a file binary.
+SNIFF = 8192
 
 
 class _Top(InputPartition):
@@ -97,7 +101,7 @@ class WalkReader(DataSourceReader):
 
 
 class WalkSource(DataSource):
-    """Format "filetree". Options: roots (colon-separated), user_rules, home. A partition for each top directory.
+    """Format "filetree". Options: roots (a JSON list), user_rules, home. A partition for each top directory.
 
     Links aren't followed; what isn't a regular file is left out. Files below a cataloged
     directory come with that directory in catalog_dir.
@@ -111,22 +115,23 @@ class WalkSource(DataSource):
         return WALK
 
     def reader(self, schema) -> WalkReader:
-        return WalkReader(self.options["roots"].split(":"), self.options.get("user_rules", ""), self.options.get("home", "/"))
+        return WalkReader(json.loads(self.options["roots"]), self.options.get("user_rules", ""), self.options.get("home", "/"))
 
 
 def walk(spark: SparkSession, roots: list[str], user_rules: str = "", home: str = "/") -> DataFrame:
     spark.dataSource.register(WalkSource)
-    return spark.read.format("filetree").option("roots", ":".join(roots)).option("user_rules", user_rules).option("home", home).load()
+    return spark.read.format("filetree").option("roots", json.dumps(roots)).option("user_rules", user_rules).option("home", home).load()
 
 
-READ = "path string, content_hash string, content binary, is_large boolean"
+READ = "path string, size_bytes bigint, content_hash string, content binary, is_large boolean"
 
 
 def read_contents(walked: DataFrame, most_bytes: int = 524_288_000) -> DataFrame:
-    """(path, content_hash, content, is_large) of the files that need a hash, in file order of each task.
+    """(path, size_bytes, content_hash, content, is_large) of the files that need a hash, in file order of each task.
 
-    Files above most_bytes are hashed in a stream and have no content. Unreadable ones
-    give no row. Files are dealt by size beforehand where sizes differ much.
+    Only texts have a content: files above most_bytes, and those with a zero byte among
+    their first SNIFF, are hashed in a stream. Unreadable ones give no row. Files are
+    dealt by size beforehand where sizes differ much.
     """
 
     def run(batches):
@@ -134,7 +139,9 @@ def read_contents(walked: DataFrame, most_bytes: int = 524_288_000) -> DataFrame
             for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
                     with open(path, "rb") as f:
-                        if size is not None and size > most_bytes:
+                        head = f.read(SNIFF)
+                        f.seek(0)
+                        if b"\0" in head or (size is not None and size > most_bytes):
                             digest, content = hashlib.file_digest(f, "sha256").hexdigest(), None
                         else:
                             content = f.read()
@@ -142,29 +149,56 @@ def read_contents(walked: DataFrame, most_bytes: int = 524_288_000) -> DataFrame
                 except OSError:
                     continue
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([path]), pa.array([digest]), pa.array([content], pa.binary()), pa.array([content is None])],
-                    ["path", "content_hash", "content", "is_large"],
+                    [pa.array([path]), pa.array([size], pa.int64()), pa.array([digest]), pa.array([content], pa.binary()), pa.array([content is None])],
+                    ["path", "size_bytes", "content_hash", "content", "is_large"],
                 )
 
     return walked.select("path", "size_bytes").mapInArrow(run, READ)
 
 
-def stat_files(paths: DataFrame, roots: list[str]) -> DataFrame:
-    """(path, root, mtime, size_bytes, inode, dev) of the paths that are regular files below a root now; links aren't followed."""
+def find_files(paths: DataFrame, roots: list[str], user_rules: str = "", home: str = "/") -> DataFrame:
+    """(path, root, mtime, size_bytes, inode, dev) of what a walk would find at or below the paths now.
+
+    A path counts if it lies below a root, and neither the rules of the directories above
+    it nor its own leave it out; a directory is walked. Links aren't followed.
+    """
+    reader = WalkReader(roots, user_rules, home)
 
     def run(batches):
+        held: dict[str, list | None] = {}  # the layers that hold in a directory; None: it isn't indexed
+
+        def layers_in(root: str, directory: str) -> list | None:
+            if directory not in held:
+                if directory == root:
+                    held[directory] = _layer(root, [policy.default_rules(root)])
+                else:
+                    above = layers_in(root, os.path.dirname(directory))
+                    inside = above is not None and not os.path.islink(directory) and _verdict(above, reader.user, directory, True) == policy.INDEXED
+                    held[directory] = _layer(directory, above) if inside else None
+            return held[directory]
+
+        def found(path: str) -> Iterator[tuple]:
+            root = next((r for r in (x.rstrip("/") for x in roots) if path.startswith(r + "/")), None)
+            if not root:
+                return
+            try:
+                s = os.lstat(path)
+            except OSError:
+                return
+            layers = layers_in(root, os.path.dirname(path))
+            if layers is None:
+                return
+            if stat.S_ISDIR(s.st_mode) and _verdict(layers, reader.user, path, True) == policy.INDEXED:
+                yield from (row[:6] for row in reader._tree(root, path, layers, None) if row[6] is None)
+            elif stat.S_ISREG(s.st_mode) and _verdict(layers, reader.user, path, False) == policy.INDEXED:
+                yield (path, root, int(s.st_mtime), s.st_size, s.st_ino, s.st_dev)
+
+        kinds = (pa.string(), pa.string(), *[pa.int64()] * 4)
         for batch in batches:
-            rows = []
             for path in batch.column(0).to_pylist():
-                root = next((r for r in roots if path.startswith(r.rstrip("/") + "/")), None)
-                try:
-                    s = os.lstat(path)
-                except OSError:
-                    continue
-                if root and stat.S_ISREG(s.st_mode):
-                    rows.append((path, root, int(s.st_mtime), s.st_size, s.st_ino, s.st_dev))
-            columns = list(zip(*rows)) or [()] * 6
-            kinds = (pa.string(), pa.string(), *[pa.int64()] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["path", "root", "mtime", "size_bytes", "inode", "dev"])
+                rows = found(path)
+                while some := list(islice(rows, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), kinds)], ["path", "root", "mtime", "size_bytes", "inode", "dev"])
 
-    return paths.select("path").mapInArrow(run, "path string, root string, mtime bigint, size_bytes bigint, inode bigint, dev bigint")
+    all_found = paths.select("path").mapInArrow(run, "path string, root string, mtime bigint, size_bytes bigint, inode bigint, dev bigint")
+    return all_found.dropDuplicates(["path"])

@@ -46,6 +46,8 @@ def test_life_cycle(spark, tmp_path, tree):
     assert len(page.events) == 5 and page.has_more and page.next_cursor == 5
     assert index.events_since(10_000).events == []
     assert [r["title"] for r in index.find("guide").collect()][:1] == ["Guide"]
+    assert [os.path.basename(r["path"]) for r in index.find("print").collect()] == ["copy.py"] and index.find("print 2").count() == 0
+    assert [(r["status"], r["id"]) for r in index.store.table("scan_runs").orderBy("id").collect()] == [("complete", i) for i in (1, 2, 3, 4)]
     assert index.find_ext(".PY").collect()[0]["total_matched"] == 1
     assert index.find_path("*mov?d*").count() == 1 and index.find_path("nothing").count() == 0
     out = index.outline(str(tree / "moved.txt")).first()
@@ -71,6 +73,121 @@ def test_partial_scan_leaves_other_roots(spark, tmp_path):
     assert index.health()["total_active_paths"] == 1
 
 
+def test_stored_search_is_that_over_texts(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from stratafs.functions.patterns import search_terms
+    from stratafs.operators import search
+
+    root = tmp_path / "r"
+    root.mkdir()
+    texts = ["the café is at the sea", "sea at the cafe the cafe", "state-of-the-art of the sea", "", "nothing here", "the of the of the sea", "of the", "CAFÉ"]
+    for i, t in enumerate(texts):
+        (root / f"f{i}.txt").write_text(t)
+    index = Index(spark, str(tmp_path / "store"), [str(root)])
+    index.scan(now=1)
+    (root / "f9.txt").write_text("a later sea of the cafe")
+    index.scan(now=2)
+    rows = [(f"f{i}", t.strip(), "", t.strip(), t) for i, t in [*enumerate(texts), (9, "a later sea of the cafe")]]
+    docs = spark.createDataFrame(rows, "title string, summary string, topic_text string, s2 string, search_text string").drop("s2").withColumn("content_hash", F.sha2("search_text", 256))
+    for query in ("sea", "cafe", "the-sea", "of-the", "of-the sea", "Café the", "state-of-the-art", "absent", "sea absent", "later"):
+        terms = search_terms(query)
+        want = {r["content_hash"]: round(r["rank"], 9) for r in search.bm25(docs, "content_hash", ["title", "topic_text", "summary", "search_text"], terms).collect()}
+        state = index.store.state()
+        got = search.ranked(index.store.table("postings", state), index.store.table("lengths", state), "content_hash", terms).collect()
+        assert {r["content_hash"]: round(r["rank"], 9) for r in got} == want, query
+    assert len(want) == 1 and index.find("").count() == 0
+
+
+def test_a_commit_that_fails_anywhere_leaves_the_last_state(spark, tmp_path, monkeypatch):
+    from stratafs.sources.store import CommitConflict, Store
+
+    store = Store(spark, str(tmp_path / "s"))
+    rows = lambda *xs: spark.createDataFrame([(x, "h", None, "c") for x in xs], store.table("read_audit").schema)
+    read = lambda s=store: sorted(r["path"] for r in s.table("read_audit").collect())
+    store.commit(read_audit=rows("a"))
+    base = store.state()
+    # before the pointer
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_point", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            store.commit(read_audit=rows("b"))
+    assert read() == ["a"] and store.state() == base
+    # while the pointer is written: none or half of it is there
+    for number, half in ((base["next"], b""), (base["next"] + 1, b'{"generation": 2, "ta')):
+        out = store._fs.create(store._name(number))
+        out.write(bytearray(half))
+        out.close()
+        assert read() == ["a"] and store.state()["generation"] == 1
+    # whoever goes on passes over them
+    store.commit(append={"read_audit": rows("b")})
+    assert read() == ["a", "b"] and store.state()["generation"] == 2
+    # two writers from one state
+    one, two = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    start = one.state()
+    two.commit(start, append={"read_audit": rows("c")})
+    with pytest.raises(CommitConflict):
+        one.commit(start, read_audit=rows("d"))
+    assert read() == ["a", "b", "c"]
+    for i in range(70):
+        state = store.state()
+        if i < 2:
+            store.commit(state, append={"read_audit": rows(f"x{i}")})
+    assert len(store.state()["tables"]["read_audit"]) == 5
+    monkeypatch.setattr("stratafs.sources.store.MOST_PARTS", 5)
+    store.commit(append={"read_audit": rows("z")})
+    assert len(store.state()["tables"]["read_audit"]) == 1 and read() == ["a", "b", "c", "x0", "x1", "z"]
+    assert store.vacuum(1) > 0 and read() == ["a", "b", "c", "x0", "x1", "z"]
+
+
+def test_requests_run_and_recover(spark, tmp_path, tree, monkeypatch):
+    index = Index(spark, str(tmp_path / "store"), [str(tree)], home="/home/none")
+    assert index.due(100) and index.request("full", None, 10) == 1 and index.request("roots", [str(tree)], 11) == 2
+    assert index.drain(20) == 2 and index.drain(21) == 0
+    assert [(r["status"], r["scan_run_id"]) for r in index.store.table("scan_requests").orderBy("id").collect()] == [("complete", 1), ("complete", 2)]
+    assert not index.due(100) and index.due(20 + 86_400)
+    monkeypatch.setattr(Index, "_scan", lambda *a: (_ for _ in ()).throw(OSError("disk")))
+    index.request("full", None, 30)
+    assert index.drain(31) == 1
+    last = index.store.table("scan_requests").where("id = 3").first()
+    assert (last["status"], last["error"], index.store.table("scan_runs").where("id = 3").first()["status"]) == ("failed", "disk", "failed")
+    run = index._begin(40)  # and then the process ends
+    index.recover("gone")
+    assert index.store.table("scan_runs").where(f"id = {run}").first()["error"] == "gone"
+
+
+def test_events_honour_rules_of_directories_and_walk_new_ones(spark, tmp_path):
+    root = tmp_path / "r:1"  # a colon is nothing special
+    (root / "sub" / "deep").mkdir(parents=True)
+    (root / "old").mkdir()
+    (root / "sub" / ".indexignore").write_text("  private*\n[ab]x.txt\nhidden/\n[catalog]\nbig/\n")
+    for name in ("sub/open.txt", "old/a.txt", "old/b.txt"):
+        (root / name).write_text(name)
+    index = Index(spark, str(tmp_path / "store"), [str(root)], home="/home/none")
+    assert len(kinds(index.scan(now=1))) == 4
+    (root / "sub" / "hidden").mkdir()
+    (root / "sub" / "big").mkdir()
+    (root / "fresh" / "in").mkdir(parents=True)
+    for name in ("sub/private.txt", "sub/deep/private2", "sub/ax.txt", "sub/cx.txt", "sub/hidden/y", "sub/big/z", "fresh/1.txt", "fresh/in/2.txt", "fresh/in/3.tmp"):
+        (root / name).write_text(name)
+    (root / "old").rename(tmp_path / "elsewhere")
+    named = ["sub/private.txt", "sub/deep/private2", "sub/ax.txt", "sub/cx.txt", "sub/hidden/y", "sub/big/z", "fresh"]
+    flushes = [(str(root / n), "Create", None, 5) for n in named] + [(str(root / "old"), "Delete", None, 5)]
+    got = index.apply(spark.createDataFrame(flushes, "key string, kind string, from_key string, flush_ms long"), 2)
+    assert kinds(got) == [("created", "1.txt"), ("created", "2.txt"), ("created", "cx.txt"), ("deleted", "a.txt"), ("deleted", "b.txt")]
+    assert [os.path.basename(r["path"]) for r in index.find("cx").collect()] == ["cx.txt"]
+    assert kinds(index.scan(now=3)) == []
+
+
+def test_only_two_headers_are_sections():
+    from stratafs.operators import policy
+
+    rules = policy.parse_rules("[abc]\n  *.log  \n[catalog]\n\tbig/\n[other-thing]\n[no-embed]\nx\n", "/r")
+    assert [r.source.strip() for r in rules.ignored] == ["[abc]", "*.log"] and [r.source.strip() for r in rules.cataloged] == ["big/", "[other-thing]"]
+    for path, is_dir, tier in (("/r/a", False, policy.IGNORED), ("/r/d/x.log", False, policy.IGNORED), ("/r/d/big", True, policy.CATALOGED), ("/r/x", False, policy.INDEXED), ("/r/d", False, policy.INDEXED)):
+        assert policy.classify_one([rules], path, is_dir) == tier
+
+
 def test_gate(tmp_path):
     root, out = tmp_path / "r", tmp_path / "out.txt"
     (root / ".ssh").mkdir(parents=True)
