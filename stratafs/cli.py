@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 from datetime import UTC, datetime, timedelta
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from .functions.patterns import duration_seconds
 from .index import Index
 from .operators import reports
 from .sources import gate
+from .streaming.watch import overflows, watch
 
 MOST = 1000
 
@@ -24,8 +27,17 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--store", required=True)
     p.add_argument("--root", action="append", default=[])
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("scan", "audit", "health", "scan-status", "triage", "roots"):
+    p.add_argument("--roots-file", help="a root a line, ! before those that are off; its enabled ones are roots too")
+    for name in ("init", "scan", "audit", "health", "scan-status", "triage"):
         sub.add_parser(name)
+    roots = sub.add_parser("roots")
+    roots.add_argument("change", nargs="?", choices=("add", "remove", "enable", "disable"))
+    roots.add_argument("root_path", nargs="?")
+    follow = sub.add_parser("watch")
+    follow.add_argument("landing")
+    follow.add_argument("checkpoint")
+    follow.add_argument("--every", type=int, help="seconds between full scans")
+    follow.add_argument("--once", action="store_true", help="what has arrived by now, then stop")
     find = sub.add_parser("find")
     find.add_argument("query", nargs="?")
     find.add_argument("--path")
@@ -61,6 +73,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             f.write(text)
         print(f"{n} pattern(s) added")
         return 0
+    listed = gate.parse_roots(open(a.roots_file, encoding="utf-8").read()) if a.roots_file and os.path.exists(a.roots_file) else []
+    if a.command == "roots":
+        if a.change:
+            if not a.roots_file or not a.root_path:
+                parser().error("roots needs --roots-file and a path to change")
+            others = [(r, on) for r, on in listed if r != a.root_path]
+            listed = others if a.change == "remove" else [*others, (a.root_path, a.change != "disable")]
+            with open(a.roots_file, "w", encoding="utf-8") as f:
+                f.write(gate.format_roots(listed))
+        sys.stdout.write(gate.format_roots([*((r, True) for r in a.root), *listed]))
+        return 0
+    a.root = [*a.root, *(r for r, on in listed if on)]
     spark = spark or SparkSession.builder.appName("stratafs").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     index = Index(spark, a.store, a.root)
     if a.command == "scan":
@@ -82,10 +106,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             show(df)
     elif a.command == "health":
         print(json.dumps(index.health(), default=str))
+    elif a.command == "init":
+        if not index.store.state()["generation"]:
+            index.store.commit()
+        print(json.dumps({"store": a.store, "roots": a.root, "generation": index.store.state()["generation"]}))
+    elif a.command == "watch":
+        now = {"availableNow": True} if a.once else None
+        queries = [f(index, a.landing, f"{a.checkpoint}/{name}", now) for name, f in (("overflows", overflows), ("changes", partial(watch, every=a.every)))]
+        for q in queries:
+            q.awaitTermination()
+        index.drain()
     elif a.command == "scan-status":
         show(index.store.table("scan_runs").orderBy(F.desc("id")).limit(1))
-    elif a.command == "roots":
-        print("\n".join(a.root))
     elif a.command == "read":
         content, row = gate.read(a.path, a.root, "cli")
         index.log_read(row)

@@ -47,55 +47,73 @@ def directory_pairs(groups: DataFrame, least: int = COLLAPSE) -> tuple[DataFrame
     return pairs, groups.join(collapsed, "content_hash", "left_anti")
 
 
+def by_extension(active: DataFrame) -> DataFrame:
+    """(dir, ext, bytes, n): each directory's own files by extension; a null size counts 0. One scan, from which all directory figures come."""
+    named = active.select(P.parent(F.col("path")).alias("dir"), P.extension(F.col("path")).alias("ext"), F.coalesce("byte_size", F.lit(0)).alias("size"))
+    return named.groupBy("dir", "ext").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
+
+
+def _totals(by_ext: DataFrame) -> DataFrame:
+    return by_ext.groupBy("dir").agg(F.sum("bytes").alias("total_bytes"), F.sum("n").alias("file_count"), F.coalesce(F.sum(F.when(F.col("ext").isNotNull(), F.col("n"))), F.lit(0)).alias("with_ext"))
+
+
 def directory_stats(active: DataFrame) -> DataFrame:
     """(dir, total_bytes, file_count, with_ext) of each directory's own files; a null size counts 0."""
-    named = active.select(P.parent(F.col("path")).alias("dir"), F.coalesce("byte_size", F.lit(0)).alias("size"), P.extension(F.col("path")).isNotNull().alias("has_ext"))
-    return named.groupBy("dir").agg(F.sum("size").alias("total_bytes"), F.count(F.lit(1)).alias("file_count"), F.count_if("has_ext").alias("with_ext"))
+    return _totals(by_extension(active))
 
 
-def media_shares(active: DataFrame, least_bytes: int = MEDIA_BYTES, least_files: int = MEDIA_FILES, share: float = MEDIA_SHARE) -> DataFrame:
-    """(dir, family, total_bytes, file_count, share, exts): large directories whose files are nearly all of one family."""
-    stats = directory_stats(active)
-    by_ext = active.select(P.parent(F.col("path")).alias("dir"), P.extension(F.col("path")).alias("ext")).where("ext is not null").groupBy("dir", "ext").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    media = by_ext.withColumn("family", P.media_family(F.col("ext"))).where("family is not null")
+def _shares(by_ext: DataFrame, least_bytes: int = MEDIA_BYTES, least_files: int = MEDIA_FILES, share: float = MEDIA_SHARE) -> DataFrame:
+    kinds = [(ext, family) for family, exts in (("audio", P.AUDIO), ("video", P.VIDEO), ("image", P.IMAGE)) for ext in exts]
+    families = by_ext.sparkSession.createDataFrame(kinds, "ext string, family string")  # a few rows
+    media = by_ext.join(F.broadcast(families), "ext")
     order = Window.partitionBy("dir", "family").orderBy(F.desc("n"), "ext")
     top = (
         media.withColumn("rn", F.row_number().over(order)).groupBy("dir", "family")
         .agg(F.sum("n").alias("of_family"), F.array_sort(F.collect_list(F.when(F.col("rn") <= MEDIA_EXTS, F.struct("rn", "ext")))).alias("best"))
     )
-    joined = top.join(stats, "dir").withColumn("share", F.col("of_family") / F.col("with_ext"))
+    joined = top.join(_totals(by_ext), "dir").withColumn("share", F.col("of_family") / F.col("with_ext"))
     return joined.where((F.col("share") > share) & (F.col("total_bytes") >= least_bytes) & (F.col("file_count") >= least_files)).select(
         "dir", "family", "total_bytes", "file_count", "share",
         F.array_join(F.transform("best", lambda x: F.concat(F.lit("."), x["ext"])), "/").alias("exts"),
     )
 
 
+def media_shares(active: DataFrame, least_bytes: int = MEDIA_BYTES, least_files: int = MEDIA_FILES, share: float = MEDIA_SHARE) -> DataFrame:
+    """(dir, family, total_bytes, file_count, share, exts): large directories whose files are nearly all of one family."""
+    return _shares(by_extension(active), least_bytes, least_files, share)
+
+
+def _builds(active: DataFrame) -> DataFrame:
+    """(beside, build): the first build file, in the order of MANIFESTS, of each directory that has one."""
+    order = F.array(*map(F.lit, P.MANIFESTS))
+    name = P.basename(F.col("path"))
+    first = active.where(name.isin(*P.MANIFESTS)).groupBy(P.parent(F.col("path")).alias("beside")).agg(F.min(F.array_position(order, name)).alias("at"))
+    return first.select("beside", F.get(order, (F.col("at") - 1).cast("int")).alias("build"))
+
+
 def regenerable(active: DataFrame) -> DataFrame:
     """(dir, reason): directories of files that can be made anew, by their name and the build files beside them."""
     name = F.lower(P.basename(F.col("dir")))
-    dirs = directory_stats(active).where(name.isin(*P.REGENERABLE))
-    order = F.array(*map(F.lit, P.MANIFESTS))
-    builds = active.where(P.basename(F.col("path")).isin(*P.MANIFESTS)).groupBy(P.parent(F.col("path")).alias("beside")).agg(
-        F.min(F.struct(F.array_position(order, P.basename(F.col("path"))).alias("at"), P.basename(F.col("path")).alias("name"))).alias("first")
-    )
-    joined = dirs.withColumn("beside", P.parent(F.col("dir"))).join(builds, "beside", "left")
-    reason = P.regenerable_reason(name, F.col("first.name"))
-    return joined.select("dir", "total_bytes", "file_count", reason.alias("reason")).where("reason is not null")
+    dirs = directory_stats(active).where(name.isin(*P.REGENERABLE)).withColumn("beside", P.parent(F.col("dir")))
+    reason = P.regenerable_reason(name, F.col("build"))
+    return dirs.join(_builds(active), "beside", "left").select("dir", "total_bytes", "file_count", reason.alias("reason")).where("reason is not null")
 
 
 def recommendations(active: DataFrame, home: str, **media) -> DataFrame:
-    """(path, action, reason, size_bytes, file_count): one at most for a directory, caches before builds before media."""
-    caches = directory_stats(active).select("dir", "total_bytes", "file_count", P.xdg_or_trash(F.col("dir"), home).alias("reason")).where("reason is not null")
-    shares = media_shares(active, **media)
-    keeps = shares.select(
-        "dir", "total_bytes", "file_count",
-        F.format_string("%s (%d files, %.0f%% %s)", P.format_bytes(F.col("total_bytes")), F.col("file_count"), F.col("share") * 100, F.col("exts")).alias("reason"),
-    )
-    all_three = [x.withColumn("k", F.lit(k)).withColumn("action", F.lit(a)) for k, (x, a) in enumerate(((caches, "catalog"), (regenerable(active), "catalog"), (keeps, "keep")))]
-    best = all_three[0].unionByName(all_three[1]).unionByName(all_three[2]).groupBy("dir").agg(F.min(F.struct("k", "action", "reason", "total_bytes", "file_count")).alias("r"))
-    return best.select(F.col("dir").alias("path"), "r.action", "r.reason", F.col("r.total_bytes").alias("size_bytes"), "r.file_count")
+    """(path, action, reason, size_bytes, file_count): one at most for a directory, caches before builds before media.
+
+    Figures of directories are aggregated once; what else is known of a directory is
+    joined to its one row, so reasons are made behind all aggregates.
+    """
+    by_ext = by_extension(active)
+    shares = _shares(by_ext, **media).select("dir", "share", "exts")
+    name = F.lower(P.basename(F.col("dir")))
+    rows = _totals(by_ext).withColumn("beside", P.parent(F.col("dir"))).join(_builds(active), "beside", "left").join(shares, "dir", "left")
+    rows = rows.withColumn("cache", P.xdg_or_trash(F.col("dir"), home)).withColumn("made", F.when(name.isin(*P.REGENERABLE), P.regenerable_reason(name, F.col("build"))))
+    kept = F.format_string("%s (%d files, %.0f%% %s)", P.format_bytes(F.col("total_bytes")), F.col("file_count"), F.col("share") * 100, F.col("exts"))
+    reason = F.coalesce("cache", "made", F.when(F.col("share").isNotNull(), kept))
+    action = F.when(F.col("cache").isNotNull() | F.col("made").isNotNull(), F.lit("catalog")).otherwise(F.lit("keep"))
+    return rows.select(F.col("dir").alias("path"), action.alias("action"), reason.alias("reason"), F.col("total_bytes").alias("size_bytes"), "file_count").where("reason is not null")
 
 
 def redundant(active: DataFrame, target: str) -> DataFrame:
@@ -108,8 +126,9 @@ def stale(active: DataFrame, target: str) -> DataFrame:
     """(path, size_bytes, newer_path, target_mtime, other_mtime): files whose newest other version is newer.
 
     Another version has the same path relative to the target root as its end, other
-    content, and another root. Only suffixes as deep as some relative path are exploded;
-    the newest candidate is an aggregate, so no window sorts them.
+    content, and another root. Only suffixes as deep as some relative path are exploded.
+    Of each suffix the newest file and the newest of another content are kept by
+    aggregates, so a name that is everywhere meets its files in two rows.
     """
     own = active.where(F.col("root") == target).select(
         "path", F.coalesce("byte_size", F.lit(0)).alias("size_bytes"), F.col("mtime").alias("target_mtime"), F.col("content_hash").alias("own_hash"),
@@ -117,12 +136,13 @@ def stale(active: DataFrame, target: str) -> DataFrame:
     )
     depths = own.select(F.size(F.split("rel", "/")).alias("depth")).distinct()
     others = active.where(F.col("root") != target).join(F.broadcast(depths)).where(F.size(F.split("path", "/")) > F.col("depth"))  # a few depths
-    ends = others.select(P.suffix_of_depth(F.col("path"), F.col("depth")).alias("rel"), F.col("path").alias("other"), "content_hash", "mtime")
-    newest = (
-        own.join(ends, "rel").where(F.col("content_hash") != F.col("own_hash")).groupBy("path", "size_bytes", "target_mtime")
-        .agg(F.min(F.struct((-F.col("mtime")).alias("m"), F.col("other").alias("newer_path"), F.col("mtime").alias("other_mtime"))).alias("n"))
-    )
-    return newest.select("path", "size_bytes", "n.newer_path", "target_mtime", "n.other_mtime").where("other_mtime > target_mtime")
+    newest_first = F.struct((-F.col("mtime")).alias("m"), F.col("path").alias("newer_path"), F.col("mtime").alias("other_mtime"), F.col("content_hash").alias("hash"))
+    ends = others.select(P.suffix_of_depth(F.col("path"), F.col("depth")).alias("rel"), newest_first.alias("n"))
+    of_hash = ends.groupBy("rel", F.col("n.hash").alias("hash")).agg(F.min("n").alias("n"))
+    first = of_hash.groupBy("rel").agg(F.min("n").alias("one"))
+    second = of_hash.join(first, "rel").where("n.hash <> one.hash").groupBy("rel").agg(F.min("n").alias("two"))
+    newer = own.join(first, "rel").join(second, "rel", "left").withColumn("n", F.when(F.col("one.hash") != F.col("own_hash"), F.col("one")).otherwise(F.col("two")))
+    return newer.select("path", "size_bytes", "n.newer_path", "target_mtime", "n.other_mtime").where("other_mtime > target_mtime")
 
 
 def backup_audit(active: DataFrame, target: str) -> dict[str, DataFrame]:

@@ -23,8 +23,9 @@ def _occurrences(of: Column, phrase: list[str]) -> Column:
     """How often a phrase stands in a token array."""
     if len(phrase) == 1:
         return F.size(F.filter(of, lambda t: t == phrase[0]))
-    hit = lambda i: reduce(lambda a, b: a & b, (F.coalesce(F.get(of, i + k) == w, F.lit(False)) for k, w in enumerate(phrase)))
-    return F.size(F.filter(F.transform(of, lambda t, i: hit(i)), lambda x: x))
+    hit = lambda at, i: reduce(lambda a, b: a & b, (F.coalesce(F.get(at, i + k) == w, F.lit(False)) for k, w in enumerate(phrase)))
+    # the array is bound once, as it would else be made anew for every place in it
+    return F.transform(F.array(of), lambda at: F.size(F.filter(F.transform(at, lambda t, i: hit(at, i)), lambda x: x)))[0]
 
 
 def phrase_counts(docs: DataFrame, key: str, columns: list[str], phrases: list[list[str]]) -> DataFrame:

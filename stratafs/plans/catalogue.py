@@ -194,8 +194,9 @@ def dif_deleted(spark, d):
 
 @query("dif_retire", f"""SELECT f.path, {_NOW} AS disappeared FROM files_v f WHERE f.disappeared IS NULL AND f.path NOT IN (SELECT path FROM cur_v)""", V.SNAP_SQL)
 def dif_retire(spark, d):
-    seen = V.snapshots(spark, d)[1].select("path")
-    return V.paths(spark, d).where("disappeared is null").join(seen, "path", "left_anti").select("path", F.lit(_NOW).alias("disappeared"))
+    rows = _next_paths(spark, d)
+    # those that a new version follows are not retired but replaced
+    return rows.where(F.col("disappeared") == _NOW).join(rows.where("disappeared is null"), "path", "left_anti").select("path", F.col("disappeared").cast("int"))
 
 
 @query("dif_summary", f", {_DIFF} SELECT event_type, count(*) AS n FROM diff_v WHERE event_type IS NOT NULL GROUP BY event_type", V.SNAP_SQL)
@@ -378,9 +379,13 @@ def pol_combine(spark, d):
     return V.paths(spark, d).select("path", policy.tier_name(both).alias("tier"))
 
 
-query("pol_parse", "SELECT path FROM files_v WHERE starts_with(path, '/r1/') AND regexp_matches(path, '[.]md$')")(
-    lambda s, d: V.paths(s, d).where(policy.tier([_LAYER], F.col("path"), F.lit(False)) == policy.CATALOGED).select("path")
-)
+_FILE = policy.parse_rules("[ad]oc_*.txt\n\t*.json\t\n   [catalog]\n  *.md\n[cf]ert_*\n[no-embed]\n*.gz\n", "/r1")
+
+
+@query("pol_parse", r"""SELECT path, CASE WHEN regexp_matches(path, '^/r1/(.*/)?([ad]oc_[^/]*[.]txt|[^/]*[.]json)$') THEN 'ignored'
+  WHEN regexp_matches(path, '^/r1/(.*/)?([^/]*[.]md|[cf]ert_[^/]*)$') THEN 'cataloged' ELSE 'indexed' END AS tier FROM files_v""")
+def pol_parse(spark, d):
+    return V.paths(spark, d).select("path", policy.tier_name(policy.tier([_FILE], F.col("path"), F.lit(False))).alias("tier"))
 
 
 @query("prj_topics", "SELECT content_hash, lang || ',' || source AS topics FROM documents_v")
@@ -635,8 +640,8 @@ query("agg_min_id", "SELECT min(id) AS min_id FROM events_v")(lambda s, d: V.eve
 query("agg_hash_paths", "SELECT content_hash, count(DISTINCT path) AS n_paths FROM prev_v GROUP BY content_hash", V.SNAP_SQL)(
     lambda s, d: V.snapshots(s, d)[0].groupBy("content_hash").agg(F.size(F.collect_set("path")).cast("bigint").alias("n_paths"))
 )
-query("agg_inode_paths", "SELECT inode, array_to_string(list_sort(list(DISTINCT path)), ',') AS paths FROM cur_v GROUP BY inode", V.SNAP_SQL)(
-    lambda s, d: V.snapshots(s, d)[1].groupBy("inode").agg(F.array_join(F.array_sort(F.collect_set("path")), ",").alias("paths"))
+query("agg_inode_paths", "SELECT dev, inode, array_to_string(list_sort(list(DISTINCT path)), ',') AS paths FROM cur_v GROUP BY dev, inode", V.SNAP_SQL)(
+    lambda s, d: V.snapshots(s, d)[1].groupBy("dev", "inode").agg(F.array_join(F.array_sort(F.collect_set("path")), ",").alias("paths"))
 )
 
 # ---- order, limits, paging

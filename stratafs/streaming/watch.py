@@ -68,10 +68,11 @@ def paired_stream(events: DataFrame, within: int = debounce.PAIR) -> DataFrame:
     return events.withColumn("by", by).groupBy("by").applyInPandasWithState(step, PAIRED, state, "append", "EventTimeTimeout")
 
 
-def watch(index, landing: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+def watch(index, landing: str, checkpoint: str, trigger: dict | None = None, every: int | None = None) -> StreamingQuery:
     """Apply the changes that arrive in a landing folder to an index until the query is stopped.
 
-    A rename that is split over two micro-batches further apart than the watermark allows
+    After each micro-batch a full scan runs if the last is `every` seconds ago, and so do
+    the requests that wait. A rename that is split over two micro-batches further apart than the watermark allows
     shows as a Delete and a Create, which leaves the same paths.
     """
     # each notification goes straight to its path's buffer: renames as their two sides
@@ -81,8 +82,26 @@ def watch(index, landing: str, checkpoint: str, trigger: dict | None = None) ->
     flushes = debounce.debounced_stream(plain)
 
     def apply(batch: DataFrame, _: int) -> None:
-        index.apply(batch.persist(), int(datetime.now(UTC).timestamp()))
-        batch.unpersist()
+        now = int(datetime.now(UTC).timestamp())
+        index.apply(batch, now)
+        if every and index.due(now, every):  # what was missed shows at the latest by then
+            index.request("full", None, now)
+        index.drain()
 
     writer = flushes.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(apply)
     return (writer.trigger(**trigger) if trigger else writer).start()
+
+
+def overflows(index, landing: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Ask for a full scan where a notifier says that it has lost notifications (raw "overflow").
+
+    A request is put into the queue, which watch() drains, so that one writer scans.
+    """
+    lost = index.spark.readStream.schema(RAW).json(landing).where("raw = 'overflow'")
+
+    def ask(batch: DataFrame, _: int) -> None:
+        if not batch.isEmpty():
+            index.request("full")
+
+    writer = lost.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(ask)
+    return (writer.trigger(**trigger) if trigger else writer).start()

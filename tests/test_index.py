@@ -221,6 +221,17 @@ def test_command_line(spark, tmp_path, tree, capsys):
     for command in (["audit"], ["health"], ["triage"], ["map"], ["manifest", "--json"], ["find", "guide"], ["scan-status"], ["events-since", "0"], ["backup-audit", str(tree)], ["read", str(tree / "b.txt")], ["prune", "1d"]):
         assert cli.main([*base, *command], spark) == 0
     assert "plain line" in capsys.readouterr().out
+    listed = ["--store", str(tmp_path / "s"), "--roots-file", str(tmp_path / "roots")]
+    for change, want in (("add", f"{tree}\n"), ("disable", f"!{tree}\n"), ("remove", ""), ("enable", f"{tree}\n")):
+        assert cli.main([*listed, "roots", change, str(tree)], spark) == 0
+        assert capsys.readouterr().out == want
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    (tree / "late.txt").write_text("late")
+    (landing / "1.json").write_text('{"path": "/", "raw": "overflow", "cookie": null, "ts": "2024-01-01T00:00:00Z"}')
+    assert cli.main([*listed, "init"], spark) == 0 and cli.main([*listed, "watch", str(landing), str(tmp_path / "ck"), "--once"], spark) == 0
+    assert cli.main([*listed, "find", "late"], spark) == 0
+    assert "late.txt" in capsys.readouterr().out
 
 
 def test_watching_gives_what_a_scan_gives(spark, tmp_path, tree):
