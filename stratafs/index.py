@@ -12,7 +12,7 @@ from .functions import extract
 from .functions.paths import extension_label
 from .functions.patterns import glob_to_like, search_terms
 from .operators import diff, feed, policy, predicates, reports, search
-from .sources.store import Store
+from .sources.store import CommitConflict, Store
 from .sources.walk import find_files, read_contents, walk
 from .streaming.apply import affected
 
@@ -129,10 +129,25 @@ class Index:
     def request(self, kind: str = "full", roots: list[str] | None = None, now: int | None = None) -> int:
         """Put a scan into the queue; its request's number."""
         now = now if now is not None else int(datetime.now(UTC).timestamp())
-        base = self.store.state()
-        queue = feed.enqueue(self.store.table("scan_requests", base), kind, roots, datetime.fromtimestamp(now, UTC))
-        self.store.commit(base, scan_requests=queue)
-        return self.store.table("scan_requests").agg(F.max("id")).first()[0]
+        stamp = datetime.fromtimestamp(now, UTC)
+
+        def ask(queue: DataFrame) -> tuple[int, DataFrame]:
+            more = feed.enqueue(queue, kind, roots, stamp)
+            return more.agg(F.max("id")).first()[0], more
+
+        return self._queue(ask)
+
+    def _queue(self, change):
+        """Replace the queue by what change(queue) -> (result, queue) makes of it; again if another writer was faster."""
+        for _ in range(10):
+            base = self.store.state()
+            result, queue = change(self.store.table("scan_requests", base))
+            try:
+                self.store.commit(base, scan_requests=queue)
+                return result
+            except CommitConflict:
+                continue
+        raise CommitConflict("the queue is too busy")
 
     def drain(self, now: int | None = None) -> int:
         """Run the requests that wait, oldest first, one at a time; how many ran."""
@@ -140,20 +155,19 @@ class Index:
         while True:
             at = now if now is not None else int(datetime.now(UTC).timestamp())
             stamp = datetime.fromtimestamp(at, UTC)
-            base = self.store.state()
-            first, claimed = feed.claim(self.store.table("scan_requests", base), stamp)
+            if self.store.table("scan_requests").where("status = 'pending'").isEmpty():
+                return n
+            first = self._queue(lambda queue: feed.claim(queue, stamp))
             if first is None:
                 return n
-            roots = claimed.where(F.col("id") == first).first()["root"]
-            self.store.commit(base, scan_requests=claimed)
-            error = run = None
+            roots = self.store.table("scan_requests").where(F.col("id") == first).first()["root"]
+            error = None
             try:
                 self.scan(roots or None, at)
             except Exception as e:  # noqa: BLE001  the request keeps it
                 error = str(e)[:500]
             run = self.store.table("scan_runs").agg(F.max("id")).first()[0]
-            base = self.store.state()
-            self.store.commit(base, scan_requests=feed.finish(self.store.table("scan_requests", base), first, stamp, run, error))
+            self._queue(lambda queue: (None, feed.finish(queue, first, stamp, run, error)))  # noqa: B023  called at once
             n += 1
 
     def recover(self, reason: str = "the process ended") -> None:

@@ -34,8 +34,8 @@ class Store:
 
     Data are written first, then a pointer file of the next number that nobody has
     written yet; the newest pointer that is complete counts. So a commit that fails at
-    any step leaves readers the last state, and of two writers that began with one state
-    the later fails. Tables that a commit doesn't name stay where they are; appended rows
+    any step leaves readers the last state. Of two writers that began with one state the
+    later fails if the first has changed a table that it replaces; else it follows. Tables that a commit doesn't name stay where they are; appended rows
     are parts beside the ones before.
     """
 
@@ -98,29 +98,36 @@ class Store:
     def commit(self, base: dict | None = None, append: dict[str, DataFrame] | None = None, **tables: DataFrame) -> int:
         """Write the named tables, and rows to append to others, as what follows base (the state now, if none is given)."""
         base = base or self.state()
-        state = {"generation": base["generation"] + 1, "hash": base["hash"], "tables": dict(base["tables"])}
-        for name, df in (append or {}).items():
-            parts = base["tables"].get(name, [])
-            if len(parts) >= MOST_PARTS:
-                tables[name] = self.table(name, base).unionByName(df.select(*T.StructType.fromDDL(TABLES[name]).names))
-            else:
-                state["tables"][name] = [*parts, self._write(name, df, state["generation"])]
-        for name, df in tables.items():
-            state["tables"][name] = [self._write(name, df, state["generation"])]
-        self._point(base["next"], state)
-        return state["generation"]
-
-    def _point(self, number: int, state: dict) -> None:
+        append, generation = append or {}, base["generation"] + 1
+        tables = dict(tables)
+        for name in [n for n in append if len(base["tables"].get(n, [])) >= MOST_PARTS]:
+            tables[name] = self.table(name, base).unionByName(append[name].select(*T.StructType.fromDDL(TABLES[name]).names))
+        added = {name: self._write(name, df, generation) for name, df in append.items() if name not in tables}
+        made = {name: self._write(name, df, generation) for name, df in tables.items()}
+        over = base
+        while True:
+            kept = dict(over["tables"])
+            kept.update({name: [*kept.get(name, []), part] for name, part in added.items()})
+            kept.update({name: [part] for name, part in made.items()})
+            if self._point(over["next"], {"generation": over["generation"] + 1, "hash": base["hash"], "tables": kept}):
+                return over["generation"] + 1
+            over = self.state()
+            if any(over["tables"].get(name) != base["tables"].get(name) for name in made):
+                raise CommitConflict(f"another writer has changed {', '.join(sorted(made))} since generation {base['generation']}")
+
+    def _point(self, number: int, state: dict) -> bool:
+        """Write a pointer; False if somebody has."""
         try:
             out = self._fs.create(self._name(number), False)
-        except Exception as e:  # of the JVM: the file is there
+        except Exception:  # of the JVM: the file is there
             if self._fs.exists(self._name(number)):
-                raise CommitConflict(f"generation {state['generation']} was committed by another writer") from e
+                return False
             raise
         try:
             out.write(bytearray(json.dumps(state).encode()))
         finally:
             out.close()
+        return True
 
     def vacuum(self, keep: int = 2) -> int:
         """Remove what none of the newest `keep` complete states needs; how many folders and pointers went. No writer may be at work."""

@@ -128,16 +128,19 @@ def test_a_commit_that_fails_anywhere_leaves_the_last_state(spark, tmp_path, mon
     two.commit(start, append={"read_audit": rows("c")})
     with pytest.raises(CommitConflict):
         one.commit(start, read_audit=rows("d"))
-    assert read() == ["a", "b", "c"]
+    # what replaces no table that has changed follows the other
+    one.commit(start, append={"read_audit": rows("e")})
+    one.commit(start, scan_runs=store.table("scan_runs"))
+    assert read() == ["a", "b", "c", "e"]
     for i in range(70):
         state = store.state()
         if i < 2:
             store.commit(state, append={"read_audit": rows(f"x{i}")})
-    assert len(store.state()["tables"]["read_audit"]) == 5
-    monkeypatch.setattr("stratafs.sources.store.MOST_PARTS", 5)
+    assert len(store.state()["tables"]["read_audit"]) == 6
+    monkeypatch.setattr("stratafs.sources.store.MOST_PARTS", 6)
     store.commit(append={"read_audit": rows("z")})
-    assert len(store.state()["tables"]["read_audit"]) == 1 and read() == ["a", "b", "c", "x0", "x1", "z"]
-    assert store.vacuum(1) > 0 and read() == ["a", "b", "c", "x0", "x1", "z"]
+    assert len(store.state()["tables"]["read_audit"]) == 1 and read() == ["a", "b", "c", "e", "x0", "x1", "z"]
+    assert store.vacuum(1) > 0 and read() == ["a", "b", "c", "e", "x0", "x1", "z"]
 
 
 def test_requests_run_and_recover(spark, tmp_path, tree, monkeypatch):
