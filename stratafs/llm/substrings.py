@@ -14,8 +14,9 @@ content instead, so that a document's passage meets the one automaton that can m
    a window ends that has been there before.
 4. The windows found come back to their documents, where maximal spans are removed.
 
-Anchors with more than HOT windows would make large shards; their windows are segments of
-their own, sent to the shard of the whole window, where only equal windows meet.
+Anchors with more than HOT windows, or in MANY rows of a batch, would make large shards; their
+windows are segments of their own, sent to the shard of the whole window, where only equal
+windows meet. Which way an anchor goes changes no result, and all its rows go the same.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from .hashing import gram_hashes, word_hashes
 SPAN, GRAM = 20, 8
 #: Windows of an anchor from which on they are told apart by their whole content.
 HOT = 1000
+#: Rows of one batch that have an anchor from which on it is hot without being counted.
+MANY = 64
 #: Segments that a task holds back at most to send equal ones once.
 HELD = 200_000
 #: Stands for a null id in the order of documents: it comes last.
@@ -104,13 +107,17 @@ class SuffixAutomaton:
 
 
 def _anchor_rows(docs: DataFrame, span: int, gram: int) -> DataFrame:
-    """(h, r, n): each anchor of a row once, with its places there."""
+    """(p, h, r, n): each anchor of a row once, with its places there; p is what its places are to be summed by, h is null where it is p.
+
+    An anchor in MANY rows of a batch is hot and need not be counted. Its rows there have
+    a p of their own, and a row without r tells the others, so they gather nowhere.
+    """
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            hs, ds, ns = [], [], []
-            for d, text in zip(ids, batch.column(1)):
+            rows = batch.column(0).to_numpy(zero_copy_only=False)
+            hs, rs, ns = [], [], []
+            for r, text in zip(rows, batch.column(1)):
                 data = text.as_buffer()
                 if data is None:
                     continue
@@ -122,13 +129,23 @@ def _anchor_rows(docs: DataFrame, span: int, gram: int) -> DataFrame:
                 h, n = np.unique(h[first], return_counts=True)
                 hs.append(h)
                 ns.append(n)
-                ds.append(np.full(len(h), d))
+                rs.append(np.full(len(h), r))
             if hs:
+                h, r, n = np.concatenate(hs).view(np.int64), np.concatenate(rs), np.concatenate(ns)
+                each, at, times = np.unique(h, return_inverse=True, return_counts=True)
+                many = (times >= MANY)[at]
+                told = each[times >= MANY]
+                p = np.where(many, h ^ r, h)
+                n = np.where(many, HOT + 1, n)
+                more = len(told)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ds)), pa.array(np.concatenate(ns).astype(np.int32))], ["h", "r", "n"]
-                )
+                    [pa.array(np.concatenate((p, told))), pa.array(np.concatenate((h, told)), mask=np.concatenate((~many, np.ones(more, bool)))),
+                     pa.array(np.concatenate((r, told)), mask=np.concatenate((np.zeros(len(r), bool), np.ones(more, bool)))),
+                     pa.array(np.concatenate((n, np.full(more, HOT + 1))).astype(np.int32))],
+                    ["p", "h", "r", "n"],
+                )
 
-    return docs.select("r", "text").mapInArrow(run, "h long, r long, n int")
+    return docs.select("r", "text").mapInArrow(run, "p long, h long, r long, n int")
 
 
 def _segments(docs: DataFrame, span: int, gram: int) -> DataFrame:
@@ -295,9 +312,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     An empty table gives an empty result.
     """
     held = keyed(docs, id_col, text_col, keep)
-    of_anchor = "sum(n) over (partition by h)"
+    # p is not gathered by hot anchors, save for those that no batch has often
+    counted = _anchor_rows(held, span, gram).select("r", F.coalesce("h", "p").alias("h"), F.expr("sum(n) over (partition by p)").alias("times"))
     repeated = (
-        _anchor_rows(held, span, gram).select("r", "h", F.expr(of_anchor).alias("times")).where("times > 1")
+        counted.where("times > 1 and r is not null")
         .groupBy("r").agg(F.collect_set(F.when(F.col("times") <= HOT, F.col("h"))).alias("cold"), F.collect_set(F.when(F.col("times") > HOT, F.col("h"))).alias("hot"))
     )
     # all columns go along, so that both joins read one exchange of the texts

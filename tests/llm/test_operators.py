@@ -131,9 +131,10 @@ def brute_repeats(rows, span=20):
     return {(row[0], row[1]): out[order(row)[:2], row[1]] for row in rows}
 
 
-@pytest.mark.parametrize("hot", [1000, 3])
-def test_substrings_against_brute_force(docs, rows, empty, hot, monkeypatch):
+@pytest.mark.parametrize("hot, many", [(1000, 64), (3, 64), (1000, 2), (1000, 4)])
+def test_substrings_against_brute_force(docs, rows, empty, hot, many, monkeypatch):
     monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "MANY", many)
     want = brute_repeats(rows)
     got = by_row(rows, substrings.remove_repeats(docs, keep=("text", "row")))
     for r in got:
@@ -161,6 +162,21 @@ def test_rows_without_ids_and_of_one_id_gather_nowhere(spark):
     assert keys == 1
 
 
+def test_places_of_hot_anchors_are_spread(spark):
+    """A passage in 5,000 rows: what is summed by one key is some rows a batch, and the result is that of brute force."""
+    rng, vocab = random.Random(9), vocabulary(2000)
+    passage = " ".join(rng.choices(vocab, k=30))
+    few = [(i, f"{i} {passage} {' '.join(rng.choices(vocab, k=4))}") for i in range(5000)]
+    docs = spark.createDataFrame(few, "doc_id long, text string").repartition(4)
+    rows = substrings._anchor_rows(substrings.keyed(docs), substrings.SPAN, substrings.GRAM)
+    by_anchor = rows.where("r is not null").groupBy(F.coalesce("h", "p")).agg(F.count_distinct("r").alias("n"), F.max("n").alias("sent")).orderBy(F.desc("n")).first()
+    assert by_anchor["n"] == 5000 and by_anchor["sent"] > substrings.HOT
+    assert rows.groupBy("p").count().agg(F.max("count")).first()[0] < 64 * 4
+    want = brute_repeats(few)
+    for r in substrings.remove_repeats(docs, keep=("text",)).collect():
+        assert (r["n_words"], r["n_removed"], " ".join(words(r["kept"]))) == want[r["doc_id"], r["row"]["text"]]
+
+
 def test_suffix_automaton_matches():
     rng = random.Random(5)
     for _ in range(60):
