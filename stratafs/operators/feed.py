@@ -23,14 +23,18 @@ def after(events: DataFrame, cursor: int, limit: int) -> DataFrame:
     return events.where(F.col("id") > cursor).orderBy("id").limit(min(limit, MOST) + 1)
 
 
+def cursor_state(events: DataFrame, cursor: int) -> DataFrame:
+    """One row (cursor_valid, cursor_after): a cursor whose next event was pruned is invalid and starts anew at 0; 0 never is, nor is any where no event is left."""
+    valid = F.lit(cursor <= 0) | F.coalesce(F.min("id") <= cursor + 1, F.lit(True))
+    return events.agg(valid.alias("cursor_valid")).select("cursor_valid", F.when(F.col("cursor_valid"), cursor).otherwise(0).cast("bigint").alias("cursor_after"))
+
+
 def page(events: DataFrame, cursor: int, limit: int = 100) -> Page:
-    """A page of the feed; a cursor whose next event was pruned is invalid, and 0 never is."""
+    """A page of the feed; none behind a cursor that isn't valid."""
     limit = min(limit, MOST)
-    least = events.agg(F.min("id")).first()[0]
-    if least is None:
-        return Page(True, [], cursor, False)
-    if cursor > 0 and least > cursor + 1:
-        return Page(False, [], 0, False)
+    state = cursor_state(events, cursor).first()
+    if not state["cursor_valid"]:
+        return Page(False, [], state["cursor_after"], False)
     rows = after(events, cursor, limit).collect()  # MOST + 1 rows at most
     more = len(rows) > limit
     rows = rows[:limit]

@@ -25,23 +25,34 @@ def under(paths: DataFrame, dirs: DataFrame, how: str) -> DataFrame:
 
 
 def duplicates(active: DataFrame) -> DataFrame:
-    """(content_hash, size_bytes, paths) of contents at more than one path, the paths sorted."""
-    return active.groupBy("content_hash").agg(F.max("byte_size").alias("size_bytes"), F.array_sort(F.collect_list("path")).alias("paths")).where(F.size("paths") > 1)
+    """(content_hash, size_bytes, n_paths, path): each path of a content that has more than one.
+
+    Groups are counted before paths join them, so a popular content is many rows and no long one.
+    """
+    groups = active.groupBy("content_hash").agg(F.max("byte_size").alias("size_bytes"), F.count(F.lit(1)).alias("n_paths")).where("n_paths > 1")
+    return active.select("content_hash", "path").join(groups, "content_hash").select("content_hash", "size_bytes", "n_paths", "path")
 
 
 def canonical_order(groups: DataFrame, tier: Column | None = None) -> DataFrame:
-    """duplicates() with each group's paths ordered by canonical score, best first; tier: an expression over `path`."""
-    rows = groups.select("content_hash", "size_bytes", F.explode("paths").alias("path"))
-    scored = rows.withColumn("score", P.canonical_score(F.col("path"), F.lit("indexed") if tier is None else tier))
-    ordered = scored.groupBy("content_hash", "size_bytes").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "path"))).alias("p"))
-    return ordered.select("content_hash", "size_bytes", F.transform("p", lambda x: x["path"]).alias("paths"))
+    """duplicates() with score and each group's best path as canonical, in order of groups and scores; tier: an expression over `path`.
+
+    The sort is by ranges, which cut large groups.
+    """
+    scored = groups.withColumn("score", P.canonical_score(F.col("path"), F.lit("indexed") if tier is None else tier))
+    best = scored.groupBy("content_hash").agg(F.min(_best_first(scored)).alias("b")).select("content_hash", F.col("b.path").alias("canonical"))
+    return scored.join(best, "content_hash").select(*scored.columns, "canonical").orderBy("content_hash", F.desc("score"), "path")
+
+
+def _best_first(groups: DataFrame) -> Column:
+    return F.struct((-F.col("score") if "score" in groups.columns else F.lit(0)).alias("s"), "path")
 
 
 def directory_pairs(groups: DataFrame, least: int = COLLAPSE) -> tuple[DataFrame, DataFrame]:
     """(pairs, rest): groups of two paths in different directories, rolled up by (dir_a, dir_b) where there are at least that many."""
-    two = groups.where(F.size("paths") == 2).select(
-        "content_hash", "size_bytes", P.parent(F.col("paths")[0]).alias("dir_a"), P.parent(F.col("paths")[1]).alias("dir_b")
-    ).where("dir_a <> dir_b")
+    two = (
+        groups.where("n_paths = 2").groupBy("content_hash").agg(F.max("size_bytes").alias("size_bytes"), F.min(_best_first(groups)).alias("a"), F.max(_best_first(groups)).alias("b"))
+        .select("content_hash", "size_bytes", P.parent(F.col("a.path")).alias("dir_a"), P.parent(F.col("b.path")).alias("dir_b")).where("dir_a <> dir_b")
+    )
     pairs = two.groupBy("dir_a", "dir_b").agg(F.sum("size_bytes").alias("total_bytes"), F.count(F.lit(1)).alias("n_groups")).where(F.col("n_groups") >= least)
     collapsed = two.join(pairs, ["dir_a", "dir_b"], "left_semi").select("content_hash")
     return pairs, groups.join(collapsed, "content_hash", "left_anti")
@@ -116,10 +127,25 @@ def recommendations(active: DataFrame, home: str, **media) -> DataFrame:
     return rows.select(F.col("dir").alias("path"), action.alias("action"), reason.alias("reason"), F.col("total_bytes").alias("size_bytes"), "file_count").where("reason is not null")
 
 
+def _own(active: DataFrame, target: str) -> DataFrame:
+    """Rows of the target root with how often other roots have their content, and the first path there; null if none has it."""
+    elsewhere = active.where(F.col("root") != target).groupBy("content_hash").agg(F.count(F.lit(1)).alias("n_elsewhere"), F.min("path").alias("also_at"))
+    return active.where(F.col("root") == target).join(elsewhere, "content_hash", "left")
+
+
+def _twice(own: DataFrame) -> DataFrame:
+    return own.where("n_elsewhere is not null").select("path", "content_hash", F.coalesce("byte_size", F.lit(0)).alias("size_bytes"), "n_elsewhere", "also_at")
+
+
 def redundant(active: DataFrame, target: str) -> DataFrame:
-    """(path, size_bytes, also_at): files of the target root whose content other roots have."""
-    elsewhere = active.where(F.col("root") != target).groupBy("content_hash").agg(F.array_sort(F.collect_list("path")).alias("also_at"))
-    return active.where(F.col("root") == target).join(elsewhere, "content_hash").select("path", F.coalesce("byte_size", F.lit(0)).alias("size_bytes"), "also_at")
+    """(path, content_hash, size_bytes, n_elsewhere, also_at): files of the target root whose content other roots have, in how many places, and the first."""
+    return _twice(_own(active, target))
+
+
+def copies(active: DataFrame, target: str) -> DataFrame:
+    """(content_hash, path): every place in other roots of a content that the target root has."""
+    wanted = active.where(F.col("root") == target).select("content_hash").distinct()
+    return active.where(F.col("root") != target).join(wanted, "content_hash", "left_semi").select("content_hash", "path")
 
 
 def stale(active: DataFrame, target: str) -> DataFrame:
@@ -146,12 +172,12 @@ def stale(active: DataFrame, target: str) -> DataFrame:
 
 
 def backup_audit(active: DataFrame, target: str) -> dict[str, DataFrame]:
-    """The files of a root in three parts: redundant, else stale, else unique."""
-    twice = redundant(active, target)
-    rest = active.join(twice.select("path"), "path", "left_anti")
-    old = stale(rest.where(F.col("root") == target).unionByName(active.where(F.col("root") != target)), target)
-    single = rest.where(F.col("root") == target).join(old.select("path"), "path", "left_anti").select("path", F.coalesce("byte_size", F.lit(0)).alias("size_bytes"))
-    return {"redundant": twice, "stale": old, "unique": single}
+    """The files of a root in three parts, redundant, else stale, else unique; and the copies of the redundant ones."""
+    own = _own(active, target)
+    rest = own.where("n_elsewhere is null").select(*active.columns)
+    old = stale(rest.unionByName(active.where(F.col("root") != target)), target)
+    single = rest.join(old.select("path"), "path", "left_anti").select("path", F.coalesce("byte_size", F.lit(0)).alias("size_bytes"))
+    return {"redundant": _twice(own), "stale": old, "unique": single, "copies": copies(active, target)}
 
 
 def review_lines(rows: DataFrame, action: Column, path: Column, size: Column, note: Column) -> DataFrame:

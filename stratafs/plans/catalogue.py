@@ -418,9 +418,9 @@ def jn_hit_path(spark, d):
     return search.any_path(V.documents(spark, d).select("content_hash"), V.paths(spark, d))
 
 
-@query("jn_hash_paths", "SELECT content_hash, array_to_string(list_sort(list(path)), ',') AS paths FROM files_v WHERE disappeared IS NULL GROUP BY content_hash")
+@query("jn_hash_paths", "SELECT x.content_hash, x.doc_id, p.path FROM documents_v x JOIN files_v p ON p.content_hash = x.content_hash WHERE p.disappeared IS NULL")
 def jn_hash_paths(spark, d):
-    return V.paths(spark, d).where("disappeared is null").groupBy("content_hash").agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("paths"))
+    return V.documents(spark, d).select("content_hash", "doc_id").join(V.paths(spark, d).where("disappeared is null").select("content_hash", "path"), "content_hash")
 
 
 @query("jn_path_hash", "SELECT path, content_hash FROM files_v WHERE disappeared IS NULL AND path = '/r1/s1/l1/doc_2.txt'")
@@ -428,8 +428,8 @@ def jn_path_hash(spark, d):
     return V.paths(spark, d).where("disappeared is null and path = '/r1/s1/l1/doc_2.txt'").select("path", "content_hash")
 
 
-_REDUNDANT = f"""SELECT t.path, coalesce(t.byte_size, 0) AS size_bytes, array_to_string(list_sort(list(o.path)), ',') AS also_at
-  FROM active_v t JOIN active_v o ON o.content_hash = t.content_hash AND o.root <> '{ROOT}' WHERE t.root = '{ROOT}' GROUP BY t.path, t.byte_size"""
+_REDUNDANT = f"""SELECT t.path, t.content_hash, coalesce(t.byte_size, 0) AS size_bytes, count(*) AS n_elsewhere, min(o.path) AS also_at
+  FROM active_v t JOIN active_v o ON o.content_hash = t.content_hash AND o.root <> '{ROOT}' WHERE t.root = '{ROOT}' GROUP BY t.path, t.content_hash, t.byte_size"""
 _CANDIDATES = f"""SELECT t.path, coalesce(t.byte_size, 0) AS size_bytes, o.path AS newer_path, t.mtime AS target_mtime, o.mtime AS other_mtime,
   row_number() OVER (PARTITION BY t.path ORDER BY o.mtime DESC, o.path) AS rn
   FROM active_v t JOIN active_v o ON o.root <> '{ROOT}' AND o.content_hash <> t.content_hash AND ends_with(o.path, '/' || substring(t.path, {len(ROOT) + 2})) WHERE t.root = '{ROOT}'"""
@@ -438,7 +438,12 @@ _STALE = f"SELECT path, size_bytes, newer_path, target_mtime, other_mtime FROM (
 
 @query("jn_redundant", _REDUNDANT)
 def jn_redundant(spark, d):
-    return reports.redundant(V.active(spark, d), ROOT).withColumn("also_at", F.array_join("also_at", ","))
+    return reports.redundant(V.active(spark, d), ROOT)
+
+
+@query("jn_copies", f"SELECT content_hash, path FROM active_v WHERE root <> '{ROOT}' AND content_hash IN (SELECT content_hash FROM active_v WHERE root = '{ROOT}')")
+def jn_copies(spark, d):
+    return reports.copies(V.active(spark, d), ROOT)
 
 
 @query("jn_stale", _STALE)
@@ -463,7 +468,7 @@ def _runs(spark, d):
 
 _PROGRESS = f"SELECT q.id, q.status, q.scan_run_id, r.files_seen, (r.finished - r.started) * 1000 AS duration_ms FROM ({_REQUESTS}) q LEFT JOIN ({_RUNS}) r ON r.id = q.scan_run_id"
 query("jn_scan_req", _PROGRESS)(lambda s, d: feed.progress(_requests(s, d), _runs(s, d)).drop("error"))
-query("q_poll", _PROGRESS + " WHERE q.id <= 500")(lambda s, d: feed.progress(_requests(s, d).where("id <= 500"), _runs(s, d)).drop("error"))
+query("q_poll", _PROGRESS)(lambda s, d: feed.progress(_requests(s, d), _runs(s, d)).drop("error"))
 query("fn_duration", f"SELECT id, (finished - started) * 1000 AS ms FROM ({_RUNS}) r")(
     lambda s, d: _runs(s, d).select("id", (F.unix_millis("finished_at") - F.unix_millis("started_at")).alias("ms"))
 )
@@ -617,9 +622,7 @@ def _versions(spark, d):
 
 query("agg_versions", _VERSIONS)(_versions)
 _DUPS = "SELECT content_hash, max(byte_size) AS size_bytes, list_sort(list(path)) AS p FROM active_v GROUP BY content_hash HAVING count(*) > 1"
-query("agg_dup_groups", f"SELECT content_hash, size_bytes, array_to_string(p, ',') AS paths FROM ({_DUPS}) x")(
-    lambda s, d: reports.duplicates(V.active(s, d)).withColumn("paths", F.array_join("paths", ","))
-)
+query("agg_dup_groups", f"SELECT content_hash, size_bytes, len(p) AS n_paths, unnest(p) AS path FROM ({_DUPS}) x")(lambda s, d: reports.duplicates(V.active(s, d)))
 _STATS = f"SELECT dir, CAST(sum(coalesce(byte_size, 0)) AS BIGINT) AS total_bytes, count(*) AS file_count, count(ext) AS with_ext FROM {EXTS} x GROUP BY dir"
 query("agg_dir_stats", _STATS)(lambda s, d: reports.directory_stats(V.active(s, d)))
 _FAMILY = f"CASE WHEN ext IN {P.AUDIO} THEN 'audio' WHEN ext IN {P.VIDEO} THEN 'video' WHEN ext IN {P.IMAGE} THEN 'image' END"
@@ -638,10 +641,10 @@ query("agg_redundant_bytes", f"SELECT CAST(coalesce(sum(size_bytes), 0) AS BIGIN
 )
 query("agg_min_id", "SELECT min(id) AS min_id FROM events_v")(lambda s, d: V.events(s, d).agg(F.min("id").alias("min_id")))
 query("agg_hash_paths", "SELECT content_hash, count(DISTINCT path) AS n_paths FROM prev_v GROUP BY content_hash", V.SNAP_SQL)(
-    lambda s, d: V.snapshots(s, d)[0].groupBy("content_hash").agg(F.size(F.collect_set("path")).cast("bigint").alias("n_paths"))
+    lambda s, d: V.snapshots(s, d)[0].groupBy("content_hash").agg(F.count_distinct("path").alias("n_paths"))
 )
-query("agg_inode_paths", "SELECT dev, inode, array_to_string(list_sort(list(DISTINCT path)), ',') AS paths FROM cur_v GROUP BY dev, inode", V.SNAP_SQL)(
-    lambda s, d: V.snapshots(s, d)[1].groupBy("dev", "inode").agg(F.array_join(F.array_sort(F.collect_set("path")), ",").alias("paths"))
+query("agg_inode_paths", "SELECT dev, inode, count(DISTINCT path) AS n_paths, min(path) AS first_path FROM cur_v GROUP BY dev, inode", V.SNAP_SQL)(
+    lambda s, d: V.snapshots(s, d)[1].groupBy("dev", "inode").agg(F.count_distinct("path").alias("n_paths"), F.min("path").alias("first_path"))
 )
 
 # ---- order, limits, paging
@@ -674,16 +677,17 @@ def _tier_of(path: Column) -> Column:
 query("fn_canonical_score", f"SELECT path, CAST({_SCORE} AS INTEGER) AS score FROM {_SCORED} x")(
     lambda s, d: V.active(s, d).select("path", P.canonical_score(F.col("path"), _tier_of(F.col("path"))).alias("score"))
 )
-_CANONICAL = f"SELECT content_hash, string_agg(path, ',' ORDER BY {_SCORE} DESC, path) AS paths FROM {_SCORED} x GROUP BY content_hash HAVING count(*) > 1"
+_CANONICAL = f"""SELECT content_hash, path, CAST({_SCORE} AS INTEGER) AS score, first_value(path) OVER (PARTITION BY content_hash ORDER BY {_SCORE} DESC, path) AS canonical
+  FROM {_SCORED} x QUALIFY count(*) OVER (PARTITION BY content_hash) > 1"""
 query("srt_canonical", _CANONICAL)(
-    lambda s, d: reports.canonical_order(reports.duplicates(V.active(s, d)), _tier_of(F.col("path"))).select("content_hash", F.array_join("paths", ",").alias("paths"))
+    lambda s, d: reports.canonical_order(reports.duplicates(V.active(s, d)), _tier_of(F.col("path"))).select("content_hash", "path", "score", "canonical")
 )
 query("pag_events", "SELECT id, event_type, path FROM events_v WHERE id > 250 ORDER BY id LIMIT 101")(
     lambda s, d: feed.after(V.events(s, d), 250, 100).select("id", "event_type", "path")
 )
 _EXPIRY = "SELECT min(id) <= 251 AS cursor_valid, CASE WHEN min(id) <= 251 THEN 250 ELSE 0 END AS cursor_after FROM (SELECT id FROM events_v WHERE ts >= 1704500000) x"
 query("pag_expiry", _EXPIRY)(
-    lambda s, d: feed.retained(V.events(s, d), 1704500000, "ts").agg((F.min("id") <= 251).alias("cursor_valid"), F.when(F.min("id") <= 251, 250).otherwise(0).alias("cursor_after"))
+    lambda s, d: feed.cursor_state(feed.retained(V.events(s, d), 1704500000, "ts"), 250)
 )
 query("top_latest", "SELECT id, path FROM events_v ORDER BY id DESC LIMIT 1")(lambda s, d: V.events(s, d).agg(F.max("id").alias("id"), F.max_by("path", "id").alias("path")))
 query("q_scan_status", f"SELECT id, files_seen FROM ({_RUNS}) r ORDER BY id DESC LIMIT 1")(lambda s, d: _runs(s, d).agg(F.max("id").alias("id"), F.max_by("files_seen", "id").alias("files_seen")))
@@ -722,22 +726,39 @@ def _zeroed(spark, d):
 query("fn_is_binary", "SELECT id, id % 7 = 0 AS is_binary FROM files_v")(lambda s, d: _zeroed(s, d).select("id", X.is_binary(F.col("content")).alias("is_binary")))
 query("fn_extension", f"SELECT path, ext FROM {EXTS} x")(lambda s, d: V.active(s, d).select("path", P.extension(F.col("path")).alias("ext")))
 query("fn_mime", f"SELECT path, {_MIME_CASE} AS mime FROM {EXTS} x")(lambda s, d: V.active(s, d).select("path", P.mime(F.col("path")).alias("mime")))
-_MD = "concat('intro line', chr(10), '# Title ', id, chr(10), chr(10), 'First  part ', chr(10), 'of ', left(text, 60), chr(10), chr(10), '## Sub', chr(10), '#no heading', chr(10), '####### seven', chr(10), '## sub')"
-_ONE_LINE = "replace(replace(left(text, 60), chr(10), ' '), chr(13), ' ')"
-_MD_SQL = _MD.replace("left(text, 60)", _ONE_LINE)
+#: Whole texts as Markdown: a line's length says whether it is a heading, looks like one, or ends a paragraph.
+_MARKED = "CASE length(x) % 5 WHEN 0 THEN concat('## ', x) WHEN 1 THEN concat('# ', x) WHEN 2 THEN concat('#', x) WHEN 3 THEN concat(x, chr(10)) ELSE x END"
+_MD_SQL = rf"""{V.SQL}, lines_v AS (
+  SELECT id, list_transform(string_split_regex(array_to_string(list_transform(string_split(text, chr(10)), lambda x: {_MARKED}), chr(10)), '\r?\n'), lambda x: rtrim(x)) AS w FROM files_v),
+heads_v AS (
+  SELECT id, w, list_transform(list_filter(w, lambda x: regexp_matches(x, '^#{{1,6}}( +.*)?$')),
+    lambda x: {{'level': len(regexp_extract(x, '^(#{{1,6}})', 1)), 'heading': regexp_extract(x, '^#{{1,6}} +(.*)$', 1)}}) AS hs FROM lines_v),
+blocks_v AS (
+  SELECT id, hs, list_transform(string_split_regex(array_to_string(list_transform(w, lambda x: CASE WHEN regexp_matches(x, '^#{{1,6}}( +.*)?$') THEN chr(1) ELSE x END), chr(10)), '\n\n+'),
+    lambda x: trim(regexp_replace(x, '(?s)^.*\x01', ''), chr(10))) AS blocks FROM heads_v)"""
 
 
 def _markdown(spark, d):
-    return V.files(spark, d).select("id", F.expr(_MD_SQL.replace("chr(", "char(")).alias("t"))
+    return V.files(spark, d).select("id", F.expr(f"array_join(transform(split(text, '\n'), x -> {_MARKED}), '\n')").alias("t"))
+
+
+@query("fn_title_summary_md", """SELECT id, list_filter(hs, lambda h: h.level = 1)[1].heading AS title,
+  left(trim(replace(list_filter(blocks, lambda x: x <> '')[1], chr(10), ' ')), 200) AS summary FROM blocks_v""", _MD_SQL)
+def fn_title_summary_md(spark, d):
+    return _markdown(spark, d).select("id", X.markdown_title(F.col("t")).alias("title"), X.markdown_summary(F.col("t")).alias("summary"))
+
+
+@query("fn_heading", "SELECT id, array_to_string(list_transform(hs, lambda h: concat(h.level, ':', h.heading)), chr(10)) AS headings FROM heads_v", _MD_SQL)
+def fn_heading(spark, d):
+    return _markdown(spark, d).select("id", F.array_join(F.transform(X.headings(F.col("t")), lambda h: F.concat_ws(":", h["level"].cast("string"), h["heading"])), "\n").alias("headings"))
+
+
+@query("fn_topics", """SELECT id, array_to_string(list_filter(ts, lambda x, i: list_position(ts, x) = i), chr(10)) AS topics
+  FROM (SELECT id, list_transform(hs, lambda h: lower(h.heading)) AS ts FROM heads_v) x""", _MD_SQL)
+def fn_topics(spark, d):
+    return _markdown(spark, d).select("id", F.array_join(X.topics(F.col("t")), "\n").alias("topics"))
 
 
-query("fn_title_summary_md", f"SELECT id, concat('Title ', id) AS title, left(trim(concat('First  part', ' ', rtrim(concat('of ', {_ONE_LINE})))), 200) AS summary FROM files_v")(
-    lambda s, d: _markdown(s, d).select("id", X.markdown_title(F.col("t")).alias("title"), X.markdown_summary(F.col("t")).alias("summary"))
-)
-query("fn_heading", "SELECT id, concat('1:Title ', id, ',2:Sub,2:sub') AS headings FROM files_v")(
-    lambda s, d: _markdown(s, d).select("id", F.array_join(F.transform(X.headings(F.col("t")), lambda h: F.concat_ws(":", h["level"].cast("string"), h["heading"])), ",").alias("headings"))
-)
-query("fn_topics", "SELECT id, concat('title ', id, ',sub') AS topics FROM files_v")(lambda s, d: _markdown(s, d).select("id", F.array_join(X.topics(F.col("t")), ",").alias("topics")))
 query("fn_title_summary_txt", f"""SELECT id, CASE WHEN regexp_matches(name, '^.+[.][^.]*$') THEN regexp_extract(name, '^(.+)[.][^.]*$', 1) ELSE name END AS title,
   substring(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')[1], 1, 200) AS summary
   FROM (SELECT *, regexp_extract(path, '[^/]*$') AS name FROM files_v) x""")(

@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import stat
+from collections import deque
 from collections.abc import Iterator
 from itertools import islice
 
@@ -17,15 +18,17 @@ from ..operators import policy
 
 WALK = "path string, root string, mtime bigint, size_bytes bigint, inode bigint, dev bigint, catalog_dir string"
 IGNORE_FILE = ".indexignore"
+#: Directories that the driver opens at most to find the parts of a walk; the tasks walk what is below.
+PARTS = 512
 #: Bytes in which a zero byte makes a file binary.
 SNIFF = 8192
 
 
 class _Top(InputPartition):
-    """A root's own files, or one of its top directories."""
+    """A directory to walk, or its own files only; layers: the rules from above it."""
 
-    def __init__(self, root: str, path: str, layers: list, inside: str | None):
-        self.root, self.path, self.layers, self.inside = root, path, layers, inside
+    def __init__(self, root: str, path: str, layers: list, catalog: str | None, deep: bool = True):
+        self.root, self.path, self.layers, self.catalog, self.deep = root, path, layers, catalog, deep
 
 
 def _layer(directory: str, layers: list) -> list:
@@ -53,26 +56,39 @@ class WalkReader(DataSourceReader):
         self.roots, self.user = roots, [policy.parse_rules(user_rules, home)] if user_rules else []
 
     def partitions(self) -> list[InputPartition]:
-        tops: list[InputPartition] = []
-        for root in self.roots:
-            if not os.path.isdir(root):
-                continue  # a root that isn't there is skipped
-            layers = _layer(root, [policy.default_rules(root)])
-            tops.append(_Top(root, root, layers, "own"))
-            for e in _entries(root):
-                if e.is_dir(follow_symlinks=False):
-                    verdict = _verdict(layers, self.user, e.path, True)
-                    if verdict != policy.IGNORED:
-                        tops.append(_Top(root, e.path, layers, e.path if verdict == policy.CATALOGED else None))
-        return tops or [_Top("", "", [], "own")]
+        """Directories by their depth, opened on the driver until there are PARTS of them, so that a huge one is divided."""
+        waiting = deque(_Top(root, root, [policy.default_rules(root)], None) for root in self.roots if os.path.isdir(root))  # a root that isn't there is skipped
+        own: list[InputPartition] = []
+        while waiting and len(own) + len(waiting) < PARTS:
+            top = waiting.popleft()
+            own.append(_Top(top.root, top.path, top.layers, top.catalog, deep=False))
+            waiting.extend(_Top(top.root, *below) for below in self._below(top.path, self._here(top.path, top.layers, top.catalog), top.catalog))
+        return [*own, *waiting] or [_Top("", "", [], None)]
 
     def read(self, top: _Top) -> Iterator[tuple]:
         if not top.path:
             return
-        if top.inside == "own":
-            yield from self._files(top.root, top.path, top.layers, None)
+        if top.deep:
+            yield from self._tree(top.root, top.path, top.layers, top.catalog)
         else:
-            yield from self._tree(top.root, top.path, top.layers, top.inside)
+            yield from self._files(top.root, top.path, self._here(top.path, top.layers, top.catalog), top.catalog)
+
+    @staticmethod
+    def _here(directory: str, layers: list, catalog: str | None) -> list:
+        """The rules that hold in a directory; no ignore files are read below a cataloged one."""
+        return layers if catalog else _layer(directory, layers)
+
+    def _below(self, directory: str, layers: list, catalog: str | None) -> Iterator[tuple[str, list, str | None]]:
+        """(path, layers, catalog) of the directories in one that aren't ignored."""
+        for e in _entries(directory):
+            if not e.is_symlink() and e.is_dir(follow_symlinks=False):
+                inside = catalog
+                if not inside:
+                    verdict = _verdict(layers, self.user, e.path, True)
+                    if verdict == policy.IGNORED:
+                        continue
+                    inside = e.path if verdict == policy.CATALOGED else None
+                yield e.path, layers, inside
 
     def _files(self, root, directory, layers, catalog):
         for e in _entries(directory):
@@ -86,22 +102,14 @@ class WalkReader(DataSourceReader):
                 yield (e.path, root, int(s.st_mtime), s.st_size, s.st_ino, s.st_dev, catalog)
 
     def _tree(self, root, directory, layers, catalog):
-        if not catalog:
-            layers = _layer(directory, layers)
+        layers = self._here(directory, layers, catalog)
         yield from self._files(root, directory, layers, catalog)
-        for e in _entries(directory):
-            if not e.is_symlink() and e.is_dir(follow_symlinks=False):
-                inside = catalog
-                if not inside:
-                    verdict = _verdict(layers, self.user, e.path, True)
-                    if verdict == policy.IGNORED:
-                        continue
-                    inside = e.path if verdict == policy.CATALOGED else None
-                yield from self._tree(root, e.path, layers, inside)
+        for below in self._below(directory, layers, catalog):
+            yield from self._tree(root, *below)
 
 
 class WalkSource(DataSource):
-    """Format "filetree". Options: roots (a JSON list), user_rules, home. A partition for each top directory.
+    """Format "filetree". Options: roots (a JSON list), user_rules, home. Partitions are directories (PARTS about).
 
     Links aren't followed; what isn't a regular file is left out. Files below a cataloged
     directory come with that directory in catalog_dir.

@@ -6,7 +6,7 @@ import pytest
 
 from stratafs import cli, review
 from stratafs.index import Index
-from stratafs.sources import gate
+from stratafs.sources import gate, walk
 
 
 @pytest.fixture
@@ -268,3 +268,21 @@ def test_watching_gives_what_a_scan_gives(spark, tmp_path, tree):
     state = lambda: sorted((r["path"], r["content_hash"]) for r in index.store.table("paths").where("disappeared is null").collect())
     followed = state()
     assert kinds(index.scan(now=2000)) == [] and state() == followed
+
+
+def test_parts_of_a_walk_are_what_one_walk_finds(tmp_path, monkeypatch):
+    for i in range(40):
+        d = tmp_path / "huge" / f"d{i % 4}" / f"e{i % 7}" / ("node_modules" if i % 5 == 0 else f"f{i}")
+        d.mkdir(parents=True, exist_ok=True)
+        (d / f"x{i}.txt").write_text("x")
+    (tmp_path / "huge" / "d1" / ".indexignore").write_text("e2/\n")
+    reader = walk.WalkReader([str(tmp_path), str(tmp_path / "none")], "", "/")
+    found = {}
+    for parts in (1, 3, 10, 1000):
+        monkeypatch.setattr(walk, "PARTS", parts)
+        tops = reader.partitions()
+        assert len(tops) >= min(parts, 20)
+        found[parts] = sorted(row for top in tops for row in reader.read(top))
+    assert len(found[1]) > 30 and any(row[6] for row in found[1]) and not any("/d1/e2/" in row[0] for row in found[1])
+    assert all(rows == found[1] for rows in found.values())
+    assert all(len(set(rows)) == len(rows) for rows in found.values())

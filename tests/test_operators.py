@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stratafs.functions import patterns
 from stratafs.functions import paths as P
 from stratafs.functions import text as X
-from stratafs.operators import diff, feed, policy, reports, search
+from stratafs.operators import diff, feed, policy, predicates, reports, search
 from stratafs.streaming import debounce
 
 RULES = [
@@ -204,6 +204,28 @@ def test_equality_joins_are_the_naive_ones(spark):
     assert {r["path"]: r["newer_path"] for r in reports.stale(df, "/a").collect() if r["path"] != "/a"} == want
 
 
+def test_reports_of_copies(spark):
+    data = [(f"/a/{i}", "/a", "e", 0) for i in range(7)] + [(f"/b/copy/{i}", "/b", "e", 0) for i in range(9)] + [
+        ("/a/d/x", "/a", "h", 5), ("/b/d/x", "/b", "h", 5), ("/a/d/y", "/a", "i", 6), ("/b/d/y", "/b", "i", 6), ("/a/only", "/a", "j", None)]
+    df = spark.createDataFrame([(*r, 1, None) for r in data], "path string, root string, content_hash string, byte_size long, mtime long, title string")
+    groups = reports.canonical_order(reports.duplicates(df))
+    rows = groups.collect()
+    assert [r["path"] for r in rows][:16] == [*(f"/a/{i}" for i in range(7)), *(f"/b/copy/{i}" for i in range(9))]  # fewer levels and no "copy" first
+    assert {(r["content_hash"], r["n_paths"], r["canonical"]) for r in rows} == {("e", 16, "/a/0"), ("h", 2, "/a/d/x"), ("i", 2, "/a/d/y")}
+    pairs, rest = reports.directory_pairs(groups, least=2)
+    assert [tuple(r) for r in pairs.collect()] == [("/a/d", "/b/d", 11, 2)] and {r["content_hash"] for r in rest.collect()} == {"e"}
+    parts = reports.backup_audit(df, "/a")
+    assert sorted(tuple(r) for r in parts["redundant"].where("size_bytes > 0").collect()) == [("/a/d/x", "h", 5, 1, "/b/d/x"), ("/a/d/y", "i", 6, 1, "/b/d/y")]
+    assert {(r["n_elsewhere"], r["also_at"]) for r in parts["redundant"].where("size_bytes = 0").collect()} == {(9, "/b/copy/0")}
+    assert parts["copies"].count() == 11 and [tuple(r) for r in parts["unique"].collect()] == [("/a/only", 0)] and parts["stale"].count() == 0
+
+
+def test_violations_keep_a_few_examples(spark):
+    paths = spark.createDataFrame([(f"/u/k{i:02}.pem",) for i in range(40)] + [("/u/.env",), ("/u/.ssh/id_rsa",)], "path string").repartition(4)
+    rows = {r["category"]: (r["n"], r["examples"]) for r in predicates.violation_counts(paths).collect()}
+    assert rows == {"private_keys": (41, ["/u/.ssh/id_rsa", *(f"/u/k{i:02}.pem" for i in range(4))]), "env_files": (1, ["/u/.env"]), "secret_dirs": (1, ["/u/.ssh/id_rsa"])}
+
+
 def test_feed_pages(spark):
     events = spark.createDataFrame([(i, f"p{i}") for i in range(4, 9)], "id long, path string")
     assert feed.page(events, 0, 2).next_cursor == 5 and feed.page(events, 0, 2).has_more
