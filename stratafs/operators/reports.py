@@ -148,36 +148,48 @@ def copies(active: DataFrame, target: str) -> DataFrame:
     return active.where(F.col("root") != target).join(wanted, "content_hash", "left_semi").select("content_hash", "path")
 
 
-def stale(active: DataFrame, target: str) -> DataFrame:
-    """(path, size_bytes, newer_path, target_mtime, other_mtime): files whose newest other version is newer.
+def _newer(own: DataFrame, active: DataFrame, target: str) -> DataFrame:
+    """own rows of the target root with the newest other version of each (newer_path, other_mtime); null if there is none.
 
     Another version has the same path relative to the target root as its end, other
     content, and another root. Only suffixes as deep as some relative path are exploded.
-    Of each suffix the newest file and the newest of another content are kept by
-    aggregates, so a name that is everywhere meets its files in two rows.
+    Of each suffix the newest file and the newest of another content are kept, and no task
+    sends more than those two, so a name that is everywhere is no hot key.
     """
-    own = active.where(F.col("root") == target).select(
-        "path", F.coalesce("byte_size", F.lit(0)).alias("size_bytes"), F.col("mtime").alias("target_mtime"), F.col("content_hash").alias("own_hash"),
-        F.substring(F.col("path"), len(target.rstrip("/")) + 2, 1 << 30).alias("rel"),
-    )
-    depths = own.select(F.size(F.split("rel", "/")).alias("depth")).distinct()
+    rel = F.substring(F.col("path"), len(target.rstrip("/")) + 2, 1 << 30)
+    depths = active.where(F.col("root") == target).select(F.size(F.split(rel, "/")).alias("depth")).distinct()
     others = active.where(F.col("root") != target).join(F.broadcast(depths)).where(F.size(F.split("path", "/")) > F.col("depth"))  # a few depths
     newest_first = F.struct((-F.col("mtime")).alias("m"), F.col("path").alias("newer_path"), F.col("mtime").alias("other_mtime"), F.col("content_hash").alias("hash"))
     ends = others.select(P.suffix_of_depth(F.col("path"), F.col("depth")).alias("rel"), newest_first.alias("n"))
     of_hash = ends.groupBy("rel", F.col("n.hash").alias("hash")).agg(F.min("n").alias("n"))
-    first = of_hash.groupBy("rel").agg(F.min("n").alias("one"))
-    second = of_hash.join(first, "rel").where("n.hash <> one.hash").groupBy("rel").agg(F.min("n").alias("two"))
-    newer = own.join(first, "rel").join(second, "rel", "left").withColumn("n", F.when(F.col("one.hash") != F.col("own_hash"), F.col("one")).otherwise(F.col("two")))
-    return newer.select("path", "size_bytes", "n.newer_path", "target_mtime", "n.other_mtime").where("other_mtime > target_mtime")
+    place = F.row_number().over(Window.partitionBy("rel").orderBy("n"))
+    best = of_hash.withColumn("place", place).where("place <= 2").groupBy("rel").agg(F.min("n").alias("one"), F.min(F.when(F.col("place") == 2, F.col("n"))).alias("two"))
+    met = own.withColumn("rel", rel).join(best, "rel", "left").withColumn("n", F.when(F.col("one.hash") != F.col("content_hash"), F.col("one")).otherwise(F.col("two")))
+    return met.select(*own.columns, "n.newer_path", "n.other_mtime")
+
+
+def _stale(met: DataFrame) -> DataFrame:
+    return met.select("path", F.coalesce("byte_size", F.lit(0)).alias("size_bytes"), "newer_path", F.col("mtime").alias("target_mtime"), "other_mtime")
+
+
+def stale(active: DataFrame, target: str) -> DataFrame:
+    """(path, size_bytes, newer_path, target_mtime, other_mtime): files whose newest other version is newer."""
+    return _stale(_newer(active.where(F.col("root") == target), active, target)).where("other_mtime > target_mtime")
+
+
+def backup_parts(active: DataFrame, target: str) -> DataFrame:
+    """Each file of a root with its part, redundant, else stale, else unique, and what tells that (n_elsewhere, also_at, newer_path, other_mtime)."""
+    met = _newer(_own(active, target), active, target)
+    part = F.when(F.col("n_elsewhere").isNotNull(), "redundant").when(F.col("other_mtime") > F.col("mtime"), "stale").otherwise("unique")
+    return met.withColumn("part", part)
 
 
 def backup_audit(active: DataFrame, target: str) -> dict[str, DataFrame]:
-    """The files of a root in three parts, redundant, else stale, else unique; and the copies of the redundant ones."""
-    own = _own(active, target)
-    rest = own.where("n_elsewhere is null").select(*active.columns)
-    old = stale(rest.unionByName(active.where(F.col("root") != target)), target)
-    single = rest.join(old.select("path"), "path", "left_anti").select("path", F.coalesce("byte_size", F.lit(0)).alias("size_bytes"))
-    return {"redundant": _twice(own), "stale": old, "unique": single, "copies": copies(active, target)}
+    """The parts of backup_parts() by their names, and the copies of the redundant files."""
+    rows = backup_parts(active, target)
+    of = lambda part: rows.where(F.col("part") == part)
+    single = of("unique").select("path", F.coalesce("byte_size", F.lit(0)).alias("size_bytes"))
+    return {"redundant": _twice(of("redundant")), "stale": _stale(of("stale")), "unique": single, "copies": copies(active, target)}
 
 
 def review_lines(rows: DataFrame, action: Column, path: Column, size: Column, note: Column) -> DataFrame:

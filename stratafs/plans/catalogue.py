@@ -690,6 +690,15 @@ query("pag_expiry", _EXPIRY)(
     lambda s, d: feed.cursor_state(feed.retained(V.events(s, d), 1704500000, "ts"), 250)
 )
 query("top_latest", "SELECT id, path FROM events_v ORDER BY id DESC LIMIT 1")(lambda s, d: V.events(s, d).agg(F.max("id").alias("id"), F.max_by("path", "id").alias("path")))
+@query("q_enqueue", f"SELECT id, status FROM ({_REQUESTS}) q UNION ALL SELECT max(id) + 1, 'pending' FROM ({_REQUESTS}) q")
+def q_enqueue(spark, d):
+    queue = _requests(spark, d).select(
+        "id", "requested_at", F.lit("full").alias("kind"), F.array(F.lit(ROOT)).alias("root"), "status", "scan_run_id",
+        F.lit(None).cast("timestamp").alias("started_at"), F.lit(None).cast("timestamp").alias("completed_at"), "error",
+    )
+    return feed.enqueue(queue, "full", [ROOT], None).select("id", "status")
+
+
 query("q_scan_status", f"SELECT id, files_seen FROM ({_RUNS}) r ORDER BY id DESC LIMIT 1")(lambda s, d: _runs(s, d).agg(F.max("id").alias("id"), F.max_by("files_seen", "id").alias("files_seen")))
 
 # ---- scalar functions
@@ -888,9 +897,7 @@ _BACKUP = f"""SELECT 'redundant' AS part, path, size_bytes FROM ({_REDUNDANT}) r
 
 
 def _backup(spark, d):
-    parts = reports.backup_audit(V.active(spark, d), ROOT)
-    r, s, u = (parts[k].select(F.lit(k).alias("part"), "path", "size_bytes") for k in ("redundant", "stale", "unique"))
-    return r.unionByName(s).unionByName(u)
+    return reports.backup_parts(V.active(spark, d), ROOT).select("part", "path", F.coalesce("byte_size", F.lit(0)).alias("size_bytes"))
 
 
 query("q_backup_audit", _BACKUP)(_backup)
