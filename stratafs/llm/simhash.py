@@ -9,7 +9,8 @@ of two linked fingerprints is then always among the anchors of the other, so com
 per anchor loses no link.
 
 Only distinct fingerprints are compared. At an anchor, links are reduced to a forest that
-connects the same fingerprints, so a large group emits no pairs.
+connects the same fingerprints, so a large group emits no pairs. No task holds an anchor
+of very many fingerprints: those are divided again by the rest of their bits.
 """
 
 from __future__ import annotations
@@ -25,10 +26,13 @@ from pyspark.sql import functions as F
 
 from .common import documents, stored
 from .components import least_of_component, split_join
+from .hashing import mixed
 
 SEED, SHINGLE, DISTANCE, BLOCKS = 42, 3, 3, 2
 #: Fingerprints that are walked at once; more are first divided without loss.
 DENSE = 20_000
+#: Pieces of a fingerprint at the last division of those at one anchor.
+PIECES = 16
 #: Cells of a comparison matrix.
 CELLS = 1 << 22
 
@@ -158,42 +162,103 @@ def at_anchor(fps: np.ndarray, home: np.ndarray, distance: int) -> list[tuple[in
     return forest(fps[linked], distance)
 
 
-def _per_anchor(distance: int):
-    """An Arrow function over rows sorted by anchor: the links at each anchor."""
+def _per_anchor(distance: int, dense: int):
+    """An Arrow function over rows sorted by anchor: the links at each.
 
-    def links(anchor, home, fps):
+    The fingerprints at an anchor with more than `dense` rows are not held: each is told
+    as a link to itself. Without `dense` all are compared.
+    """
+
+    def made(a, b):
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def told(fps):
+        return made(fps.view(np.int64), fps.view(np.int64))
+
+    def links(held):
+        anchor, home, fps = (np.concatenate(x) for x in zip(*held))
         starts = np.concatenate(([0], np.flatnonzero(np.diff(anchor)) + 1))
         sizes = np.diff(np.concatenate((starts, [len(anchor)])))
         homes = np.add.reduceat(home.astype(np.int64), starts)
         out = []
         for i in np.flatnonzero((sizes > 1) & (homes > 0)).tolist():
             of = slice(starts[i], starts[i] + sizes[i])
-            out += at_anchor(fps[of], home[of], distance)
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+            if dense and sizes[i] > dense:
+                yield told(fps[of])
+            else:
+                out += at_anchor(fps[of], home[of], distance)
+        yield made([a for a, _ in out], [b for _, b in out])
 
     def run(batches):
-        held: list[tuple] = []
+        held: list[tuple] = []  # rows of the anchor that may go on in the next batch
+        wide = None  # an anchor that has been given up
         for batch in batches:
             anchor, home = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            fps = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
+            if wide is not None and len(anchor):
+                known = np.searchsorted(anchor, wide, "right") if anchor[0] == wide else 0
+                yield told(fps[:known])
+                anchor, home, fps = anchor[known:], home[known:], fps[known:]
+                wide = None if len(anchor) else wide
             if not len(anchor):
                 continue
-            fps = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
-            last = np.searchsorted(anchor, anchor[-1])  # the anchor that may go on in the next batch
+            if held and held[0][0][0] != anchor[0]:
+                yield from links(held)
+                held = []
+            last = np.searchsorted(anchor, anchor[-1])
             if last:
-                held.append((anchor[:last], home[:last], fps[:last]))
-                yield links(*(np.concatenate(x) for x in zip(*held)))
+                yield from links([*held, (anchor[:last], home[:last], fps[:last])])
                 held = []
             held.append((anchor[last:], home[last:], fps[last:]))
+            if dense and sum(len(x[0]) for x in held) > dense:
+                wide = anchor[-1]
+                yield told(np.concatenate([x[2] for x in held]))
+                held = []
         if held:
-            yield links(*(np.concatenate(x) for x in zip(*held)))
+            yield from links(held)
 
     return run
 
 
-def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
-    """(a, b): links that connect the distinct fingerprints (fp) within distance bits."""
-    at = _covered(distinct, blocks, distance // blocks)
-    return at.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_per_anchor(distance), "a long, b long")
+def _divided(fps: DataFrame, pieces: int, distance: int) -> DataFrame:
+    """(anchor, home, fp): fingerprints within distance meet, as they are equal in all but `distance` of so many pieces."""
+    edges = [64 * i // pieces for i in range(pieces + 1)]
+    masks = [sum((1 << edges[i + 1]) - (1 << edges[i]) for i in range(pieces) if i not in left) for left in combinations(range(pieces), distance)]
+
+    def run(batches):
+        for batch in batches:
+            fp = batch.column(0).to_numpy(zero_copy_only=False)
+            for k, mask in enumerate(masks):
+                key = mixed((fp.view(np.uint64) & np.uint64(mask)) + mixed(np.full(1, k, np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.ones(len(fp), bool)), pa.array(fp)], ["anchor", "home", "fp"])
+
+    return fps.mapInArrow(run, "anchor long, home boolean, fp long")
+
+
+def _linked(at: DataFrame, distance: int, dense: int) -> DataFrame:
+    rows = at.repartition("anchor").sortWithinPartitions("anchor")
+    return stored(rows.mapInArrow(_per_anchor(distance, dense), "a long, b long"), "links")
+
+
+def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, dense: int = DENSE) -> DataFrame:
+    """(a, b): links that connect the distinct fingerprints (fp) within distance bits.
+
+    Fingerprints at anchors with more than `dense` of them are divided further, by what
+    they have in common beyond the anchor, and again where that leaves as many; no link is
+    lost. At the last division, into PIECES, fingerprints that meet are alike but for
+    `distance` pieces, for 3 bits at most 4096 different ones. Distances of more than 3
+    bits would make too many copies of each and are compared at their anchors.
+    """
+    levels = [2 * distance, PIECES] if 0 < distance <= 3 else []
+    links = _linked(_covered(distinct, blocks, distance // blocks), distance, dense if levels else 0)
+    out = links.where("a <> b")
+    for pieces in levels:
+        wide = links.where("a = b").select(F.col("a").alias("fp")).distinct()
+        if wide.isEmpty():
+            break
+        links = _linked(_divided(wide, pieces, distance), distance, dense if pieces < PIECES else 0)
+        out = out.unionByName(links.where("a <> b"))
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:

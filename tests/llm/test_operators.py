@@ -380,6 +380,57 @@ def test_simhash_against_brute_force(spark, docs, rows, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("batch", [10_000, 64])
+def test_wide_anchors_are_divided_without_loss(spark, batch):
+    rng = random.Random(batch)
+    centre, fps = rng.getrandbits(64), set()
+    for _ in range(900):  # many at the anchors of one block, some of them linked
+        x = centre ^ rng.getrandbits(12) << 40
+        fps |= {x, x ^ 1 << rng.randrange(64), rng.getrandbits(64)}
+    fps = sorted(fps)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = simhash.fingerprint_links(spark.createDataFrame([(signed(x),) for x in fps], "fp long"), dense=100).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(a != b for a, b in found)
+
+    def groups(pairs):
+        root = {x: x for x in fps}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+        return {x: find(x) for x in fps}
+
+    near = [(a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 3]
+    assert groups([(a % (1 << 64), b % (1 << 64)) for a, b in found]) == groups(near)
+
+
+def test_tasks_hold_no_wide_anchor(spark):
+    """Of anchors with many rows only what is told one by one comes out, over batches and within them."""
+    import numpy as np
+    import pyarrow as pa
+
+    anchor = np.repeat([1, 2, 3, 4], [5, 250, 3, 120])
+    fps = np.arange(len(anchor), dtype=np.int64) << 20 | 1
+    fps[255:258] = [8, 9, 11]
+    made = [
+        pa.RecordBatch.from_arrays([pa.array(anchor[i : i + 70]), pa.array(np.ones(len(anchor[i : i + 70]), bool)), pa.array(fps[i : i + 70])], ["anchor", "home", "fp"])
+        for i in range(0, len(anchor), 70)
+    ]
+    out = [(a, b) for batch in simhash._per_anchor(3, 100)(made) for a, b in zip(*(c.to_pylist() for c in batch.columns))]
+    assert sorted(a for a, b in out if a == b) == sorted(fps[5:255].tolist() + fps[258:].tolist())
+    assert {8, 9, 11} <= {x for a, b in out if a != b for x in (a, b)}
+
+
 @pytest.mark.parametrize(("distance", "blocks"), [(3, 2), (7, 4), (2, 1)])
 def test_links_lose_none(spark, distance, blocks):
     if 64 // blocks == 64 and distance > 1:
