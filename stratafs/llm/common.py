@@ -28,9 +28,9 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")
 
 
-def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends, in bytes, of the words of UTF-8 data."""
-    inside = ~_GAPS[np.frombuffer(data, np.uint8)]
+def word_bounds(data: bytes, gaps: np.ndarray = _GAPS) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends, in bytes, of the words of UTF-8 data; gaps tells of each byte whether it stands between words."""
+    inside = ~gaps[np.frombuffer(data, np.uint8)]
     edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
@@ -59,10 +59,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """df written as Parquet in the shared folder and read again."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

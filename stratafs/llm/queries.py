@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, html_text, media, packing, pii, quality, simhash, substrings, token_counts
+from . import byte_bpe, chat, decontaminate, html_text, media, negatives, packing, pii, quality, simhash, substrings, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,6 +15,15 @@ QUERIES = {
     "op8_media": media.op8_media,
     "op9_quality": quality.op9_quality,
     "op10_chat": chat.op10_chat,
+    "op11_decontaminate": decontaminate.op11_decontaminate,
+    "op12_negatives": negatives.op12_negatives,
 }
 
-ORACLE_SQL = {"op2_substrings": substrings.ORACLE, "op3_pii": pii.ORACLE, "op9_quality": quality.ORACLE, "op10_chat": chat.ORACLE}
+ORACLE_SQL = {
+    "op2_substrings": substrings.ORACLE,
+    "op3_pii": pii.ORACLE,
+    "op9_quality": quality.ORACLE,
+    "op10_chat": chat.ORACLE,
+    "op11_decontaminate": decontaminate.ORACLE,
+    "op12_negatives": negatives.ORACLE,
+}
