@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, decontaminate, html_text, media, negatives, packing, pii, quality, simhash, substrings, token_counts
+from . import byte_bpe, chat, decontaminate, html_text, media, negatives, packing, pii, quality, simhash, spelling, substrings, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_chat": chat.op10_chat,
     "op11_decontaminate": decontaminate.op11_decontaminate,
     "op12_negatives": negatives.op12_negatives,
+    "op13_spelling": spelling.op13_spelling,
 }
 
 ORACLE_SQL = {
@@ -26,4 +27,5 @@ ORACLE_SQL = {
     "op10_chat": chat.ORACLE,
     "op11_decontaminate": decontaminate.ORACLE,
     "op12_negatives": negatives.ORACLE,
+    "op13_spelling": spelling.ORACLE,
 }
