@@ -3,7 +3,8 @@
 The first pass labels blocks by stop-word density, length and link density; names of
 classes, ids and roles, and an article around a block, shift what it takes. In the second,
 blocks that stayed open take the label of the nearest decided block before or behind them,
-those of an article from the article's own blocks.
+those of an article from the article's own blocks. The page's edges say nothing, and
+what was set aside for its element or name says less than text at the same distance.
 """
 
 from __future__ import annotations
@@ -40,12 +41,19 @@ HOLDERS = frozenset("article aside blockquote body dialog div dl fieldset figure
 ASIDE = frozenset("aside dialog footer form menu nav".split())
 #: Names of classes, ids and roles of such holders. A token of a class counts if its parts
 #: are such names and parts that say nothing; an id, often the slug of a title, as a whole,
-#: and not on a heading. Of the second list an article or main within is no part.
-ASIDE_NAME = re.compile(r"breadcrumbs?|comments?|consent|contentinfo|cookies?|disqus|footer|masthead|navbar|navigation|newsletter|notices?|nav|pagination|related|sidebar")
-WEAK_NAME = re.compile(r"ad|ads|advert\w*|alert|banner|dialog|menu|modal|popup|promo\w*|search|share|sharing|social|sponsor\w*|subscribe|toolbar|widget")
+#: and not on a heading. Of the second and third list an article or main within is no
+#: part. What has a name of the third list may still be text if it is long.
+ASIDE_NAME = re.compile(
+    r"breadcrumbs?|comment|comments|commentlist|consent|contentinfo|cookies?|discussions?|disqus|footer|masthead|navbar|navigation|newsletter|notices?|nav|pagination|related|"
+    r"replies|reply|responses?|sidebar"
+)
+ADVERT_NAME = re.compile(r"ad|ads|advert\w*|adsense|promo\w*|sponsor\w*")
+WEAK_NAME = re.compile(r"alert|banner|dialog|menu|modal|popup|search|share|sharing|social|subscribe|toolbar|widget")
+#: Names of the first list that an id doesn't have, being headings of articles as well.
+HEADING_NAME = frozenset("discussion discussions response responses".split())
 _NO_NAME = re.compile(
-    r"area|articles?|bar|block|bottom|box|buttons?|col|column|container|form|header|icons?|inner|item|left|line|links?|list|media|outer|page|panel|policy|posts?|right|"
-    r"row|section|signup|site|slot|stories|text|thread|top|unit|wrap|wrapper|\d+"
+    r"all|area|articles?|bar|block|body|bottom|box|buttons?|col|column|container|content|entry|form|header|icons?|inner|item|latest|left|line|links?|list|media|outer|page|panel|"
+    r"policy|posts?|readers?|recent|right|row|section|signup|site|slot|stories|text|thread|top|unit|users?|visitors?|wrap|wrapper|\d+"
 )
 _UNSEEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none", re.I)
 _NAMES = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -59,11 +67,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 #: Code points from which a block is long; from which it is decided by its words; share
 #: of link text above which a block is links; share of stop words of running text.
 LONG, SHORT, LINKS, STOPS = 200, 70, 0.33, 0.2
-#: For blocks under such names, the factors of the length and of the share of stop words
+#: For blocks under names of the third list, the factors of the length and of the share of stop words
 #: that running text needs; for those in an article, of the share of stop words.
 NAMED_LONG, NAMED_STOPS, ARTICLE_STOPS = 2, 1.5, 0.5
-#: How far a name goes: not at all, up to an article or main within, to the end.
-NONE, WEAK, NAMED = 0, 1, 2
+#: How far a name goes: not at all, up to an article or main within or a long text, up to an article or main within, to the end.
+NONE, WEAK, ADVERT, NAMED = 0, 1, 2, 3
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 GOOD, BAD, OPEN = 1, -1, 0
 
@@ -76,19 +84,19 @@ def name_weight(tag: str, attributes: str) -> int:
     for kind, a, b, c in _NAMES.findall(attributes):
         value = (a or b or c).lower().strip()
         if kind.lower() == "id":
-            parts = [] if tag in HEADINGS else [[value]]
+            parts = [] if tag in HEADINGS or value in HEADING_NAME else [[value]]
         else:
             parts = [re.split(r"[-_]+", token) for token in value.split()]
         for of in parts:
-            known = [NAMED if ASIDE_NAME.fullmatch(x) else WEAK if WEAK_NAME.fullmatch(x) else NONE for x in of]
+            known = [NAMED if ASIDE_NAME.fullmatch(x) else ADVERT if ADVERT_NAME.fullmatch(x) else WEAK if WEAK_NAME.fullmatch(x) else NONE for x in of]
             if any(known) and all(k or _NO_NAME.fullmatch(x) for k, x in zip(known, of)):
                 weight = max(weight, *known)
     return weight
 
 
-def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
-    """(text, link density, in a holder of other things, in an article, under a name of other things) of each block, in page order."""
-    found: list[tuple[str, float, bool, bool, bool]] = []
+def blocks(page: str) -> list[tuple[str, float, bool, bool, int]]:
+    """(text, link density, in a holder of other things, in an article, how far a name of other things goes) of each block, in page order."""
+    found: list[tuple[str, float, bool, bool, int]] = []
     holders: list[tuple[str, bool, bool, int]] = []
     held: Counter[str] = Counter()  # the holders' names
     pieces: list[str] = []
@@ -105,7 +113,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
         text = " ".join("".join(pieces).split())
         if text:
             _, aside, article, other = holders[-1] if holders else ("", False, False, NONE)
-            found.append((text, min(1.0, linked / len(text)), aside or hidden, article, bool(other or spare)))
+            found.append((text, min(1.0, linked / len(text)), aside or hidden, article, max(other, spare)))
         pieces.clear()
         linked, hidden, spare = 0, False, NONE
 
@@ -169,7 +177,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
                 _, aside, article, other = holders[-1] if holders else ("", False, False, NONE)
                 aside = aside or name in ASIDE or (name == "header" and not article) or unseen(name, attributes)
                 if name in ("article", "main"):
-                    article, other = True, NONE if other == WEAK else other
+                    article, other = True, NONE if other < NAMED else other
                 holders.append((name, aside, article, max(other, name_weight(name, attributes))))
                 held[name] += 1
     end_block()
@@ -181,9 +189,9 @@ def stop_share(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / max(1, len(words))
 
 
-def first_pass(block: tuple[str, float, bool, bool, bool]) -> int:
+def first_pass(block: tuple[str, float, bool, bool, int]) -> int:
     text, links, aside, article, other = block
-    if aside:
+    if aside or other > WEAK:
         return BAD
     if len(text) < SHORT:
         return BAD if links > LINKS or other or "©" in text else OPEN
@@ -195,23 +203,34 @@ def first_pass(block: tuple[str, float, bool, bool, bool]) -> int:
     return GOOD if stops >= (ARTICLE_STOPS if article or len(text) >= LONG else 1) * STOPS else OPEN
 
 
-def second_pass(labels: list[int], ends: int = BAD) -> list[int]:
-    """Open labels decided by the nearest decided one; at equal distance both must be good; what is beyond the ends is bad unless told."""
+def second_pass(labels: list[int], yields: list[bool] | None = None, ends: int = OPEN) -> list[int]:
+    """Open labels decided by the nearest decided one.
+
+    At equal distance both must be good, but a bad one that yields leaves it to the other.
+    ends: what stands beyond both ends, by default nothing. With nothing decided all are good.
+    """
     n = len(labels)
-    before, behind = [(0, BAD)] * n, [(0, BAD)] * n
-    last = (-1, ends)
+    yields = yields or [False] * n
+    nothing = (n + 1, OPEN, False)  # farther than all
+    at = lambda i: (i, labels[i], yields[i])
+    before, behind = [nothing] * n, [nothing] * n
+    last = (-1, ends, False) if ends else None
     for i in range(n):
-        last = (i, labels[i]) if labels[i] != OPEN else last
-        before[i] = last
-    last = (n, ends)
+        last = at(i) if labels[i] != OPEN else last
+        before[i] = (i - last[0], *last[1:]) if last else nothing
+    last = (n, ends, False) if ends else None
     for i in range(n - 1, -1, -1):
-        last = (i, labels[i]) if labels[i] != OPEN else last
-        behind[i] = last
+        last = at(i) if labels[i] != OPEN else last
+        behind[i] = (last[0] - i, *last[1:]) if last else nothing
     out = []
-    for i, label in enumerate(labels):
+    for label, (a, x, weak_x), (b, y, weak_y) in zip(labels, before, behind):
         if label == OPEN:
-            (a, x), (b, y) = before[i], behind[i]
-            label = x if i - a < b - i else y if b - i < i - a else min(x, y)
+            if a != b:
+                label = x if a < b else y
+            elif x != y and (weak_x if x == BAD else weak_y):
+                label = GOOD
+            else:
+                label = min(x, y) or GOOD
         out.append(label)
     return out
 
@@ -222,10 +241,12 @@ def main_text(page: str | None) -> str:
     first = [first_pass(b) for b in found]
     if GOOD not in first:  # of a language without the stop words: length alone decides
         first = [GOOD if label == OPEN and len(b[0]) >= LONG else label for b, label in zip(found, first)]
-    labels = second_pass(first)
+    if GOOD not in first:  # a page of short blocks alone
+        first = [GOOD if label == OPEN else label for label in first]
+    labels = second_pass(first, [aside or other > NONE for _, _, aside, _, other in found])
     # what was set aside within an article says nothing of the text beside it
     inside = [i for i, (_, _, aside, article, other) in enumerate(found) if article and not aside and not other]
-    for i, label in zip(inside, second_pass([first[i] for i in inside], GOOD)):
+    for i, label in zip(inside, second_pass([first[i] for i in inside], ends=GOOD)):
         labels[i] = label
     return "\n".join(b[0] for b, label in zip(found, labels) if label == GOOD)
 
@@ -234,8 +255,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(id, url, text, n_chars) of each page.
 
     A null or empty page has an empty text; very long pages are read whole, in time that
-    grows with their length; an open block as far from a good as from a bad one is bad;
-    null ids and urls stay null; equal rows each give a row; markup that never closes ends
+    grows with their length; an open block as far from a good as from a bad one is bad,
+    unless the bad one was set aside for its element or name; null ids and urls stay null; equal rows each give a row; markup that never closes ends
     with the page; other columns are left aside; an empty table gives an empty result.
     """
     kind = pages.schema[id_col].dataType.simpleString()
