@@ -117,13 +117,15 @@ def _anchor_rows(docs: DataFrame, span: int, gram: int) -> DataFrame:
         for batch in batches:
             rows = batch.column(0).to_numpy(zero_copy_only=False)
             hs, rs, ns = [], [], []
+            told_of = set()  # equal rows without an id are one document, and one task may hold any number of them
             for r, text in zip(rows, batch.column(1)):
                 data = text.as_buffer()
                 if data is None:
                     continue
                 starts, ends = word_bounds(data)
-                if len(starts) < span:
+                if len(starts) < span or r in told_of:
                     continue
+                told_of.add(r)
                 places, h = anchors(word_hashes(data, starts, ends), span, gram)
                 first = np.concatenate(([True], np.diff(places) > 0))
                 h, n = np.unique(h[first], return_counts=True)
@@ -305,9 +307,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     without them; a text that loses nothing stays as it is. keep: columns of docs that
     follow as the struct `row` (null where none are asked for).
 
-    Windows start earlier in a smaller id, or earlier in the same row. Rows of one id are
-    ordered by the CRC of their texts; rows that are equal in both are one document and
-    all have its result. Null ids come last and stay null. Null and empty texts, and
+    Windows start earlier in a smaller id, or earlier in the same row. Rows of one id, as
+    are all without an id, are ordered by a hash of 64 bits of their texts, which tells
+    them apart; rows of one id and equal texts are one document and all have its result. Null ids come last and stay null. Null and empty texts, and
     those of fewer words than a window, lose nothing; very long ones are searched whole.
     An empty table gives an empty result.
     """
@@ -321,16 +323,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # all columns go along, so that both joins read one exchange of the texts
     routed = held.join(repeated, "r").select("d", "v", "text", "cold", "hot", "id", "row")
     found = _shards(_segments(routed, span, gram), span)
-    per_row = found.groupBy(F.xxhash64("d", "v").alias("r")).agg(F.collect_list(F.struct("d", "v", "start", "n")).alias("found"))
+    per_row = found.groupBy(F.xxhash64("d", "v").alias("r")).agg(F.collect_set(F.struct("d", "v", "start", "n")).alias("found"))
     cut = _cut(held.join(per_row, "r", "left").select("d", "v", "text", "id", "found", "row"), span, held.schema["row"].dataType.simpleString())
     return cut.select(F.col("id").alias(id_col), "n_words", "n_removed", "spans", "kept", *(["row"] if keep else []))
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(r, d, v, text, id, row): r is a number for each row but equal ones, so that rows without an id or of one id are not gathered."""
+    """(r, d, v, text, id, row): r is a number for each row but equal ones, so that rows without an id or of one id are not gathered; v stands for the text."""
     row = F.struct(*(F.col(c) for c in keep)) if keep else F.lit(None).cast("struct<none:int>")
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    held = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.crc32(text).alias("v"), text.alias("text"), F.col(id_col).cast("long").alias("id"), row.alias("row"))
+    held = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(text).alias("v"), text.alias("text"), F.col(id_col).cast("long").alias("id"), row.alias("row"))
     return held.select(F.xxhash64("d", "v").alias("r"), "*")
 
 
