@@ -6,7 +6,8 @@ reference and expanded token count are recorded. All of it is made of SQL expres
 
 Template of a turn: <|im_start|>ROLE newline TEXT <|im_end|> newline. In roles and texts a backslash
 becomes \b and <| becomes <\p, so no control string can stand inside them, and unescaping
-gives back what was there; a newline in a role becomes \n.
+gives back what was there; a newline in a role becomes \n. Texts that follow each other in
+a turn are escaped as if they were one.
 """
 
 from __future__ import annotations
@@ -73,17 +74,24 @@ def format_turns(turns: Column) -> Column:
         def flat(t: Column, before: Column) -> Column:
             """The text of one turn; `before` media parts precede it."""
             is_text = lambda p: F.coalesce(p["type"], F.lit("text")) == "text"
+            says = lambda p: p.isNotNull() & ~(is_text(p) & (F.coalesce(p["text"], F.lit("")) == ""))
+
+            def escaped(parts: Column, p: Column, i: Column) -> Column:
+                """A part's text; its first | is escaped where the text before it ends with <."""
+                last = F.get(parts, i - 1)
+                open_ = (i > 0) & is_text(last) & F.endswith(last["text"], F.lit("<")) & F.startswith(p["text"], F.lit("|"))
+                return F.when(F.coalesce(open_, F.lit(False)), F.concat(F.lit("\\p"), escape(F.substring(p["text"], F.lit(2), F.length(p["text"]))))).otherwise(escape(p["text"]))
 
             def pieces(parts: Column) -> Column:
                 places = prefix_sums(F.transform(parts, lambda p: F.when(is_text(p), 0).otherwise(1)))
                 return let(
                     places,
                     lambda at: F.array_join(
-                        F.transform(parts, lambda p, i: F.when(is_text(p), escape(p["text"])).otherwise(F.get(found, before + F.get(at, i))["placeholder"])), ""
+                        F.transform(parts, lambda p, i: F.when(is_text(p), escaped(parts, p, i)).otherwise(F.get(found, before + F.get(at, i))["placeholder"])), ""
                     ),
                 )
 
-            return let(F.filter(F.coalesce(t["parts"], F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull()), pieces)
+            return let(F.filter(F.coalesce(t["parts"], F.array().cast(f"array<{PART}>")), says), pieces)
 
         n_media = F.transform(
             turns,
