@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import os
+import time
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import schema
 from .functions import extract
 from .functions.paths import extension_label
 from .functions.patterns import glob_to_like, search_terms
 from .operators import diff, feed, policy, predicates, reports, search
 from .sources.store import CommitConflict, Store
 from .sources.walk import find_files, read_contents, walk
-from .streaming.apply import affected
+from .streaming.apply import affected, changed_paths
 
 STALE_SECONDS, FULL_SECONDS = 3600, 86_400
 #: What a keyword search looks at.
@@ -50,9 +53,9 @@ class Index:
         return self.store.table("events").where(F.col("scan_id") == run)
 
     def _scan(self, base: dict, roots: list[str], now: int, run: int, retire_all: bool) -> None:
+        began = time.monotonic()
         table = lambda name: self.store.table(name, base)
-        documents, paths, log = table("documents"), table("paths"), table("events")
-        active = paths.where("disappeared is null")
+        documents, active = table("documents"), table("active")
         # the tree and its contents are read once: all tables of a generation come from what was written then
         walked = self.store.draft("walk", walk(self.spark, roots, self.user_rules, self.home))
         files = diff.needs_hash(walked.where("catalog_dir is null").drop("catalog_dir"), active)
@@ -66,6 +69,7 @@ class Index:
             .withColumn("body_hash", F.coalesce("full_body", "known_body", "content_hash"))
             .select("path", "root", "content_hash", "body_hash", "mtime", "size_bytes", "inode", "dev")
         )
+        cur = self.store.draft("current", cur)
         prev = active.join(bodies, "content_hash", "left").select("path", "content_hash", F.col("known_body").alias("body_hash"))
         scope = None if retire_all else roots
         if scope is not None:
@@ -76,37 +80,52 @@ class Index:
         found = diff.events_of(prev, cur).withColumn("timestamp", F.timestamp_seconds(F.lit(now))).withColumn("scan_id", F.lit(run).cast("bigint"))
         dirs = walked.where("catalog_dir is not null").groupBy(F.col("catalog_dir").alias("path")).agg(F.sum("size_bytes").alias("total_bytes"), F.count(F.lit(1)).alias("file_count"))
         runs = table("scan_runs")
-        ended = F.col("id") == run
+        ended, seen = F.col("id") == run, cur.count()
         runs = (
             runs.withColumn("status", F.when(ended, F.lit("complete")).otherwise(F.col("status")))
             .withColumn("finished_at", F.when(ended, F.timestamp_seconds(F.lit(now))).otherwise(F.col("finished_at")))
-            .withColumn("files_seen", F.when(ended, F.lit(cur.count()).cast("bigint")).otherwise(F.col("files_seen")))
+            .withColumn("files_seen", F.when(ended, F.lit(seen).cast("bigint")).otherwise(F.col("files_seen")))
         )
+        after = self.store.draft("paths", diff.next_paths(active, cur, run, now, scope))
+        events, emitted = self._numbered(found, base)
+        new_documents, postings, counts = self._contents(fresh, base, now)
+        row = (run, datetime.fromtimestamp(now, UTC), emitted, dirs.count(), emitted, int(1000 * (time.monotonic() - began)), seen)
         self.store.commit(
             base,
-            append={"events": self._numbered(found, log), **self._indexed(documents, fresh)},
-            documents=diff.next_documents(documents, self._seen(fresh, documents, now)),
-            paths=diff.next_paths(paths, cur, run, now, scope),
+            append={"events": events, "closed": after.where("disappeared is not null"), "snapshots": self.spark.createDataFrame([row], schema.SNAPSHOTS), **postings},
+            change={"documents": new_documents},
+            count={"events": emitted, **counts},
+            active=after.where("disappeared is null"),
             catalog=diff.next_catalog(table("catalog"), dirs),
             scan_runs=runs,
         )
 
-    def _numbered(self, found: DataFrame, log: DataFrame) -> DataFrame:
-        last = log.agg(F.max("id")).first()[0] or 0
-        return feed.numbered(found, last, ["path", "event_type"], lambda df: self.store.draft("events", df)).select(*log.columns)
-
-    @staticmethod
-    def _seen(fresh: DataFrame, documents: DataFrame, now: int) -> DataFrame:
-        return fresh.withColumn("first_seen", F.timestamp_seconds(F.lit(now))).select("path", *documents.columns)
-
-    @staticmethod
-    def _indexed(documents: DataFrame, fresh: DataFrame) -> dict[str, DataFrame]:
-        """Postings and lengths of the contents that aren't known yet."""
-        new = fresh.where("not is_binary").join(documents.select("content_hash"), "content_hash", "left_anti")
+    def _numbered(self, found: DataFrame, base: dict) -> tuple[DataFrame, int]:
+        """Events with ids that follow the last, and how many they are."""
+        held: list[DataFrame] = []
+
+        def hold(df: DataFrame) -> DataFrame:
+            held.append(self.store.draft("events", df))
+            return held[0]
+
+        last = base.get("counts", {}).get("events", 0)
+        rows = feed.numbered(found, last, ["path", "event_type"], hold).select(*self.store.table("events", base).columns)
+        return rows, held[0].count()
+
+    def _contents(self, fresh: DataFrame, base: dict, now: int) -> tuple[DataFrame, dict[str, DataFrame], dict[str, int]]:
+        """What the contents that were read change: rows of documents, postings to append, and what a search has to know of the corpus."""
+        hashes = fresh.select("content_hash").distinct()
+        known = self.store.draft("known", self.store.table("documents", base, hashes).join(hashes, "content_hash", "left_semi"))
+        seen = fresh.withColumn("first_seen", F.timestamp_seconds(F.lit(now))).select("path", *known.columns)
+        had = known.select("content_hash", F.lit(True).alias("had"), F.col("body_hash").alias("had_body"))
+        rows = diff.next_documents(known, seen).join(had, "content_hash", "left")
+        rows = rows.where(F.col("had").isNull() | ~F.col("had_body").eqNullSafe(F.col("body_hash"))).drop("had", "had_body").withColumn("gone", F.lit(False))
+        new = fresh.where("not is_binary").join(known.select("content_hash"), "content_hash", "left_anti")
         # title and summary go by the least path, as in documents
         one = new.groupBy("content_hash").agg(F.min(F.struct("path", "title", F.array_join("topics", " ").alias("topic_text"), "summary", "search_text")).alias("d")).select("content_hash", "d.*")
-        placed, lengths = search.index_rows(one, "content_hash", SEARCHED)
-        return {"postings": placed, "lengths": lengths}
+        n, tokens = search.text_lengths(one, SEARCHED)
+        placed = search.block_rows(one, "content_hash", SEARCHED, uuid.uuid4().int >> 65, search.block_bits(n))
+        return rows, {"postings": placed} if n else {}, {"docs": n, "tokens": tokens}
 
     # ---- runs and requests
 
@@ -188,35 +207,42 @@ class Index:
         only a scan sees enough to call them moved or copied.
         """
         base = self.store.state()
-        documents, paths, log = (self.store.table(name, base) for name in ("documents", "paths", "events"))
         named = self.store.draft("touched", affected(flushes))
         files = self.store.draft("files", find_files(named.where("present"), self.roots, self.user_rules, self.home))
-        below = reports.under(paths.where("disappeared is null").select("path").distinct(), named.where("not present").select("path"), "left_semi")
-        touched = named.select("path").unionByName(files.select("path")).unionByName(below).distinct()
+        touched = named.select("path").unionByName(files.select("path"))
+        gone = named.where("not present").select("path")
+        if not gone.isEmpty():
+            touched = touched.unionByName(reports.under(self.store.table("active", base).select("path"), gone, "left_semi"))
+        touched = self.store.draft("paths", touched.distinct())
         fresh = self.store.draft("fresh", extract.document_rows(read_contents(files, self.most_bytes), self.search_bytes))
         cur = files.join(fresh.select("path", "content_hash", F.col("full_body").alias("body_hash")), "path")
-        mine = paths.join(touched, "path", "left_semi")
-        bodies = documents.select("content_hash", "body_hash")
-        prev = mine.where("disappeared is null").join(bodies, "content_hash", "left").select("path", "content_hash", "body_hash")
+        # only slots with such paths, and with contents that those had, are read
+        mine = self.store.draft("mine", self.store.table("active", base, touched).join(touched, "path", "left_semi"))
+        bodies = self.store.table("documents", base, mine.select("content_hash")).select("content_hash", "body_hash")
+        prev = mine.join(bodies, "content_hash", "left").select("path", "content_hash", "body_hash")
         found = diff.events_of(prev, cur, resolve=False).withColumn("timestamp", F.timestamp_seconds(F.lit(now))).withColumn("scan_id", F.lit(None).cast("bigint"))
-        last = log.agg(F.max("id")).first()[0] or 0
         run = self.store.table("scan_runs", base).agg(F.max("id")).first()[0] or 0
-        changed = diff.next_paths(mine, cur, run, now).select(*paths.columns)
+        after = self.store.draft("after", diff.next_paths(mine, cur, run, now))
+        events, emitted = self._numbered(found, base)
+        new_documents, postings, counts = self._contents(fresh, base, now)
         self.store.commit(
             base,
-            append={"events": self._numbered(found, log), **self._indexed(documents, fresh)},
-            documents=diff.next_documents(documents, self._seen(fresh, documents, now)),
-            paths=paths.join(touched, "path", "left_anti").select(*paths.columns).unionByName(changed),
+            append={"events": events, "closed": after.where("disappeared is not null"), **postings},
+            change={"active": changed_paths(mine, after), "documents": new_documents},
+            count={"events": emitted, **counts},
         )
-        return self.store.table("events").where(F.col("id") > last)
+        return self.store.table("events").where(F.col("id") > base.get("counts", {}).get("events", 0))
 
     def prune(self, before: datetime) -> int:
-        """Drop events older than a time; how many went."""
-        base = self.store.state()
-        events = self.store.table("events", base)
-        kept = feed.retained(events, F.lit(before))
-        n = events.count() - kept.count()
-        self.store.commit(base, events=kept)
+        """Drop events and logged reads older than a time; how many went."""
+        base, n, kept = self.store.state(), 0, {}
+        for name in ("events", "read_audit"):
+            rows = self.store.table(name, base)
+            old = rows.where(F.col("timestamp") < F.lit(before)).count()
+            if old:
+                n, kept[name] = n + old, feed.retained(rows, F.lit(before))
+        if kept:
+            self.store.commit(base, **kept)
         return n
 
     def log_read(self, row: dict) -> None:
@@ -226,20 +252,21 @@ class Index:
 
     def _active(self) -> DataFrame:
         d = self.store.table("documents")
-        p = self.store.table("paths").where("disappeared is null").select("path", "root", "content_hash", "mtime", "size_bytes", "inode", "dev")
+        p = self.store.table("active").select("path", "root", "content_hash", "mtime", "size_bytes", "inode", "dev")
         return p.join(d, "content_hash")
 
     def find(self, query: str, k: int = 10) -> DataFrame:
         """Ranked keyword search over titles, topics, summaries and texts of all contents ever seen.
 
         All words have to occur; a lower rank is better. Reads the postings of the query's
-        words, not the documents.
+        words, and of those only the parts that can be among the best.
         """
         state = self.store.state()
-        documents, placed, lengths, paths = (self.store.table(name, state) for name in ("documents", "postings", "lengths", "paths"))
-        best = search.ranked(placed, lengths, "content_hash", search_terms(query)).orderBy("rank", "content_hash").limit(k)
+        documents, placed, active = (self.store.table(name, state) for name in ("documents", "postings", "active"))
+        counts = state.get("counts", {})
+        best = search.top(placed, "content_hash", search_terms(query), k, counts.get("docs", 0), counts.get("tokens", 0))
         full = best.join(documents.select("content_hash", "title", "summary", "topics"), "content_hash")
-        return search.any_path(full, paths).orderBy("rank", "content_hash")
+        return search.any_path(full, active).orderBy("rank", "content_hash")
 
     def find_path(self, glob: str, most: int = 200) -> DataFrame:
         return predicates.largest(self._active().where(predicates.like_ci(F.col("path"), glob_to_like(glob, self.home))), most)
@@ -248,9 +275,12 @@ class Index:
         return predicates.largest(self._active().where(predicates.has_suffix(F.col("path"), ext)), most)
 
     def get(self, content_hash: str) -> DataFrame:
-        paths = self.store.table("paths").where((F.col("content_hash") == content_hash) & F.col("disappeared").isNull())
-        at = paths.groupBy("content_hash").agg(F.array_sort(F.collect_list("path")).alias("all_current_paths"))
-        return self.store.table("documents").where(F.col("content_hash") == content_hash).join(at, "content_hash", "left")
+        """A document, once for each of its current paths, with how many they are; once with a null path if there is none."""
+        key = F.col("content_hash") == content_hash
+        paths = self.store.table("active").where(key).select("content_hash", "path")
+        n = paths.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n_paths"))
+        one = self.store.table("documents").where(key).join(n, "content_hash", "left").withColumn("n_paths", F.coalesce("n_paths", F.lit(0).cast("long")))
+        return one.join(paths, "content_hash", "left").orderBy("path")
 
     def history(self, path: str, since=None, until=None) -> DataFrame:
         return feed.history(self.store.table("events"), path, since, until)
@@ -267,30 +297,44 @@ class Index:
             out["indexed"] = self._active().where(F.col("path").startswith(prefix)).orderBy("path").limit(most).select("path", "title", "topics")
         if tier in (None, "cataloged"):
             out["cataloged"] = self.store.table("catalog").where(F.col("path").startswith(prefix)).orderBy("path").limit(most)
+        totals = {k: v for k, v in self.health().items() if k.startswith("total_")}
+        out["totals"] = self.spark.createDataFrame([tuple(totals.values())], ", ".join(f"{k} bigint" for k in totals))
         return out
 
-    def audit(self, most: int = 20) -> dict[str, DataFrame]:
+    def audit(self, most: int = 20, min_bytes: int = 0, sort_by: str = "bytes") -> dict[str, DataFrame]:
+        """Totals, extensions, the largest cataloged directories (of min_bytes at least; sort_by: bytes or count), policy violations."""
         active, catalog = self._active(), self.store.table("catalog")
         total = (F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("byte_size"), F.lit(0)).alias("bytes"))
         return {
             "tier1": active.agg(*total),
             "by_extension": active.withColumn("ext", extension_label(F.col("path"))).groupBy("ext").agg(*total),
             "tier2": catalog.agg(F.count(F.lit(1)).alias("dirs"), F.coalesce(F.sum("total_bytes"), F.lit(0)).alias("bytes")),
-            "largest": catalog.orderBy(F.desc("total_bytes"), "path").limit(most),
-            "violations": predicates.violation_counts(self.store.table("paths").where("disappeared is null")),
+            "largest": predicates.largest_dirs(catalog, most, min_bytes, sort_by),
+            "violations": predicates.violation_counts(self.store.table("active")),
         }
 
     def health(self, now: int | None = None) -> dict:
         """Counts, the last scan, and whether that is too long ago; a store never scanned isn't stale."""
-        now = now if now is not None else int(datetime.now(UTC).timestamp())
-        p = self.store.table("paths").agg(F.count(F.lit(1)), F.count_if(F.col("disappeared").isNull())).first()
-        run = self.store.table("scan_runs").agg(F.max("finished_at"), F.unix_seconds(F.max("finished_at"))).first()
+        state = self.store.state()
+        count = lambda name: self.store.table(name, state).count()
+        active = count("active")
         return {
-            "status": "ok", "roots": self.roots, "total_paths_all": p[0], "total_active_paths": p[1], "total_indexed": p[1],
-            "total_documents": self.store.table("documents").count(), "total_cataloged": self.store.table("catalog").count(),
-            "total_searchable": self.store.table("lengths").count(), "last_scan": run[0], "is_stale": run[1] is not None and now - run[1] > STALE_SECONDS,
+            "status": "ok", "roots": self.roots, "total_paths_all": active + count("closed"), "total_active_paths": active, "total_indexed": active,
+            "total_documents": count("documents"), "total_cataloged": count("catalog"), "total_searchable": state.get("counts", {}).get("docs", 0),
+            "last_scan": self._last_scan(state), **self.freshness(now),
         }
 
+    def _last_scan(self, state: dict) -> datetime | None:
+        return self.store.table("snapshots", state).agg(F.max("timestamp")).first()[0]
+
+    def freshness(self, now: int | None = None) -> dict:
+        """as_of, is_stale and reason of what a query shows: the last snapshot, and whether that is too long ago."""
+        now = now if now is not None else int(datetime.now(UTC).timestamp())
+        at = self.store.table("snapshots").agg(F.unix_seconds(F.max("timestamp"))).first()[0]
+        age = now - (now if at is None else at)
+        stale = age > STALE_SECONDS
+        return {"as_of": now if at is None else at, "is_stale": stale, "reason": f"the last scan was {age} seconds ago" if stale else None}
+
     def events_since(self, cursor: int, limit: int = 100) -> feed.Page:
         return feed.page(self.store.table("events"), cursor, limit)
 

@@ -69,3 +69,9 @@ def largest(rows: DataFrame, most: int) -> DataFrame:
     sized = rows.select("path", F.coalesce("byte_size", F.lit(0)).alias("byte_size"), "content_hash", "title")
     total = sized.agg(F.count(F.lit(1)).alias("total_matched"))
     return sized.orderBy(F.desc("byte_size"), "path").limit(most).join(F.broadcast(total))  # one row
+
+
+def largest_dirs(catalog: DataFrame, most: int = 20, min_bytes: int = 0, sort_by: str = "bytes") -> DataFrame:
+    """The cataloged directories of min_bytes at least, the largest first: by bytes, or by their number of files (count)."""
+    order = "file_count" if sort_by == "count" else "total_bytes"
+    return catalog.where(F.col("total_bytes") >= min_bytes).orderBy(F.desc(order), "path").limit(most)

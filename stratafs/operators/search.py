@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil, log, log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,45 +75,121 @@ def _rank(n: int) -> Column:
 
 # ---- over stored postings
 
-#: Parts by token in which postings are stored.
-BUCKETS = 64
+#: Documents of a block on average, and blocks that a search scores first to learn what it may skip.
+BLOCK, FIRST = 128, 64
+#: Bounds are widened by this, more than their sums round.
+_WIDER = 1 + 1e-9
 
 
-def bucket(token: Column) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+def block_bits(docs: int) -> int:
+    """Into how many parts, as a power of 2, so many documents are divided."""
+    return max(0, ceil(log2(docs / BLOCK))) if docs > BLOCK else 0
 
 
-def index_rows(docs: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(postings, lengths) to store: (key, column, token, positions, bucket) and (key, length), the tokens of a document."""
-    each = postings(docs, key, columns)
-    placed = each.groupBy(key, "column", "token").agg(F.sort_array(F.collect_list("pos")).alias("positions"))  # of one document
+def block_rows(docs: DataFrame, key: str, columns: list[str], segment: int, bits: int) -> DataFrame:
+    """Postings to store: a row for each token and part of the documents, the same parts for all tokens.
+
+    (token, segment, prefix, n, most, shortest, docs, lengths, counts, places): n
+    documents, sorted; how often the token occurs in each, and where: column << 32 | place.
+    most: the largest count; shortest: the least length. segment: a number of this
+    call. A token that is in all documents has as many rows as there are parts.
+    """
+    texts = [tokens(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]
+    held = docs.select(F.col(key).alias("doc"), *(t.alias(f"t{i}") for i, t in enumerate(texts)))
+    sides = F.array(*(F.struct(F.lit(i).cast("bigint").alias("side"), F.col(f"t{i}").alias("tokens")) for i in range(len(columns))))
+    length = reduce(lambda a, b: a + b, (F.size(f"t{i}") for i in range(len(columns))))
+    each = held.select("doc", length.alias("length"), F.explode(sides).alias("s")).select("doc", "length", "s.side", F.posexplode("s.tokens").alias("pos", "token"))
+    of_doc = each.groupBy("doc", "length", "token").agg(F.sort_array(F.collect_list(F.shiftleft("side", 32) + F.col("pos"))).alias("places"))  # of one document
+    part = F.pmod(F.xxhash64("doc"), F.lit(1 << bits)).cast("int").alias("prefix")
+    row = F.struct("doc", "length", F.size("places").alias("count"), "places")
+    blocks = of_doc.select("token", part, row.alias("d")).groupBy("token", "prefix").agg(F.sort_array(F.collect_list("d")).alias("d"))  # of about BLOCK documents
+    return blocks.select(
+        "token", F.lit(segment).cast("bigint").alias("segment"), "prefix", F.size("d").alias("n"), F.array_max("d.count").alias("most"), F.array_min("d.length").alias("shortest"),
+        F.col("d.doc").alias("docs"), F.col("d.length").alias("lengths"), F.col("d.count").alias("counts"), F.col("d.places").alias("places"),
+    )
+
+
+def text_lengths(docs: DataFrame, columns: list[str]) -> tuple[int, int]:
+    """(documents, tokens): what a search has to know of the corpus."""
     total = reduce(lambda a, b: a + b, (F.size(tokens(F.coalesce(F.col(c).cast("string"), F.lit("")))) for c in columns))
-    return placed.withColumn("bucket", bucket(F.col("token"))), docs.select(key, total.cast("bigint").alias("length"))
+    n, length = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(total), F.lit(0))).first()
+    return n, length
 
 
-def ranked(stored: DataFrame, lengths: DataFrame, key: str, phrases: list[list[str]]) -> DataFrame:
-    """bm25() from stored postings: of those only the query's tokens are read, and of the lengths one number a document."""
-    if not phrases:
-        return lengths.select(key, F.lit(0.0).alias("rank")).limit(0)
+def _weight(f: Column, length: Column, mean: float) -> Column:
+    return f * (K1 + 1) / (f + K1 * (1 - B + B * length / mean))
+
+
+def _idf(docs: int, n: int) -> float:
+    return max(log((docs - n + 0.5) / (n + 0.5)), LEAST_IDF)
+
+
+def ranked(blocks: DataFrame, key: str, phrases: list[list[str]], docs: int, length: int) -> DataFrame:
+    """bm25() from stored postings, of which only the query's tokens are read; docs and length: the corpus' documents and tokens."""
     words = sorted({w for p in phrases for w in p})
-    spark = stored.sparkSession
-    places = spark.range(1).select(*(bucket(F.lit(w)) for w in words)).first()
-    mine = stored.where(F.col("bucket").isin(*set(places)) & F.col("token").isin(*words))
-    # one row a document and column, with the positions of each of the few words
-    by_column = mine.groupBy(key, "column").agg(*(F.first(F.when(F.col("token") == w, F.col("positions")), ignorenulls=True).alias(f"w{i}") for i, w in enumerate(words)))
+    if not phrases or not docs:
+        return blocks.select(F.lit("").alias(key), F.lit(0.0).alias("rank")).limit(0)
+    each = blocks.where(F.col("token").isin(*words)).select("token", F.explode(F.arrays_zip("docs", "lengths", "places")).alias("d"))
+    # one row a document, with the places of each of the few words
+    by_doc = each.groupBy(F.col("d.docs").alias(key)).agg(F.first("d.lengths").alias("length"), *(F.first(F.when(F.col("token") == w, F.col("d.places")), ignorenulls=True).alias(f"w{i}") for i, w in enumerate(words)))
 
     def times(phrase: list[str]) -> Column:
-        """How often a phrase stands in the column: the positions of its first word that the others follow."""
+        """How often a phrase occurs: the places of its first word that the others follow."""
         back = lambda w, k: F.transform(F.col(f"w{words.index(w)}"), lambda x: x - k)
-        shifted = [back(w, k) for k, w in enumerate(phrase)]
-        return F.coalesce(F.size(reduce(F.array_intersect, shifted)), F.lit(0))
+        return F.coalesce(F.size(reduce(F.array_intersect, [back(w, k) for k, w in enumerate(phrase)])), F.lit(0))
 
-    counted = by_column.groupBy(key).agg(*(F.sum(F.when(reduce(lambda a, b: a & b, (F.col(f"w{words.index(w)}").isNotNull() for w in p)), times(p)).otherwise(0)).alias(f"f{i}") for i, p in enumerate(phrases)))
+    counted = by_doc.select(key, "length", *(F.when(reduce(lambda a, b: a & b, (F.col(f"w{words.index(w)}").isNotNull() for w in p)), times(p)).otherwise(0).alias(f"f{i}") for i, p in enumerate(phrases)))
     n = len(phrases)
     having = counted.agg(*(F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(n)))
-    corpus = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))
     hits = counted.where(reduce(lambda a, b: a & b, (F.col(f"f{i}") > 0 for i in range(n))))
-    return hits.join(lengths, key).join(F.broadcast(having)).join(F.broadcast(corpus)).select(key, _rank(n).alias("rank"))  # one row each
+    corpus = hits.join(F.broadcast(having)).withColumn("docs", F.lit(docs)).withColumn("mean", F.lit(length / docs))  # one row
+    return corpus.select(key, _rank(n).alias("rank"))
+
+
+def top(blocks: DataFrame, key: str, phrases: list[list[str]], k: int, docs: int, length: int, first: int = FIRST) -> DataFrame:
+    """(key, rank): the k best of ranked(), of equal ones those of the smaller key, from few of the blocks.
+
+    A document's postings are in blocks of one part of one segment. A part that lacks a word has
+    no hit; what the others can reach at most follows from their blocks' heads. The most
+    promising parts are scored first. Their k-th best is a bound: parts that can't
+    reach it are skipped.
+    """
+    if not docs or any(len(p) != 1 for p in phrases) or not phrases:
+        return ranked(blocks, key, phrases, docs, length).orderBy("rank", key).limit(k)
+    idfs = _idfs(blocks, phrases, docs)
+    if idfs is None:
+        return ranked(blocks, key, [], docs, length)
+    parts = promising(blocks, phrases, idfs, length / docs)
+    best = scored(blocks, key, phrases, idfs, length / docs, parts.orderBy(F.desc("most"), "segment", "prefix").limit(first)).orderBy("rank", key).limit(k).collect()  # k rows
+    bound = -best[-1]["rank"] if len(best) == k else 0.0
+    return scored(blocks, key, phrases, idfs, length / docs, parts.where(F.col("most") >= bound)).orderBy("rank", key).limit(k)
+
+
+def _idfs(blocks: DataFrame, phrases: list[list[str]], docs: int) -> list[float] | None:
+    """The weight of each word; none if one of them occurs nowhere. A part holds a document once, so its blocks' sizes add up."""
+    words = [w for (w,) in phrases]
+    known = {r["token"]: r["n"] for r in blocks.where(F.col("token").isin(*words)).groupBy("token").agg(F.sum("n").alias("n")).collect()}  # a row a word
+    return [_idf(docs, known[w]) for w in words] if all(w in known for w in words) else None
+
+
+def promising(blocks: DataFrame, phrases: list[list[str]], idfs: list[float], mean: float) -> DataFrame:
+    """(segment, prefix, most): the parts that have all words, and what a document of theirs scores at most."""
+    words = [w for (w,) in phrases]
+    heads = blocks.where(F.col("token").isin(*words)).select("token", "segment", "prefix", "most", "shortest")
+    reach = _weight(F.col("most"), F.col("shortest"), mean)
+    each = heads.groupBy("segment", "prefix").agg(*(F.max(F.when(F.col("token") == w, reach)).alias(f"r{i}") for i, w in enumerate(words)))
+    total = reduce(lambda a, b: a + b, (idf * F.col(f"r{i}") for i, idf in enumerate(idfs)))
+    return each.select("segment", "prefix", (total * _WIDER).alias("most")).where("most is not null")
+
+
+def scored(blocks: DataFrame, key: str, phrases: list[list[str]], idfs: list[float], mean: float, parts: DataFrame) -> DataFrame:
+    """(key, rank) of the hits in some parts."""
+    words = [w for (w,) in phrases]
+    mine = blocks.where(F.col("token").isin(*words)).join(parts.select("segment", "prefix"), ["segment", "prefix"], "left_semi")
+    each = mine.select("token", F.explode(F.arrays_zip("docs", "lengths", "counts")).alias("d"))
+    counted = each.groupBy(F.col("d.docs").alias(key)).agg(F.first("d.lengths").alias("length"), *(F.max(F.when(F.col("token") == w, F.col("d.counts"))).alias(f"f{i}") for i, w in enumerate(words)))
+    total = reduce(lambda a, b: a + b, (idf * _weight(F.col(f"f{i}"), F.col("length"), mean) for i, idf in enumerate(idfs)))
+    return counted.select(key, (-total).alias("rank")).where("rank is not null")
 
 
 def any_path(hits: DataFrame, paths: DataFrame) -> DataFrame:

@@ -11,7 +11,10 @@ from ..functions import paths as P
 from ..functions import text as X
 from ..functions.patterns import glob_to_like, search_terms
 from ..operators import diff, feed, policy, predicates, reports, search
+from ..sources.scratch import scratch, written
+from ..sources.store import Store
 from ..streaming import debounce
+from ..streaming.apply import changed_paths
 from . import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,6 +125,21 @@ def snk_paths_scd2(spark, d):
     return _next_paths(spark, d).select("path", "content_hash", "appeared", "disappeared", "last_seen_scan")
 
 
+@query("snk_paths_deltas", ", " + _NEXT, V.SNAP_SQL)
+def snk_paths_deltas(spark, d):
+    """The state after a scan, applied to a stored one in three parts as deltas by key, as it is read then."""
+    old = V.paths(spark, d).withColumn("is_hardlink", F.lit(False))
+    store = Store(spark, scratch(spark, "paths"))
+    store.commit(append={"closed": old.where("disappeared is not null")}, active=old.where("disappeared is null"))
+    cur = written(V.snapshots(spark, d)[1], "current")
+    for part in range(3):
+        mine = lambda df: df.where(F.pmod(F.xxhash64("path"), F.lit(3)) == part)  # noqa: B023, E731  used at once
+        before = mine(store.table("active"))
+        after = written(diff.next_paths(before, mine(cur), _GEN, _NOW), "after")
+        store.commit(append={"closed": after.where("disappeared is not null")}, change={"active": changed_paths(before, after)})
+    return store.table("paths").select("path", "content_hash", "appeared", "disappeared", "last_seen_scan")
+
+
 @query("snk_touch", f", {_NEXT.split('SELECT path, ph')[0]} SELECT path, {_GEN} AS last_seen_scan FROM pairs WHERE ph IS NOT NULL AND same", V.SNAP_SQL)
 def snk_touch(spark, d):
     rows = _next_paths(spark, d)
@@ -837,21 +855,55 @@ query("q_find", f"""SELECT t.content_hash, t.rank, x.title, coalesce(p.path, '(n
     lambda s, d: search.any_path(_bm25(s, d).orderBy("rank", "content_hash").limit(10).join(V.documents(s, d).select("content_hash", "title"), "content_hash"), V.paths(s, d))
 )
 
+
+
+def _stored(spark, d):
+    """The texts' postings, stored, and what a search has to know of the corpus."""
+    texts = written(_doc_texts(spark, d), "texts")
+    n, length = search.text_lengths(texts, ["text"])
+    store = Store(spark, scratch(spark, "postings"))
+    store.commit(append={"postings": search.block_rows(texts, "content_hash", ["text"], 1, search.block_bits(n))}, count={"docs": n, "tokens": length})
+    return store.table("postings"), n, length
+
+
+def _top_stored(spark, d):
+    blocks, n, length = _stored(spark, d)
+    return search.top(blocks, "content_hash", _PHRASES, 10, n, length).withColumn("rank", F.round("rank", 6))
+
+
+@query("fts_stored", _RANK)
+def fts_stored(spark, d):
+    blocks, n, length = _stored(spark, d)
+    return search.ranked(blocks, "content_hash", _PHRASES, n, length).withColumn("rank", F.round("rank", 6))
+
+
+query("top_stored", _TOP)(_top_stored)
+query("q_find_stored", ORACLE_SQL["q_find"].removeprefix(V.SQL))(
+    lambda s, d: search.any_path(_top_stored(s, d).join(V.documents(s, d).select("content_hash", "title"), "content_hash"), V.paths(s, d))
+)
+
 # ---- composite queries
 
+
+
+def _get(spark, d):
+    one = V.documents(spark, d).where("doc_id in (1, 2, 3)").select("content_hash", "title", "byte_size")
+    paths = V.active(spark, d).select("content_hash", "path").join(one.select("content_hash"), "content_hash", "left_semi")
+    return one.join(paths.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n_paths")), "content_hash").join(paths, "content_hash")
+
+
 query("q_find_path", r"SELECT path, coalesce(byte_size, 0) AS byte_size, content_hash, title, count(*) OVER () AS total_matched FROM active_v WHERE path ILIKE '%doc\_1%' ESCAPE '\' ORDER BY coalesce(byte_size, 0) DESC, path LIMIT 200")(
     lambda s, d: predicates.largest(V.active(s, d).where(predicates.like_ci(F.col("path"), glob_to_like("*doc_1*"))), 200)
 )
 query("q_find_ext", "SELECT path, coalesce(byte_size, 0) AS byte_size, content_hash, title, count(*) OVER () AS total_matched FROM active_v WHERE lower(path) LIKE '%.txt' ORDER BY coalesce(byte_size, 0) DESC, path LIMIT 200")(
     lambda s, d: predicates.largest(V.active(s, d).where(predicates.has_suffix(F.col("path"), "txt")), 200)
 )
-query("q_get", "SELECT x.content_hash, x.title, x.byte_size, array_to_string(list_sort(list(a.path)), ',') AS all_current_paths FROM documents_v x JOIN active_v a USING (content_hash) WHERE x.doc_id IN (1, 2, 3) GROUP BY ALL")(
-    lambda s, d: V.documents(s, d).where("doc_id in (1, 2, 3)").select("content_hash", "title", "byte_size").join(V.active(s, d).select("content_hash", "path"), "content_hash").groupBy("content_hash", "title", "byte_size").agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("all_current_paths"))
-)
+query("q_get", "SELECT x.content_hash, x.title, x.byte_size, count(*) OVER (PARTITION BY x.content_hash) AS n_paths, a.path FROM documents_v x JOIN active_v a USING (content_hash) WHERE x.doc_id IN (1, 2, 3)")(_get)
 query("q_history", f"SELECT e.id, e.ts, e.event_type, v.versions FROM events_v e JOIN ({_VERSIONS}) v USING (path) WHERE e.path = '/u/7.txt' AND e.ts >= 1704100000")(
     lambda s, d: feed.history(V.events(s, d).withColumn("timestamp", F.col("ts")), "/u/7.txt", since=1704100000).join(_versions(s, d), "path").select("id", "ts", "event_type", "versions")
 )
-_AUDIT = f"""SELECT 'tier1' AS part, '' AS name, count(*) AS n, CAST(coalesce(sum(byte_size), 0) AS BIGINT) AS bytes FROM active_v UNION ALL
+_AUDIT = f"""SELECT * FROM (SELECT 'largest' AS part, path AS name, file_count AS n, total_bytes AS bytes FROM catalog_v WHERE total_bytes >= 2000 ORDER BY file_count DESC, path LIMIT 20) largest_dirs UNION ALL
+  SELECT 'tier1' AS part, '' AS name, count(*) AS n, CAST(coalesce(sum(byte_size), 0) AS BIGINT) AS bytes FROM active_v UNION ALL
   SELECT 'tier2', '', count(*), CAST(coalesce(sum(total_bytes), 0) AS BIGINT) FROM catalog_v UNION ALL
   SELECT 'ext', coalesce('.' || ext, '(none)'), count(*), CAST(coalesce(sum(byte_size), 0) AS BIGINT) FROM {EXTS} x GROUP BY 2 UNION ALL
   SELECT 'violation', category, count(*), NULL FROM ({_POLICY_SQL}) v GROUP BY category"""
@@ -864,7 +916,8 @@ def _audit(spark, d):
     ext = part("ext", _tier1(a.withColumn("ext", P.extension_label(F.col("path"))), "ext"), F.col("ext"))
     dirs = part("tier2", V.catalog(spark, d).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("total_bytes"), F.lit(0)).alias("bytes")), F.lit(""))
     bad = predicates.violation_counts(V.paths(spark, d).where("disappeared is null")).select(F.lit("violation").alias("part"), F.col("category").alias("name"), "n", F.lit(None).cast("bigint").alias("bytes"))
-    return total.unionByName(ext).unionByName(dirs).unionByName(bad)
+    large = predicates.largest_dirs(V.catalog(spark, d), 20, 2000, "count").select(F.lit("largest").alias("part"), F.col("path").alias("name"), F.col("file_count").alias("n"), F.col("total_bytes").alias("bytes"))
+    return total.unionByName(ext).unionByName(dirs).unionByName(bad).unionByName(large)
 
 
 query("q_audit", _AUDIT)(_audit)

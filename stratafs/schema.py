@@ -28,5 +28,10 @@ SCAN_REQUESTS = _table(
 )
 SCAN_RUNS = _table(id="bigint", started_at="timestamp", finished_at="timestamp", status="string", files_seen="bigint", error="string")
 READ_AUDIT = _table(path="string", content_hash="string", timestamp="timestamp", caller="string")
-POSTINGS = _table(content_hash="string", column="string", token="string", positions="array<int>", bucket="int")
-LENGTHS = _table(content_hash="string", length="bigint")
+SNAPSHOTS = _table(
+    scan_id="bigint", timestamp="timestamp", tier1_files_scanned="bigint", tier2_dirs_cataloged="bigint", events_emitted="bigint", duration_ms="bigint", files_scanned="bigint"
+)
+POSTINGS = _table(
+    token="string", segment="bigint", prefix="int", n="int", most="int", shortest="int", docs="array<string>", lengths="array<int>", counts="array<int>",
+    places="array<array<bigint>>",
+)

@@ -57,7 +57,15 @@ def test_life_cycle(spark, tmp_path, tree):
     assert index.audit()["tier1"].first()["files"] == index.health(now=4100)["total_active_paths"]
     assert index.health(now=4100)["is_stale"] is False and index.health(now=99_000)["is_stale"] is True
     assert index.manifest().count() == index.health()["total_active_paths"]
-    assert index.get(out["content_hash"]).first()["all_current_paths"] == [str(tree / "moved.txt")]
+    assert [(r["path"], r["n_paths"]) for r in index.get(out["content_hash"]).collect()] == [(str(tree / "moved.txt"), 1)]
+    (tree / "moved.txt").unlink()
+    index.scan(now=5000)
+    assert [(r["path"], r["n_paths"]) for r in index.get(out["content_hash"]).collect()] == [(None, 0)] and index.get("none").count() == 0
+    shots = [(r["scan_id"], r["files_scanned"], r["events_emitted"], r["tier2_dirs_cataloged"]) for r in index.store.table("snapshots").orderBy("scan_id").collect()]
+    assert shots == [(1, 4, 4, 1), (2, 4, 0, 1), (3, 6, 5, 1), (4, 4, 5, 1), (5, 3, 1, 1)]
+    assert index.audit(sort_by="count")["largest"].count() == 1 and index.audit(min_bytes=6)["largest"].count() == 0
+    assert index.map()["totals"].first()["total_active_paths"] == 3 and index.freshness(5001) == {"as_of": 5000, "is_stale": False, "reason": None}
+    assert "95000 seconds" in index.freshness(100_000)["reason"]
 
 
 def test_partial_scan_leaves_other_roots(spark, tmp_path):
@@ -94,8 +102,11 @@ def test_stored_search_is_that_over_texts(spark, tmp_path):
         terms = search_terms(query)
         want = {r["content_hash"]: round(r["rank"], 9) for r in search.bm25(docs, "content_hash", ["title", "topic_text", "summary", "search_text"], terms).collect()}
         state = index.store.state()
-        got = search.ranked(index.store.table("postings", state), index.store.table("lengths", state), "content_hash", terms).collect()
+        placed, counts = index.store.table("postings", state), state["counts"]
+        got = search.ranked(placed, "content_hash", terms, counts["docs"], counts["tokens"]).collect()
         assert {r["content_hash"]: round(r["rank"], 9) for r in got} == want, query
+        best = sorted((v, k) for k, v in want.items())[:2]
+        assert [(round(r["rank"], 9), r["content_hash"]) for r in search.top(placed, "content_hash", terms, 2, counts["docs"], counts["tokens"], first=1).collect()] == best, query
     assert len(want) == 1 and index.find("").count() == 0
 
 
@@ -286,3 +297,121 @@ def test_parts_of_a_walk_are_what_one_walk_finds(tmp_path, monkeypatch):
     assert len(found[1]) > 30 and any(row[6] for row in found[1]) and not any("/d1/e2/" in row[0] for row in found[1])
     assert all(rows == found[1] for rows in found.values())
     assert all(len(set(rows)) == len(rows) for rows in found.values())
+
+
+def written_bytes(folder):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names if not f.endswith(".crc"))
+
+
+def path_rows(spark, n, mtime):
+    from pyspark.sql import functions as F
+
+    return spark.range(n).select(
+        F.concat(F.lit("/r/d"), (F.col("id") % 97).cast("string"), F.lit("/f"), F.col("id").cast("string")).alias("path"), F.lit("/r").alias("root"), F.sha2(F.col("id").cast("string"), 256).alias("content_hash"),
+        F.lit(mtime).cast("bigint").alias("mtime"), F.lit(1).cast("bigint").alias("size_bytes"), F.col("id").alias("inode"), F.lit(1).cast("bigint").alias("dev"), F.lit(False).alias("is_hardlink"),
+        F.lit(1).cast("bigint").alias("appeared"), F.lit(None).cast("bigint").alias("disappeared"), F.lit(1).cast("bigint").alias("last_seen_scan"),
+    )
+
+
+def test_few_changed_paths_write_few_bytes(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from stratafs.sources.store import Store
+
+    store = Store(spark, str(tmp_path / "s"))
+    store.commit(active=path_rows(spark, 1_000_000, 1))
+    whole = written_bytes(tmp_path / "s")
+    assert whole > 20_000_000
+    before = store.state()["tables"]["active"]
+    few = path_rows(spark, 100, 2).withColumn("gone", F.col("inode") % 10 == 0)
+    store.commit(change={"active": few})
+    assert written_bytes(tmp_path / "s") - whole < 500_000
+    after = store.state()["tables"]["active"]
+    slots = {str(r[0]) for r in few.select(store._slot("path", after["slots"])).distinct().collect()}
+    assert after["base"] == before["base"] and set(after["deltas"]) == slots
+    now = store.table("active")
+    assert now.count() == 999_990 and now.where("mtime = 2").count() == 90
+    # only the slots of some keys are read
+    read = store.table("active", keys=few.where("inode = 7").select("path"))
+    assert len({f.split("slot=")[1].split("/")[0] for f in read.inputFiles()}) == 1 and read.where("inode = 7").first()["mtime"] == 2
+
+
+@pytest.mark.parametrize("rewrite", [4, 0])
+def test_deltas_merge_as_a_dictionary_does(spark, tmp_path, monkeypatch, rewrite):
+    import random
+
+    from stratafs.sources import store as stores
+
+    for name, n in (("SLOTS", 4), ("MOST_DELTAS", 2), ("REWRITE", rewrite)):
+        monkeypatch.setattr(stores, name, n)
+    rng, want = random.Random(rewrite), {}
+    store = stores.Store(spark, str(tmp_path / "s"))
+    empty = store.table("documents").schema
+    for step in range(9):
+        keys = rng.sample(range(25), rng.randint(1, 12))
+        rows = [(str(k), f"b{step}", None, None, None, None, False, None, step, rng.random() < 0.3) for k in keys]
+        frame = spark.createDataFrame(rows, empty.add("gone", "boolean") if "gone" not in empty.names else empty)
+        if step == 4:  # replaced as a whole between
+            want = {}
+            rows = [(*r[:9], False) for r in rows]
+            store.commit(documents=spark.createDataFrame(rows, frame.schema).drop("gone"))
+        else:
+            store.commit(change={"documents": frame})
+        for r in rows:
+            want.pop(r[0], None)
+            if not r[9]:
+                want[r[0]] = r[1]
+        assert {r["content_hash"]: r["body_hash"] for r in store.table("documents").collect()} == want
+    entry = store.state()["tables"]["documents"]
+    assert max(map(len, entry["deltas"].values())) <= 2
+    store.vacuum(1)
+    assert {r["content_hash"]: r["body_hash"] for r in store.table("documents").collect()} == want
+    left = {os.path.relpath(d, tmp_path / "s") for d, _, names in os.walk(tmp_path / "s") if "slot=" in d and names}
+    assert left == set(store._folders(entry))
+    base = store.state()
+    store.commit(base, change={"documents": frame})
+    with pytest.raises(stores.CommitConflict):
+        store.commit(base, change={"documents": frame})
+
+
+def test_a_batch_of_changes_leaves_other_slots_alone(spark, tmp_path):
+    root = tmp_path / "r"
+    root.mkdir()
+    for i in range(60):
+        (root / f"f{i}.txt").write_text(f"words of {i}")
+    index = Index(spark, str(tmp_path / "store"), [str(root)])
+    index.scan(now=1)
+    before = index.store.state()["tables"]
+    (root / "f7.txt").write_text("other words")
+    (root / "f8.txt").unlink()
+    flushes = spark.createDataFrame([(str(root / "f7.txt"), "Modify", None, 5), (str(root / "f8.txt"), "Delete", None, 6)], "key string, kind string, from_key string, flush_ms long")
+    assert kinds(index.apply(flushes, 2)) == [("deleted", "f8.txt"), ("updated", "f7.txt")]
+    after = index.store.state()["tables"]
+    assert after["active"]["base"] == before["active"]["base"] and 1 <= len(after["active"]["deltas"]) <= 2
+    assert after["documents"]["base"] == before["documents"]["base"] and len(after["documents"]["deltas"]) == 1
+    assert index.health(3)["total_active_paths"] == 59 and index.store.table("closed").count() == 2
+    assert kinds(index.scan(now=4)) == [] and [r["id"] for r in index.store.table("events").orderBy("id").collect()] == list(range(1, 63))
+
+
+def test_blocks_that_cannot_be_among_the_best_are_not_scored(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from stratafs.operators import search
+
+    n = 6000
+    rare = F.when(F.col("id") == 80, F.lit(" sea" * 30)).otherwise("")
+    text = F.concat(F.lit("the sea of words"), F.array_join(F.transform(F.sequence(F.lit(0), F.col("id") % 40), lambda x: F.concat(F.lit(" w"), x.cast("string"))), ""), rare)
+    docs = spark.range(n).select(F.sha2(F.col("id").cast("string"), 256).alias("content_hash"), text.alias("text"))
+    docs_n, length = search.text_lengths(docs, ["text"])
+    blocks = search.block_rows(docs, "content_hash", ["text"], 5, search.block_bits(n))
+    blocks.repartitionByRange("token", "prefix").sortWithinPartitions("token", "prefix").write.parquet(str(tmp_path / "b"))
+    blocks = spark.read.parquet(str(tmp_path / "b"))
+    sizes = blocks.where("token = 'sea'").agg(F.count(F.lit(1)), F.max("n"), F.sum("n")).first()
+    assert sizes[0] == 64 and sizes[1] < 2 * search.BLOCK and sizes[2] == n
+    phrases = [["sea"]]
+    want = search.bm25(docs, "content_hash", ["text"], phrases).orderBy("rank", "content_hash").limit(1).collect()
+    got = search.top(blocks, "content_hash", phrases, 1, docs_n, length, first=2).collect()
+    assert [(r["content_hash"], round(r["rank"], 9)) for r in got] == [(r["content_hash"], round(r["rank"], 9)) for r in want]
+    parts = search.promising(blocks, phrases, search._idfs(blocks, phrases, docs_n), length / docs_n)
+    assert parts.where(F.col("most") >= -got[0]["rank"]).count() == 1 and parts.count() == 64
+    assert search.top(blocks, "content_hash", [["sea"], ["absent"]], 3, docs_n, length).count() == 0
