@@ -68,8 +68,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return roots.unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def least_of_component(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, component_id) of each member (node, least): the least of all its component's members, nulls last."""
-    placed = checkpointed(members.join(components(links), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
+def least_of_component(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, component_id) of each member (node, least): the least of all its component's members, nulls last; roots are those of components()."""
+    placed = checkpointed(members.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
     of_root = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
     return split_join(placed.select("root", "node"), of_root, "root", placed.count()).select("node", "component_id")

@@ -158,6 +158,7 @@ class Block:
     def __init__(self, parts: list[tuple[int, int, np.ndarray]], counts_of):
         """parts: (class, span, tokens). counts_of: gives the corpus' counts of sorted terms."""
         self.terms = np.unique(np.concatenate([t for *_, t in parts])) if parts else np.zeros(0, np.uint64)
+        self.candidates = CANDIDATES
         counts = counts_of(self.terms)
         self.groups = []
         for span in sorted({s for _, s, _ in parts}):
@@ -182,7 +183,7 @@ class Block:
             alive = alive[(n[codes[alive]] > 0).all(1)]
             rarest = codes[alive, order[alive, 0]]
             total = np.cumsum(n[rarest])
-            edges = np.unique(np.searchsorted(total, np.arange(0, total[-1] if len(total) else 0, CANDIDATES), side="right"))
+            edges = np.unique(np.searchsorted(total, np.arange(0, total[-1] if len(total) else 0, self.candidates), side="right"))
             for a, b in zip(edges, [*edges[1:], len(alive)]):
                 w = np.repeat(alive[a:b], n[rarest[a:b]])
                 at = places[_ranges(lo[rarest[a:b]], n[rarest[a:b]])].astype(np.int64)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, stored
-from .components import least_of_component, split_join
+from .components import components, least_of_component, split_join
 from .hashing import mixed
 
 SEED, SHINGLE, DISTANCE, BLOCKS = 42, 3, 3, 2
@@ -273,7 +273,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     members = fps.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
     links = fingerprint_links(members.select("fp"), distance, blocks)
-    placed = least_of_component(members.select(F.col("fp").alias("node"), "least"), links)
+    placed = least_of_component(members.select(F.col("fp").alias("node"), "least"), components(links))
     of_fp = members.select("fp", "n").join(placed.withColumnRenamed("node", "fp"), "fp")
     return split_join(fps, of_fp, "fp", fps.count()).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
