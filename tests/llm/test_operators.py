@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
@@ -561,6 +562,70 @@ def test_similar_texts_against_brute_force(spark, docs, rows, empty, monkeypatch
     assert similar.near_duplicates(empty).count() == 0
 
 
+def changed_copies(rng, long, n):
+    """n texts, each of an earlier one with some words changed, so that many are like some of the others only."""
+    out = [rng.choices(long, k=120)]
+    while len(out) < n:
+        w = list(rng.choice(out))
+        for _ in range(rng.randint(1, 3)):
+            w[rng.randrange(len(w))] = rng.choice(long)
+        out.append(w)
+    return [" ".join(w) for w in out]
+
+
+def test_recall_in_a_group_beyond_what_is_compared_at_once(spark, monkeypatch):
+    """Groups of up to 222 with 20 compared at a time, beside 200 other texts: pairs of similar texts that end in one component."""
+    rng, long = random.Random(12), vocabulary(4000)
+    texts = changed_copies(rng, long, 600) + [" ".join(rng.choices(long, k=60)) for _ in range(200)]
+    rows = list(enumerate(texts))
+    groups, pairs = similar_groups(rows)
+    assert len(max(groups, key=len)) > 200
+    monkeypatch.setattr(similar, "GROUP", 20)
+    got = dict(similar.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect())
+    found = sum(got[i] == got[j] for i, j in pairs)
+    assert found >= 0.98 * len(pairs)
+    assert all(got[g[0]] == g[0] for g in groups if len(g) == 1)
+
+
+def test_chains_meet_where_two_are_compared_at_once(spark, monkeypatch):
+    """Fingerprints a - b - c - ..., neighbours near and others far: no link is lost though an anchor holds more than are compared."""
+    p = similar.flips(0.8)
+    distance = int(p * similar.COMPARED + similar.SLACK * (similar.COMPARED * p * (1 - p)) ** 0.5)
+    rng = np.random.default_rng(4)
+    fps, flipped = [rng.integers(0, 2, similar.BITS)], rng.permutation(similar.BITS)
+    for k in range(7):
+        bits = fps[-1].copy()
+        bits[flipped[k * 60 : k * 60 + 60]] ^= 1
+        fps.append(bits)
+    packed = [np.packbits(x, bitorder="little").view(np.int64) for x in fps]
+    near = {(i, j) for i in range(8) for j in range(i) if (fps[i] != fps[j])[: similar.COMPARED].sum() <= distance}
+    assert len(near) < 28
+    members = spark.createDataFrame([(i, i, [int(v) for v in x]) for i, x in enumerate(packed)], "node long, root long, fps array<long>")
+    monkeypatch.setattr(similar, "GROUP", 2)
+    monkeypatch.setattr(similar, "WIDER", 0)  # so few bits differ nowhere else
+    links = {(r["b"], r["a"]) for r in similar.candidate_links(members, 8).collect()}
+    root = list(range(8))
+    for _ in range(8):
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+    assert links <= near and len(set(root)) == 1
+
+
+def test_cuts_are_tried_again(spark):
+    """Of two groups near by fingerprint, the closest pair across is refused by its sets, but another is similar."""
+    rng = np.random.default_rng(3)
+    nodes = np.arange(6)
+    fps = np.repeat(rng.integers(0, 1 << 62, 4, np.uint64)[None, :], 6, axis=0)
+    fps[:, 0] ^= np.array([0, 1, 3, 7, 15, 31], np.uint64)
+    roots = np.array([0, 0, 0, 3, 3, 3])
+    pairs = {tuple(sorted(x)) for x in similar.across(nodes, fps, 3, roots)}
+    assert pairs == {(0, 3), (1, 3), (1, 4), (2, 3), (2, 4), (2, 5)}
+    tested = spark.createDataFrame([(1, 3), (0, 1), (2, 7)], "a long, b long")
+    decided = spark.createDataFrame([(0, 1)], "a long, b long")
+    known = spark.createDataFrame([(1, 0), (0, 0), (3, 3), (4, 3)], "node long, root long")
+    assert {r["root"] for r in similar._cut(tested, decided, known).collect()} == {0, 3, 2, 7}
+
+
 def test_similar_texts_of_the_tables(spark):
     """Recall over the pairs of similarity 0.8 and more; the share of documents beside them is kept."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

@@ -236,7 +236,9 @@ def test_words_of_documents(spark):
     assert spelling.variants(spelling.count_words(table.limit(0))).count() == 0
 
 
-def test_neighbourhoods_hold_all_edits():
+@pytest.mark.parametrize("made", [1 << 21, 40])
+def test_neighbourhoods_hold_all_edits(monkeypatch, made):
+    monkeypatch.setattr(spelling, "MADE", made)
     for symbols, word in ((3, "abcabd"), (0, "éa"), (2, "a"), (4, "")):
         codes = spelling.symbols_of(word, symbols).reshape(1, -1)
         letters = spelling._alphabet(symbols, spelling.LETTERS)
@@ -246,4 +248,4 @@ def test_neighbourhoods_hold_all_edits():
         want |= {tuple(one[:i] + [c] + one[i + 1 :]) for i in range(len(one)) for c in letters.tolist()}
         hashes = {int(spelling.reduced_hash(np.array([w], np.uint64).reshape(1, -1))[0]) for w in want}
         got = [int(k) for _, keys in spelling.neighbourhood(codes, letters) for k in keys]
-        assert set(got) == hashes and len(got) == len(set(got))
+        assert set(got) == hashes and (made < 100 or len(got) == len(set(got)))
