@@ -14,7 +14,7 @@ from . import schema
 from .functions import extract
 from .functions.paths import extension_label
 from .functions.patterns import glob_to_like, search_terms
-from .operators import diff, feed, policy, predicates, reports, search
+from .operators import diff, feed, grams, policy, predicates, reports, search
 from .sources.store import CommitConflict, Store
 from .sources.walk import find_files, read_contents, walk
 from .streaming.apply import affected, changed_paths
@@ -92,8 +92,8 @@ class Index:
         row = (run, datetime.fromtimestamp(now, UTC), emitted, dirs.count(), emitted, int(1000 * (time.monotonic() - began)), seen)
         self.store.commit(
             base,
-            append={"events": events, "closed": after.where("disappeared is not null"), "snapshots": self.spark.createDataFrame([row], schema.SNAPSHOTS), **postings},
-            change={"documents": new_documents},
+            append={"events": events, "closed": after.where("disappeared is not null"), "snapshots": self.spark.createDataFrame([row], schema.SNAPSHOTS), **postings, **self._paths_seen(events, base)},
+            change={"documents": new_documents} if new_documents is not None else {},
             count={"events": emitted, **counts},
             active=after.where("disappeared is null"),
             catalog=diff.next_catalog(table("catalog"), dirs),
@@ -112,8 +112,10 @@ class Index:
         rows = feed.numbered(found, last, ["path", "event_type"], hold).select(*self.store.table("events", base).columns)
         return rows, held[0].count()
 
-    def _contents(self, fresh: DataFrame, base: dict, now: int) -> tuple[DataFrame, dict[str, DataFrame], dict[str, int]]:
+    def _contents(self, fresh: DataFrame, base: dict, now: int) -> tuple[DataFrame | None, dict[str, DataFrame], dict[str, int]]:
         """What the contents that were read change: rows of documents, postings to append, and what a search has to know of the corpus."""
+        if fresh.isEmpty():
+            return None, {}, {}
         hashes = fresh.select("content_hash").distinct()
         known = self.store.draft("known", self.store.table("documents", base, hashes).join(hashes, "content_hash", "left_semi"))
         seen = fresh.withColumn("first_seen", F.timestamp_seconds(F.lit(now))).select("path", *known.columns)
@@ -127,6 +129,16 @@ class Index:
         placed = search.block_rows(one, "content_hash", SEARCHED, uuid.uuid4().int >> 65, search.block_bits(n))
         return rows, {"postings": placed} if n else {}, {"docs": n, "tokens": tokens}
 
+    def _paths_seen(self, events: DataFrame, base: dict) -> dict[str, DataFrame]:
+        """Names and grams to append of the paths that are new to the index."""
+        new = events.where(F.col("event_type").isin("created", "moved", "copied", "hardlinked")).select("path").distinct()
+        new = self.store.draft("new", new.join(self.store.table("names", base).select("path"), "path", "left_anti"))
+        n = new.count()
+        if not n:
+            return {}
+        names = self.store.draft("names", grams.numbered_paths(new, uuid.uuid4().int >> 65, grams.part_bits(n)))
+        return {"names": names, "grams": grams.gram_rows(names)}
+
     # ---- runs and requests
 
     def _begin(self, now: int) -> int:
@@ -227,8 +239,8 @@ class Index:
         new_documents, postings, counts = self._contents(fresh, base, now)
         self.store.commit(
             base,
-            append={"events": events, "closed": after.where("disappeared is not null"), **postings},
-            change={"active": changed_paths(mine, after), "documents": new_documents},
+            append={"events": events, "closed": after.where("disappeared is not null"), **postings, **self._paths_seen(events, base)},
+            change={"active": changed_paths(mine, after), **({"documents": new_documents} if new_documents is not None else {})},
             count={"events": emitted, **counts},
         )
         return self.store.table("events").where(F.col("id") > base.get("counts", {}).get("events", 0))
@@ -269,7 +281,10 @@ class Index:
         return search.any_path(full, active).orderBy("rank", "content_hash")
 
     def find_path(self, glob: str, most: int = 200) -> DataFrame:
-        return predicates.largest(self._active().where(predicates.like_ci(F.col("path"), glob_to_like(glob, self.home))), most)
+        """Active paths that match a pattern, the largest first, by the grams that it has to contain."""
+        state, like = self.store.state(), glob_to_like(glob, self.home)
+        found = grams.matching_paths(self.store.table("names", state), self.store.table("grams", state), like)
+        return predicates.largest(self._active().join(found, "path", "left_semi"), most)
 
     def find_ext(self, ext: str, most: int = 200) -> DataFrame:
         return predicates.largest(self._active().where(predicates.has_suffix(F.col("path"), ext)), most)

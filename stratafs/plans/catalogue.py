@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import text as X
 from ..functions.patterns import glob_to_like, search_terms
-from ..operators import diff, feed, policy, predicates, reports, search
+from ..operators import diff, feed, grams, policy, predicates, reports, search
 from ..sources.scratch import scratch, written
 from ..sources.store import Store
 from ..streaming import debounce
@@ -895,6 +895,23 @@ def _get(spark, d):
 query("q_find_path", r"SELECT path, coalesce(byte_size, 0) AS byte_size, content_hash, title, count(*) OVER () AS total_matched FROM active_v WHERE path ILIKE '%doc\_1%' ESCAPE '\' ORDER BY coalesce(byte_size, 0) DESC, path LIMIT 200")(
     lambda s, d: predicates.largest(V.active(s, d).where(predicates.like_ci(F.col("path"), glob_to_like("*doc_1*"))), 200)
 )
+
+
+def _by_grams(spark, d, glob, most):
+    """Active files by stored names and grams."""
+    active = V.active(spark, d)
+    n = active.count()
+    store = Store(spark, scratch(spark, "names"))
+    names = written(grams.numbered_paths(active, 1, grams.part_bits(n)), "names")
+    store.commit(append={"names": names, "grams": grams.gram_rows(names)})
+    found = grams.matching_paths(store.table("names"), store.table("grams"), glob_to_like(glob))
+    return predicates.largest(active.join(found, "path", "left_semi"), most)
+
+
+query("q_find_path_grams", ORACLE_SQL["q_find_path"].removeprefix(V.SQL))(lambda s, d: _by_grams(s, d, "*doc_1*", 200))
+query("q_find_path_wide", r"SELECT path, coalesce(byte_size, 0) AS byte_size, content_hash, title, count(*) OVER () AS total_matched FROM active_v WHERE path ILIKE '/r%/media/%.MP_' ORDER BY coalesce(byte_size, 0) DESC, path LIMIT 50")(
+    lambda s, d: _by_grams(s, d, "/r*/media/*.MP?", 50)
+)
 query("q_find_ext", "SELECT path, coalesce(byte_size, 0) AS byte_size, content_hash, title, count(*) OVER () AS total_matched FROM active_v WHERE lower(path) LIKE '%.txt' ORDER BY coalesce(byte_size, 0) DESC, path LIMIT 200")(
     lambda s, d: predicates.largest(V.active(s, d).where(predicates.has_suffix(F.col("path"), "txt")), 200)
 )

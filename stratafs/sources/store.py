@@ -16,11 +16,12 @@ from .. import schema
 TABLES: dict[str, str] = {
     "documents": schema.DOCUMENTS, "active": schema.PATHS, "closed": schema.PATHS, "events": schema.EVENTS, "catalog": schema.CATALOG,
     "scan_requests": schema.SCAN_REQUESTS, "scan_runs": schema.SCAN_RUNS, "read_audit": schema.READ_AUDIT, "snapshots": schema.SNAPSHOTS, "postings": schema.POSTINGS,
+    "names": schema.NAMES, "grams": schema.GRAMS,
 }
 #: Tables that are read as one.
 VIEWS: dict[str, tuple[str, ...]] = {"paths": ("active", "closed")}
 #: Tables that are sorted by some columns, hot values of the first divided by the others, so that a query reads few of their pages.
-SORTED: dict[str, tuple[str, ...]] = {"postings": ("token", "prefix")}
+SORTED: dict[str, tuple[str, ...]] = {"postings": ("token", "prefix"), "names": ("segment", "part", "id"), "grams": ("gram", "segment", "part")}
 #: Tables of one row a key, which is replaced row by row: they lie in slots by a hash of the key.
 KEYED: dict[str, str] = {"active": "path", "documents": "content_hash"}
 HASH = "sha256"

@@ -269,3 +269,34 @@ def test_cookies_in_a_stream(spark, tmp_path):
     columns = ["key", "ms", "kind", "from_key"]
     want = debounce.paired(spark.createDataFrame(data, schema)).select(*columns).collect()
     assert sorted(map(str, spark.table("paired").select(*columns).collect())) == sorted(map(str, want))
+
+
+def test_patterns_by_grams_are_those_of_a_scan(spark, tmp_path):
+    from stratafs.operators import grams, predicates
+
+    rng = random.Random(3)
+    names = ["read me", "README", "Über", "a_b%c", "x", "ab", "main", "100%", "back\\slash", "日本語"]
+    paths = {"/" + "/".join(rng.choices(names, k=rng.randint(1, 4))) + rng.choice([".txt", ".Md", ""]) for _ in range(300)} | {"/", "a", ""}
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    for bits in (0, 3):
+        grams.numbered_paths(df, bits, bits).write.parquet(str(tmp_path / f"n{bits}"))
+        held = spark.read.parquet(str(tmp_path / f"n{bits}"))
+        assert held.count() == len(paths) and held.select("part", "id").distinct().count() == len(paths)
+        postings = grams.gram_rows(held).cache()
+        for like in ("%read me%", "%READ%.txt", r"%a\_b\%c%", "%ber%", "/x%", "%", "", "%main%main%", "%日本語%", "/README", r"%back\\slash%", "%absent%", "ab_", "%1__%"):
+            want = sorted(r["path"] for r in df.where(predicates.like_ci(F.col("path"), like)).collect())
+            assert sorted(r["path"] for r in grams.matching_paths(held, postings, like).collect()) == want, like
+    assert grams.pattern_grams("%abcd_e%xyz") == ["abc", "bcd", "xyz"] and grams.pattern_grams("%ab%_") == []
+
+
+def test_few_parts_are_read_for_a_pattern(spark):
+    from stratafs.operators import grams
+
+    paths = spark.range(40_000).select(F.concat(F.lit("/home/user/documents/file"), F.col("id").cast("string"), F.lit(".txt")).alias("path"))
+    held = grams.numbered_paths(paths, 1, grams.part_bits(40_000)).cache()
+    postings = grams.gram_rows(held).cache()
+    sizes = postings.where("gram = '.tx'").selectExpr("size(ids) n").agg(F.count("n"), F.max("n")).first()
+    assert sizes[0] == 16 and sizes[1] < 2 * grams.PART
+    found = grams.candidates(postings, grams.pattern_grams("%file31337.txt"))
+    assert found.count() < 40 and postings.where(F.col("gram").isin(*grams.pattern_grams("%file31337.txt"))).count() < 0.1 * postings.count()
+    assert [r["path"] for r in grams.matching_paths(held, postings, "%file31337.txt").collect()] == ["/home/user/documents/file31337.txt"]
