@@ -11,17 +11,50 @@ MEDIA_BYTES, MEDIA_FILES, MEDIA_SHARE, MEDIA_EXTS = 1 << 30, 10, 0.90, 3
 COLLAPSE = 3
 
 
-def under(paths: DataFrame, dirs: DataFrame, how: str) -> DataFrame:
+#: Rows of a range of sorted paths on average, ranges at most, and paths for each of them from which bounds are drawn.
+RANGE, RANGES, DRAWN = 100_000, 1024, 40
+
+
+def tree_key(path: Column) -> Column:
+    """A string whose order keeps what lies under a directory together: slashes come before all else."""
+    apart = F.replace(F.replace(path, F.lit("\x01"), F.lit("\x01\x02")), F.lit("\x00"), F.lit("\x01\x01"))
+    return F.replace(apart, F.lit("/"), F.lit("\x00"))
+
+
+def _bounds(paths: DataFrame, rows: int) -> list[str]:
+    """Keys that divide so many paths into ranges of about RANGE rows."""
+    total = paths.count()
+    ranges = min(RANGES, -(-total // rows))
+    if ranges < 2:
+        return []
+    some = paths.where(F.pmod(F.xxhash64("path", F.lit(17)), F.lit(max(1, total // (ranges * DRAWN)))) == 0)
+    keys = sorted(r[0] for r in some.where("path is not null").select(tree_key(F.col("path"))).collect())  # about RANGES * DRAWN at most
+    return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
+
+
+def under(paths: DataFrame, dirs: DataFrame, how: str, rows: int | None = None) -> DataFrame:
     """Rows of paths that lie (left_semi) or don't lie (left_anti) under one of dirs (path).
 
-    A path lies under a directory if that is one of its ancestors, so this is an equality
-    join on exploded ancestors instead of a comparison of every path with every directory.
+    In the order of tree_key() what lies under a directory is an interval. Paths and
+    directories are dealt to ranges of that order once, however deep they are; there a
+    path is covered if an interval that began before it ends behind it. The farthest
+    end of earlier ranges goes along as one value a range. A null path lies nowhere.
     """
-    covered = (
-        paths.select("path", F.explode(P.proper_ancestors(F.col("path"))).alias("dir"))
-        .join(dirs.select(F.col("path").alias("dir")).distinct(), "dir", "left_semi").select("path").distinct()
-    )
-    return paths.join(covered, "path", how)
+    bounds = _bounds(paths, RANGE if rows is None else rows)
+    edges = F.array(*map(F.lit, bounds)).cast("array<string>")
+    part = lambda key: F.size(F.filter(edges, lambda b: b <= key))
+    keyed = paths.select(F.struct("*").alias("row"), tree_key(F.col("path")).alias("key"), F.lit(None).cast("string").alias("end")).withColumn("part", part(F.col("key")))
+    start = F.concat(tree_key(F.col("path")), F.lit("\x00"))
+    spans = dirs.where("path is not null").select(F.lit(None).cast(keyed.schema["row"].dataType).alias("row"), start.alias("key"), F.concat(tree_key(F.col("path")), F.lit("\x01")).alias("end")).distinct()
+    spans = spans.withColumn("part", part(F.col("key")))
+    # a row a range at most
+    ends = spans.groupBy("part").agg(F.max("end").alias("far"))
+    known = paths.sparkSession.range(len(bounds) + 1).select(F.col("id").cast("int").alias("part")).join(ends, "part", "left")
+    carried = known.select("part", F.max("far").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    before = Window.partitionBy("part").orderBy("key", F.col("row").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = keyed.unionByName(spans).withColumn("far", F.max("end").over(before)).join(F.broadcast(carried), "part", "left")
+    covered = F.coalesce(F.greatest("far", "carried") > F.col("key"), F.lit(False))
+    return met.where(F.col("row").isNotNull() & (covered if how == "left_semi" else ~covered)).select("row.*")
 
 
 def duplicates(active: DataFrame) -> DataFrame:

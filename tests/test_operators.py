@@ -300,3 +300,26 @@ def test_few_parts_are_read_for_a_pattern(spark):
     found = grams.candidates(postings, grams.pattern_grams("%file31337.txt"))
     assert found.count() < 40 and postings.where(F.col("gram").isin(*grams.pattern_grams("%file31337.txt"))).count() < 0.1 * postings.count()
     assert [r["path"] for r in grams.matching_paths(held, postings, "%file31337.txt").collect()] == ["/home/user/documents/file31337.txt"]
+
+
+@pytest.mark.parametrize("rows", [100_000, 7])
+def test_paths_under_directories_are_those_of_comparing_all(spark, rows):
+    rng = random.Random(rows)
+    names = ["a", "b", "a b", "a-b", "a.b", "\x00", "\x01", "é", "", "\U0001f600"]
+    paths = ["/" + "/".join(rng.choices(names, k=rng.randint(1, 5))) for _ in range(300)] + ["", "/", "a", None, "/a", "/a/", "/a/b"]
+    dirs = ["/" + "/".join(rng.choices(names, k=rng.randint(1, 3))) for _ in range(9)] + ["/a", "/a/b", None, "/a"]
+    left = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "path string, key int")
+    right = spark.createDataFrame([(d, 1) for d in dirs], "path string, part int")
+    want = {i for i, p in enumerate(paths) if p is not None and any(d is not None and p.startswith(d + "/") for d in dirs)}
+    assert {r["key"] for r in reports.under(left, right, "left_semi", rows).collect()} == want and 20 < len(want) < 250
+    assert {r["key"] for r in reports.under(left, right, "left_anti", rows).collect()} == set(range(len(paths))) - want
+    assert reports.under(left, right.limit(0), "left_anti", rows).count() == len(paths) and reports.under(left.limit(0), right, "left_semi").count() == 0
+
+
+def test_depth_of_paths_adds_no_rows(spark):
+    deep = spark.range(2000).select(F.concat(F.lit("/d" * 60 + "/f"), F.col("id").cast("string")).alias("path"))
+    dirs = spark.createDataFrame([("/d/d/d",)], "path string")
+    made = reports.under(deep, dirs, "left_semi", rows=100)
+    plan = made._jdf.queryExecution().toString()
+    assert "Generate" not in plan and made.count() == 2000
+    assert len(reports._bounds(deep, 100)) > 10
