@@ -8,13 +8,15 @@ the stream gives.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
+HOUR = 3_600_000
 IDLE, CAP, CLOSED, PAIR = 1000, 5000, 100, 1000
 OUT = "key string, kind string, from_key string, first_ms bigint, flush_ms bigint"
 
@@ -78,32 +80,58 @@ def paired(events: DataFrame, within: int = PAIR) -> DataFrame:
     )
 
 
-def replay(events: DataFrame, idle: int = IDLE, cap: int = CAP, closed: int = CLOSED) -> DataFrame:
+def replay(events: DataFrame, idle: int = IDLE, cap: int = CAP, closed: int = CLOSED, part_ms: int | None = None) -> DataFrame:
     """The flushes of a table of (key, ms, kind, from_key), everything drained at its end.
 
-    Rows are sorted by key and time and streamed; a task holds one key's buffer at a time,
-    however many notifications that key has.
+    A key's time is cut into parts of part_ms, which are worked on apart. A gap of idle
+    (closed, after a close) always begins a buffer, whatever was before; else one begins cap
+    after the last began. So a part that holds such a gap ends in a state of its own, and
+    hands it to the next; one without any takes its state from the part before, in as many
+    rounds as such parts follow each other. A part's moments are an array, of at most
+    part_ms numbers. Rows without a key or time are left out; ties are ordered by kind.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, held = None, None
-        for pdf in batches:
-            out = []
-            for key, ms, kind, source in zip(pdf["key"], pdf["ms"], pdf["kind"], pdf["from_key"]):
-                if held is not None and (key != at or ms >= held.deadline(idle, cap, closed)):
-                    out.append((at, held.kind, held.source, held.first, held.deadline(idle, cap, closed)))
-                    held = None
-                at = key
-                if held is None:
-                    held = pending(kind, ms, source)
-                else:
-                    held.take(kind, ms, source)
-            yield pd.DataFrame(out, columns=["key", "kind", "from_key", "first_ms", "flush_ms"])
-        if held is not None:
-            yield pd.DataFrame([(at, held.kind, held.source, held.first, held.deadline(idle, cap, closed))], columns=["key", "kind", "from_key", "first_ms", "flush_ms"])
-
-    rows = events.select("key", "ms", "kind", "from_key", F.hash("kind", "from_key").alias("tie"))
-    return rows.repartition("key").sortWithinPartitions("key", "ms", "kind", "tie").mapInPandas(run, OUT)
+    if min(idle, cap, closed) < 1:
+        raise ValueError("idle, cap and closed are milliseconds from 1 on")
+    width = part_ms or max(HOUR, 16 * cap)
+    rows = events.where("key is not null and ms is not null").select(
+        "key", "ms", "kind", "from_key", F.hash("kind", "from_key").alias("tie"), F.floor(F.col("ms") / width).alias("part")
+    )
+    wait = lambda shut: F.when(shut, closed).otherwise(idle)
+    moments = rows.groupBy("key", "part", "ms").agg(F.max(F.struct("kind", "tie")).alias("last")).select("key", "part", "ms", (F.col("last.kind") == "CloseWrite").alias("shut"))
+    # a row a part: the last moment of the part before
+    ends = moments.groupBy("key", "part").agg(F.max(F.struct("ms", "shut")).alias("last"))
+    by_key = Window.partitionBy("key").orderBy("part")
+    ends = ends.select("key", "part", F.lag("last").over(by_key).alias("before"), F.lag("part").over(by_key).alias("part_before"))
+    held = moments.groupBy("key", "part").agg(F.sort_array(F.collect_list(F.struct("ms", "shut"))).alias("at")).join(ends, ["key", "part"])
+    follows = lambda m, last: m["ms"] - last["ms"] >= wait(last["shut"])
+    fresh = F.transform("at", lambda m, i: F.struct(m["ms"].alias("ms"), F.when(i == 0, F.coalesce(follows(m, F.col("before")), F.lit(True))).otherwise(follows(m, F.get("at", i - 1))).alias("fresh")))
+    begins = lambda first, m: m["fresh"] | first.isNull() | (m["ms"] >= first + cap)
+    left = lambda first: F.aggregate("at", first.cast("bigint"), lambda f, m: F.when(begins(f, m), m["ms"]).otherwise(f))
+    parts = written(
+        held.select("key", "part", "part_before", fresh.alias("at")).withColumn("left", F.when(F.exists("at", lambda m: m["fresh"]), left(F.lit(None)))), "parts"
+    )
+    handed = parts.where("left is not null").select("key", F.col("part").alias("part_before"), F.col("left").alias("entry"))
+    through = parts.where("left is null")
+    while not through.isEmpty():
+        met = through.drop("left").join(handed, ["key", "part_before"])
+        now = written(met.select("key", F.col("part").alias("part_before"), left(F.col("entry")).alias("entry")), "handed")
+        handed = written(handed.unionByName(now), "handed")
+        through = written(through.join(now.select("key", F.col("part_before").alias("part")), ["key", "part"], "left_anti"), "through")
+    entered = parts.drop("left").join(handed, ["key", "part_before"], "left")
+    begun = F.struct(F.col("entry").cast("bigint").alias("first"), F.array().cast("array<bigint>").alias("starts"))
+    starts = F.aggregate(
+        "at", begun, lambda acc, m: F.struct(F.when(begins(acc["first"], m), m["ms"]).otherwise(acc["first"]).alias("first"), F.when(begins(acc["first"], m), F.concat(acc["starts"], F.array(m["ms"]))).otherwise(acc["starts"]).alias("starts"))
+    )["starts"]
+    marked = rows.join(entered.select("key", F.explode(starts).alias("ms")).withColumn("start", F.col("ms")), ["key", "ms"], "left")
+    since = Window.partitionBy("key", "part").orderBy("ms").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    owned = marked.withColumn("since", F.last("start", ignorenulls=True).over(since)).join(entered.where("entry is not null").select("key", "part", "entry"), ["key", "part"], "left")
+    order = F.struct("ms", "kind", "tie")
+    real = F.when(F.col("kind") != "CloseWrite", order)
+    buffers = owned.groupBy("key", F.coalesce("since", "entry").alias("first_ms")).agg(
+        F.max_by("kind", real).alias("kind"), F.max_by("from_key", real).alias("from_key"), F.max(order).alias("last")
+    )
+    due = F.least(F.col("last.ms") + wait(F.col("last.kind") == "CloseWrite"), F.col("first_ms") + cap)
+    return buffers.select("key", F.coalesce("kind", F.lit("Modify")).alias("kind"), "from_key", "first_ms", due.alias("flush_ms"))
 
 
 def debounced_stream(events: DataFrame, idle: int = IDLE, cap: int = CAP, closed: int = CLOSED) -> DataFrame:

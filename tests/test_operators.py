@@ -323,3 +323,26 @@ def test_depth_of_paths_adds_no_rows(spark):
     plan = made._jdf.queryExecution().toString()
     assert "Generate" not in plan and made.count() == 2000
     assert len(reports._bounds(deep, 100)) > 10
+
+
+@pytest.mark.parametrize("part_ms", [None, 7000, 1500, 97])
+def test_one_path_over_many_parts(spark, part_ms):
+    """A path that is written to without a pause, one with pauses, and closes, cut at other times: always what one buffer after the other gives."""
+    rng = random.Random(part_ms or 1)
+    events, ms = [], 0
+    for _ in range(900):
+        ms += rng.choice((0, 1, 50, 90, 300, 990, 999, 1000)) if rng.random() < 0.98 else rng.choice((100, 1001, 6000))
+        events.append(("/hot", ms, rng.choice(("Create", "Modify", "Modify", "Delete"))))
+    events += [(f"/k{rng.randint(0, 5)}", rng.randint(-3000, 60_000), rng.choice(("Create", "Modify", "CloseWrite", "CloseWrite", "Delete"))) for _ in range(300)]
+    df = spark.createDataFrame([*events, (None, 5, "Modify"), ("/k0", None, "Modify")], "key string, ms long, kind string").withColumn("from_key", F.lit(None).cast("string")).repartition(3)
+    got = sorted((r["key"], r["kind"], r["first_ms"], r["flush_ms"]) for r in debounce.replay(df, part_ms=part_ms).collect())
+    assert got == brute_debounce(events, debounce.IDLE, debounce.CAP, debounce.CLOSED)
+
+
+def test_parts_of_a_hot_path_go_to_many_tasks(spark):
+    df = spark.range(40_000).select(F.lit("/hot").alias("key"), (F.col("id") * 500).alias("ms"), F.lit("Modify").alias("kind"), F.lit(None).cast("string").alias("from_key"))
+    made = debounce.replay(df)
+    assert made.count() == 4000 and made.agg(F.max("flush_ms")).first()[0] <= 40_000 * 500 + 1000
+    assert "MapInPandas" not in made._jdf.queryExecution().toString()
+    with pytest.raises(ValueError):
+        debounce.replay(df, idle=0)
