@@ -1,7 +1,8 @@
 """Ignore rules: parsing, matching, layers, and the tier of whole trees of paths.
 
-Rules are few and small; they are parsed on the driver and become regular expressions in
-Column expressions, so classifying a path needs no Python on the executors.
+Default and user rules are few and small; they are parsed on the driver and become regular
+expressions in Column expressions, so classifying a path needs no Python on the
+executors. The ignore files of many directories are rows that paths are joined with.
 """
 
 from __future__ import annotations
@@ -11,10 +12,13 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import proper_ancestors
+from ..functions.paths import parent, proper_ancestors
+from ..sources.scratch import written
+from .reports import under
 
 INDEXED, CATALOGED, IGNORED = 0, 1, 2
 TIERS = ("indexed", "cataloged", "ignored")
@@ -225,3 +229,62 @@ def combined(*tiers: Column) -> Column:
 
 def tier_name(t: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, TIERS)), t + 1)
+
+
+# ---- as rows, for ignore files of many directories
+
+RULE_ROWS = "base string, cataloged boolean, place int, regex string, negated boolean, dirs_only boolean"
+
+
+def rule_rows(files: DataFrame) -> DataFrame:
+    """(base, cataloged, place, regex, negated, dirs_only): the rules of ignore files (base, text), by their place in the section."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for base, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rules = parse_rules(text or "", base)
+                for cataloged, some in ((False, rules.ignored), (True, rules.cataloged)):
+                    rows += [(rules.base, cataloged, i, r.regex, r.negated, r.dirs_only) for i, r in enumerate(some)]
+            kinds = (pa.string(), pa.bool_(), pa.int32(), pa.string(), pa.bool_(), pa.bool_())
+            columns = list(zip(*rows)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["base", "cataloged", "place", "regex", "negated", "dirs_only"])
+
+    return files.where("base is not null").select("base", "text").mapInArrow(run, RULE_ROWS)
+
+
+def _own_tiers(entries: DataFrame, rules: DataFrame, defaults: list[Rules]) -> DataFrame:
+    """(path, is_dir, tier): what the deepest layer that fires says of each entry itself, the default layers if none of the rows does.
+
+    The directories that have rules above an entry are found for each directory once, and
+    meet the entries by their parent.
+    """
+    parents = entries.select(parent(F.col("path")).alias("dir")).distinct()
+    bases = rules.select(F.col("base").alias("above")).distinct()
+    above = F.filter(F.concat(proper_ancestors(F.col("dir")), F.array("dir", F.lit("/"))), lambda d: d != "")
+    layers = parents.select("dir", F.explode(F.array_distinct(above)).alias("above")).join(bases, "above")
+    met = entries.withColumn("dir", parent(F.col("path"))).join(layers, "dir").join(rules, F.col("above") == F.col("base"))
+    below = F.substring(F.col("path"), F.when(F.col("base") == "/", 2).otherwise(F.length("base") + 2), F.lit(1 << 30))
+    hit = F.call_function("regexp_like", below, F.concat(F.lit("(?s)"), F.col("regex"))) & (F.col("is_dir") | ~F.col("dirs_only"))
+    by_section = met.where(hit).groupBy("path", "is_dir", "base", "cataloged").agg(F.max_by(~F.col("negated"), "place").alias("fires"))
+    deepest = by_section.where("fires").groupBy("path", "is_dir").agg(F.max(F.struct(F.length("base"), F.when(F.col("cataloged"), CATALOGED).otherwise(IGNORED).alias("tier"))).alias("last"))
+    own = tier(defaults, F.col("path"), F.col("is_dir"))
+    return entries.join(deepest, ["path", "is_dir"], "left").select("path", "is_dir", F.coalesce("last.tier", own).alias("tier"))
+
+
+def layered_tier(paths: DataFrame, rules: DataFrame, defaults: list[Rules]) -> DataFrame:
+    """(path, tier) of each distinct file path: classify_tree() with the rules of rule_rows() below the default layers.
+
+    Rules are rows, so the plan doesn't grow with ignore files. A verdict on a directory
+    holds for all under it. Null paths are left out.
+    """
+    files = paths.where("path is not null").select("path").distinct()
+    dirs = files.select(F.explode(proper_ancestors(F.col("path"))).alias("path")).distinct()
+    entries = files.withColumn("is_dir", F.lit(False)).unionByName(dirs.withColumn("is_dir", F.lit(True)))
+    verdicts = written(_own_tiers(entries, rules, defaults), "verdicts")
+    shut = verdicts.where(F.col("is_dir") & (F.col("tier") > INDEXED))
+    own = verdicts.where(~F.col("is_dir")).select("path", "tier")
+    for level in (CATALOGED, IGNORED):
+        inside = under(own.select("path"), shut.where(F.col("tier") == level), "left_semi").withColumn("inside", F.lit(level))
+        own = own.join(inside, "path", "left").select("path", F.greatest("tier", F.coalesce("inside", F.lit(INDEXED))).alias("tier"))
+    return own

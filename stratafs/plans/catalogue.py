@@ -388,6 +388,24 @@ def pol_layer(spark, d):
     return V.paths(spark, d).select("path", policy.tier_name(policy.tier([_DEFAULT, _LAYER], F.col("path"), F.lit(False))).alias("tier"))
 
 
+_RULES_OF = {"s": "*.md\n!doc_2*.md\n[catalog]\n*.json\n", "l0": "[catalog]\n*.md\n*.tar.gz\n", "l1": "media/\n", "l2": "[catalog]\n*.md\n*.tar.gz\n"}
+_S_DIR, _L_DIR = r"^(/[^/]*/s[^/]*)/", r"^(/[^/]*/s[^/]*/l[^/]*)/"
+
+
+@query("pol_layer_rows", f"""SELECT path, CASE greatest(CASE own WHEN 'ignored' THEN 2 WHEN 'cataloged' THEN 1 ELSE 0 END, CASE WHEN regexp_matches(dir || '/', '{_IGNORED_RE}') OR regexp_matches(path, '^/[^/]*/s[^/]*/l1/media/') THEN 2
+    WHEN regexp_matches(dir || '/', '{_CATALOG_DIRS}') THEN 1 ELSE 0 END) WHEN 2 THEN 'ignored' WHEN 1 THEN 'cataloged' ELSE 'indexed' END AS tier
+  FROM (SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, CASE WHEN regexp_matches(path, '^/[^/]*/s[^/]*/l[02]/.*([.]md|[.]tar[.]gz)$') THEN 'cataloged'
+    WHEN regexp_matches(path, '[.]md$') AND NOT regexp_matches(path, '/doc_2[^/]*$') THEN 'ignored' WHEN regexp_matches(path, '[.]json$') THEN 'cataloged' ELSE {_OWN_TIER} END AS own FROM files_v) x""")
+def pol_layer_rows(spark, d):
+    """An ignore file in each directory of the second and third level, as rows."""
+    p = V.paths(spark, d).select("path")
+    low = p.select(F.regexp_extract("path", _L_DIR, 1).alias("base")).distinct()
+    text = F.element_at(F.create_map(*(F.lit(x) for pair in _RULES_OF.items() for x in pair)), F.regexp_extract("base", "/(l[^/]*)$", 1))
+    files = low.select("base", text.alias("text")).where("text is not null")
+    files = files.unionByName(p.select(F.regexp_extract("path", _S_DIR, 1).alias("base")).distinct().withColumn("text", F.lit(_RULES_OF["s"])))
+    return policy.layered_tier(p, written(policy.rule_rows(files), "rules"), [_DEFAULT]).select("path", policy.tier_name(F.col("tier")).alias("tier"))
+
+
 _USER = policy.parse_rules("*.json\n", "/")
 
 

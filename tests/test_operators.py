@@ -346,3 +346,38 @@ def test_parts_of_a_hot_path_go_to_many_tasks(spark):
     assert "MapInPandas" not in made._jdf.queryExecution().toString()
     with pytest.raises(ValueError):
         debounce.replay(df, idle=0)
+
+
+def test_rules_as_rows_are_those_of_one_path_after_the_other(spark):
+    rng = random.Random(11)
+    names = ["a", "b", "c.log", "d.md", "keep.log", "build", "x y"]
+    paths = sorted({"/" + "/".join(rng.choices(names, k=rng.randint(1, 5))) for _ in range(250)})
+    texts = ["*.log\n!keep.log\n", "build/\n", "/a\n[catalog]\n*.md\n", "[catalog]\nb/\n!d.md\n", "!*.log\n", "a/**/c.log\n", "", "# none\n"]
+    bases = ["/", "/a", "/a/b", "/b", "/build", "/x y", "/a/a", "/b/b/b"]
+    files = list(zip(bases, rng.sample(texts, len(texts)))) + [(None, "*")]
+    layers = [policy.default_rules("/"), *(policy.parse_rules(t, b) for b, t in files if b)]
+    # two layers of one base can't be told apart by depth: the rows are asked first
+    want = {}
+    for p in paths:
+        parts = p.split("/")
+        entries = [("/".join(parts[:n]), True) for n in range(2, len(parts))] + [(p, False)]
+        own = lambda e: policy.classify_one(layers[1:], *e) if any_fires(layers[1:], *e) else policy.classify_one(layers[:1], *e)
+        want[p] = max(map(own, entries))
+    rules = policy.rule_rows(spark.createDataFrame(files, "base string, text string"))
+    got = policy.layered_tier(spark.createDataFrame([(p,) for p in [*paths, None]], "path string"), rules, layers[:1])
+    assert {r["path"]: r["tier"] for r in got.collect()} == want and len(set(want.values())) == 3
+
+
+def any_fires(layers, path, is_dir):
+    for rules in layers:
+        prefix = rules.base.rstrip("/") + "/"
+        if path.startswith(prefix) and any(policy._verdict(x, path[len(prefix) :], is_dir) for x in (rules.ignored, rules.cataloged)):
+            return True
+    return False
+
+
+def test_thousands_of_ignore_files(spark):
+    files = spark.range(3000).select(F.concat(F.lit("/r/d"), F.col("id").cast("string")).alias("base"), F.concat(F.lit("f"), (F.col("id") % 7).cast("string"), F.lit(".txt\n")).alias("text"))
+    paths = spark.range(30_000).select(F.concat(F.lit("/r/d"), (F.col("id") % 3000).cast("string"), F.lit("/f"), F.expr("id div 3000").cast("string"), F.lit(".txt")).alias("path"))
+    got = policy.layered_tier(paths, policy.rule_rows(files), [policy.default_rules("/")])
+    assert got.where("tier = 2").count() == 3000 and got.count() == 30_000
