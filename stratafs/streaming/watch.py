@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from . import debounce
+from . import debounce, drain
 
 RAW = "path string, raw string, cookie bigint, ts timestamp"
 PAIRED = "key string, ms bigint, kind string, from_key string, ts timestamp"
@@ -83,7 +83,7 @@ def watch(index, landing: str, checkpoint: str, trigger: dict | None = None, eve
 
     def apply(batch: DataFrame, _: int) -> None:
         now = int(datetime.now(UTC).timestamp())
-        index.apply(batch, now)
+        index.apply(drain.undrained(batch, checkpoint), now)
         if every and index.due(now, every):  # what was missed shows at the latest by then
             index.request("full", None, now)
         index.drain()
@@ -92,6 +92,11 @@ def watch(index, landing: str, checkpoint: str, trigger: dict | None = None, eve
     return (writer.trigger(**trigger) if trigger else writer).start()
 
 
+def finish(index, checkpoint: str) -> DataFrame:
+    """After a watch has stopped: apply what its state still holds, once; the events of that."""
+    return index.apply(drain.drain(index.spark, checkpoint), int(datetime.now(UTC).timestamp()))
+
+
 def overflows(index, landing: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Ask for a full scan where a notifier says that it has lost notifications (raw "overflow").
 
