@@ -1,6 +1,7 @@
 """The numbered operators against brute force, round trips and fixtures, with nulls and odd rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -274,7 +275,7 @@ def test_revealing_terms_are_spans_and_go(spark, empty):
     lines = [f"ticket {w} of zanzibari belongs to pat@corp.example today" for w in ("alpha", "beta", "gamma", "delta")]
     rows = [(i, f"{x}\nthe ticket of today belongs to others {'ticket of today belongs ' * 9}") for i, x in enumerate(lines)] + [(9, "Zanzibari again"), (10, "clean words")]
     got = {r["doc_id"]: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert [(s["value"], s["kind"]) for s in got[9]["spans"]] == [("Zanzibari", "term")] and got[9]["sanitised"].strip() in ("again", "[TERM] again")
+    assert [(s["value"], s["kind"]) for s in got[9]["spans"]] == [("Zanzibari", "term")] and got[9]["sanitised"] == "[NAME] again"
     assert got[10]["spans"] == [] and got[10]["sanitised"] == "clean words"
     assert "pat@corp" not in got[0]["sanitised"] and "[EMAIL]" in got[0]["sanitised"] and "zanzibari" not in got[0]["sanitised"]
     assert "ticket of today" in got[0]["sanitised"]
@@ -290,11 +291,32 @@ def test_terms_of_rare_entities_are_flagged(spark):
     signed = "Quenby Marlowe\n\nwrite to one@corp.example"  # the name stands a line above the address
     texts = [f"first page {signed}", f"second page {signed}", "call vorhanden at +1 (377) 555-0271", "the page has a call at a corp of an example", "write a first and a second page " * 9]
     got = flagged_terms(spark, texts)
-    assert got["quenby"] == got["marlowe"] == ("remove", 1.0)
-    assert got["vorhanden"][0] == "generalise"
+    assert got["quenby"] == got["marlowe"] == ("generalise", round(math.log2(3), 9))
+    assert "vorhanden" not in got  # one text says little
     assert not got.keys() & {"page", "write", "first", "second"}
 
 
+@pytest.mark.parametrize("near, away, action", [(1, 0, None), (2, 0, "generalise"), (3, 0, "generalise"), (4, 0, "remove"), (9, 0, "remove"), (9, 6, "generalise"), (9, 30, None)])
+def test_evidence_moves_the_estimate(spark, near, away, action):
+    texts = [f"{w} {w}x quenby wrote to one@corp.example" for w in vocabulary()[:near]] + [f"{w} of quenby" for w in vocabulary()[:away]] + ["to wrote " * 40]
+    got = flagged_terms(spark, texts).get("quenby")
+    assert (got and got[0]) == action
+    if got:
+        assert got[1] == round(-math.log2(near * near / (near + pii.DOUBT) / (near + away)), 9)
+
+
+def test_terms_become_coarser_classes(spark):
+    terms = ["Quenby", "MCMXC", "1984", "31337", "x_9", "été", "Él"]
+    got = spark.createDataFrame([(t,) for t in terms], "t string").select(pii.word_class(F.col("t"))).collect()
+    assert [r[0] for r in got] == ["[NAME]", "[ACRONYM]", "[YEAR]", "[NUMBER OF 5 DIGITS]", "[CODE]", "[WORD]", "[NAME]"]
+    texts = [f"{w} Quenby 31337 wrote to one@corp.example" for w in vocabulary()[:2]] + ["to wrote " * 9, "with Quenby and 31337", "removed"]
+    rows = pii.sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["sanitised"] for r in rows}[3] == "with Quenby and 31337"  # 2 of 3 places in 2 texts: 2.2 bits
+    more = [f"{w} Quenby 31337 wrote to one@corp.example" for w in vocabulary()[:12]] + ["to wrote " * 9, "with Quenby and 31337"]
+    rows = pii.sanitise(spark.createDataFrame(list(enumerate(more)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["sanitised"] for r in rows}[13] == "with  and "
+
+
 def test_copies_of_all_rows_change_no_term(spark):
     texts = [f"{w} zanzibari wrote to pat@corp.example {w} today" for w in ("alpha", "beta", "gamma")] + ["today it was zanzibari", "today " * 9]
     once, often = flagged_terms(spark, texts), flagged_terms(spark, texts * 40)
