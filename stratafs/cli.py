@@ -17,9 +17,11 @@ from .functions.patterns import duration_seconds
 from .index import Index
 from .operators import reports
 from .sources import gate
-from .streaming.watch import overflows, watch
+from .streaming.watch import finish, overflows, watch
 
-MOST = 1000
+
+#: Commands whose results go with a line on stderr that tells how fresh they are.
+FRESH = ("find", "get", "history", "outline", "manifest", "map", "audit", "triage", "backup-audit")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -28,8 +30,16 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--root", action="append", default=[])
     sub = p.add_subparsers(dest="command", required=True)
     p.add_argument("--roots-file", help="a root a line, ! before those that are off; its enabled ones are roots too")
-    for name in ("init", "scan", "audit", "health", "scan-status", "triage"):
+    for name in ("init", "health", "scan-status", "triage"):
         sub.add_parser(name)
+    scan = sub.add_parser("scan")
+    scan.add_argument("--paths", nargs="+", help="only these of the roots, or directories below them")
+    audit = sub.add_parser("audit")
+    audit.add_argument("--min-bytes", type=int, default=0, help="of the largest cataloged directories")
+    audit.add_argument("--sort-by", choices=("bytes", "count"), default="bytes")
+    audit.add_argument("--full", action="store_true", help="all extensions and cataloged directories")
+    audit.add_argument("--ext", help="the files of one extension, the largest first")
+    audit.add_argument("--tier2", action="store_true", help="cataloged directories alone")
     roots = sub.add_parser("roots")
     roots.add_argument("change", nargs="?", choices=("add", "remove", "enable", "disable"))
     roots.add_argument("root_path", nargs="?")
@@ -43,7 +53,11 @@ def parser() -> argparse.ArgumentParser:
     find.add_argument("--path")
     find.add_argument("--ext")
     find.add_argument("--limit", type=int, default=10)
-    for name, arg in (("get", "hash"), ("history", "path"), ("outline", "path"), ("backup-audit", "target"), ("backup-apply", "file"), ("read", "path"), ("prune", "older_than")):
+    history = sub.add_parser("history")
+    history.add_argument("path")
+    history.add_argument("--since", help="as 2024-01-31 or 2024-01-31T10:00:00, UTC")
+    history.add_argument("--until")
+    for name, arg in (("get", "hash"), ("outline", "path"), ("backup-audit", "target"), ("backup-apply", "file"), ("read", "path"), ("prune", "older_than")):
         sub.add_parser(name).add_argument(arg)
     sub.add_parser("manifest").add_argument("--json", action="store_true")
     sub.add_parser("map").add_argument("prefix", nargs="?", default="")
@@ -56,12 +70,26 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def show(df: DataFrame, most: int = MOST) -> None:
-    """At most so many rows, as JSON lines."""
-    for line in df.select(F.to_json(F.struct("*")).alias("j")).limit(most).collect():
+def show(df: DataFrame) -> None:
+    """All rows as JSON lines, a part at a time."""
+    for line in df.select(F.to_json(F.struct("*")).alias("j")).toLocalIterator():
         print(line["j"])
 
 
+def _time(text: str | None) -> datetime | None:
+    return None if text is None else datetime.fromisoformat(text) if "+" in text else datetime.fromisoformat(text).replace(tzinfo=UTC)
+
+
+def _audit(index: Index, a: argparse.Namespace) -> dict[str, DataFrame]:
+    if a.ext:
+        return {"files": index.find_ext(a.ext, 1000)}
+    parts = index.audit(2**31 - 1 if a.full else 20, a.min_bytes, a.sort_by)
+    parts["by_extension"] = parts["by_extension"].orderBy(F.desc("bytes"), "ext")
+    if not a.full:
+        parts["by_extension"] = parts["by_extension"].limit(15)
+    return {k: v for k, v in parts.items() if not a.tier2 or k in ("tier2", "largest")}
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
     if a.command == "backup-apply":
@@ -88,16 +116,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("stratafs").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     index = Index(spark, a.store, a.root)
     if a.command == "scan":
-        show(index.scan().groupBy("event_type").agg(F.count(F.lit(1)).alias("n")))
+        show(index.scan(a.paths).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")))
     elif a.command == "find":
         show(index.find_ext(a.ext) if a.ext else index.find_path(a.path) if a.path else index.find(a.query or "", a.limit))
-    elif a.command in ("get", "history", "outline"):
+    elif a.command == "history":
+        show(index.history(a.path, _time(a.since), _time(a.until)))
+    elif a.command in ("get", "outline"):
         show(getattr(index, a.command)(a.hash if a.command == "get" else a.path))
     elif a.command == "manifest":
         rows = index.manifest().select(F.to_json(F.struct("*")) if a.json else "path").toLocalIterator()
         sys.stdout.writelines(f"{r[0]}\n" for r in rows)
     elif a.command in ("audit", "map", "triage", "backup-audit"):
-        parts = {"audit": index.audit, "map": lambda: index.map(a.prefix), "triage": index.triage, "backup-audit": lambda: index.backup_audit(a.target)}[a.command]()
+        parts = {"audit": lambda: _audit(index, a), "map": lambda: index.map(a.prefix), "triage": index.triage, "backup-audit": lambda: index.backup_audit(a.target)}[a.command]()
         if a.command == "triage":
             r = parts["recommendations"]
             parts["recommendations"] = reports.review_lines(r, F.col("action"), F.col("path"), F.col("size_bytes"), F.col("reason"))
@@ -115,6 +145,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         queries = [f(index, a.landing, f"{a.checkpoint}/{name}", now) for name, f in (("overflows", overflows), ("changes", partial(watch, every=a.every)))]
         for q in queries:
             q.awaitTermination()
+        finish(index, f"{a.checkpoint}/changes")
         index.drain()
     elif a.command == "scan-status":
         show(index.store.table("scan_runs").orderBy(F.desc("id")).limit(1))
@@ -129,6 +160,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         for row in page.events:
             print(json.dumps(row.asDict(), default=str))
         print(json.dumps({"cursor_valid": page.cursor_valid, "next_cursor": page.next_cursor, "has_more": page.has_more}))
+    if a.command in FRESH:
+        print(json.dumps(index.freshness(), default=str), file=sys.stderr)
     return 0
 
 

@@ -12,6 +12,7 @@ from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators import policy
@@ -134,15 +135,33 @@ def walk(spark: SparkSession, roots: list[str], user_rules: str = "", home: str
 READ = "path string, size_bytes bigint, content_hash string, content binary, is_large boolean"
 
 
+#: Bytes of files that one task reads on average, tasks at most; bytes and files of a record batch.
+READ_BYTES, READ_TASKS = 256 << 20, 10_000
+BATCH_BYTES, BATCH_FILES = 8 << 20, 2000
+
+
+def dealt_by_size(walked: DataFrame) -> DataFrame:
+    """(path, size_bytes) dealt at random to as many tasks as their bytes and the cores ask for; a join before would leave few."""
+    total, n = walked.agg(F.coalesce(F.sum("size_bytes"), F.lit(0)), F.count(F.lit(1))).first()
+    tasks = max(walked.sparkSession.sparkContext.defaultParallelism, total // READ_BYTES)
+    return walked.select("path", "size_bytes").repartition(max(1, min(n, tasks, READ_TASKS)), "path")
+
+
 def read_contents(walked: DataFrame, most_bytes: int = 524_288_000) -> DataFrame:
-    """(path, size_bytes, content_hash, content, is_large) of the files that need a hash, in file order of each task.
+    """(path, size_bytes, content_hash, content, is_large) of the files that need a hash.
 
     Only texts have a content: files above most_bytes, and those with a zero byte among
-    their first SNIFF, are hashed in a stream. Unreadable ones give no row. Files are
-    dealt by size beforehand where sizes differ much.
+    their first SNIFF, are hashed in a stream. Unreadable ones give no row. Batches are
+    cut by bytes, a large file being one of its own.
     """
 
+    def made(rows):
+        columns = list(zip(*rows))
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.binary(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["path", "size_bytes", "content_hash", "content", "is_large"])
+
     def run(batches):
+        rows, held = [], 0
         for batch in batches:
             for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
@@ -156,12 +175,16 @@ def read_contents(walked: DataFrame, most_bytes: int = 524_288_000) -> DataFrame
                             digest = hashlib.sha256(content).hexdigest()
                 except OSError:
                     continue
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([path]), pa.array([size], pa.int64()), pa.array([digest]), pa.array([content], pa.binary()), pa.array([content is None])],
-                    ["path", "size_bytes", "content_hash", "content", "is_large"],
-                )
-
-    return walked.select("path", "size_bytes").mapInArrow(run, READ)
+                more = len(content or b"")
+                if rows and (held + more > BATCH_BYTES or len(rows) >= BATCH_FILES):
+                    yield made(rows)
+                    rows, held = [], 0
+                rows.append((path, size, digest, content, content is None))
+                held += more
+        if rows:
+            yield made(rows)
+
+    return dealt_by_size(walked).mapInArrow(run, READ)
 
 
 def find_files(paths: DataFrame, roots: list[str], user_rules: str = "", home: str = "/") -> DataFrame:

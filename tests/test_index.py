@@ -235,6 +235,10 @@ def test_command_line(spark, tmp_path, tree, capsys):
     for command in (["audit"], ["health"], ["triage"], ["map"], ["manifest", "--json"], ["find", "guide"], ["scan-status"], ["events-since", "0"], ["backup-audit", str(tree)], ["read", str(tree / "b.txt")], ["prune", "1d"]):
         assert cli.main([*base, *command], spark) == 0
     assert "plain line" in capsys.readouterr().out
+    for command, has in ((["audit", "--full", "--sort-by", "count"], "largest"), (["audit", "--ext", "txt"], "b.txt"), (["audit", "--tier2", "--min-bytes", "1"], "tier2"), (["scan", "--paths", str(tree)], ""), (["history", str(tree / "b.txt"), "--since", "2001-01-01", "--until", "2999-01-01T00:00:00"], "created")):
+        assert cli.main([*base, *command], spark) == 0
+        out = capsys.readouterr()
+        assert has in out.out and ("is_stale" in out.err) == (command[0] != "scan")
     listed = ["--store", str(tmp_path / "s"), "--roots-file", str(tmp_path / "roots")]
     for change, want in (("add", f"{tree}\n"), ("disable", f"!{tree}\n"), ("remove", ""), ("enable", f"{tree}\n")):
         assert cli.main([*listed, "roots", change, str(tree)], spark) == 0
@@ -415,3 +419,17 @@ def test_blocks_that_cannot_be_among_the_best_are_not_scored(spark, tmp_path):
     parts = search.promising(blocks, phrases, search._idfs(blocks, phrases, docs_n), length / docs_n)
     assert parts.where(F.col("most") >= -got[0]["rank"]).count() == 1 and parts.count() == 64
     assert search.top(blocks, "content_hash", [["sea"], ["absent"]], 3, docs_n, length).count() == 0
+
+
+def test_output_is_not_cut_and_reading_is_dealt(spark, tmp_path, capsys):
+    cli.show(spark.range(2500))
+    assert len(capsys.readouterr().out.splitlines()) == 2500
+    root = tmp_path / "r"
+    root.mkdir()
+    for i in range(50):
+        (root / f"f{i}.txt").write_text(f"{i} " * (i + 1))
+    found = walk.walk(spark, [str(root)]).where("catalog_dir is null").coalesce(1)
+    assert walk.dealt_by_size(found).rdd.getNumPartitions() == 4
+    read = walk.read_contents(found).collect()
+    assert {r["path"]: bytes(r["content"]) for r in read} == {str(root / f"f{i}.txt"): (f"{i} " * (i + 1)).encode() for i in range(50)}
+    assert walk.read_contents(found.limit(0)).count() == 0
