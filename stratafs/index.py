@@ -16,7 +16,7 @@ from .functions.paths import extension_label
 from .functions.patterns import glob_to_like, search_terms
 from .operators import diff, feed, grams, policy, predicates, reports, search
 from .sources.store import CommitConflict, Store
-from .sources.walk import find_files, read_contents, walk
+from .sources.walk import find_files, read_contents, walk_steps
 from .streaming.apply import affected, changed_paths
 
 STALE_SECONDS, FULL_SECONDS = 3600, 86_400
@@ -57,7 +57,7 @@ class Index:
         table = lambda name: self.store.table(name, base)
         documents, active = table("documents"), table("active")
         # the tree and its contents are read once: all tables of a generation come from what was written then
-        walked = self.store.draft("walk", walk(self.spark, roots, self.user_rules, self.home))
+        walked = walk_steps(self.spark, roots, self.user_rules, self.home, lambda df: self.store.draft("walk", df))
         files = diff.needs_hash(walked.where("catalog_dir is null").drop("catalog_dir"), active)
         read = read_contents(files.where("needs_hash"), self.most_bytes)
         fresh = self.store.draft("fresh", extract.document_rows(read, self.search_bytes))

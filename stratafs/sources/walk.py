@@ -8,6 +8,7 @@ import os
 import stat
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 from itertools import islice
 
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators import policy
+from .scratch import written
 
 WALK = "path string, root string, mtime bigint, size_bytes bigint, inode bigint, dev bigint, catalog_dir string"
 IGNORE_FILE = ".indexignore"
@@ -135,6 +137,114 @@ def walk(spark: SparkSession, roots: list[str], user_rules: str = "", home: str
 READ = "path string, size_bytes bigint, content_hash string, content binary, is_large boolean"
 
 
+#: Entries that a task of the first step looks at, times GROWS in each further one, at most MOST_ENTRIES.
+FIRST_ENTRIES, GROWS, MOST_ENTRIES = 256, 16, 100_000
+STEP = "root string, path string, kind string, layers string, catalog_dir string, mtime bigint, size_bytes bigint, inode bigint, dev bigint"
+_STEP_KINDS = (*[pa.string()] * 5, *[pa.int64()] * 4)
+
+
+def _listed(user_rules: str, home: str, most: int):
+    """An Arrow function over rows of kind dir and name: their files, and what is left to look at.
+
+    layers: the ignore files above, as a JSON list of (base, text). A directory beyond the
+    `most` entries of a task is passed on as it is, and so are the names beyond them in a
+    directory, before any rule has been asked.
+    """
+    user = [policy.parse_rules(user_rules, home)] if user_rules else []
+
+    def run(batches):
+        parsed: dict[tuple[str, str], list] = {}
+        left, out = most, []
+
+        def rules(root: str, layers: str) -> list:
+            if (root, layers) not in parsed:
+                parsed[root, layers] = [policy.default_rules(root), *(policy.parse_rules(text, base) for base, text in json.loads(layers))]
+            return parsed[root, layers]
+
+        def file(root, path, layers, catalog):
+            try:
+                s = os.lstat(path)
+            except OSError:
+                return
+            if stat.S_ISREG(s.st_mode) and (catalog or _verdict(rules(root, layers), user, path, False) == policy.INDEXED):
+                out.append((root, path, "file", "", catalog, int(s.st_mtime), s.st_size, s.st_ino, s.st_dev))
+
+        def later(kind, root, path, layers, catalog):
+            out.append((root, path, kind, layers, catalog, None, None, None, None))
+
+        def made():
+            some = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), _STEP_KINDS)], [x.split()[0] for x in STEP.split(", ")])
+            out.clear()
+            return some
+
+        for batch in batches:
+            for root, path, kind, layers, catalog in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if kind == "name":
+                    file(root, path, layers, catalog)
+                waiting = [(path, layers, catalog)] if kind == "dir" else []
+                while waiting:
+                    here, layers, catalog = waiting.pop()
+                    if left <= 0:
+                        later("dir", root, here, layers, catalog)
+                        continue
+                    if not catalog:
+                        try:
+                            with open(os.path.join(here, IGNORE_FILE), encoding="utf-8") as f:
+                                layers = json.dumps([*json.loads(layers), [here, f.read()]])
+                        except (OSError, UnicodeDecodeError):
+                            pass
+                    try:
+                        found = os.scandir(here)
+                    except OSError:
+                        continue
+                    with found:
+                        for e in found:
+                            left -= 1
+                            try:
+                                below = e.is_dir(follow_symlinks=False)
+                                if not below and e.is_symlink():
+                                    continue
+                            except OSError:
+                                continue
+                            if not below:
+                                if left > 0:
+                                    file(root, e.path, layers, catalog)
+                                else:
+                                    later("name", root, e.path, layers, catalog)
+                            else:
+                                verdict = policy.CATALOGED if catalog else _verdict(rules(root, layers), user, e.path, True)
+                                if verdict != policy.IGNORED:
+                                    waiting.append((e.path, layers, catalog or (e.path if verdict == policy.CATALOGED else None)))
+                            if len(out) >= 10_000:
+                                yield made()
+                if len(out) >= 10_000:
+                    yield made()
+        if out:
+            yield made()
+
+    return run
+
+
+def walk_steps(spark: SparkSession, roots: list[str], user_rules: str = "", home: str = "/", hold=None, first: int = FIRST_ENTRIES, most: int = MOST_ENTRIES) -> DataFrame:
+    """What walk() finds, by steps: each lists the directories that the last has left, in tasks of a bounded number of entries.
+
+    The driver opens no directory and holds none of what is found. A directory of very many
+    files is listed by one task, but its names are dealt to many for the rules and the
+    file system. hold writes a step's rows and reads them again.
+    """
+    hold = hold or (lambda df: written(df, "walk"))
+    tops = [(r.rstrip("/") or "/", r.rstrip("/") or "/", "dir", "[]", None, None, None, None, None) for r in roots]
+    at, found, entries, n = spark.createDataFrame(tops, STEP), [], first, len(tops)
+    while n:
+        tasks = max(1, min(n, max(4 * spark.sparkContext.defaultParallelism, n // entries)))
+        step = hold(at.repartition(tasks, "path").mapInArrow(_listed(user_rules, home, entries), STEP))
+        found.append(step.where("kind = 'file'"))
+        at = step.where("kind <> 'file'")
+        n, entries = at.count(), min(most, entries * GROWS)
+    files = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], STEP)
+    return files.select("path", "root", "mtime", "size_bytes", "inode", "dev", "catalog_dir")
+
+
 #: Bytes of files that one task reads on average, tasks at most; bytes and files of a record batch.
 READ_BYTES, READ_TASKS = 256 << 20, 10_000
 BATCH_BYTES, BATCH_FILES = 8 << 20, 2000

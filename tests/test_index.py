@@ -433,3 +433,30 @@ def test_output_is_not_cut_and_reading_is_dealt(spark, tmp_path, capsys):
     read = walk.read_contents(found).collect()
     assert {r["path"]: bytes(r["content"]) for r in read} == {str(root / f"f{i}.txt"): (f"{i} " * (i + 1)).encode() for i in range(50)}
     assert walk.read_contents(found.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("first, most", [(256, 100_000), (1, 3), (5, 7)])
+def test_walking_by_steps_finds_what_one_walk_finds(spark, tmp_path, tree, first, most):
+    (tree / "wide").mkdir()
+    for i in range(40):
+        (tree / "wide" / f"f{i}.txt").write_text("x")
+    for part in ("deep/a/b/c/d", "skip/in", "node_modules/q/r"):
+        (tree / part).mkdir(parents=True)
+        (tree / part / "z.txt").write_text(part)
+    (tree / ".indexignore").write_text("skip/\nf1*.txt\n")
+    (tree / "wide" / ".indexignore").write_text("!f11.txt\nf2.txt\n")
+    (tree / "deep" / ".indexignore").write_text("[catalog]\nb/\n")
+    os.symlink(tree / "deep", tree / "loop")
+    roots = [str(tree), str(tmp_path / "missing"), str(tree / "deep") + "/"]
+    sizes = []
+
+    def hold(df):
+        rows = df.collect()
+        sizes.append(len(rows))
+        return spark.createDataFrame(rows, df.schema)
+
+    want = sorted(map(tuple, walk.walk(spark, [r.rstrip("/") for r in roots], "*.py\n", "/").collect()), key=repr)
+    got = sorted(map(tuple, walk.walk_steps(spark, roots, "*.py\n", "/", hold, first, most).collect()), key=repr)
+    assert got == want and len(got) > 20
+    assert (len(sizes) > 2) == (first < 100)
+    assert walk.walk_steps(spark, []).count() == 0
