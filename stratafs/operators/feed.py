@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 MOST = 1000
 
 
@@ -61,14 +63,14 @@ def retained(rows: DataFrame, cutoff, column: str = "timestamp") -> DataFrame:
     return rows.where(F.col(column) >= cutoff)
 
 
-def numbered(new: DataFrame, last_id: int, order: list[str], hold=DataFrame.persist) -> DataFrame:
+def numbered(new: DataFrame, last_id: int, order: list[str], hold=None) -> DataFrame:
     """new events with ids from last_id + 1 on, in order.
 
-    Rows are sorted by range and counted by part, so no task numbers them all. hold keeps
-    the sorted rows between the counting and the numbering; where executors may be lost
-    it has to write them.
+    Rows are sorted by range and counted by part, so no task numbers them all. hold writes
+    the sorted rows and reads them again, so that the counting and the numbering see the
+    same parts whatever executors are lost.
     """
-    held = hold(new.orderBy(*order).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
+    held = (hold or (lambda df: written(df, "numbered")))(new.orderBy(*order).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
     sizes = held.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row a partition
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("part", before.alias("start"))
