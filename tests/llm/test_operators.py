@@ -640,12 +640,17 @@ def test_cuts_are_tried_again(spark):
     fps = np.repeat(rng.integers(0, 1 << 62, 4, np.uint64)[None, :], 6, axis=0)
     fps[:, 0] ^= np.array([0, 1, 3, 7, 15, 31], np.uint64)
     roots = np.array([0, 0, 0, 3, 3, 3])
-    pairs = {tuple(sorted(x)) for x in similar.across(nodes, fps, 3, roots)}
+    made = similar.across(nodes, fps, 3, roots)
+    assert all(d == int(np.bitwise_count(fps[a] ^ fps[b]).sum()) for a, b, d in made)
+    pairs = {tuple(sorted(x[:2])) for x in made}
     assert pairs == {(0, 3), (1, 3), (1, 4), (2, 3), (2, 4), (2, 5)}
     tested = spark.createDataFrame([(1, 3), (0, 1), (2, 7)], "a long, b long")
     decided = spark.createDataFrame([(0, 1)], "a long, b long")
     known = spark.createDataFrame([(1, 0), (0, 0), (3, 3), (4, 3)], "node long, root long")
-    assert {r["root"] for r in similar._cut(tested, decided, known).collect()} == {0, 3, 2, 7}
+    refused = tested.join(decided, ["a", "b"], "left_anti")
+    assert {tuple(r) for r in similar._open(refused, known).collect()} == {(1, 3, 0, 3), (2, 7, 2, 7)}
+    proposed = spark.createDataFrame([(1, 3, 1), (3, 1, 1), (1, 4, 2), (3, 0, 3), (1, 5, 3)], "a long, b long, apart int")
+    assert {tuple(r) for r in similar._nearest(proposed, tested).collect()} == {(1, 4), (0, 3)}
 
 
 def test_similar_texts_of_the_tables(spark):
