@@ -653,6 +653,60 @@ def test_cuts_are_tried_again(spark):
     assert {tuple(r) for r in similar._nearest(proposed, tested).collect()} == {(1, 4), (0, 3)}
 
 
+def test_pairs_across_refused_links_have_no_cap():
+    """A fingerprint with seven equal ones of another root meets all of them, not the nearest four."""
+    nodes, fps = np.arange(8), np.zeros((8, 4), np.uint64)
+    made = similar.across(nodes, fps, 3, np.array([0, *[1] * 7]))
+    assert {tuple(sorted(x[:2])) for x in made} == {(0, j) for j in range(1, 8)}
+
+
+@pytest.mark.parametrize("tile", [1, 100, 1 << 18])
+def test_links_that_join_roots_against_all_pairs(monkeypatch, tile):
+    monkeypatch.setattr(similar, "TILE", tile)
+    rng = np.random.default_rng(tile)
+    grams = [np.unique(rng.integers(0, 400, 40))]
+    while len(grams) < 80:
+        g = grams[rng.integers(len(grams))].copy()
+        g[rng.integers(0, len(g), rng.integers(1, 5))] = rng.integers(0, 4000, 1)
+        grams.append(np.unique(g[: rng.integers(len(g) - 2, len(g) + 1)]))
+    grams += [np.zeros(0, np.int64)]
+    names, roots = rng.permutation(81) - 40, rng.integers(0, 50, 81)
+    for left in (np.ones(81, bool), rng.random(81) < 0.5):
+        pairs = [(i, j) for i in np.flatnonzero(left) for j in range(81) if i != j and (left.all() or not left[j]) and len(np.intersect1d(grams[i], grams[j])) >= 0.8 * len(np.union1d(grams[i], grams[j])) > 0]
+
+        def groups(links):
+            of = {int(r): int(r) for r in roots}
+            for a, b in links:
+                x, y = of[int(roots[a])], of[int(roots[b])]
+                of = {k: x if v == y else v for k, v in of.items()}
+            return {frozenset(k for k in of if of[k] == v) for v in of.values()}
+
+        at = {int(x): i for i, x in enumerate(names)}
+        made = [(at[a], at[b]) for a, b in similar.joined(names, roots, left, grams, 0.8)]
+        assert all((a, b) in pairs or (b, a) in pairs for a, b in made)
+        assert groups(made) == groups(pairs) and len(made) == len(set(roots.tolist())) - len(groups(pairs))
+
+
+def test_all_texts_beside_refused_links_are_compared(spark, monkeypatch):
+    """A refused link holds two roots together: the only similar pair is none of its nearest, in divided and whole families."""
+    rng = np.random.default_rng(8)
+    base = rng.permutation(200)
+    sets = [np.concatenate((base[: 40 + 4 * k], rng.integers(1000 * k + 1000, 1000 * k + 2000, 160 - 4 * k))) for k in range(30)]
+    sets += [np.concatenate((sets[17][10:], [1, 2, 3]))]  # like the 17th alone
+    sets = [np.unique(x).astype(np.int64) for x in sets]
+    similarities = {(i, j): len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) for i in range(31) for j in range(i)}
+    want = {p for p, v in similarities.items() if v >= 0.8}
+    assert want == {(30, 17)}
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(sets)], "node long, grams array<long>")
+    left = spark.createDataFrame([(i, i + 1, i, i + 1) for i in range(30)], "a long, b long, root_a long, root_b long")
+    roots = spark.createDataFrame([], "node long, root long")
+    for cell in (2048, 4, 1):
+        monkeypatch.setattr(similar, "CELL", cell)
+        assert {tuple(sorted(r, reverse=True)) for r in similar._across(left, roots, rows, 0.8).collect()} == want
+    known = spark.createDataFrame([(i, 0) for i in range(31)], "node long, root long")
+    assert similar._across(left.limit(0), known, rows, 0.8).count() == 0
+
+
 def test_similar_texts_of_the_tables(spark):
     """Recall over the pairs of similarity 0.8 and more; the share of documents beside them is kept."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
