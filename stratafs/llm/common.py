@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: The same characters one by one, for translate().
 GAP_CHARS = " \t\n\x0b\x0c\r"
+#: How wide rows are written: sizes are looked at after each row, not after a hundred, and row groups, which readers hold whole, are small.
+WIDE_ROWS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 _GAPS = np.zeros(256, bool)
 _GAPS[[0x20, 9, 10, 11, 12, 13]] = True
 
@@ -59,10 +61,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
-    """df written as Parquet in the shared folder and read again."""
+def stored(df: DataFrame, name: str, compression: str | None = None, wide: bool = False) -> DataFrame:
+    """df written as Parquet in the shared folder and read again; wide: its rows have megabytes, so few are written and read at once."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    df.write.options(**WIDE_ROWS if wide else {}).parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

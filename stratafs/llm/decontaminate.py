@@ -93,7 +93,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     made = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(
         run, f"segment long, ids array<{kind}>, sizes array<int>, terms array<long>, starts array<int>, steps array<int>"
     )
-    return stored(made, "postings", compression="zstd")
+    return stored(made, "postings", compression="zstd", wide=True)
 
 
 def _parts(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:

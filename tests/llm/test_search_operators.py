@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,3 +250,16 @@ def test_neighbourhoods_hold_all_edits(monkeypatch, made):
         hashes = {int(spelling.reduced_hash(np.array([w], np.uint64).reshape(1, -1))[0]) for w in want}
         got = [int(k) for _, keys in spelling.neighbourhood(codes, letters) for k in keys]
         assert set(got) == hashes and (made < 100 or len(got) == len(set(got)))
+
+
+def test_stored_segments_are_read_a_few_at_a_time(spark):
+    """Row groups of the index are bounded by bytes though a task writes fewer than a hundred segments: readers hold whole ones."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(rng.integers(0, 1 << 40, 60_000).astype(str))) for i in range(40)]
+    index = decontaminate.build_index(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), segment_bytes=1 << 19)
+    groups = []
+    for path in index.inputFiles():
+        made = pq.ParquetFile(path.removeprefix("file://")).metadata
+        groups += [made.row_group(i) for i in range(made.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 40 and len(groups) > 1
+    assert max(g.total_byte_size for g in groups) < 24 << 20
