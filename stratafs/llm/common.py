@@ -55,12 +55,6 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def stored(df: DataFrame, name: str, compression: str | None = None, wide: bool = False) -> DataFrame:
     """df written as Parquet in the shared folder and read again; wide: its rows have megabytes, so few are written and read at once."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
