@@ -43,6 +43,7 @@ def test_query_matches_its_sql(spark, tables, name):
 SIZED = [
     "agg_by_ext",
     "agg_dir_pairs",
+    "agg_dir_stats",
 ]
 
 
