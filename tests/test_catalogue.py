@@ -44,6 +44,7 @@ SIZED = [
     "agg_by_ext",
     "agg_dir_pairs",
     "agg_dir_stats",
+    "agg_dup_groups",
 ]
 
 
