@@ -45,6 +45,7 @@ SIZED = [
     "agg_dir_pairs",
     "agg_dir_stats",
     "agg_dup_groups",
+    "agg_redundant_bytes",
 ]
 
 
