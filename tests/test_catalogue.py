@@ -46,6 +46,7 @@ SIZED = [
     "agg_dir_stats",
     "agg_dup_groups",
     "agg_redundant_bytes",
+    "agg_tier1_total",
 ]
 
 
