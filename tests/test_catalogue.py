@@ -47,6 +47,7 @@ SIZED = [
     "agg_dup_groups",
     "agg_redundant_bytes",
     "agg_tier1_total",
+    "fn_regenerable_reason",
 ]
 
 
