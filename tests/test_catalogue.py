@@ -48,6 +48,7 @@ SIZED = [
     "agg_redundant_bytes",
     "agg_tier1_total",
     "fn_regenerable_reason",
+    "jn_paths_docs",
 ]
 
 
