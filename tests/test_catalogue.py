@@ -49,6 +49,7 @@ SIZED = [
     "agg_tier1_total",
     "fn_regenerable_reason",
     "jn_paths_docs",
+    "jn_redundant",
 ]
 
 
