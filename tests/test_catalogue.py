@@ -50,6 +50,7 @@ SIZED = [
     "fn_regenerable_reason",
     "jn_paths_docs",
     "jn_redundant",
+    "jn_stale",
 ]
 
 
