@@ -51,6 +51,7 @@ SIZED = [
     "jn_paths_docs",
     "jn_redundant",
     "jn_stale",
+    "prj_byte_size0",
 ]
 
 
