@@ -52,6 +52,7 @@ SIZED = [
     "jn_redundant",
     "jn_stale",
     "prj_byte_size0",
+    "q_audit",
 ]
 
 
