@@ -53,6 +53,7 @@ SIZED = [
     "jn_stale",
     "prj_byte_size0",
     "q_audit",
+    "q_backup_audit",
 ]
 
 
