@@ -61,11 +61,12 @@ def paired(events: DataFrame, within: int = PAIR) -> DataFrame:
     """(key, ms, kind, from_key): the two sides of renames joined by their cookie.
 
     A from within `within` ms before its to makes a Moved of the new key; a to alone is a
-    Create; a from alone is a Delete, `within` ms later. Other kinds stay.
+    Create; a from alone is a Delete, `within` ms later. Other kinds stay. Sides of one
+    cookie, time and kind follow each other by id, where events have one, else by key.
     """
     plain = events.where("kind not in ('MovedFrom', 'MovedTo')").select("key", "ms", "kind", F.lit(None).cast("string").alias("from_key"))
     sides = events.where("kind in ('MovedFrom', 'MovedTo')").withColumn("cookie", F.coalesce("cookie", F.hash("key", "ms").cast("bigint")))
-    w = Window.partitionBy("cookie").orderBy("ms", "kind")
+    w = Window.partitionBy("cookie").orderBy("ms", "kind", *(c for c in ("id", "key") if c in sides.columns))
     seen = sides.select(
         "*", F.lag("kind").over(w).alias("k0"), F.lag("key").over(w).alias("key0"), F.lag("ms").over(w).alias("ms0"),
         F.lead("kind").over(w).alias("k1"), F.lead("ms").over(w).alias("ms1"),

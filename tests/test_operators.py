@@ -186,6 +186,14 @@ def test_cookies(spark):
     assert sorted((r["key"], r["kind"], r["from_key"] or "", r["ms"]) for r in got) == [("b", "Moved", "a", 10), ("c", "Delete", "", 1000), ("d", "Create", "", 5), ("e", "Modify", "", 0), ("f", "Delete", "", 1000), ("g", "Create", "", 5000)]
 
 
+def test_sides_of_one_time_are_joined_by_id(spark):
+    rows = [(3, "b", 5, "MovedTo", 1), (2, "z", 5, "MovedTo", 1), (1, "a", 0, "MovedFrom", 1), (6, "d", 9, "MovedTo", 2), (4, "y", 7, "MovedFrom", 2), (5, "c", 7, "MovedFrom", 2)]
+    want = [("b", "Create", "", 5), ("d", "Moved", "c", 9), ("y", "Delete", "", 1007), ("z", "Moved", "a", 5)]
+    for some in (rows, rows[::-1]):
+        got = debounce.paired(spark.createDataFrame(some, "id long, key string, ms long, kind string, cookie long")).collect()
+        assert sorted((r["key"], r["kind"], r["from_key"] or "", r["ms"]) for r in got) == want
+
+
 def test_equality_joins_are_the_naive_ones(spark):
     rng = random.Random(1)
     names = ["a", "b", "ab", "a.b"]
