@@ -5,6 +5,8 @@ from __future__ import annotations
 from functools import reduce
 from math import ceil, log, log2
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,27 +88,134 @@ def block_bits(docs: int) -> int:
     return max(0, ceil(log2(docs / BLOCK))) if docs > BLOCK else 0
 
 
+#: The token of the row that names the documents of a part; no word is empty.
+HEAD = ""
+_BLOCK = "token string, prefix int, n int, most int, shortest int, keys array<string>, lengths array<int>, docs array<int>, counts array<int>, places array<bigint>"
+
+
+def once_a_task(docs: DataFrame, key: str) -> DataFrame:
+    """docs without the rows whose key a former row of the same task has, so that copies are dropped before a shuffle."""
+
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            fresh = [k not in seen and not seen.add(k) for k in batch.column(0).to_pylist()]
+            yield batch.filter(pa.array(fresh, pa.bool_()))
+
+    rows = docs.select(key, *(c for c in docs.columns if c != key))
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _lists(values, starts: np.ndarray, end: int) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, end), pa.int32()), values)
+
+
+def _block(prefix: int, keys: list[str], columns: list[pa.ListArray]) -> pa.RecordBatch:
+    """The rows of a part: its head, and one for each token. columns: the tokens of each document, for each text column."""
+    n = len(keys)
+    sizes = [c.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for c in columns]
+    length = sum(sizes).astype(np.int32)
+    words = pa.concat_arrays([c.flatten() for c in columns]).dictionary_encode()
+    token = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = np.concatenate([np.repeat(np.arange(n), s) for s in sizes])
+    place = np.concatenate([np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s) + (i << 32) for i, s in enumerate(sizes)])
+    pair = token * n + owner
+    # within a pair the places stay in order
+    order = np.argsort(pair, kind="stable")
+    pair, place = pair[order], place[order]
+    starts = np.flatnonzero(np.diff(pair, prepend=-1))
+    count = np.diff(np.append(starts, len(pair))).astype(np.int32)
+    doc, of = (pair[starts] % n).astype(np.int32), pair[starts] // n
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    made, per = len(first), np.diff(np.append(first, len(of))).astype(np.int32)
+    most = np.maximum.reduceat(count, first) if made else count[:0]
+    shortest = np.minimum.reduceat(length[doc], first) if made else count[:0]
+    alone = lambda x, kind: _lists(x, np.zeros(1, np.int64), n) if kind is None else pa.nulls(1, kind)
+    head = [
+        pa.array([HEAD]), pa.array([prefix], pa.int32()), pa.array([n], pa.int32()), pa.nulls(1, pa.int32()), pa.array([length.min()], pa.int32()),
+        alone(pa.array(keys, pa.string()), None), alone(pa.array(length), None), *(alone(None, pa.list_(k)) for k in (pa.int32(), pa.int32(), pa.int64())),
+    ]
+    rows = [
+        words.dictionary.cast(pa.string()), pa.array(np.full(made, prefix, np.int32)), pa.array(per), pa.array(most), pa.array(shortest),
+        pa.nulls(made, pa.list_(pa.string())), pa.nulls(made, pa.list_(pa.int32())),
+        _lists(pa.array(doc), first, len(of)), _lists(pa.array(count), first, len(of)), _lists(pa.array(place), starts[first], len(pair)),
+    ]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([h, r]) for h, r in zip(head, rows)], [f.split()[0] for f in _BLOCK.split(", ")])
+
+
+def _blocks(batches):
+    """An Arrow function over rows (prefix, doc, tokens of each column) sorted by prefix and doc: the rows of each part."""
+    key, held = None, []
+
+    def flush():
+        keys = [k for some, _ in held for k in some]
+        return _block(key, keys, [pa.concat_arrays(parts) for parts in zip(*(columns for _, columns in held))])
+
+    last = None
+    for batch in batches:
+        prefixes, docs = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+        fresh = [(k, d) != before for k, d, before in zip(prefixes.tolist(), docs, [last, *zip(prefixes.tolist(), docs)])]
+        if docs:
+            last = (int(prefixes[-1]), docs[-1])
+        if not all(fresh):
+            batch = batch.filter(pa.array(fresh))
+            prefixes, docs = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+        edge = [*np.flatnonzero(np.diff(prefixes, prepend=-1)).tolist(), len(docs)]
+        for lo, hi in zip(edge[:-1], edge[1:]):
+            if held and key != prefixes[lo]:
+                yield flush()
+                held = []
+            key = int(prefixes[lo])
+            held.append((docs[lo:hi], [batch.column(2 + i).slice(lo, hi - lo) for i in range(batch.num_columns - 2)]))
+    if held:
+        yield flush()
+
+
 def block_rows(docs: DataFrame, key: str, columns: list[str], segment: int, bits: int) -> DataFrame:
-    """Postings to store: a row for each token and part of the documents, the same parts for all tokens.
+    """Postings to store: a row for each token and part of the documents, the same parts for all tokens, and a head for each part.
+
+    (token, segment, prefix, n, most, shortest, keys, lengths, docs, counts, places): n
+    documents, by their numbers in the part, sorted; how often the token occurs in each,
+    and where, one document behind the other: column << 32 | place. most: the largest
+    count; shortest: the least length. The head, of the token HEAD, has keys and lengths of
+    all the part's documents in the order of their numbers, that of their keys; no other row
+    has them. segment: a number of this call. A token that is in all documents has as many
+    rows as there are parts. Of rows with one key one counts. Each text is shuffled once,
+    as it is; a part of about BLOCK documents is made of it at once, by one task.
+    """
+    part = F.pmod(F.xxhash64(key), F.lit(1 << bits)).cast("int").alias("prefix")
+    texts = docs.select(part, F.col(key).cast("string").alias("doc"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"t{i}") for i, c in enumerate(columns)))
+    dealt = texts.repartition("prefix").sortWithinPartitions("prefix", "doc")
+    made = dealt.select("prefix", "doc", *(tokens(F.col(f"t{i}")).alias(f"t{i}") for i in range(len(columns)))).mapInArrow(_blocks, _BLOCK)
+    return made.select("token", F.lit(segment).cast("bigint").alias("segment"), "prefix", "n", "most", "shortest", "keys", "lengths", "docs", "counts", "places")
+
+
+def indexed(blocks: DataFrame) -> tuple[int, int]:
+    """(documents, tokens) of stored postings, as text_lengths() has them of the texts."""
+    total = F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return tuple(blocks.where(F.col("token") == HEAD).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(total), F.lit(0))).first())
 
-    (token, segment, prefix, n, most, shortest, docs, lengths, counts, places): n
-    documents, sorted; how often the token occurs in each, and where: column << 32 | place.
-    most: the largest count; shortest: the least length. segment: a number of this
-    call. A token that is in all documents has as many rows as there are parts.
+
+def _of_words(blocks: DataFrame, key: str, words: list[str], placed: bool) -> DataFrame:
+    """(key, length, c0, c1, ...): the documents that have some of the words and how often they have each; placed: where, as w0, w1, ..., too.
+
+    What a part has of the words is put together with its head, so no document is joined.
     """
-    texts = [tokens(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]
-    held = docs.select(F.col(key).alias("doc"), *(t.alias(f"t{i}") for i, t in enumerate(texts)))
-    sides = F.array(*(F.struct(F.lit(i).cast("bigint").alias("side"), F.col(f"t{i}").alias("tokens")) for i in range(len(columns))))
-    length = reduce(lambda a, b: a + b, (F.size(f"t{i}") for i in range(len(columns))))
-    each = held.select("doc", length.alias("length"), F.explode(sides).alias("s")).select("doc", "length", "s.side", F.posexplode("s.tokens").alias("pos", "token"))
-    of_doc = each.groupBy("doc", "length", "token").agg(F.sort_array(F.collect_list(F.shiftleft("side", 32) + F.col("pos"))).alias("places"))  # of one document
-    part = F.pmod(F.xxhash64("doc"), F.lit(1 << bits)).cast("int").alias("prefix")
-    row = F.struct("doc", "length", F.size("places").alias("count"), "places")
-    blocks = of_doc.select("token", part, row.alias("d")).groupBy("token", "prefix").agg(F.sort_array(F.collect_list("d")).alias("d"))  # of about BLOCK documents
-    return blocks.select(
-        "token", F.lit(segment).cast("bigint").alias("segment"), "prefix", F.size("d").alias("n"), F.array_max("d.count").alias("most"), F.array_min("d.length").alias("shortest"),
-        F.col("d.doc").alias("docs"), F.col("d.length").alias("lengths"), F.col("d.count").alias("counts"), F.col("d.places").alias("places"),
-    )
+    held = ["docs", "counts", *["places"] * placed]
+    mine = blocks.where(F.col("token").isin(HEAD, *words)).select("token", "segment", "prefix", "keys", "lengths", *held)
+    first = lambda c, w: F.first(F.when(F.col("token") == w, F.col(c)), ignorenulls=True)
+    parts = mine.groupBy("segment", "prefix").agg(first("keys", HEAD).alias("keys"), first("lengths", HEAD).alias("lengths"), *(first(c, w).alias(f"{c}{i}") for i, w in enumerate(words) for c in held))
+    some = F.array_distinct(F.concat(*(F.coalesce(f"docs{i}", F.array().cast("array<int>")) for i in range(len(words)))))
+    at = lambda i, doc: (F.array_position(f"docs{i}", doc) - 1).cast("int")
+    before = lambda i, k: F.aggregate(F.slice(f"counts{i}", F.lit(1), k), F.lit(0), lambda a, x: a + x)
+
+    def row(doc: Column) -> Column:
+        has = lambda i: F.array_contains(f"docs{i}", doc)
+        counts = (F.when(has(i), F.get(f"counts{i}", at(i, doc))).alias(f"c{i}") for i in range(len(words)))
+        places = (F.when(has(i), F.slice(f"places{i}", before(i, at(i, doc)) + 1, F.get(f"counts{i}", at(i, doc)))).alias(f"w{i}") for i in range(len(words) * placed))
+        return F.struct(F.get("keys", doc).alias(key), F.get("lengths", doc).alias("length"), *counts, *places)
+
+    return parts.select(F.explode(F.transform(some, row)).alias("d")).select("d.*")
 
 
 def text_lengths(docs: DataFrame, columns: list[str]) -> tuple[int, int]:
@@ -129,16 +238,16 @@ def ranked(blocks: DataFrame, key: str, phrases: list[list[str]], docs: int, len
     words = sorted({w for p in phrases for w in p})
     if not phrases or not docs:
         return blocks.select(F.lit("").alias(key), F.lit(0.0).alias("rank")).limit(0)
-    each = blocks.where(F.col("token").isin(*words)).select("token", F.explode(F.arrays_zip("docs", "lengths", "places")).alias("d"))
-    # one row a document, with the places of each of the few words
-    by_doc = each.groupBy(F.col("d.docs").alias(key)).agg(F.first("d.lengths").alias("length"), *(F.first(F.when(F.col("token") == w, F.col("d.places")), ignorenulls=True).alias(f"w{i}") for i, w in enumerate(words)))
+    by_doc = _of_words(blocks, key, words, any(len(p) > 1 for p in phrases))
 
     def times(phrase: list[str]) -> Column:
         """How often a phrase occurs: the places of its first word that the others follow."""
+        if len(phrase) == 1:
+            return F.coalesce(f"c{words.index(phrase[0])}", F.lit(0))
         back = lambda w, k: F.transform(F.col(f"w{words.index(w)}"), lambda x: x - k)
         return F.coalesce(F.size(reduce(F.array_intersect, [back(w, k) for k, w in enumerate(phrase)])), F.lit(0))
 
-    counted = by_doc.select(key, "length", *(F.when(reduce(lambda a, b: a & b, (F.col(f"w{words.index(w)}").isNotNull() for w in p)), times(p)).otherwise(0).alias(f"f{i}") for i, p in enumerate(phrases)))
+    counted = by_doc.select(key, "length", *(F.when(reduce(lambda a, b: a & b, (F.col(f"c{words.index(w)}").isNotNull() for w in p)), times(p)).otherwise(0).alias(f"f{i}") for i, p in enumerate(phrases)))
     n = len(phrases)
     having = counted.agg(*(F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(n)))
     hits = counted.where(reduce(lambda a, b: a & b, (F.col(f"f{i}") > 0 for i in range(n))))
@@ -185,9 +294,9 @@ def promising(blocks: DataFrame, phrases: list[list[str]], idfs: list[float], me
 def scored(blocks: DataFrame, key: str, phrases: list[list[str]], idfs: list[float], mean: float, parts: DataFrame) -> DataFrame:
     """(key, rank) of the hits in some parts."""
     words = [w for (w,) in phrases]
-    mine = blocks.where(F.col("token").isin(*words)).join(parts.select("segment", "prefix"), ["segment", "prefix"], "left_semi")
-    each = mine.select("token", F.explode(F.arrays_zip("docs", "lengths", "counts")).alias("d"))
-    counted = each.groupBy(F.col("d.docs").alias(key)).agg(F.first("d.lengths").alias("length"), *(F.max(F.when(F.col("token") == w, F.col("d.counts"))).alias(f"f{i}") for i, w in enumerate(words)))
+    mine = blocks.where(F.col("token").isin(HEAD, *words)).join(parts.select("segment", "prefix"), ["segment", "prefix"], "left_semi")
+    each = _of_words(mine, key, sorted(set(words)), False)
+    counted = each.select(key, "length", *(F.col(f"c{sorted(set(words)).index(w)}").alias(f"f{i}") for i, w in enumerate(words)))
     total = reduce(lambda a, b: a + b, (idf * _weight(F.col(f"f{i}"), F.col("length"), mean) for i, idf in enumerate(idfs)))
     return counted.select(key, (-total).alias("rank")).where("rank is not null")
 

@@ -32,8 +32,8 @@ SNAPSHOTS = _table(
     scan_id="bigint", timestamp="timestamp", tier1_files_scanned="bigint", tier2_dirs_cataloged="bigint", events_emitted="bigint", duration_ms="bigint", files_scanned="bigint"
 )
 POSTINGS = _table(
-    token="string", segment="bigint", prefix="int", n="int", most="int", shortest="int", docs="array<string>", lengths="array<int>", counts="array<int>",
-    places="array<array<bigint>>",
+    token="string", segment="bigint", prefix="int", n="int", most="int", shortest="int", keys="array<string>", lengths="array<int>", docs="array<int>",
+    counts="array<int>", places="array<bigint>",
 )
 NAMES = _table(segment="bigint", part="int", id="int", path="string")
 GRAMS = _table(gram="string", segment="bigint", part="int", ids="array<int>")

@@ -22,6 +22,8 @@ TABLES: dict[str, str] = {
 VIEWS: dict[str, tuple[str, ...]] = {"paths": ("active", "closed")}
 #: Tables that are sorted by some columns, hot values of the first divided by the others, so that a query reads few of their pages.
 SORTED: dict[str, tuple[str, ...]] = {"postings": ("token", "prefix"), "names": ("segment", "part", "id"), "grams": ("gram", "segment", "part")}
+#: Those of them whose rows stay with the task that made them: a word is read in a few pages of each file, and no posting is shuffled.
+LOCAL = ("postings",)
 #: Tables of one row a key, which is replaced row by row: they lie in slots by a hash of the key.
 KEYED: dict[str, str] = {"active": "path", "documents": "content_hash"}
 HASH = "sha256"
@@ -134,7 +136,7 @@ class Store:
         where = f"gen={generation}/{name}-{uuid.uuid4().hex}"
         rows = self._rows(name, df)
         if name in SORTED:
-            rows = rows.repartitionByRange(*SORTED[name]).sortWithinPartitions(*SORTED[name])
+            rows = (rows if name in LOCAL else rows.repartitionByRange(*SORTED[name])).sortWithinPartitions(*SORTED[name])
         rows.write.parquet(f"{self.folder}/{where}")
         return where
 

@@ -421,6 +421,49 @@ def test_blocks_that_cannot_be_among_the_best_are_not_scored(spark, tmp_path):
     assert search.top(blocks, "content_hash", [["sea"], ["absent"]], 3, docs_n, length).count() == 0
 
 
+def shuffled(spark) -> int:
+    """Bytes that all stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_are_shuffled_once_for_stored_postings(spark, tmp_path):
+    import hashlib
+    import random
+
+    from stratafs.operators import search
+    from stratafs.sources.store import Store
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)] + ["the", "of", "sea"] * 300
+    rows = [(hashlib.sha256(bytes([i % 250, i // 250])).hexdigest(), rng.choice(["", "the sea", None]), " ".join(rng.choices(words, k=rng.choice([0, 1, 90, 150])))) for i in range(900)]
+    once = spark.createDataFrame(rows, "content_hash string, title string, text string").repartition(3)
+    once.unionByName(once.where("content_hash < '4'")).repartition(5).write.parquet(str(tmp_path / "copies"))
+    copies = spark.read.parquet(str(tmp_path / "copies"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        blocks = search.block_rows(search.once_a_task(copies, "content_hash"), "content_hash", ["title", "text"], 3, search.block_bits(900))
+        store = Store(spark, str(tmp_path / "store"))
+        before = shuffled(spark)
+        store.commit(append={"postings": blocks})
+        moved = shuffled(spark) - before
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    held = store.table("postings")
+    assert held.count() == held.select("token", "prefix").distinct().count()
+    docs, length = search.indexed(held)
+    assert (docs, length) == search.text_lengths(once, ["title", "text"])
+    for phrases in ([["sea"]], [["the", "sea"], ["of"]], [["the", "the"], ["sea"], ["the"]], [["w7"], ["the"]], [["w7", "w9", "w8"]], [["sea"], ["sea"]]):
+        want = sorted((round(r["rank"], 9), r["content_hash"]) for r in search.bm25(once, "content_hash", ["title", "text"], phrases).collect())
+        assert sorted((round(r["rank"], 9), r["content_hash"]) for r in search.ranked(held, "content_hash", phrases, docs, length).collect()) == want, phrases
+        got = search.top(held, "content_hash", phrases, 5, docs, length, first=2).collect()
+        assert [(round(r["rank"], 9), r["content_hash"]) for r in got] == want[:5], phrases
+    # the texts are shuffled once, and nothing that is made of them
+    assert moved < 2 * sum(f.stat().st_size for f in (tmp_path / "copies").rglob("*.parquet"))
+
+
 def test_output_is_not_cut_and_reading_is_dealt(spark, tmp_path, capsys):
     cli.show(spark.range(2500))
     assert len(capsys.readouterr().out.splitlines()) == 2500
