@@ -633,6 +633,24 @@ def test_chains_meet_where_two_are_compared_at_once(spark, monkeypatch):
     assert links <= near and len(set(root)) == 1
 
 
+def test_all_pairs_at_a_divided_anchor_are_compared(spark, monkeypatch):
+    """Twelve fingerprints in a chain meet at the anchors of one block only, where two are compared at once: all links are found."""
+    rng = np.random.default_rng(9)
+    bits, fps = rng.integers(0, 2, similar.BITS), []
+    for k in range(12):
+        fps.append(bits.copy())
+        bits[k * 20 : k * 20 + 20] ^= 1
+    names = rng.permutation(1000)[:12].tolist()
+    members = spark.createDataFrame([(n, [int(v) for v in np.packbits(x, bitorder="little").view(np.int64)]) for n, x in zip(names, fps)], "node long, fps array<long>")
+    monkeypatch.setattr(similar, "drawn", lambda *a, **b: np.arange(300, 316)[None, :])
+    chain = {tuple(sorted(x)) for x in zip(names[:-1], names[1:])}
+    for group, side in ((100, 100), (2, 100), (2, 5), (2, 1)):
+        monkeypatch.setattr(similar, "GROUP", group)
+        monkeypatch.setattr(similar, "SIDE", side, raising=False)
+        links = {(r["a"], r["b"]) for r in similar.candidate_links(members, 12).collect()}
+        assert chain <= links, (group, side)
+
+
 def test_cuts_are_tried_again(spark):
     """Of two groups near by fingerprint, the closest pair across is refused by its sets, but another is similar."""
     rng = np.random.default_rng(3)
